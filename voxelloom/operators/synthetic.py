@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.functions.pixels import nm_to_vox
+from voxelloom.functions.pixels import linspace, lognormal_params, lognormal_pdf, nm_to_vox
 from voxelloom.sources.specs import float_list, setting
 
 # Fallback bins of a spec without a usable list.
@@ -32,7 +32,8 @@ def psd_bins(specs: DataFrame) -> DataFrame:
             "spec", "voxel", F.when(listed, F.col("sizes")).otherwise(F.col("three")).alias("use_sizes"),
             F.when(listed, F.col("weights")).otherwise(F.array(*[F.lit(w) for w in FALLBACK_WEIGHTS])).alias("use_weights"),
         )
-        .select("spec", "voxel", total.alias("total"), F.posexplode(F.arrays_zip("use_sizes", "use_weights")).alias("bin", "b"))
+        .withColumn("total", total)
+        .select("spec", "voxel", "total", F.posexplode(F.arrays_zip("use_sizes", "use_weights")).alias("bin", "b"))
         .select(
             "spec", "bin", F.col("b.use_sizes").alias("diameter_nm"), nm_to_vox("b.use_sizes", "voxel").alias("diameter_vox"),
             (F.col("b.use_weights") / F.col("total")).alias("weight"),
@@ -72,6 +73,24 @@ def bin_porosities(bins: DataFrame, targets: DataFrame) -> DataFrame:
     return solved
 
 
+def lognormal_curve(
+    rows: DataFrame, keys: list[str], mean: str, std: str, low: float = 20.0, high: float = 500.0, points: int = 500
+) -> DataFrame:
+    """Log-normal density per row on an even grid, scaled to unit trapezoid area: (keys, i, x, pdf).
+
+    The area is worked out on the row's own array before the grid is exploded, so nothing shuffles.
+    """
+    mu, sigma = lognormal_params(mean, std)
+    grid = rows.select(*keys, mu.alias("mu"), sigma.alias("sigma"), linspace(F.lit(low), F.lit(high), points).alias("x"))
+    curves = grid.select(*keys, "x", F.transform("x", lambda p: lognormal_pdf(p, F.col("mu"), F.col("sigma"))).alias("raw"))
+    step = (high - low) / (points - 1)
+    ends = (F.element_at("raw", 1) + F.element_at("raw", points)) / 2
+    area = (F.aggregate("raw", F.lit(0.0), lambda acc, p: acc + p) - ends) * step
+    scaled = curves.select(*keys, "x", "raw", area.alias("area"))
+    exploded = scaled.select(*keys, "area", F.posexplode(F.arrays_zip("x", "raw")).alias("i", "p"))
+    return exploded.select(*keys, "i", F.col("p.x").alias("x"), (F.col("p.raw") / F.col("area")).alias("pdf"))
+
+
 def discrete_mean_std(bins: DataFrame, keys: list[str], x: str, weight: str) -> DataFrame:
     """Mean and deviation of a weighted list, weights scaled to sum 1."""
     v, w = F.col(x), F.col(weight)

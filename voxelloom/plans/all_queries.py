@@ -1,4 +1,7 @@
 """Importing the query modules fills the registry."""
 
-from voxelloom.plans import porosity_queries  # noqa: F401
+from voxelloom.plans import (  # noqa: F401
+    geometry_queries,
+    porosity_queries,
+)
 from voxelloom.plans.registry import CHECKS, QUERIES  # noqa: F401
