@@ -145,9 +145,9 @@ def label_components(mask: np.ndarray) -> np.ndarray:
         best = labels.copy()
         for a, b in ((np.s_[1:, :], np.s_[:-1, :]), (np.s_[:, 1:], np.s_[:, :-1])):
             both = mask[a] & mask[b]
-            low = np.where(both, np.minimum(best[a], best[b]), 0)
-            best[a] = np.where(both, low, best[a])
-            best[b] = np.where(both, low, best[b])
+            low = np.where(both, np.minimum(best[a], best[b]), mask.size)
+            best[a] = np.minimum(best[a], low)
+            best[b] = np.minimum(best[b], low)
         # Pointer jumping: every pixel takes the label its current label has.
         jump = best.ravel()[np.maximum(best, 1) - 1]
         best = np.where(mask, np.minimum(best, jump), 0)

@@ -75,22 +75,19 @@ def mesh_section_area(triangles: DataFrame, n: int = 30, axis: str = "z", margin
         .where((low < F.col("pos")) & (high >= F.col("pos")))
     )
 
-    def crossing(p: str, q: str) -> Column:
-        """Point where edge p-q meets the plane, null when it does not; ends count half-open."""
-        hp, hq = F.col(f"{p}{axis}"), F.col(f"{q}{axis}")
-        cuts = (hp < F.col("pos")) != (hq < F.col("pos"))
-        share = (F.col("pos") - hp) / F.nullif(hq - hp, F.lit(0.0))
-        point = F.struct(
-            *[(F.col(f"{p}{d}") + (F.col(f"{q}{d}") - F.col(f"{p}{d}")) * share).alias(name) for d, name in ((u, "u"), (v, "v"))],
-            (hp < F.col("pos")).alias("up"),
-        )
-        return F.when(cuts, point)
-
-    points = F.array_compact(F.array(crossing("a", "b"), crossing("b", "c"), crossing("c", "a")))
-    # An edge going up leaves the material on one side: the segment runs from the upward to the downward edge.
-    rising = F.filter(points, lambda p: p["up"])[0]
-    falling = F.filter(points, lambda p: ~p["up"])[0]
-    part = (falling["u"] * rising["v"] - falling["v"] * rising["u"]) / 2
+    def end(rising: bool, name: str) -> Column:
+        """Coordinate where the triangle's rising (or falling) edge meets the plane; corners count half-open."""
+        choice = F.lit(None).cast("double")
+        for p, q in (("a", "b"), ("b", "c"), ("c", "a")):
+            hp, hq = F.col(f"{p}{axis}"), F.col(f"{q}{axis}")
+            low_end, high_end = (hp, hq) if rising else (hq, hp)
+            share = (F.col("pos") - hp) / F.nullif(hq - hp, F.lit(0.0))
+            point = F.col(f"{p}{name}") + (F.col(f"{q}{name}") - F.col(f"{p}{name}")) * share
+            choice = F.when((low_end < F.col("pos")) & (high_end >= F.col("pos")), point).otherwise(choice)
+        return choice
+
+    # Exactly one edge rises through the plane and one falls: the segment runs between the two.
+    part = (end(False, u) * end(True, v) - end(False, v) * end(True, u)) / 2
     area = met.select("mesh_id", "plane", "pos", part.alias("part")).groupBy("mesh_id", "plane").agg(
         F.max("pos").alias("position"), F.sum("part").alias("area")
     )

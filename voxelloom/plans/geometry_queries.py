@@ -154,14 +154,14 @@ def lognormal_params(spark, sf):
     return plain(testdata.table(spark, sf, "part").select("p_partkey", mu.alias("mu"), sigma.alias("sigma")))
 
 
-@query("""WITH s AS (SELECT p_partkey, sqrt(ln(1 + 55.8 * 55.8 / ((100.0 + p_size) * (100.0 + p_size)))) AS sigma, 100.0::DOUBLE + p_size AS m FROM part),
-q AS (SELECT p_partkey, i, 20 + i * 480.0::DOUBLE / 499 AS x, ln(m) - sigma * sigma / 2 AS mu, sigma FROM s, range(500) r(i)),
-d AS (SELECT p_partkey, i, x, exp(-(ln(x) - mu) * (ln(x) - mu) / (2 * sigma * sigma)) / (x * sigma * sqrt(2 * pi())) AS pdf FROM q),
-a AS (SELECT p_partkey, sum((pdf + before) / 2 * (x - xb)) AS area FROM (SELECT *, lag(pdf) OVER w AS before, lag(x) OVER w AS xb FROM d WINDOW w AS (PARTITION BY p_partkey ORDER BY i)) GROUP BY 1)
-SELECT p_partkey, i::BIGINT AS i, round(x, 6) AS x, round(pdf / area, 6) AS pdf FROM d JOIN a USING (p_partkey)""")
+@query("""WITH s AS (SELECT s_suppkey, sqrt(ln(1 + 55.8 * 55.8 / ((100.0 + s_suppkey % 50) * (100.0 + s_suppkey % 50)))) AS sigma, 100.0::DOUBLE + s_suppkey % 50 AS m FROM supplier),
+q AS (SELECT s_suppkey, i, 20 + i * 480.0::DOUBLE / 499 AS x, ln(m) - sigma * sigma / 2 AS mu, sigma FROM s, range(500) r(i)),
+d AS (SELECT s_suppkey, i, x, exp(-(ln(x) - mu) * (ln(x) - mu) / (2 * sigma * sigma)) / (x * sigma * sqrt(2 * pi())) AS pdf FROM q),
+a AS (SELECT s_suppkey, sum((pdf + before) / 2 * (x - xb)) AS area FROM (SELECT *, lag(pdf) OVER w AS before, lag(x) OVER w AS xb FROM d WINDOW w AS (PARTITION BY s_suppkey ORDER BY i)) GROUP BY 1)
+SELECT s_suppkey, i::BIGINT AS i, round(x, 6) AS x, round(pdf / area, 6) AS pdf FROM d JOIN a USING (s_suppkey)""")
 def lognormal_pdf_grid(spark, sf):
-    part = testdata.table(spark, sf, "part").select("p_partkey", (F.col("p_size") + 100.0).alias("mean"), F.lit(55.8).alias("std"))
-    return plain(synthetic.lognormal_curve(part, ["p_partkey"], "mean", "std"))
+    supplier = testdata.table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 50 + 100.0).alias("mean"), F.lit(55.8).alias("std"))
+    return plain(synthetic.lognormal_curve(supplier, ["s_suppkey"], "mean", "std"))
 
 
 @query("""SELECT event_id, round(value / 1000 * 0.5 * (1 + cos(pi() * (event_id % 20 + 1) / 20)), 6) AS lr FROM events""")

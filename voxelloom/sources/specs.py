@@ -26,22 +26,6 @@ def read_spec_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def spec_entries(texts: DataFrame) -> DataFrame:
-    """(spec, pos, key, value), one row per setting line, in file order."""
-    lines = texts.select("spec", F.posexplode(F.split("text", "\r\n|\n|\r")).alias("pos", "line"))
-    body = strip(F.element_at(F.split(F.regexp_replace("line", "^\ufeff", ""), "#", 2), 1))
-    mark = F.when(F.contains("body", F.lit(":")), ":").when(F.contains("body", F.lit("=")), "=")
-    halves = F.split(F.col("body"), F.col("mark"), 2)
-    key = strip(F.replace(F.replace(halves[0], F.lit("\ufeff"), F.lit("")), F.lit("\u00a0"), F.lit(" ")))
-    return (
-        lines.withColumn("body", body)
-        .withColumn("mark", mark)
-        .where(F.col("mark").isNotNull())
-        .select("spec", "pos", key.alias("key"), strip(halves[1]).alias("value"))
-        .where(F.col("key") != "")
-    )
-
-
 def parse_specs(texts: DataFrame) -> DataFrame:
     """(spec, settings MAP): a later line wins over an earlier one with the same key.
 
@@ -58,12 +42,15 @@ def parse_specs(texts: DataFrame) -> DataFrame:
 
     settings = F.filter(bodies, lambda body: F.contains(body, F.lit(":")) | F.contains(body, F.lit("=")))
     pairs = F.filter(F.transform(settings, pair), lambda p: p["key"] != "")
-    latest = F.filter(
-        F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), p["value"].alias("value"), i.alias("i"))),
-        lambda p: ~F.exists(F.slice(pairs, p["i"] + 2, F.size(pairs)), lambda later: later["key"] == p["key"]),
+    nothing = F.create_map().cast("map<string,string>")
+    latest = F.aggregate(
+        pairs,
+        nothing,
+        lambda known, p: F.map_concat(
+            F.map_filter(known, lambda key, _: key != p["key"]), F.create_map(p["key"], p["value"])
+        ),
     )
-    entries = F.transform(latest, lambda p: F.struct(p["key"], p["value"]))
-    return texts.select("spec", F.map_from_entries(entries).alias("settings"))
+    return texts.select("spec", latest.alias("settings"))
 
 
 def setting(key: str, settings: str | Column = "settings") -> Column:
