@@ -79,7 +79,7 @@ def voxels_to_hist(voxels: DataFrame, value: str = "v") -> DataFrame:
 def voxels_to_slices(voxels: DataFrame, h: Column | int, w: Column | int) -> DataFrame:
     """Pack pixels to 8-bit slices; absent pixels become 0. One group is one slice."""
 
-    def pack(key, pixels: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, pixels: pd.DataFrame) -> pd.DataFrame:
         height, width = int(pixels["h"].iat[0]), int(pixels["w"].iat[0])
         image = np.zeros((height, width), np.uint8)
         image[pixels["y"], pixels["x"]] = pixels["v"]

@@ -50,7 +50,7 @@ def rotate_plane(
     exchange the z and x axes on the way in or out. Slices must be dense in z and of one size.
     """
 
-    def turn(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def turn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("z")
         w = int(pdf["w"].iat[0])
         strip = np.stack([np.frombuffer(data, np.uint8).reshape(-1, w) for data in pdf["data"]])

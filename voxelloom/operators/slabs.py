@@ -32,7 +32,7 @@ def map_slabs(
     """
     extra = extra or []
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         first = int(key[1]) * block
         pdf = pdf.sort_values("z")
         core = pdf["z"].between(first, first + block - 1)

@@ -62,7 +62,7 @@ def explode_recon(results: DataFrame, text: str = "value") -> DataFrame:
 
 def read_recon_results(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``results.json`` files; the id is the ``synthetic_<n>`` part of the path."""
-    texts = spark.read.option("wholetext", "true").text(path)
+    texts = spark.read.text(path, wholetext=True)
     return explode_recon(texts.withColumn("id", synthetic_id(F.input_file_name())))
 
 
