@@ -68,7 +68,7 @@ def cdf(hist: DataFrame, keys: list[str] = SLICE) -> DataFrame:
 
 
 def otsu_threshold(hist: DataFrame, keys: list[str], bins: int = 256, integer: bool = False) -> DataFrame:
-    """Threshold of largest between-class variance per key (the first one on ties).
+    """Threshold of largest between-class variance per key (the first one on ties); a constant key gives its value.
 
     ``integer=True`` uses one bin per value; otherwise ``bins`` equal bins between the smallest and the
     largest value with their centres as candidates. The histogram is merged per key first, so the
@@ -85,11 +85,13 @@ def otsu_threshold(hist: DataFrame, keys: list[str], bins: int = 256, integer: b
         *keys, "center",
         F.sum(n).over(up).alias("w1"), F.sum(n * c).over(up).alias("s1"),
         F.sum(n).over(after).alias("w2"), F.sum(n * c).over(after).alias("s2"),
-    ).where("w1 > 0 AND w2 > 0")
+    )
     gap = F.col("s1") / F.col("w1") - F.col("s2") / F.col("w2")
-    # Rounded relative to the total so that equal splits compare equal despite summation order.
-    variance = F.round(F.col("w1") * F.col("w2") / (F.col("w1") + F.col("w2")) / (F.col("w1") + F.col("w2")) * gap * gap, 9)
-    return sums.groupBy(*keys).agg(F.max_by("center", F.struct(variance, -c)).alias("threshold"))
+    whole = F.col("w1") + F.col("w2")
+    # Rounded so that equal splits compare equal despite summation order.
+    variance = F.when((F.col("w1") > 0) & (F.col("w2") > 0), F.round(F.col("w1") / whole * F.col("w2") / whole * gap * gap, 9))
+    best = F.max_by(F.when(variance.isNotNull(), F.col("center")), F.struct(variance, -c))
+    return sums.groupBy(*keys).agg(F.coalesce(best, (F.min("center") + F.max("center")) / 2).alias("threshold"))
 
 
 def unit_volume(values: DataFrame, keys: list[str] = ["volume_id"], v: str = "v") -> DataFrame:
@@ -131,7 +133,7 @@ def otsu_pores(slices: DataFrame, slice_hist: DataFrame) -> DataFrame:
                 packed.append((unit < row.threshold).astype(np.uint8).tobytes())
             yield batch[SLICE_COLUMNS].assign(data=packed)
 
-    return slices.join(limits, SLICE, "left").na.fill(0, ["threshold", "top"]).mapInPandas(mark, SLICE_SCHEMA)
+    return slices.join(limits, SLICE).mapInPandas(mark, SLICE_SCHEMA)
 
 
 def middle_slices(volumes: DataFrame, n: str = "n_slices") -> DataFrame:
