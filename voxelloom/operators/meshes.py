@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.session import cut_lineage
@@ -133,31 +133,27 @@ def nearest_neighbour_distance(a: DataFrame, b: DataFrame, keys: list[str] = ["c
             F.min(F.struct(*AXES)).alias("one"),
         )
 
-    def bounds(joined: DataFrame, level: int) -> DataFrame:
+    def measure(joined: DataFrame, level: int) -> DataFrame:
         gap = [F.greatest(F.lit(0.0), F.col(f"lo_{d}") - F.col(d), F.col(d) - F.col(f"hi_{d}")) for d in AXES]
         lower = sum((g * g for g in gap), F.lit(0.0))
         upper = sum(((F.col(d) - F.col(f"one.{d}")) * (F.col(d) - F.col(f"one.{d}")) for d in AXES), F.lit(0.0))
         measured = joined.withColumn("lower", lower).withColumn("upper", upper).where("lower < best")
-        best = F.least("best", F.min("upper").over(Window.partitionBy(*me)))
-        kept = measured.withColumn("best", best)
-        return cut_lineage(kept.select(*me, "n", "best", "lower", *[f"{d}{level}" for d in AXES]))
+        coords = [f"{d}{level}" for d in AXES]
+        return cut_lineage(measured.select(*me, "n", F.least("best", "upper").alias("best"), "lower", *coords))
 
     level = 0
-    start = left.withColumn("best", F.lit(float("inf"))).join(parts(0, None), keys)
-    found = bounds(start, 0)
-    answers = [found.select(*me, "n", "best")]
+    found = measure(left.withColumn("best", F.lit(float("inf"))).join(parts(0, None), keys), 0)
+    answers = left.withColumn("best", F.lit(None).cast("double"))
     while True:
-        open_cells = found.where("lower < best").drop("lower")
+        best = found.groupBy(*me).agg(F.max("n").alias("n"), F.min("best").alias("best"))
+        answers = answers.unionByName(best)
+        open_cells = found.drop("best", "n").join(best, me).where("lower < best").drop("lower")
         if not open_cells.head(1):
             break
         parent, level = level, level + halvings
         up = [f"{d}{parent}" for d in AXES]
-        found = bounds(open_cells.join(parts(level, parent), [*keys, *up]).drop(*up), level)
-        answers.append(found.select(*me, "n", "best"))
-    everything = left.withColumn("best", F.lit(None).cast("double"))
-    for answer in answers:
-        everything = everything.unionByName(answer)
-    return everything.groupBy(*me).agg(F.max("n").alias("n"), F.sqrt(F.min("best")).alias("distance"))
+        found = measure(open_cells.join(parts(level, parent), [*keys, *up]).drop(*up), level)
+    return answers.groupBy(*me).agg(F.max("n").alias("n"), F.sqrt(F.min("best")).alias("distance"))
 
 
 def chamfer_hausdorff(a: DataFrame, b: DataFrame, keys: list[str] = ["cloud"]) -> DataFrame:

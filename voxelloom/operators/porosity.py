@@ -6,11 +6,13 @@ hundred rows per slice and never a pixel. Any of the two other layouts is reduce
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.layouts import slices_to_hist, zip_slices
-
 VOLUME = ["volume_id"]
 SLICE = ["volume_id", "z"]
 
@@ -153,19 +155,27 @@ def joint_hist(stack: DataFrame, mask: DataFrame) -> DataFrame:
     return joined.groupBy("volume_id", "z", "v", "region").agg(F.count(F.lit(1)).alias("n"))
 
 
-def joint_hist_of_slices(stack: DataFrame, mask: DataFrame, region_above: int) -> DataFrame:
-    """The same counts from packed slices: one row per slice crosses the shuffle instead of its pixels."""
-    def inside(a, b):
-        return a[b > region_above].reshape(1, -1)
+def joint_hist_of_slices(stack: DataFrame, mask: DataFrame, region_above: int = 0) -> DataFrame:
+    """The same counts from packed slices: one row per slice crosses the shuffle instead of its pixels.
 
-    def outside(a, b):
-        return a[b <= region_above].reshape(1, -1)
+    Mask values above ``region_above`` are inside. Both images are cut to their common size.
+    """
 
-    parts = [
-        slices_to_hist(zip_slices(stack, mask, pick)).withColumn("region", F.lit(flag))
-        for pick, flag in ((inside, True), (outside, False))
-    ]
-    return parts[0].unionByName(parts[1])
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                h, w = min(row.h, row.mask_h), min(row.w, row.mask_w)
+                image = np.frombuffer(row.data, np.uint8).reshape(row.h, row.w)[:h, :w]
+                inside = np.frombuffer(row.mask, np.uint8).reshape(row.mask_h, row.mask_w)[:h, :w] > region_above
+                counts = np.bincount((image + 256 * inside.astype(np.int64)).ravel(), minlength=512)
+                cell = np.flatnonzero(counts)
+                yield pd.DataFrame(
+                    {"volume_id": row.volume_id, "z": np.int32(row.z), "v": cell % 256, "region": cell >= 256, "n": counts[cell]}
+                )
+
+    masks = mask.select("volume_id", "z", F.col("h").alias("mask_h"), F.col("w").alias("mask_w"), F.col("data").alias("mask"))
+    pairs = stack.select("volume_id", "z", "h", "w", "data").join(masks, ["volume_id", "z"])
+    return pairs.mapInPandas(count, "volume_id string, z int, v int, region boolean, n bigint")
 
 
 def region_pore_mask(joint: DataFrame, pore_is_white: bool = True, factor: float = 0.8) -> DataFrame:

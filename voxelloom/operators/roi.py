@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelloom.layouts import map_slices
+from voxelloom.layouts import SLICE_COLUMNS, image_of, map_slices
 
 BOX = ["x_min", "y_min", "x_max", "y_max"]
 
@@ -70,40 +73,51 @@ def keyframe_interpolate(keys: DataFrame) -> DataFrame:
     return per_slice.select("volume_id", "z", *[between(edge) for edge in BOX])
 
 
-def content_lines(voxels: DataFrame, along: str, factor: float = 0.8, share: float = 0.05) -> DataFrame:
-    """Rows (``along='y'``) or columns (``'x'``) of each slice with enough bright pixels.
+def content_lines(slices: DataFrame, factor: float = 0.8, share: float = 0.05) -> DataFrame:
+    """(volume_id, z, axis, line, bright): rows (axis ``y``) and columns (``x``) with enough bright pixels.
 
-    Bright means above the slice mean times ``factor``; enough means more than ``share`` of the line.
-    Lines are first reduced to counts per value, so the mean needs no second pass over pixels.
+    Bright means above the slice mean times ``factor``; enough means more than ``share`` of the line. A
+    slice is one row, so nothing shuffles.
     """
-    line = voxels.groupBy("volume_id", "z", along, "v").agg(F.count(F.lit(1)).alias("n"))
-    limit = line.groupBy("volume_id", "z").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n") * F.lit(factor)).alias("_limit"))
-    counted = line.join(limit, ["volume_id", "z"]).groupBy("volume_id", "z", along).agg(
-        F.sum(F.when(F.col("v") > F.col("_limit"), F.col("n")).otherwise(0)).alias("bright"), F.sum("n").alias("length")
-    )
-    return counted.where(F.col("bright") > F.col("length") * F.lit(share)).select("volume_id", "z", along, "bright")
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                image = image_of(row)
+                bright = image > image.mean() * factor
+                for axis, along in (("y", 1), ("x", 0)):
+                    counts = bright.sum(axis=along)
+                    lines = np.flatnonzero(counts > bright.shape[along] * share)
+                    yield pd.DataFrame(
+                        {"volume_id": row.volume_id, "z": np.int32(row.z), "axis": axis, "line": lines, "bright": counts[lines]}
+                    )
+
+    return slices.select(*SLICE_COLUMNS).mapInPandas(find, "volume_id string, z int, axis string, line int, bright bigint")
 
 
 def overall_box(
-    voxels: DataFrame, volumes: DataFrame, padding: int = 10, top: int = 0, bottom: int = 0, left: int = 0, right: int = 0
+    slices: DataFrame, volumes: DataFrame, padding: int = 10, top: int = 0, bottom: int = 0, left: int = 0, right: int = 0
 ) -> DataFrame:
     """Automatic box per volume: content of first, middle and last slice, padded, inside margins, united.
 
-    The last content line plus padding is the exclusive end. Volumes without content get the margin box.
+    Only the three slices of each volume are opened. The last content line plus padding is the exclusive
+    end. Volumes without content get the margin box.
     """
     shape = volumes.select("volume_id", "n_slices", F.col("h_max").alias("h"), F.col("w_max").alias("w"))
     n = F.col("n_slices").cast("int")
     sampled = shape.select(
         "volume_id", F.explode(F.array_distinct(F.array(F.lit(0), F.floor(n / 2).cast("int"), n - 1))).alias("z")
     )
-    pixels = voxels.join(sampled, ["volume_id", "z"])
+    lines = content_lines(slices.join(sampled, ["volume_id", "z"], "left_semi"))
 
-    def ends(axis: str) -> DataFrame:
-        lines = content_lines(pixels, axis)
-        return lines.groupBy("volume_id", "z").agg(F.min(axis).alias(f"{axis}0"), F.max(axis).alias(f"{axis}1"))
+    def end(take, axis: str, name: str) -> Column:
+        return take(F.when(F.col("axis") == axis, F.col("line"))).alias(name)
 
-    per_slice = ends("y").join(ends("x"), ["volume_id", "z"]).join(shape, "volume_id")
-    united = per_slice.groupBy("volume_id").agg(
+    per_slice = lines.groupBy("volume_id", "z").agg(
+        end(F.min, "y", "y0"), end(F.max, "y", "y1"), end(F.min, "x", "x0"), end(F.max, "x", "x1")
+    )
+    both = per_slice.where("y0 IS NOT NULL AND x0 IS NOT NULL").join(shape, "volume_id")
+    united = both.groupBy("volume_id").agg(
         F.min(F.greatest(F.lit(left), F.col("x0") - padding)).alias("x_min"),
         F.min(F.greatest(F.lit(top), F.col("y0") - padding)).alias("y_min"),
         F.max(F.least(F.col("w") - right, F.col("x1") + padding)).alias("x_max"),

@@ -6,38 +6,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.functions.pixels import linspace, lognormal_params, lognormal_pdf, nm_to_vox
-from voxelloom.sources.specs import float_list, setting
+from voxelloom.sources.specs import DEFAULT_SPEC, float_list, setting
 
 # Fallback bins of a spec without a usable list.
 FALLBACK_MEAN_NM, FALLBACK_STD_NM, FALLBACK_FLOOR_NM = 150.0, 40.0, 10.0
 FALLBACK_WEIGHTS = [0.25, 0.5, 0.25]
 
 
-def psd_bins(specs: DataFrame) -> DataFrame:
-    """(spec, bin, diameter_nm, diameter_vox, weight): listed bins with weights scaled to sum 1.
+def psd_lists(specs: DataFrame, *more: Column) -> DataFrame:
+    """(spec, sizes, weights, voxel): the spec's bins as two arrays, weights scaled to sum 1.
 
     Without two non-empty lists of equal length, three bins around the mean size are used. All of it
     happens inside the spec's own row.
     """
-    sizes, weights = float_list(setting("psd_bins_nm")), float_list(setting("psd_weights"))
     mean = F.coalesce(setting("psd_mean_nm").cast("double"), F.lit(FALLBACK_MEAN_NM))
     std = F.coalesce(setting("psd_std_nm").cast("double"), F.lit(FALLBACK_STD_NM))
     three = F.array(*[F.greatest(F.lit(FALLBACK_FLOOR_NM), m) for m in (mean - std, mean, mean + std)])
-    listed = (F.size("sizes") > 0) & (F.size("sizes") == F.size("weights"))
-    total = F.aggregate("use_weights", F.lit(0.0), lambda acc, w: acc + w)
-    voxel = F.coalesce(setting("voxel_size_nm").cast("double"), F.lit(10.0))
-    return (
-        specs.select("spec", sizes.alias("sizes"), weights.alias("weights"), three.alias("three"), voxel.alias("voxel"))
-        .select(
-            "spec", "voxel", F.when(listed, F.col("sizes")).otherwise(F.col("three")).alias("use_sizes"),
-            F.when(listed, F.col("weights")).otherwise(F.array(*[F.lit(w) for w in FALLBACK_WEIGHTS])).alias("use_weights"),
-        )
-        .withColumn("total", total)
-        .select("spec", "voxel", "total", F.posexplode(F.arrays_zip("use_sizes", "use_weights")).alias("bin", "b"))
-        .select(
-            "spec", "bin", F.col("b.use_sizes").alias("diameter_nm"), nm_to_vox("b.use_sizes", "voxel").alias("diameter_vox"),
-            (F.col("b.use_weights") / F.col("total")).alias("weight"),
-        )
+    listed = (F.size("given_sizes") > 0) & (F.size("given_sizes") == F.size("given_weights"))
+    given = specs.select(
+        "spec", float_list(setting("psd_bins_nm")).alias("given_sizes"), float_list(setting("psd_weights")).alias("given_weights"),
+        three.alias("three"), F.coalesce(setting("voxel_size_nm").cast("double"), F.lit(10.0)).alias("voxel"), *more,
+    )
+    rest = [name for name in given.columns if name not in ("spec", "given_sizes", "given_weights", "three")]
+    used = given.select(
+        "spec", *rest, F.when(listed, F.col("given_sizes")).otherwise(F.col("three")).alias("sizes"),
+        F.when(listed, F.col("given_weights")).otherwise(F.array(*[F.lit(w) for w in FALLBACK_WEIGHTS])).alias("raw"),
+    )
+    total = F.aggregate("raw", F.lit(0.0), lambda acc, w: acc + w)
+    return used.withColumn("total", total).select(
+        "spec", *rest, "sizes", F.transform("raw", lambda w: w / F.col("total")).alias("weights")
+    )
+
+
+def psd_bins(specs: DataFrame) -> DataFrame:
+    """(spec, bin, diameter_nm, diameter_vox, weight), one row per size bin."""
+    bins = psd_lists(specs).select("spec", "voxel", F.posexplode(F.arrays_zip("sizes", "weights")).alias("bin", "b"))
+    return bins.select(
+        "spec", "bin", F.col("b.sizes").alias("diameter_nm"), nm_to_vox("b.sizes", "voxel").alias("diameter_vox"),
+        F.col("b.weights").alias("weight"),
     )
 
 
@@ -64,13 +70,11 @@ def solve_bin_porosities(weights: str | Column, target: str | Column, steps: int
     return F.transform(w, lambda each: scale * each)
 
 
-def bin_porosities(bins: DataFrame, targets: DataFrame) -> DataFrame:
-    """``psd_bins`` rows with the porosity each bin should get; ``targets`` is (spec, target)."""
-    grouped = bins.groupBy("spec").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("bin", "weight"))), lambda s: s["weight"]).alias("w")
-    )
-    solved = grouped.join(targets, "spec").select("spec", F.posexplode(solve_bin_porosities("w", "target")).alias("bin", "porosity"))
-    return solved
+def bin_porosities(specs: DataFrame) -> DataFrame:
+    """(spec, bin, porosity): the porosity each size bin should get so that all together reach the target."""
+    target = F.coalesce(setting("overall_porosity").cast("double"), F.lit(DEFAULT_SPEC["overall_porosity"]))
+    lists = psd_lists(specs, target.alias("target"))
+    return lists.select("spec", F.posexplode(solve_bin_porosities("weights", "target")).alias("bin", "porosity"))
 
 
 def lognormal_curve(

@@ -84,9 +84,13 @@ def rank_rows(
     weight: str | None = None,
     total: str | None = None,
     buckets: int = 128,
+    sample_of: DataFrame | None = None,
 ) -> DataFrame:
-    """Zero-based rank of any sortable columns without nulls. The sample only balances buckets, never changes a rank."""
-    bucket = bucket_of(order, split_points(df, order, buckets))
+    """Zero-based rank of any sortable columns without nulls.
+
+    A sample of ``sample_of`` (``df`` itself by default) balances the buckets; it never changes a rank.
+    """
+    bucket = bucket_of(order, split_points(df if sample_of is None else sample_of, order, buckets))
     return rank_in_buckets(df, keys, order, bucket, alias, weight, total)
 
 
@@ -131,8 +135,9 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: list[f
 
     Equal values are counted before the shuffle, so a value that fills a third of the table is one row.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = rank_rows(counted, keys, [value], "_first", weight="_n", total="_size")
+    known = df.where(F.col(value).isNotNull())
+    counted = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = rank_rows(counted, keys, [value], "_first", weight="_n", total="_size", sample_of=known)
 
     def at_rank(rank: Column) -> Column:
         return F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_first") + F.col("_n")), F.col(value)))

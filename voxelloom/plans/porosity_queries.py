@@ -347,12 +347,7 @@ rx AS (SELECT volume_id, z, x, sum(CASE WHEN v > l THEN 1 ELSE 0 END) AS bright,
 SELECT volume_id, z, 'y' AS axis, y AS line, bright::BIGINT AS bright FROM ry WHERE bright > len * 0.35
 UNION ALL SELECT volume_id, z, 'x', x, bright::BIGINT FROM rx WHERE bright > len * 0.35""")
 def content_rows_cols(spark, sf):
-    voxels = layouts.slices_to_voxels(testdata.slices(spark, sf))
-    parts = [
-        roi.content_lines(voxels, axis, 1.1, 0.35).select("volume_id", "z", F.lit(axis).alias("axis"), F.col(axis).alias("line"), "bright")
-        for axis in ("y", "x")
-    ]
-    return plain(parts[0].unionByName(parts[1]))
+    return plain(roi.content_lines(testdata.slices(spark, sf), 1.1, 0.35))
 
 
 @query(f"""WITH {DENSE}, smp AS (SELECT DISTINCT volume_id, h, w, unnest([0, n_slices // 2, n_slices - 1]) AS z FROM shape),
@@ -365,7 +360,7 @@ SELECT s.volume_id, n_slices::BIGINT AS n_slices, h::BIGINT AS h, coalesce(a, 1)
        coalesce(c, w - 4)::BIGINT AS x_max, coalesce(d, h - 3)::BIGINT AS y_max FROM shape s LEFT JOIN u ON u.volume_id = s.volume_id""")
 def overall_box(spark, sf):
     stack = testdata.slices(spark, sf)
-    boxes = roi.overall_box(layouts.slices_to_voxels(stack), layouts.manifest(stack), padding=2, top=2, bottom=3, left=1, right=4)
+    boxes = roi.overall_box(stack, layouts.manifest(stack), padding=2, top=2, bottom=3, left=1, right=4)
     return plain(boxes)
 
 

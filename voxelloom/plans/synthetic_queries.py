@@ -73,9 +73,7 @@ it AS (SELECT spec, phi, a, b, c, 0.0::DOUBLE AS lo, 0.999::DOUBLE AS hi, 0 AS k
    CASE WHEN 1 - (1 - (lo + hi) / 2 * a) * (1 - (lo + hi) / 2 * b) * (1 - (lo + hi) / 2 * c) < phi THEN hi ELSE (lo + hi) / 2 END, k + 1 FROM it WHERE k < 60)
 SELECT it.spec, n.bin::BIGINT AS bin, round(hi * w, 6) AS porosity FROM it JOIN norm n ON n.spec = it.spec WHERE k = 60""")
 def solve_bin_porosities(spark, sf):
-    specs = parsed(spark, sf)
-    targets = spec_source.typed_specs(specs).select("spec", F.col("overall_porosity").alias("target"))
-    return plain(synthetic.bin_porosities(synthetic.psd_bins(specs), targets))
+    return plain(synthetic.bin_porosities(parsed(spark, sf)))
 
 
 @query("""WITH s AS (SELECT p_brand, sum(p_retailprice) AS w, sum(p_retailprice * p_size) AS a, sum(p_retailprice * p_size * p_size) AS b FROM part GROUP BY 1)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.layouts import SLICE_COLUMNS, SLICE_SCHEMA
 from voxelloom.ordering import rank_rows
+from voxelloom.session import cut_lineage
 
 # The image suffixes the readers accept.
 IMAGE_SUFFIXES = ["png", "jpg", "jpeg", "tif", "tiff"]
@@ -94,13 +95,16 @@ def slice_index(files: DataFrame, name: str = "name", keys: tuple[str, ...] = ("
 
 
 def read_slice_folder(spark: SparkSession, path: str | list[str], gray: str = "luma") -> DataFrame:
-    """A folder (or glob of folders) of images as slices, z in file-name order. Empty input is an error."""
-    images = read_images(spark, path).withColumn("volume_id", folder_of())
-    if not images.select("path").head(1):
+    """A folder (or glob of folders) of images as slices, z in file-name order. Empty input is an error.
+
+    The pictures are decoded once into a checkpoint; the ranking then reads only its names.
+    """
+    pictures = read_images(spark, path).withColumn("volume_id", folder_of())
+    decoded = cut_lineage(gray_slices(pictures, F.col("volume_id"), F.lit(0), gray))
+    numbered = slice_index(decoded.select("volume_id", "name"))
+    if not numbered.head(1):
         raise FileNotFoundError(f"no images under {path}")
-    numbered = slice_index(images.select("volume_id", "path", "name"))
-    joined = images.join(numbered.select("path", "z"), "path")
-    return gray_slices(joined, F.col("volume_id"), F.col("z"), gray)
+    return decoded.drop("z").join(numbered, ["volume_id", "name"]).select(*SLICE_COLUMNS)
 
 
 def read_slice_tree(spark: SparkSession, root: str, gray: str = "luma") -> DataFrame:

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 REQUIRED_KEYS = ["nx", "ny", "nz", "overall_porosity"]
 DEFAULT_SPEC = {"nx": 512, "ny": 512, "nz": 256, "voxel_size_nm": 10.0, "overall_porosity": 0.5}
 
-# Python's str.strip also removes these; Spark's trim only removes blanks.
-EDGE_SPACE = r"^[\s\u00a0]+|[\s\u00a0]+$"
+# The characters counted as space at the ends of keys and values.
+EDGE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, EDGE_SPACE, "")
+    return F.btrim(text, F.lit(EDGE_SPACE))
 
 
 def read_spec_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:

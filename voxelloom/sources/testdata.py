@@ -133,23 +133,26 @@ def spec_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("spec"), F.concat_ws("\n", *lines).alias("text"))
 
 
+# The twelve outward triangles of a unit box, corners numbered 4*x + 2*y + z, counter-clockwise from outside.
+BOX_FACES = [
+    (0, 1, 3), (0, 3, 2), (4, 6, 7), (4, 7, 5), (0, 4, 5), (0, 5, 1),
+    (2, 3, 7), (2, 7, 6), (0, 2, 6), (0, 6, 4), (1, 5, 7), (1, 7, 3),
+]
+
+
 def box_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed meshes: every order is a mesh, every order line one axis-parallel box of 12 outward triangles."""
-    x0 = F.col("l_linenumber") * 100.0
-    a, b, c = F.col("l_quantity"), F.col("l_discount") * 100 + 1, F.col("l_tax") * 100 + 1
-    zero = F.lit(0.0)
-    corner = [F.struct((x0 + dx).alias("x"), dy.alias("y"), dz.alias("z")) for dx in (zero, a) for dy in (zero, b) for dz in (zero, c)]
-    # Corner numbers (4*x + 2*y + z) of the twelve faces, counter-clockwise seen from outside.
-    faces = [
-        (0, 1, 3), (0, 3, 2), (4, 6, 7), (4, 7, 5), (0, 4, 5), (0, 5, 1),
-        (2, 3, 7), (2, 7, 6), (0, 2, 6), (0, 6, 4), (1, 5, 7), (1, 7, 3),
+    """Closed meshes: every order is a mesh, every order line one axis-parallel box of 12 triangles."""
+    faces = F.array(*[F.struct(*[F.lit(corner).alias(p) for p, corner in zip("abc", face)]) for face in BOX_FACES])
+    low = {"x": F.col("l_linenumber") * 100.0, "y": F.lit(0.0), "z": F.lit(0.0)}
+    size = {"x": F.col("l_quantity"), "y": F.col("l_discount") * 100 + 1, "z": F.col("l_tax") * 100 + 1}
+    bit = {"x": 4, "y": 2, "z": 1}
+    flat = [
+        (low[d] + F.when(F.col(f"t.{p}").bitwiseAND(bit[d]) > 0, size[d]).otherwise(0.0)).alias(f"{p}{d}")
+        for p in "abc" for d in "xyz"
     ]
-    triangles = F.array(*[F.struct(corner[i].alias("a"), corner[j].alias("b"), corner[k].alias("c")) for i, j, k in faces])
-    flat = [F.col(f"t.{p}.{d}").alias(f"{p}{d}") for p in "abc" for d in "xyz"]
-    return (
-        table(spark, sf_dir, "lineitem")
-        .select(F.concat(F.lit("m"), F.col("l_orderkey").cast("string")).alias("mesh_id"), F.explode(triangles).alias("t"))
-        .select("mesh_id", *flat)
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    return lines.select("*", F.explode(faces).alias("t")).select(
+        F.concat(F.lit("m"), F.col("l_orderkey").cast("string")).alias("mesh_id"), *flat
     )
 
 
