@@ -132,13 +132,13 @@ def turned(volume, angle, binary):
     return (out > 0.5).astype(np.uint8) if binary else np.floor(out + 0.5).astype(np.uint8)
 
 
-@pytest.mark.parametrize("lines", [1, 4])
-def test_rotation_and_swaps(stack, volume_of, lines):
+@pytest.mark.parametrize("lines, tile", [(1, 1024), (4, 3), (4, 5)])
+def test_rotation_and_swaps(stack, volume_of, lines, tile):
     volume = RNG.integers(0, 256, (5, 6, 7)).astype(np.uint8)
     slices = stack({"a": volume})
-    plain = volume_of(rotation.rotate_plane(slices, 52, lines=lines), "a")
+    plain = volume_of(rotation.rotate_plane(slices, 52, lines=lines, tile=tile), "a")
     assert np.array_equal(plain, turned(volume, 52, False))
-    swapped = volume_of(rotation.rotate_plane(slices, 52, swap_after=True, lines=lines), "a")
+    swapped = volume_of(rotation.rotate_plane(slices, 52, swap_after=True, lines=lines, tile=tile), "a")
     assert np.array_equal(swapped, plain.transpose(2, 1, 0))
     mask = (volume > 99).astype(np.uint8)
     before = volume_of(rotation.rotate_plane(stack({"a": mask}), -52, binary=True, swap_before=True), "a")

@@ -1,35 +1,44 @@
 """Rotation of a stack in its (z, x) plane and the axis swap that goes with it.
 
-Every image line y turns on its own, so slices are cut into strips of a few lines (a byte substring,
-JVM side), strips of equal y meet in one group, and the turned lines are put together as slices again.
-The pixels cross the shuffle once in each direction.
+Every image line y turns on its own. Slices are cut into strips of a few lines (a byte substring, JVM
+side) and each strip goes to the square output tiles its turned line can touch. A group is one tile of
+one strip, so its size depends on the tile and the image width, never on the depth of the volume. The
+finished tile rows meet once more, one group per output slice.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STRIP_SCHEMA = "volume_id string, z int, strip int, h int, w int, data binary"
+from voxelloom.layouts import SLICE_COLUMNS, SLICE_SCHEMA, manifest
+from voxelloom.session import broadcast_if_small
+
+PART_SCHEMA = "volume_id string, z int, strip int, part int, h int, w int, data binary"
+
 
+def turned_size(n_z: int, n_x: int, angle: float) -> tuple[int, int]:
+    """Size of the plane that holds the whole turned input."""
+    c, s = abs(np.cos(np.deg2rad(angle))), abs(np.sin(np.deg2rad(angle)))
+    return int(c * n_z + s * n_x + 0.5), int(s * n_z + c * n_x + 0.5)
 
-def turned_geometry(n_z: int, n_x: int, angle: float) -> tuple[tuple[int, int], np.ndarray, np.ndarray]:
-    """Size of the grown output plane and the input position (z, x) of each of its pixels."""
+
+def turned_geometry(n_z: int, n_x: int, angle: float, rows=None, cols=None) -> tuple[tuple[int, int], np.ndarray, np.ndarray]:
+    """Output size and the input position (z, x) of the wanted output rows and columns (all by default)."""
+    out_z, out_x = turned_size(n_z, n_x, angle)
     c, s = np.cos(np.deg2rad(angle)), np.sin(np.deg2rad(angle))
-    span_z = abs(c) * n_z + abs(s) * n_x
-    span_x = abs(s) * n_z + abs(c) * n_x
-    out_z, out_x = int(span_z + 0.5), int(span_x + 0.5)
-    z = (np.arange(out_z) - (out_z - 1) / 2)[:, None]
-    x = (np.arange(out_x) - (out_x - 1) / 2)[None, :]
+    z = ((np.arange(out_z) if rows is None else rows) - (out_z - 1) / 2)[:, None]
+    x = ((np.arange(out_x) if cols is None else cols) - (out_x - 1) / 2)[None, :]
     return (out_z, out_x), c * z + s * x + (n_z - 1) / 2, -s * z + c * x + (n_x - 1) / 2
 
 
-def sample_plane(plane: np.ndarray, at_z: np.ndarray, at_x: np.ndarray) -> np.ndarray:
-    """Bilinear samples; 0 where the position lies outside the plane."""
+def sample_plane(plane: np.ndarray, at_z: np.ndarray, at_x: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Bilinear samples of a plane; 0 where ``inside`` is false."""
     n_z, n_x = plane.shape
-    inside = (at_z >= 0) & (at_z <= n_z - 1) & (at_x >= 0) & (at_x <= n_x - 1)
     z0 = np.clip(np.floor(at_z).astype(int), 0, max(n_z - 2, 0))
     x0 = np.clip(np.floor(at_x).astype(int), 0, max(n_x - 2, 0))
     z1, x1 = np.minimum(z0 + 1, n_z - 1), np.minimum(x0 + 1, n_x - 1)
@@ -40,57 +49,106 @@ def sample_plane(plane: np.ndarray, at_z: np.ndarray, at_x: np.ndarray) -> np.nd
     return np.where(inside, near * (1 - fz) + far * fz, 0.0)
 
 
+def turned_depth(volumes: DataFrame, angle: float, swap_before: bool = False, swap_after: bool = False) -> DataFrame:
+    """(volume_id, n_slices, w_max) of the rotated stacks, from the manifest of the input alone."""
+    out = _out_sizes(F.col("n_slices"), F.col("w_max"), angle, swap_before)
+    depth, width = (out[1], out[0]) if swap_after else out
+    return volumes.select("volume_id", depth.alias("n_slices"), width.alias("w_max"))
+
+
+def _out_sizes(n: Column, w: Column, angle: float, swap_before: bool) -> tuple[Column, Column]:
+    c, s = float(abs(np.cos(np.deg2rad(angle)))), float(abs(np.sin(np.deg2rad(angle))))
+    n_z, n_x = (w, n) if swap_before else (n, w)
+    return F.floor(n_z * c + n_x * s + 0.5).cast("int"), F.floor(n_z * s + n_x * c + 0.5).cast("int")
+
+
 def rotate_plane(
     slices: DataFrame, angle: float = 52, binary: bool = False, swap_before: bool = False, swap_after: bool = False,
-    lines: int = 4,
+    lines: int = 4, tile: int = 1024, volumes: DataFrame | None = None,
 ) -> DataFrame:
     """Rotate 8-bit stacks by ``angle`` degrees in (z, x), output grown to fit, outside 0.
 
     Bytes round to nearest; ``binary=True`` gives 1 above one half. ``swap_before`` / ``swap_after``
     exchange the z and x axes on the way in or out. Slices must be dense in z and of one size.
+    ``volumes`` (volume_id, n_slices) saves the count of the slices when it is known.
     """
+    c, s = float(np.cos(np.deg2rad(angle))), float(np.sin(np.deg2rad(angle)))
+    depth = (manifest(slices) if volumes is None else volumes).select("volume_id", F.col("n_slices").cast("int").alias("n"))
+    sized = slices.select("volume_id", "z", "h", "w", "data").join(broadcast_if_small(depth, 500_000), "volume_id")
+
+    # The two ends of a turned line, in output pixels, give the tiles it may touch.
+    out_z, out_x = _out_sizes(F.col("n"), F.col("w"), angle, swap_before)
+    fixed, run = F.col("z") - (F.col("n") - 1) / 2, (F.col("w") - 1) / 2
+    if swap_before:
+        ends = [(c * e - s * fixed, s * e + c * fixed) for e in (-run, run)]
+    else:
+        ends = [(c * fixed - s * e, s * fixed + c * e) for e in (-run, run)]
+
+    def tiles(axis: int, size: Column) -> Column:
+        a, b = (end[axis] + (size - 1) / 2 for end in ends)
+        first = F.greatest(F.lit(0), F.floor((F.least(a, b) - 2) / tile))
+        last = F.least(F.floor((size - 1) / tile), F.floor((F.greatest(a, b) + 2) / tile))
+        return F.when(first <= last, F.sequence(first.cast("int"), last.cast("int")))
+
+    span = F.lit(lines) * F.col("w")
+    cut = F.transform(
+        F.sequence(F.lit(0), F.ceil(F.col("h") / lines).cast("int") - 1),
+        lambda i: F.struct(i.alias("strip"), F.col("data").substr(i * span + 1, span).alias("data")),
+    )
+    strips = (
+        sized.withColumn("tz", F.explode(tiles(0, out_z)))
+        .withColumn("tx", F.explode(tiles(1, out_x)))
+        .select("volume_id", "z", "w", "n", "tz", "tx", F.explode(cut).alias("c"))
+        .select("volume_id", "z", "w", "n", "tz", "tx", "c.strip", "c.data")
+    )
 
     def turn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("z")
-        w = int(pdf["w"].iat[0])
-        strip = np.stack([np.frombuffer(data, np.uint8).reshape(-1, w) for data in pdf["data"]])
-        if swap_before:
-            strip = strip.transpose(2, 1, 0)
-        _, at_z, at_x = turned_geometry(strip.shape[0], strip.shape[2], angle)
+        w, n = int(pdf["w"].iat[0]), int(pdf["n"].iat[0])
+        first = int(pdf["z"].min())
+        images = [np.frombuffer(data, np.uint8).reshape(-1, w) for data in pdf["data"]]
+        block = np.zeros((int(pdf["z"].max()) - first + 1, *images[0].shape), np.uint8)
+        block[pdf["z"].to_numpy() - first] = images
+        n_z, n_x = (w, n) if swap_before else (n, w)
+        size = turned_size(n_z, n_x, angle)
+        rows, cols = (np.arange(t * tile, min(length, (t + 1) * tile)) for t, length in zip(key[2:4], size))
+        _, at_z, at_x = turned_geometry(n_z, n_x, angle, rows, cols)
+        inside = (at_z >= 0) & (at_z <= n_z - 1) & (at_x >= 0) & (at_x <= n_x - 1)
         planes = []
-        for y in range(strip.shape[1]):
-            sampled = sample_plane(strip[:, y, :], at_z, at_x)
+        for y in range(block.shape[1]):
+            if swap_before:
+                sampled = sample_plane(block[:, y, :].T, at_z, at_x - first, inside)
+            else:
+                sampled = sample_plane(block[:, y, :], at_z - first, at_x, inside)
             planes.append(sampled > 0.5 if binary else np.clip(np.floor(sampled + 0.5), 0, 255))
         turned = np.stack(planes, axis=1).astype(np.uint8)
+        numbers, part = rows, key[3]
         if swap_after:
-            turned = turned.transpose(2, 1, 0)
+            turned, numbers, part = turned.transpose(2, 1, 0), cols, key[2]
         return pd.DataFrame(
             {
-                "volume_id": key[0],
-                "z": np.arange(turned.shape[0], dtype=np.int32),
-                "strip": key[1],
-                "h": turned.shape[1],
-                "w": turned.shape[2],
-                "data": [np.ascontiguousarray(image).tobytes() for image in turned],
+                "volume_id": key[0], "z": numbers.astype(np.int32), "strip": key[1], "part": part, "h": turned.shape[1],
+                "w": turned.shape[2], "data": [np.ascontiguousarray(image).tobytes() for image in turned],
             }
         )
 
-    size = F.lit(lines) * F.col("w")
-    cut = F.transform(
-        F.sequence(F.lit(0), F.ceil(F.col("h") / lines).cast("int") - 1),
-        lambda s: F.struct(s.alias("strip"), F.col("data").substr(s * size + 1, size).alias("data")),
+    def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            packed = []
+            for h, w, parts in zip(batch["h"], batch["w"], batch["parts"]):
+                image = np.zeros((h, w), np.uint8)
+                for part in parts:
+                    y, x = part["strip"] * lines, part["part"] * tile
+                    image[y : y + part["h"], x : x + part["w"]] = np.frombuffer(part["data"], np.uint8).reshape(part["h"], part["w"])
+                packed.append(image.tobytes())
+            yield batch[SLICE_COLUMNS[:-1]].assign(data=packed)
+
+    turned = strips.groupBy("volume_id", "strip", "tz", "tx").applyInPandas(turn, PART_SCHEMA)
+    # One group is one output slice; its parts are placed by their own offsets, so their order is free.
+    whole = turned.groupBy("volume_id", "z").agg(
+        F.collect_list(F.struct("strip", "part", "h", "w", "data")).alias("parts"),
+        F.max(F.col("strip") * lines + F.col("h")).alias("h"), F.max(F.col("part") * tile + F.col("w")).alias("w"),
     )
-    strips = slices.select("volume_id", "z", "w", F.explode(cut).alias("c")).select("volume_id", "z", "w", "c.*")
-    turned = strips.groupBy("volume_id", "strip").applyInPandas(turn, STRIP_SCHEMA)
-    return join_strips(turned)
-
-
-def join_strips(strips: DataFrame) -> DataFrame:
-    """Strips of one slice back to one packed row; a group is one slice."""
-    parts = F.sort_array(F.collect_list(F.struct("strip", "data")))
-    return strips.groupBy("volume_id", "z").agg(
-        F.sum("h").cast("int").alias("h"), F.first("w").alias("w"),
-        F.aggregate(parts, F.lit(b""), lambda all_bytes, p: F.concat(all_bytes, p["data"])).alias("data"),
-    ).select(
-        "volume_id", "z", F.format_string("slice_%04d.png", "z").alias("name"), "h", "w", F.lit("uint8").alias("dtype"), "data"
+    named = whole.select(
+        "volume_id", "z", F.format_string("slice_%04d.png", "z").alias("name"), "h", "w", F.lit("uint8").alias("dtype"), "parts"
     )
+    return named.mapInPandas(assemble, SLICE_SCHEMA)

@@ -59,15 +59,15 @@ def solve_bin_porosities(weights: str | Column, target: str | Column, steps: int
         return 1.0 - F.aggregate(w, F.lit(1.0), lambda acc, each: acc * (1.0 - s * each))
 
     def narrow(state: Column, _: Column) -> Column:
-        mid = (state["lo"] + state["hi"]) * 0.5
-        short = union_at(mid) < goal
-        return F.struct(
-            F.when(short, mid).otherwise(state["lo"]).alias("lo"), F.when(short, state["hi"]).otherwise(mid).alias("hi")
-        )
-
-    start = F.struct(F.lit(0.0).alias("lo"), F.lit(0.999).alias("hi"))
-    scale = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, narrow, lambda state: state["hi"])
-    return F.transform(w, lambda each: scale * each)
+        half = state["width"] * 0.5
+        kept = F.when(union_at(state["lo"] + half) < goal, half).otherwise(0.0)
+        return F.struct((state["lo"] + kept).alias("lo"), half.alias("width"))
+
+    def shares(state: Column) -> Column:
+        return F.transform(w, lambda each: (state["lo"] + state["width"]) * each)
+
+    start = F.struct(F.lit(0.0).alias("lo"), F.lit(0.999).alias("width"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, narrow, shares)
 
 
 def bin_porosities(specs: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ def rank_rows(
     alias: str,
     weight: str | None = None,
     total: str | None = None,
-    buckets: int = 128,
+    buckets: int = 64,
     sample_of: DataFrame | None = None,
 ) -> DataFrame:
     """Zero-based rank of any sortable columns without nulls.

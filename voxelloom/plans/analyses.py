@@ -10,6 +10,7 @@ from voxelloom.functions import pixels
 from voxelloom.layouts import manifest, map_slices, slices_to_hist
 from voxelloom.operators import histograms, images, porosity, psd, rotation, slabs
 from voxelloom.operators.training import ref_slice
+from voxelloom.session import cut_lineage
 
 
 def analyze_porosity(slices: DataFrame, **rule) -> DataFrame:
@@ -63,14 +64,16 @@ def segment_volume(
     and closing, smoothing, turn back, optional window of slices. ``compat`` keeps byte arithmetic in the
     blur and lets the gradient wrap at 256.
     """
-    middle = ref_slice(manifest(slices))
+    volumes = cut_lineage(manifest(slices).select("volume_id", "n_slices", "w_max"))
+    middle = ref_slice(volumes)
     table = histograms.match_histogram(slices_to_hist(slices), middle)
     matched = histograms.apply_lookup(slices, table)
-    aligned = rotation.rotate_plane(matched, angle, swap_after=True)
+    aligned = rotation.rotate_plane(matched, angle, swap_after=True, volumes=volumes)
     solid = map_slices(aligned, lambda image: segment_slice(image, compat))
     cleaned = slabs.binary_close(slabs.binary_open(solid, radius, block), radius, block)
     smooth = slabs.smooth_rethreshold(cleaned, block=block)
-    restored = rotation.rotate_plane(smooth, -angle, binary=True, swap_before=True)
+    turned = rotation.turned_depth(volumes, angle, swap_after=True)
+    restored = rotation.rotate_plane(smooth, -angle, binary=True, swap_before=True, volumes=turned)
     if first is None:
         return restored
     kept = restored.where(F.col("z") >= first)
