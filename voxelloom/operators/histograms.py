@@ -34,18 +34,16 @@ def value_histogram(
     width = (F.col("_hi") - F.col("_lo")) / bins
     place = F.least(F.lit(bins - 1), F.floor((F.col(v) - F.col("_lo")) / width).cast("int"))
     counted = ranged.groupBy(*keys, "_lo", "_hi", place.alias("bin")).agg(F.sum(weight).alias("n"))
-    # Empty bins appear too: the grid has `bins` rows per key and is joined back by equality.
-    grid = counted.select(*keys, "_lo", "_hi").distinct().select(
-        *keys, "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
-    )
-    full = grid.join(counted.select(*keys, "bin", "n"), [*keys, "bin"], "left").na.fill(0, ["n"])
-    if not density:
-        return full.select(*keys, "bin", (F.col("_lo") + (F.col("bin") + 0.5) * width).alias("center"), "n")
-    totals = counted.groupBy(*keys).agg(F.sum("n").alias("_all"))
-    return full.join(totals, keys).select(
-        *keys, "bin", (F.col("_lo") + (F.col("bin") + 0.5) * width).alias("center"), "n",
-        (F.col("n") / (F.col("_all") * width)).alias("p"),
+    # One row per key with at most `bins` entries; empty bins appear when it is spread out again.
+    packed = counted.groupBy(*keys, "_lo", "_hi").agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_counts"), F.sum("n").alias("_all")
     )
+    spread = packed.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    full = spread.withColumn("n", F.coalesce(F.element_at("_counts", F.col("bin")), F.lit(0)))
+    columns = [*keys, "bin", (F.col("_lo") + (F.col("bin") + 0.5) * width).alias("center"), "n"]
+    if density:
+        columns.append((F.col("n") / (F.col("_all") * width)).alias("p"))
+    return full.select(*columns)
 
 
 def edge_histogram(values: DataFrame, keys: list[str], v: str, edges: list[float]) -> DataFrame:
@@ -105,7 +103,7 @@ def binarize_volume(
     hist: DataFrame, keys: list[str] = ["volume_id"], use_otsu: bool = True, manual_threshold: float | None = None,
     pore_is_dark: bool = True,
 ) -> DataFrame:
-    """Add ``solid`` to a histogram: normalised value against a manual, Otsu or 0.5 threshold."""
+    """Add ``solid`` to a (stored) histogram: normalised value against a manual, Otsu or 0.5 threshold."""
     unit = unit_volume(hist, keys)
     if manual_threshold is not None or not use_otsu:
         limit = 0.5 if manual_threshold is None else float(manual_threshold)
@@ -146,11 +144,12 @@ def match_histogram(hist: DataFrame, reference: DataFrame) -> DataFrame:
 
     ``reference`` names one slice per volume (volume_id, z). Both cumulative shares are laid on one axis;
     the reference points before and after each share give the linear interpolation, cut at both ends.
-    A window partition holds one slice: at most 512 rows.
+    A window partition holds one slice: at most 512 rows. ``hist`` is read for source and reference, so
+    hand in a stored one where it comes straight from pixels.
     """
     shares = cdf(hist).select("volume_id", "z", "v", "q")
     target = shares.join(reference, SLICE).select("volume_id", F.col("q").alias("rq"), F.col("v").alias("rv"))
-    every_slice = hist.select(*SLICE).distinct()
+    every_slice = shares.where("q = 1").select(*SLICE)
     points = every_slice.join(target, "volume_id").select(
         *SLICE, F.col("rq").alias("q"), F.lit(None).cast("int").alias("v"), F.struct("rq", "rv").alias("ref")
     )

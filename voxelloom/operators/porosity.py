@@ -89,6 +89,17 @@ def slice_porosity_stats(marked: DataFrame, axis: str = "z", percent: bool = Tru
     return spread(slice_porosity(marked, axis, percent))
 
 
+def volume_stats(marked: DataFrame, percent: bool = True) -> DataFrame:
+    """Volume porosity and its spread over slices, from one aggregation of the input."""
+    scale = 100.0 if percent else 1.0
+    p = share(F.col("pores"), F.col("total")) * scale
+    return pore_counts(marked).groupBy("volume_id").agg(
+        (share(F.sum("pores"), F.sum("total")) * scale).alias("porosity"), F.min(p).alias("min_porosity"),
+        F.max(p).alias("max_porosity"), F.avg(p).alias("mean_porosity"), F.stddev_pop(p).alias("std_porosity"),
+        F.count(p).alias("n_slices"),
+    )
+
+
 def volume_and_slice_report(marked: DataFrame) -> DataFrame:
     """Volume rows (z null) and slice rows in one job.
 
@@ -196,19 +207,20 @@ def porosity_profile(region_marked: DataFrame) -> DataFrame:
 
 
 def region_porosity(region_marked: DataFrame) -> DataFrame:
-    """Region porosity per volume with its spread over slices; zeros where a volume has no region pixel."""
-    profile = porosity_profile(region_marked)
-    totals = profile.groupBy("volume_id").agg(
-        (share(F.sum("pore_voxels"), F.sum("region_voxels")) * 100).alias("porosity"),
-        F.min("porosity").alias("min_porosity"),
-        F.max("porosity").alias("max_porosity"),
-        F.avg("porosity").alias("mean_porosity"),
-        F.stddev_pop("porosity").alias("std_porosity"),
-        F.sum("region_voxels").alias("highlighted_voxels"),
-        F.sum("pore_voxels").alias("pore_voxels"),
+    """Region porosity per volume with its spread over slices; zeros where a volume has no region pixel.
+
+    Slices without region pixels keep their volume in the result but not in the spread.
+    """
+    inside = F.when(F.col("region"), F.col("n")).otherwise(0)
+    per_slice = region_marked.groupBy("volume_id", "z").agg(
+        F.sum(F.when(F.col("pore"), inside).otherwise(0)).alias("pores"), F.sum(inside).alias("total")
     )
-    volumes = region_marked.groupBy("volume_id").agg(F.lit(1).alias("_present"))
-    return volumes.drop("_present").join(totals, "volume_id", "left").na.fill(0)
+    p = share(F.col("pores"), F.col("total")) * 100
+    return per_slice.groupBy("volume_id").agg(
+        (share(F.sum("pores"), F.sum("total")) * 100).alias("porosity"), F.min(p).alias("min_porosity"),
+        F.max(p).alias("max_porosity"), F.avg(p).alias("mean_porosity"), F.stddev_pop(p).alias("std_porosity"),
+        F.sum("total").alias("highlighted_voxels"), F.sum("pores").alias("pore_voxels"),
+    ).na.fill(0)
 
 
 def side_by_side(left_hist: DataFrame, right_hist: DataFrame) -> DataFrame:

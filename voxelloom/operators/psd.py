@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from voxelloom.operators.histograms import value_histogram
 from voxelloom.operators.images import float_hist
 from voxelloom.ordering import exact_percentiles
+from voxelloom.session import cut_lineage
 
 IMAGE = ["volume_id", "z"]
 
 
 def pore_size_distribution(maps: DataFrame, bins: int = 8, voxel_size: float = 10.0) -> DataFrame:
-    """Density histogram of the positive diameters of every image (thickness or 2 * distance maps)."""
-    sizes = float_hist(maps).where("v > 0").withColumn("v", F.col("v") * F.lit(float(voxel_size)))
+    """Density histogram of the positive diameters of every image (thickness or 2 * distance maps).
+
+    The maps are costly and their range is needed first, so the counts of their distinct values are stored.
+    """
+    counts = cut_lineage(float_hist(maps))
+    sizes = counts.where("v > 0").withColumn("v", F.col("v") * F.lit(float(voxel_size)))
     return value_histogram(sizes, IMAGE, "v", bins, density=True, n="n")
 
 

@@ -13,21 +13,29 @@ from voxelloom.operators.training import ref_slice
 from voxelloom.session import cut_lineage
 
 
-def analyze_porosity(slices: DataFrame, **rule) -> DataFrame:
-    """Porosity of every volume with the spread over its slices, from packed slices in one pass."""
-    marked = porosity.pore_mask(slices_to_hist(slices), **rule)
-    return porosity.volume_porosity(marked).join(porosity.slice_porosity_stats(marked), "volume_id")
+def analyze_porosity(slices: DataFrame, encoding: str = "auto", percent: bool = True, **rule) -> DataFrame:
+    """Porosity of every volume with the spread over its slices; the pixels are read once.
+
+    With ``auto`` the largest value of a volume decides first, so the (small) histogram is stored.
+    """
+    hist = slices_to_hist(slices)
+    if encoding == "auto":
+        hist = cut_lineage(hist)
+    return porosity.volume_stats(porosity.pore_mask(hist, encoding=encoding, **rule), percent)
 
 
 def analyze_region_porosity(slices: DataFrame, masks: DataFrame, pore_is_white: bool = True, factor: float = 0.8) -> DataFrame:
-    """Porosity inside a region mask (mask slices: non-zero is inside)."""
-    joint = porosity.joint_hist_of_slices(slices, masks, 0)
+    """Porosity inside a region mask (mask slices: non-zero is inside).
+
+    The threshold needs the volume mean first; the joint counts are stored so that stack and mask meet once.
+    """
+    joint = cut_lineage(porosity.joint_hist_of_slices(slices, masks, 0))
     return porosity.region_porosity(porosity.region_pore_mask(joint, pore_is_white, factor))
 
 
 def preprocess_image(slices: DataFrame, min_size: int = 10, hole: int = 10) -> DataFrame:
     """Pore masks: darker than each slice's Otsu threshold, small objects and holes removed."""
-    pores = histograms.otsu_pores(slices, slices_to_hist(slices))
+    pores = histograms.otsu_pores(slices, cut_lineage(slices_to_hist(slices)))
 
     def clean(image: np.ndarray) -> np.ndarray:
         kept = images.drop_small(image != 0, min_size)
@@ -66,7 +74,7 @@ def segment_volume(
     """
     volumes = cut_lineage(manifest(slices).select("volume_id", "n_slices", "w_max"))
     middle = ref_slice(volumes)
-    table = histograms.match_histogram(slices_to_hist(slices), middle)
+    table = histograms.match_histogram(cut_lineage(slices_to_hist(slices)), middle)
     matched = histograms.apply_lookup(slices, table)
     aligned = rotation.rotate_plane(matched, angle, swap_after=True, volumes=volumes)
     solid = map_slices(aligned, lambda image: segment_slice(image, compat))

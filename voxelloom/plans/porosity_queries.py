@@ -209,8 +209,7 @@ SELECT volume_id, round(porosity, 6) AS overall_porosity, round(avg(p), 6) AS me
        round(min(p), 6) AS min_slice_porosity, round(max(p), 6) AS max_slice_porosity, count(*)::BIGINT AS nslices
 FROM per JOIN vol USING (volume_id) GROUP BY volume_id, porosity""")
 def realized_stats(spark, sf):
-    marked = text_pores(spark, sf)
-    stats = porosity.volume_porosity(marked, percent=False).join(porosity.slice_porosity_stats(marked, percent=False), "volume_id")
+    stats = analyses.analyze_porosity(testdata.text_slices(spark, sf), encoding="u8", threshold=96, percent=False)
     return plain(synthetic.realized_stats(stats))
 
 
