@@ -78,17 +78,21 @@ def rotate_plane(
 
     # The two ends of a turned line, in output pixels, give the tiles it may touch.
     out_z, out_x = _out_sizes(F.col("n"), F.col("w"), angle, swap_before)
-    fixed, run = F.col("z") - (F.col("n") - 1) / 2, (F.col("w") - 1) / 2
+    fixed, run = F.col("fixed"), F.col("run")
     if swap_before:
-        ends = [(c * e - s * fixed, s * e + c * fixed) for e in (-run, run)]
+        middle, reach = (-s * fixed, c * fixed), (c * run, s * run)
     else:
-        ends = [(c * fixed - s * e, s * fixed + c * e) for e in (-run, run)]
+        middle, reach = (c * fixed, s * fixed), (-s * run, c * run)
+    placed = (
+        sized.withColumns({"out_z": out_z, "out_x": out_x, "fixed": F.col("z") - (F.col("n") - 1) / 2, "run": (F.col("w") - 1) / 2})
+        .withColumns({"mid_z": middle[0] + (F.col("out_z") - 1) / 2, "mid_x": middle[1] + (F.col("out_x") - 1) / 2})
+        .withColumns({"reach_z": F.abs(reach[0]) + 2, "reach_x": F.abs(reach[1]) + 2})
+    )
 
-    def tiles(axis: int, size: Column) -> Column:
-        a, b = (end[axis] + (size - 1) / 2 for end in ends)
-        first = F.greatest(F.lit(0), F.floor((F.least(a, b) - 2) / tile))
-        last = F.least(F.floor((size - 1) / tile), F.floor((F.greatest(a, b) + 2) / tile))
-        return F.when(first <= last, F.sequence(first.cast("int"), last.cast("int")))
+    def tiles(axis: str) -> Column:
+        first = F.greatest(F.lit(0), F.floor((F.col(f"mid_{axis}") - F.col(f"reach_{axis}")) / tile))
+        last = F.least(F.floor((F.col(f"out_{axis}") - 1) / tile), F.floor((F.col(f"mid_{axis}") + F.col(f"reach_{axis}")) / tile))
+        return F.sequence(first.cast("int"), F.greatest(first, last).cast("int"))
 
     span = F.lit(lines) * F.col("w")
     cut = F.transform(
@@ -96,8 +100,8 @@ def rotate_plane(
         lambda i: F.struct(i.alias("strip"), F.col("data").substr(i * span + 1, span).alias("data")),
     )
     strips = (
-        sized.withColumn("tz", F.explode(tiles(0, out_z)))
-        .withColumn("tx", F.explode(tiles(1, out_x)))
+        placed.withColumn("tz", F.explode(tiles("z")))
+        .withColumn("tx", F.explode(tiles("x")))
         .select("volume_id", "z", "w", "n", "tz", "tx", F.explode(cut).alias("c"))
         .select("volume_id", "z", "w", "n", "tz", "tx", "c.strip", "c.data")
     )
