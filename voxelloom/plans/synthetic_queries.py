@@ -201,7 +201,7 @@ def lighting_join(spark, sf):
     radius = F.col("p_size") / 100.0 + 2.0
     lighting = part.select(
         radius.alias("radius"), (radius * 1.4).alias("height"), (F.col("p_size") + 40.0).alias("theta"), F.lit(300.0).alias("light_intensity"),
-        F.concat(F.lit("C:/data/synthetic_pfibs/synthetic_"), F.col("p_partkey").cast("string"), F.lit("/volume.obj")).alias("obj_path"),
+        F.concat(F.lit("C:/data/stacks/synthetic_"), F.col("p_partkey").cast("string"), F.lit("/volume.obj")).alias("obj_path"),
     )
     results = part.select(F.concat(F.lit("synthetic_"), F.col("p_partkey").cast("string")).alias("id"), "p_brand")
     return plain(tables.lighting_join(lighting, results))
