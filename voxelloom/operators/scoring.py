@@ -61,56 +61,75 @@ def iou_class1(sums: DataFrame, per_batch: bool = True) -> DataFrame:
     return _batches(sums, ratio) if per_batch else sums.agg(ratio.alias("value"))
 
 
-def soft_dice_loss(sums: DataFrame) -> DataFrame:
-    """Mean over slices of one minus the average soft Dice of both classes, per batch."""
+def dice_metric() -> Column:
+    """Mean over slices of one minus the average soft Dice of both classes."""
     fg = (2 * F.col("tp") + EPS) / (F.col("sum_p") + F.col("sum_t") + EPS)
     true_neg = F.col("n") - F.col("sum_p") - F.col("fn")
     bg = (2 * true_neg + EPS) / (2 * F.col("n") - F.col("sum_p") - F.col("sum_t") + EPS)
-    return _batches(sums, F.lit(1.0) - F.avg((fg + bg) / 2))
+    return F.lit(1.0) - F.avg((fg + bg) / 2)
 
 
 def tversky_index(alpha: float, beta: float) -> Column:
     return (F.col("tp") + EPS) / (F.col("tp") + F.col("fp") * alpha + F.col("fn") * beta + EPS)
 
 
+def cross_entropy_metric(w0: float, w1: float) -> Column:
+    loss = F.sum("ce0") * w0 + F.sum("ce1") * w1
+    return loss / (F.sum(F.col("n") - F.col("sum_t")) * w0 + F.sum("sum_t") * w1)
+
+
+def loss_metric(kind: str, dice_weight: float = 0.5, w0: float = 1.0, w1: float = 1.0, alpha: float = 0.3, beta: float = 0.7, gamma: float = 1.5) -> Column:
+    """Aggregate expression of one of ce, cedice, focal, focaldice, tversky, focaltversky."""
+    miss = F.lit(1.0) - tversky_index(alpha, beta)
+    single = {
+        "ce": cross_entropy_metric(w0, w1),
+        "focal": F.sum("focal") / F.sum("n"),
+        "tversky": F.avg(miss),
+        "focaltversky": F.avg(F.pow(miss, F.lit(gamma))),
+        "dice": dice_metric(),
+    }
+    if kind in single:
+        return single[kind]
+    if kind not in ("cedice", "focaldice"):
+        raise ValueError(f"unknown loss {kind!r}")
+    return single[kind.removesuffix("dice")] * (1 - dice_weight) + single["dice"] * dice_weight
+
+
+def soft_dice_loss(sums: DataFrame) -> DataFrame:
+    """Symmetric soft Dice loss per batch."""
+    return _batches(sums, loss_metric("dice"))
+
+
 def tversky_loss(sums: DataFrame, alpha: float = 0.3, beta: float = 0.7) -> DataFrame:
     """One minus the mean Tversky index; alpha weighs false positives, beta false negatives."""
-    return _batches(sums, F.lit(1.0) - F.avg(tversky_index(alpha, beta)))
+    return _batches(sums, loss_metric("tversky", alpha=alpha, beta=beta))
 
 
 def focal_tversky_loss(sums: DataFrame, alpha: float = 0.3, beta: float = 0.7, gamma: float = 1.5) -> DataFrame:
     """Mean of (1 - Tversky) to the power gamma."""
-    return _batches(sums, F.avg(F.pow(F.lit(1.0) - tversky_index(alpha, beta), F.lit(gamma))))
+    return _batches(sums, loss_metric("focaltversky", alpha=alpha, beta=beta, gamma=gamma))
 
 
 def focal_loss(sums: DataFrame) -> DataFrame:
     """Mean focal term per pixel (gamma and alpha are those given to ``slice_sums``)."""
-    return _batches(sums, F.sum("focal") / F.sum("n"))
+    return _batches(sums, loss_metric("focal"))
 
 
 def cross_entropy(sums: DataFrame, w0: float = 1.0, w1: float = 1.0) -> DataFrame:
     """Class-weighted mean of -ln p(truth)."""
-    loss = F.sum("ce0") * w0 + F.sum("ce1") * w1
-    weight = F.sum(F.col("n") - F.col("sum_t")) * w0 + F.sum("sum_t") * w1
-    return _batches(sums, loss / weight)
+    return _batches(sums, loss_metric("ce", w0=w0, w1=w1))
 
 
 def combined_loss(sums: DataFrame, kind: str, dice_weight: float = 0.5, w0: float = 1.0, w1: float = 1.0) -> DataFrame:
-    """One of ce, cedice, focal, focaldice, tversky, focaltversky, per batch."""
-    single = {
-        "ce": lambda: cross_entropy(sums, w0, w1),
-        "focal": lambda: focal_loss(sums),
-        "tversky": lambda: tversky_loss(sums),
-        "focaltversky": lambda: focal_tversky_loss(sums),
-    }
-    if kind in single:
-        return single[kind]()
-    if kind not in ("cedice", "focaldice"):
-        raise ValueError(f"unknown loss {kind!r}")
-    base = single[kind.removesuffix("dice")]()
-    dice = soft_dice_loss(sums).select("batch", F.col("value").alias("dice"))
-    mixed = F.col("value") * (1 - dice_weight) + F.col("dice") * dice_weight
-    return base.join(dice, "batch").select("batch", mixed.alias("value"), "n_slices")
+    """One of the training losses per batch."""
+    return _batches(sums, loss_metric(kind, dice_weight, w0, w1))
+
+
+def all_losses(sums: DataFrame, kinds: list[str]) -> DataFrame:
+    """(batch, kind, value, n_slices): several losses from one aggregation."""
+    wide = sums.groupBy("batch").agg(F.count(F.lit(1)).alias("n_slices"), *[loss_metric(k).alias(k) for k in kinds])
+    entries = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in kinds])
+    return wide.select("batch", "n_slices", F.explode(entries).alias("e")).select("batch", "e.kind", "e.value", "n_slices")
 
 
 def epoch_train_loss(per_batch: DataFrame) -> DataFrame:

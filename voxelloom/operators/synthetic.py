@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.functions.pixels import linspace, lognormal_params, lognormal_pdf, nm_to_vox
+from voxelloom.layouts import SLICE_COLUMNS, SLICE_SCHEMA
 from voxelloom.sources.specs import DEFAULT_SPEC, float_list, setting
 
 # Fallback bins of a spec without a usable list.
@@ -141,11 +146,22 @@ def best_candidate(candidates: DataFrame) -> DataFrame:
 
 
 def union_voids(layers: list[DataFrame]) -> DataFrame:
-    """Void (0) wherever any layer is void; map-side combined minimum per voxel."""
+    """Void (0) wherever any layer of packed slices is void: the smallest value of each pixel.
+
+    A group holds one slice of every layer, one byte per pixel.
+    """
+
+    def smallest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            merged = [np.minimum.reduce([np.frombuffer(d, np.uint8) for d in parts]).tobytes() for parts in batch["layers"]]
+            yield batch[SLICE_COLUMNS[:-1]].assign(data=merged)
+
     stacked = layers[0]
     for layer in layers[1:]:
         stacked = stacked.unionByName(layer)
-    return stacked.groupBy("volume_id", "z", "y", "x").agg(F.min("v").alias("v"))
+    same = [F.first(name).alias(name) for name in ("name", "h", "w", "dtype")]
+    grouped = stacked.groupBy("volume_id", "z").agg(*same, F.collect_list("data").alias("layers"))
+    return grouped.mapInPandas(smallest, SLICE_SCHEMA)
 
 
 def spec_vs_realized(targets: DataFrame, realized: DataFrame) -> DataFrame:

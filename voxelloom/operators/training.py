@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.functions.pixels import experiment_name
 from voxelloom.ordering import rank_by_hash, rank_rows, running_max_before
+from voxelloom.session import cut_lineage
 from voxelloom.sources.specs import float_list, strip
 
 # The first score to beat, per selection rule.
@@ -78,9 +79,10 @@ def text_list(text: str) -> Column:
 def training_summary(best: DataFrame, settings: DataFrame, score: str = "best_val_pixAcc") -> DataFrame:
     """Settings and best metrics per run, with the run's place among all runs.
 
-    The place is one plus the number of runs with a strictly better score, from a bucketed rank.
+    The place is one plus the number of runs with a strictly better score, from a bucketed rank. The
+    joined table, one row per run, is stored because the rank reads it again.
     """
-    joined = settings.join(best, "run")
+    joined = cut_lineage(settings.join(best, "run"))
     counted = joined.groupBy(score).agg(F.count(F.lit(1)).alias("_n"), (-F.max(score)).alias("_down"))
     places = rank_rows(counted, [], ["_down"], "_before", weight="_n")
     return joined.join(places.select(score, "_before"), score).withColumn("place", F.col("_before") + 1).drop("_before")

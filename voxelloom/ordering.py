@@ -90,8 +90,15 @@ def rank_rows(
 
     A sample of ``sample_of`` (``df`` itself by default) balances the buckets; it never changes a rank.
     """
-    bucket = bucket_of(order, split_points(df if sample_of is None else sample_of, order, buckets))
-    return rank_in_buckets(df, keys, order, bucket, alias, weight, total)
+    points = split_points(df if sample_of is None else sample_of, order, buckets)
+    if points:
+        return rank_in_buckets(df, keys, order, bucket_of(order, points), alias, weight, total)
+    # No more rows than buckets: one window is enough.
+    amount = F.col(weight) if weight else F.lit(1)
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = df.withColumn(alias, F.coalesce(F.sum(amount).over(before), F.lit(0)))
+    return ranked.withColumn(total, F.sum(amount).over(whole)) if total else ranked
 
 
 def rank_by_hash(

@@ -8,6 +8,7 @@ from voxelloom import layouts
 from voxelloom.operators import histograms, images, porosity, roi, synthetic, training
 from voxelloom.plans import analyses
 from voxelloom.plans.registry import DENSE, TEXT_HIST, VOX, plain, query
+from voxelloom.session import cut_lineage
 from voxelloom.sources import testdata
 
 
@@ -166,6 +167,14 @@ def stack_mask_join(spark, sf):
     return plain(joined.select("volume_id", "z", "y", "x", (first & second).alias("both_set"), (first & ~second).alias("only_first")))
 
 
+@query(f"""WITH {DENSE} SELECT a.volume_id, a.z, a.y, a.x, (CASE WHEN a.v > 127 AND b.v > 100 THEN 1 ELSE 0 END)::BIGINT AS v FROM dense a
+JOIN (SELECT volume_id, z, y - 2 AS y, x - 4 AS x, v FROM dense WHERE z < 6 AND y >= 2 AND x >= 4) b USING (volume_id, z, y, x)""")
+def combine_packed_stacks(spark, sf):
+    stack = testdata.slices(spark, sf)
+    smaller = images.crop(stack.where("z < 6"), 2, 16, 4, 64)
+    return plain(layouts.slices_to_voxels(layouts.zip_slices(stack, smaller, lambda a, b: (a > 127) & (b > 100))))
+
+
 @query(f"""WITH {VOX}, a AS (SELECT volume_id, z, y, x FROM vox WHERE v > 127), b AS (SELECT volume_id, z, y, x FROM vox WHERE v < 150)
 SELECT volume_id, z, y, x, 'both' AS part FROM (SELECT * FROM a INTERSECT SELECT * FROM b)
 UNION ALL SELECT volume_id, z, y, x, 'outside' FROM (SELECT volume_id, z, y, x FROM vox EXCEPT SELECT * FROM a)""")
@@ -247,7 +256,7 @@ OTSU_VOLUME = OTSU_SQL.format(key="volume_id", gkey="g.volume_id")
 @query(f"""WITH {VOX}, unit AS (SELECT volume_id, v / (max(v) OVER (PARTITION BY volume_id))::DOUBLE AS u, 1.0::DOUBLE AS n FROM vox), {OTSU_VOLUME}
 SELECT volume_id, round(threshold, 6) AS threshold FROM otsu""")
 def otsu_threshold(spark, sf):
-    hist = layouts.voxels_to_hist(testdata.voxels(spark, sf))
+    hist = cut_lineage(layouts.voxels_to_hist(testdata.voxels(spark, sf)))
     return plain(histograms.otsu_threshold(histograms.unit_volume(hist), ["volume_id"]))
 
 
@@ -255,7 +264,7 @@ def otsu_threshold(spark, sf):
 SELECT volume_id, z, sum(CASE WHEN u >= threshold THEN 1 ELSE 0 END)::BIGINT AS solid, count(*)::BIGINT AS total
 FROM unit JOIN otsu USING (volume_id) GROUP BY 1, 2""")
 def binarize_volume(spark, sf):
-    marked = histograms.binarize_volume(layouts.voxels_to_hist(testdata.voxels(spark, sf)))
+    marked = histograms.binarize_volume(cut_lineage(layouts.voxels_to_hist(testdata.voxels(spark, sf))))
     solid = F.sum(F.when(F.col("solid"), F.col("n")).otherwise(0)).alias("solid")
     return plain(marked.groupBy("volume_id", "z").agg(solid, F.sum("n").alias("total")))
 
@@ -277,13 +286,13 @@ lut AS (SELECT c.volume_id, c.z, c.v, trunc(CASE WHEN c.q <= r.q OR r.q1 IS NULL
 @query(f"WITH {DENSE}, {MATCH_SQL} SELECT volume_id, z, v, matched FROM lut")
 def match_histogram(spark, sf):
     stack = testdata.slices(spark, sf)
-    return plain(histograms.match_histogram(layouts.slices_to_hist(stack), training.ref_slice(layouts.manifest(stack))))
+    return plain(histograms.match_histogram(cut_lineage(layouts.slices_to_hist(stack)), training.ref_slice(layouts.manifest(stack))))
 
 
 @query(f"WITH {DENSE}, {MATCH_SQL} SELECT volume_id, z, y, x, matched AS v FROM dense JOIN lut USING (volume_id, z, v)")
 def apply_matched_histogram(spark, sf):
     stack = testdata.slices(spark, sf)
-    lookup = histograms.match_histogram(layouts.slices_to_hist(stack), training.ref_slice(layouts.manifest(stack)))
+    lookup = histograms.match_histogram(cut_lineage(layouts.slices_to_hist(stack)), training.ref_slice(layouts.manifest(stack)))
     return plain(layouts.slices_to_voxels(histograms.apply_lookup(stack, lookup)))
 
 

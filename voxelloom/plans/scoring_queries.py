@@ -87,18 +87,13 @@ SELECT batch, kind, round(CASE kind WHEN 'ce' THEN ce WHEN 'cedice' THEN (ce + d
   WHEN 'tversky' THEN tv ELSE ftv END, 6) AS value, n::BIGINT AS n_slices
 FROM b, (SELECT unnest(['ce', 'cedice', 'focal', 'focaldice', 'tversky', 'focaltversky']) AS kind)""")
 def combined_loss(spark, sf):
-    base = sums(spark, sf)
-    kinds = ["ce", "cedice", "focal", "focaldice", "tversky", "focaltversky"]
-    parts = [scoring.combined_loss(base, kind).withColumn("kind", F.lit(kind)) for kind in kinds]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return plain(result)
+    return plain(scoring.all_losses(sums(spark, sf), ["ce", "cedice", "focal", "focaldice", "tversky", "focaltversky"]))
 
 
-@query(f"WITH {PIXELS}, b AS (SELECT {DICE} AS v FROM sums GROUP BY batch) SELECT round(avg(v), 6) AS train_loss FROM b")
+@query(f"""WITH {PIXELS}, px AS (SELECT batch, avg({CE_PIXEL}) AS ce FROM pix GROUP BY 1), sl AS (SELECT batch, {DICE} AS dice FROM sums GROUP BY 1)
+SELECT round(avg((ce + dice) / 2), 6) AS train_loss FROM px JOIN sl USING (batch)""")
 def epoch_train_loss(spark, sf):
-    return plain(scoring.epoch_train_loss(scoring.combined_loss(sums(spark, sf), "cedice").join(scoring.soft_dice_loss(sums(spark, sf)).select("batch", F.col("value").alias("v")), "batch").select("batch", F.col("v").alias("value"))))
+    return plain(scoring.epoch_train_loss(scoring.combined_loss(sums(spark, sf), "cedice")))
 
 
 @query(f"""WITH {VOX}, f AS (SELECT avg(CASE WHEN v > 150 THEN 1.0::DOUBLE ELSE 0 END) AS f1 FROM vox), w AS (SELECT 1 / greatest(1e-6, 1 - f1) AS a, 1 / greatest(1e-6, f1) AS b FROM f)

@@ -124,9 +124,9 @@ def adjust_porosity(spark, sf):
 @query(f"""WITH {DENSE}, l AS (SELECT * FROM dense UNION ALL SELECT volume_id, z, y, 63 - x, 255 - v FROM dense WHERE z < 4)
 SELECT volume_id, z, y, x, min(v)::BIGINT AS v FROM l GROUP BY 1, 2, 3, 4""")
 def union_voids(spark, sf):
-    first = layouts.slices_to_voxels(testdata.slices(spark, sf))
-    second = images.flip_voxels(first.where("z < 4"), "x", 64).withColumn("v", 255 - F.col("v"))
-    return plain(synthetic.union_voids([first, second]))
+    first = testdata.slices(spark, sf)
+    second = layouts.map_slices(images.flip(first.where("z < 4"), horizontal=True), lambda image: 255 - image)
+    return plain(layouts.slices_to_voxels(synthetic.union_voids([first, second])))
 
 
 # Components, distances, sizes ---------------------------------------------------------------------
