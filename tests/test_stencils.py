@@ -118,6 +118,24 @@ def test_erosion_is_inside_and_opening_repeats(seed):
     assert np.array_equal(slabs.spread_cross(slabs.shrink_cross(opened)), opened)
 
 
+def test_adjusting_moves_each_volume_to_its_target(spark, stack, volume_of):
+    volume = (RNG.random((6, 7, 8)) > 0.6).astype(np.uint8)
+    near = float(volume.mean())
+    targets = spark.createDataFrame([("up", 0.9), ("down", 0.01), ("stay", near + 0.001)], "volume_id string, target double")
+    moved = slabs.adjust_porosity(stack({"up": volume, "down": volume, "stay": volume}), targets, rounds=3, block=2)
+    grown = volume.astype(bool)
+    for _ in range(3):
+        share = grown.mean()
+        grown = grown if abs(share - 0.9) < 0.002 else slabs.spread_cross(grown) if share < 0.9 else slabs.shrink_cross(grown)
+    assert np.array_equal(volume_of(moved, "up"), grown)
+    shrunk = volume.astype(bool)
+    for _ in range(3):
+        share = shrunk.mean()
+        shrunk = shrunk if abs(share - 0.01) < 0.002 else slabs.spread_cross(shrunk) if share < 0.01 else slabs.shrink_cross(shrunk)
+    assert np.array_equal(volume_of(moved, "down"), shrunk)
+    assert np.array_equal(volume_of(moved, "stay"), volume)
+
+
 def turned(volume, angle, binary):
     """Rotation in (z, x), one output voxel at a time."""
     (oz, ox), at_z, at_x = rotation.turned_geometry(volume.shape[0], volume.shape[2], angle)

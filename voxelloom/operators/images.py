@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.functions import pixels
-from voxelloom.layouts import SLICE_COLUMNS, SLICE_SCHEMA, copy_window, image_of, map_slices
+from voxelloom.layouts import SLICE_COLUMNS, SLICE_SCHEMA, copy_window, image_of, map_slices, zip_slices
 
 # Fixed value: fraction bits of the 8-bit resampling weights common image libraries use.
 WEIGHT_BITS = 22
@@ -94,6 +94,16 @@ def flip(slices: DataFrame, horizontal: bool = False, vertical: bool = False) ->
     return map_slices(slices, lambda image: image[:: -1 if vertical else 1, :: -1 if horizontal else 1])
 
 
+def apply_mask(slices: DataFrame, mask: DataFrame, above: int = 0) -> DataFrame:
+    """Clear the pixels where the mask is not above a value."""
+    return zip_slices(slices, mask, lambda image, inside: image * (inside > above))
+
+
+def highlight(slices: DataFrame, mask: DataFrame) -> DataFrame:
+    """Masked pixels white, the rest dimmed to 0..200."""
+    return zip_slices(slices, mask, lambda image, inside: np.where(inside > 0, 255, (image * (200 / 255)).astype(np.uint8)))
+
+
 def flip_voxels(voxels: DataFrame, axis: str, size, when: Column | None = None) -> DataFrame:
     """Mirror a coordinate, for all rows or where ``when`` holds (same coin for image and mask)."""
     mirrored = pixels.flip_position(axis, size)

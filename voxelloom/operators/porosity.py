@@ -232,20 +232,28 @@ def side_by_side(left_hist: DataFrame, right_hist: DataFrame) -> DataFrame:
     return a.join(b, ["volume_id", "z"])
 
 
+def _report(stats: DataFrame, head: list[Column], slices_title: str) -> DataFrame:
+    """Numbered text lines per volume: a head, then the spread over slices."""
+    parts = [("Min", "min_porosity"), ("Max", "max_porosity"), ("Mean", "mean_porosity"), ("StdDev", "std_porosity")]
+    spread_lines = [F.format_string(f"  {name}: %.4f%%", F.col(column)) for name, column in parts]
+    lines = F.array(*head, F.lit(slices_title), *spread_lines)
+    return stats.select("volume_id", F.posexplode(lines).alias("line_no", "line"))
+
+
 def format_report(stats: DataFrame, label: str) -> DataFrame:
     """The text lines of a porosity report, numbered per volume, four decimals."""
+    title = F.lit(f"=== {label} Porosity Analysis ===")
+    overall = F.format_string("Overall porosity: %.4f%%", F.col("porosity"))
+    return _report(stats, [title, F.lit(""), overall], "Slice porosity:")
 
-    def line(text: str, column: str) -> Column:
-        return F.format_string(text, F.col(column))
 
-    lines = F.array(
-        F.lit(f"=== {label} Porosity Analysis ==="),
+def format_region_report(stats: DataFrame, label: str) -> DataFrame:
+    """The same for a region, with its voxel counts."""
+    head = [
+        F.lit(f"=== {label} Region Porosity Analysis ==="),
         F.lit(""),
-        line("Overall porosity: %.4f%%", "porosity"),
-        F.lit("Slice porosity:"),
-        line("  Min: %.4f%%", "min_porosity"),
-        line("  Max: %.4f%%", "max_porosity"),
-        line("  Mean: %.4f%%", "mean_porosity"),
-        line("  StdDev: %.4f%%", "std_porosity"),
-    )
-    return stats.select("volume_id", F.posexplode(lines).alias("line_no", "line"))
+        F.format_string("Total highlighted voxels: %d", F.col("highlighted_voxels")),
+        F.format_string("Pore voxels within highlighted regions: %d", F.col("pore_voxels")),
+        F.format_string("Overall region porosity: %.4f%%", F.col("porosity")),
+    ]
+    return _report(stats, head, "Slice porosity within highlighted regions:")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelloom.layouts import SLICE_COLUMNS, image_of, map_slices
+from voxelloom.layouts import SLICE_COLUMNS, SLICE_SCHEMA, image_of, map_slices
 
 BOX = ["x_min", "y_min", "x_max", "y_max"]
 
@@ -140,6 +140,26 @@ def roi_box_mask(voxels: DataFrame, boxes: DataFrame) -> DataFrame:
     return joined.withColumn("region", F.coalesce(inside, F.lit(False))).drop(*BOX)
 
 
+def box_masks(slices: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Packed 0/1 masks of the slices' own boxes, 0 everywhere without a box.
+
+    Only slice metadata meets the boxes; the pixels are not read.
+    """
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            packed = []
+            for row in batch.itertuples(index=False):
+                mask = np.zeros((row.h, row.w), np.uint8)
+                mask[max(0, row.y_min) : max(0, row.y_max), max(0, row.x_min) : max(0, row.x_max)] = 1
+                packed.append(mask.tobytes())
+            yield batch[SLICE_COLUMNS[:-1]].assign(data=packed)
+
+    meta = slices.select("volume_id", "z", "name", "h", "w", F.lit("uint8").alias("dtype"))
+    placed = meta.join(boxes.select("volume_id", "z", *BOX), ["volume_id", "z"], "left").na.fill(0, BOX)
+    return placed.mapInPandas(draw, SLICE_SCHEMA)
+
+
 def bounding_box(region: DataFrame, volumes: DataFrame | None = None) -> DataFrame:
     """Smallest box (inclusive ends) around the region pixels of each slice; ``empty`` marks slices without any."""
     y, x = (F.when(F.col("region"), F.col(axis)) for axis in ("y", "x"))

@@ -346,6 +346,46 @@ def roi_box_mask(spark, sf):
     return plain(marked.select("volume_id", "z", "y", "x", "region"))
 
 
+@query(f"""WITH {DENSE}, {KEYS_SQL}
+SELECT d.volume_id, d.z, d.y, d.x, (CASE WHEN y >= y_min AND y < y_max AND x >= x_min AND x < x_max THEN 1 ELSE 0 END)::BIGINT AS v
+FROM dense d LEFT JOIN ibox USING (volume_id, z)""")
+def box_masks(spark, sf):
+    return plain(layouts.slices_to_voxels(roi.box_masks(testdata.slices(spark, sf), roi.keyframe_interpolate(key_boxes(spark, sf)))))
+
+
+def tracked_masks(spark, sf):
+    stack = testdata.slices(spark, sf)
+    boxes = roi.track_shifting_box(roi.preset_box(layouts.manifest(stack), 2, 4, 3, 5), -0.7)
+    return stack, roi.box_masks(stack, boxes)
+
+
+TRACKED = """tb AS (SELECT volume_id, z, h, w, greatest(0, 2 - trunc(z * -0.7)::INT) AS y0, h - 6 AS height FROM shape JOIN (SELECT DISTINCT volume_id, z FROM dense) USING (volume_id)),
+tin AS (SELECT d.*, (x >= 3 AND x < w - 5 AND y >= (CASE WHEN least(h, y0 + height) = h THEN h - height ELSE y0 END) AND y < least(h, y0 + height)) AS inside FROM dense d JOIN tb USING (volume_id, z))"""
+
+
+@query(f"WITH {DENSE}, {TRACKED} SELECT volume_id, z, y, x, CASE WHEN inside THEN 255 ELSE trunc(v * (200.0::DOUBLE / 255.0::DOUBLE))::BIGINT END AS v FROM tin")
+def highlight_tracked_region(spark, sf):
+    return plain(layouts.slices_to_voxels(images.highlight(*tracked_masks(spark, sf))))
+
+
+@query(f"WITH {DENSE}, {TRACKED} SELECT volume_id, z, y, x, CASE WHEN inside THEN v ELSE 0 END AS v FROM tin")
+def apply_mask(spark, sf):
+    return plain(layouts.slices_to_voxels(images.apply_mask(*tracked_masks(spark, sf))))
+
+
+@query(f"""WITH {DENSE}, {TRACKED}, lim AS (SELECT volume_id, avg(v) * 0.8 AS l FROM dense GROUP BY 1),
+per AS (SELECT volume_id, z, sum(CASE WHEN v > l THEN 1 ELSE 0 END) AS pores, count(*) AS total, 100.0::DOUBLE * sum(CASE WHEN v > l THEN 1 ELSE 0 END) / count(*) AS p
+  FROM tin JOIN lim USING (volume_id) WHERE inside GROUP BY 1, 2),
+st AS (SELECT volume_id, sum(total)::BIGINT AS n, sum(pores)::BIGINT AS k, round(100.0::DOUBLE * sum(pores) / sum(total), 3) AS o, round(min(p), 3) AS a, round(max(p), 3) AS b,
+  round(avg(p), 3) AS c, round(stddev_pop(p), 3) AS d FROM per GROUP BY 1)
+SELECT volume_id, i::BIGINT AS line_no, CASE i WHEN 0 THEN '=== Stack Region Porosity Analysis ===' WHEN 1 THEN '' WHEN 2 THEN 'Total highlighted voxels: ' || n
+  WHEN 3 THEN 'Pore voxels within highlighted regions: ' || k WHEN 4 THEN printf('Overall region porosity: %.4f%%', o) WHEN 5 THEN 'Slice porosity within highlighted regions:'
+  WHEN 6 THEN printf('  Min: %.4f%%', a) WHEN 7 THEN printf('  Max: %.4f%%', b) WHEN 8 THEN printf('  Mean: %.4f%%', c) ELSE printf('  StdDev: %.4f%%', d) END AS line FROM st, range(10) r(i)""")
+def format_region_report(spark, sf):
+    stats = analyses.analyze_region_porosity(*tracked_masks(spark, sf))
+    return plain(porosity.format_region_report(plain(stats, 3), "Stack"))
+
+
 CONTENT = """lim AS (SELECT volume_id, z, avg(v) * 1.1 AS l FROM {src} GROUP BY 1, 2),
 ry AS (SELECT volume_id, z, y, sum(CASE WHEN v > l THEN 1 ELSE 0 END) AS bright, count(*) AS len FROM {src} JOIN lim USING (volume_id, z) GROUP BY 1, 2, 3),
 rx AS (SELECT volume_id, z, x, sum(CASE WHEN v > l THEN 1 ELSE 0 END) AS bright, count(*) AS len FROM {src} JOIN lim USING (volume_id, z) GROUP BY 1, 2, 3)"""
