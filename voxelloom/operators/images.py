@@ -148,22 +148,35 @@ def resample_nearest(slices: DataFrame, out_h: int, out_w: int) -> DataFrame:
 
 
 def label_components(mask: np.ndarray) -> np.ndarray:
-    """Label the True pixels of a 2D mask by 4-connected component: 0 outside, else 1 + smallest flat index."""
-    flat = np.arange(1, mask.size + 1).reshape(mask.shape)
-    labels = np.where(mask, flat, 0)
+    """Label the True pixels of a 2D mask by 4-connected component: 0 outside, else 1 + smallest flat index.
+
+    Horizontal runs are the nodes and touching runs of neighbouring rows the edges; every round hooks the
+    larger root of each edge under the smaller one and flattens the trees.
+    """
+    begins = mask.copy()
+    begins[:, 1:] &= ~mask[:, :-1]
+    run = np.cumsum(begins).reshape(mask.shape) - 1
+    first = np.flatnonzero(begins) + 1
+    touching = mask[1:] & mask[:-1]
+    upper, lower = run[:-1][touching], run[1:][touching]
+    fresh = np.ones(len(upper), bool)
+    fresh[1:] = (upper[1:] != upper[:-1]) | (lower[1:] != lower[:-1])
+    upper, lower = upper[fresh], lower[fresh]
+    root = np.arange(len(first))
     while True:
-        best = labels.copy()
-        for a, b in ((np.s_[1:, :], np.s_[:-1, :]), (np.s_[:, 1:], np.s_[:, :-1])):
-            both = mask[a] & mask[b]
-            low = np.where(both, np.minimum(best[a], best[b]), mask.size)
-            best[a] = np.minimum(best[a], low)
-            best[b] = np.minimum(best[b], low)
-        # Pointer jumping: every pixel takes the label its current label has.
-        jump = best.ravel()[np.maximum(best, 1) - 1]
-        best = np.where(mask, np.minimum(best, jump), 0)
-        if np.array_equal(best, labels):
-            return labels
-        labels = best
+        a, b = root[upper], root[lower]
+        apart = a != b
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while True:
+            flat = root[root]
+            if np.array_equal(flat, root):
+                break
+            root = flat
+    labels = np.zeros(mask.shape, np.int64)
+    labels[mask] = first[root][run[mask]]
+    return labels
 
 
 def component_sizes(slices: DataFrame) -> DataFrame:
@@ -224,19 +237,34 @@ def edt(slices: DataFrame) -> DataFrame:
 def thickness(mask: np.ndarray) -> np.ndarray:
     """Diameter of the largest inscribed circle that covers each True pixel.
 
-    Circles are the distance values themselves: a pixel is covered by a centre of radius r when it lies
-    strictly nearer than r. Radii are painted from large to small, each through a distance transform of
-    its centres, and only still unpainted pixels are written.
+    A centre's circle has its distance to the nearest False pixel as radius and covers what lies strictly
+    nearer. Centres whose circle lies inside a neighbour's are left out; the rest are painted from small
+    to large, so the largest one stays.
     """
     squared = np.where(mask, squared_distance(mask), 0)
+    radius = np.sqrt(squared)
+    if mask.all():
+        return 2 * radius
+    padded = np.pad(radius, 1)
+    h, w = mask.shape
+    inner = np.zeros(mask.shape, bool)
+    for dy, dx in ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)):
+        neighbour = padded[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w]
+        inner |= neighbour >= radius + np.hypot(dy, dx) - 1e-9
+    centres = np.argwhere(mask & ~inner)
+    sizes = squared[centres[:, 0], centres[:, 1]]
     result = np.zeros(mask.shape)
-    for radius2 in np.unique(squared[squared > 0])[::-1]:
-        centres = squared == radius2
-        open_pixels = mask & (result == 0)
-        if not open_pixels.any():
-            break
-        covered = squared_distance(~centres) < radius2
-        result[covered & open_pixels] = 2 * np.sqrt(radius2)
+    disc, last = None, -1
+    for i in np.argsort(sizes, kind="stable"):
+        (y, x), size = centres[i], sizes[i]
+        reach = int(np.sqrt(size - 1)) if size > 1 else 0
+        if size != last:
+            offsets = np.arange(-reach, reach + 1) ** 2
+            disc, last = offsets[:, None] + offsets < size, size
+        top, left = max(0, y - reach), max(0, x - reach)
+        window = result[top : y + reach + 1, left : x + reach + 1]
+        cut = disc[top - y + reach :, left - x + reach :][: window.shape[0], : window.shape[1]]
+        window[cut] = 2 * np.sqrt(size)
     return result
 
 
