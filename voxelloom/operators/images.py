@@ -6,6 +6,7 @@ The small NumPy kernels work on one image; Spark decides where each image goes.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -110,8 +111,9 @@ def flip_voxels(voxels: DataFrame, axis: str, size, when: Column | None = None)
     return voxels.withColumn(axis, mirrored if when is None else F.when(when, mirrored).otherwise(F.col(axis)))
 
 
+@lru_cache(maxsize=64)
 def bilinear_weights(n_in: int, n_out: int) -> np.ndarray:
-    """Integer weights [n_in, n_out] of a triangle filter that widens when it shrinks the image."""
+    """Whole-number weights [n_in, n_out] of a triangle filter that widens when it shrinks the image."""
     scale = n_in / n_out
     support = max(scale, 1.0)
     centres = (np.arange(n_out) + 0.5) * scale
@@ -120,18 +122,19 @@ def bilinear_weights(n_in: int, n_out: int) -> np.ndarray:
     source = np.arange(n_in)[:, None]
     tent = np.maximum(0.0, 1.0 - np.abs(source + 0.5 - centres) / support)
     tent[(source < first) | (source >= last)] = 0.0
-    return np.floor(tent / tent.sum(axis=0) * (1 << WEIGHT_BITS) + 0.5).astype(np.int64)
+    return np.floor(tent / tent.sum(axis=0) * (1 << WEIGHT_BITS) + 0.5)
 
 
 def resample_bilinear(slices: DataFrame, out_w: int = 1000, out_h: int = 300) -> DataFrame:
     """Resize 8-bit slices: along x, then along y, rounding to bytes after each."""
 
+    def pass_(product: np.ndarray) -> np.ndarray:
+        # Sums of bytes times weights stay far below 2**53, so the float products are exact.
+        return np.clip(np.floor((product + (1 << (WEIGHT_BITS - 1))) / (1 << WEIGHT_BITS)), 0, 255)
+
     def resize(image: np.ndarray) -> np.ndarray:
-        half = 1 << (WEIGHT_BITS - 1)
-        wide = (image.astype(np.int64) @ bilinear_weights(image.shape[1], out_w) + half) >> WEIGHT_BITS
-        wide = np.clip(wide, 0, 255)
-        tall = (bilinear_weights(image.shape[0], out_h).T @ wide + half) >> WEIGHT_BITS
-        return np.clip(tall, 0, 255).astype(np.uint8)
+        wide = pass_(image.astype(np.float64) @ bilinear_weights(image.shape[1], out_w))
+        return pass_(bilinear_weights(image.shape[0], out_h).T @ wide).astype(np.uint8)
 
     return map_slices(slices, resize)
 

@@ -36,17 +36,16 @@ def turned_geometry(n_z: int, n_x: int, angle: float, rows=None, cols=None) -> t
     return (out_z, out_x), c * z + s * x + (n_z - 1) / 2, -s * z + c * x + (n_x - 1) / 2
 
 
-def sample_plane(plane: np.ndarray, at_z: np.ndarray, at_x: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    """Bilinear samples of a plane; 0 where ``inside`` is false."""
-    n_z, n_x = plane.shape
-    z0 = np.clip(np.floor(at_z).astype(int), 0, max(n_z - 2, 0))
-    x0 = np.clip(np.floor(at_x).astype(int), 0, max(n_x - 2, 0))
+def plane_samples(at_z: np.ndarray, at_x: np.ndarray, inside: np.ndarray, shape: tuple[int, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The four (flat input position, weight) pairs of the bilinear samples at the ``inside`` output pixels."""
+    n_z, n_x = shape
+    z, x = at_z[inside], at_x[inside]
+    z0 = np.clip(np.floor(z).astype(np.int64), 0, max(n_z - 2, 0))
+    x0 = np.clip(np.floor(x).astype(np.int64), 0, max(n_x - 2, 0))
     z1, x1 = np.minimum(z0 + 1, n_z - 1), np.minimum(x0 + 1, n_x - 1)
-    fz, fx = at_z - z0, at_x - x0
-    values = plane.astype(np.float64)
-    near = values[z0, x0] * (1 - fx) + values[z0, x1] * fx
-    far = values[z1, x0] * (1 - fx) + values[z1, x1] * fx
-    return np.where(inside, near * (1 - fz) + far * fz, 0.0)
+    fz, fx = z - z0, x - x0
+    corners = ((z0, x0, 1 - fz, 1 - fx), (z0, x1, 1 - fz, fx), (z1, x0, fz, 1 - fx), (z1, x1, fz, fx))
+    return [(row * n_x + column, wz * wx) for row, column, wz, wx in corners]
 
 
 def turned_depth(volumes: DataFrame, angle: float, swap_before: bool = False, swap_after: bool = False) -> DataFrame:
@@ -64,7 +63,7 @@ def _out_sizes(n: Column, w: Column, angle: float, swap_before: bool) -> tuple[C
 
 def rotate_plane(
     slices: DataFrame, angle: float = 52, binary: bool = False, swap_before: bool = False, swap_after: bool = False,
-    lines: int = 4, tile: int = 1024, volumes: DataFrame | None = None,
+    lines: int = 16, tile: int = 1024, volumes: DataFrame | None = None,
 ) -> DataFrame:
     """Rotate 8-bit stacks by ``angle`` degrees in (z, x), output grown to fit, outside 0.
 
@@ -117,14 +116,19 @@ def rotate_plane(
         rows, cols = (np.arange(t * tile, min(length, (t + 1) * tile)) for t, length in zip(key[2:4], size))
         _, at_z, at_x = turned_geometry(n_z, n_x, angle, rows, cols)
         inside = (at_z >= 0) & (at_z <= n_z - 1) & (at_x >= 0) & (at_x <= n_x - 1)
-        planes = []
+        # Positions and weights are the same for every line of the strip.
+        if swap_before:
+            block, at_x = block.transpose(2, 1, 0), at_x - first
+        else:
+            at_z = at_z - first
+        samples = plane_samples(at_z, at_x, inside, (block.shape[0], block.shape[2]))
+        turned = np.zeros((len(rows), block.shape[1], len(cols)), np.uint8)
         for y in range(block.shape[1]):
-            if swap_before:
-                sampled = sample_plane(block[:, y, :].T, at_z, at_x - first, inside)
-            else:
-                sampled = sample_plane(block[:, y, :], at_z - first, at_x, inside)
-            planes.append(sampled > 0.5 if binary else np.clip(np.floor(sampled + 0.5), 0, 255))
-        turned = np.stack(planes, axis=1).astype(np.uint8)
+            line = np.ascontiguousarray(block[:, y, :]).ravel()
+            value = sum(line[position] * weight for position, weight in samples)
+            plane = np.zeros(inside.shape, np.uint8)
+            plane[inside] = value > 0.5 if binary else np.clip(np.floor(value + 0.5), 0, 255)
+            turned[:, y, :] = plane
         numbers, part = rows, key[3]
         if swap_after:
             turned, numbers, part = turned.transpose(2, 1, 0), cols, key[2]

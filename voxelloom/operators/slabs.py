@@ -170,8 +170,11 @@ def blur_axis(volume: np.ndarray, weights: np.ndarray, axis: int, integer: bool
     pad = [(0, 0)] * volume.ndim
     pad[axis] = (radius, radius)
     source = np.pad(volume.astype(np.float64), pad, mode="symmetric")
-    n = volume.shape[axis]
-    out = sum(weight * source.take(range(i, i + n), axis=axis) for i, weight in enumerate(weights))
+    out = np.zeros(volume.shape)
+    window = [slice(None)] * volume.ndim
+    for i, weight in enumerate(weights):
+        window[axis] = slice(i, i + volume.shape[axis])
+        out += weight * source[tuple(window)]
     return np.trunc(out).astype(np.uint8) if integer else out
 
 
