@@ -250,8 +250,10 @@ def nearest(a, b):
     return np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2).min(axis=1))
 
 
-@pytest.mark.parametrize("case", ["spread", "hot cell", "far cluster", "single"])
-def test_nearest_points_in_dense_and_sparse_clouds(spark, case):
+@pytest.mark.parametrize("case", ["spread", "hot cell", "far cluster", "single", "coarse grid"])
+def test_nearest_points_in_dense_and_sparse_clouds(spark, case, monkeypatch):
+    if case == "coarse grid":
+        monkeypatch.setattr(meshes, "FINEST_LEVEL", 3)
     a = RNG.normal(size=(150, 3)) * 10
     b = RNG.normal(size=(200, 3)) * 10
     if case == "hot cell":

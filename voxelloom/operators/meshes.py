@@ -11,6 +11,7 @@ from voxelloom.session import cut_lineage
 
 CORNERS = ["a", "b", "c"]
 AXES = ["x", "y", "z"]
+FINEST_LEVEL = 60
 
 
 def _cross(u: list[Column], v: list[Column]) -> list[Column]:
@@ -124,8 +125,15 @@ def nearest_neighbour_distance(a: DataFrame, b: DataFrame, keys: list[str] = ["c
         return [F.floor((F.col(d) - F.lit(frame[f"lo_{d}"])) / F.lit(width)).alias(f"{d}{level}") for d in AXES]
 
     def parts(level: int, parent: int | None) -> DataFrame:
-        """One row per non-empty cell of ``b``: its parent cell, its box and one of its points."""
+        """One row per non-empty cell of ``b``: its parent cell, its box and one of its points.
+
+        Cell numbers fit into 64 bits up to level 60; past that every point is a part of its own.
+        """
         up = cell(parent) if parent is not None else []
+        if level > FINEST_LEVEL:
+            alone = [F.col(d).alias(f"{end}_{d}") for end in ("lo", "hi") for d in AXES]
+            zero = [F.lit(0).alias(f"{d}{level}") for d in AXES]
+            return right.select(*keys, *up, *zero, *alone, F.struct(*AXES).alias("one"))
         coords = right.select(*keys, *AXES, *up, *cell(level))
         names = [f"{d}{i}" for i in ([parent] if parent is not None else []) + [level] for d in AXES]
         return coords.groupBy(*keys, *names).agg(
