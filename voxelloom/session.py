@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +30,27 @@ def build_session(app_name: str = "voxelloom", master: str | None = None, **conf
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application, so that workers import it from any folder."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="voxelloom-"), "voxelloom.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, files in os.walk(root):
+                for name in sorted(files):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.join("voxelloom", os.path.relpath(path, root)))
+        sc.addPyFile(archive)
+        _shipped.add(sc.applicationId)
+    return spark
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
