@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm import decontamination, mixing, near_dedup, sharding
+from voxelloom.llm import cross_polytope, decontamination, html_text, language, mixing, near_dedup, quality, sharding
 from voxelloom.llm.shared import table
 
 
@@ -15,10 +16,27 @@ def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_unigram_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op5_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return cross_polytope.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+def op6_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
 
+def op8_max_scoring_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash_pivot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -29,6 +47,7 @@ def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_spaced_seed_decontamination, op7_hash_tree_sharding, op9_simhash_pivot_tables, op10_pivotal_mixing)
+    f.__name__: f for f in (op1_spaced_seed_decontamination, op2_unigram_language_id, op5_cross_polytope_neighbours, op6_byte_cnn_quality,
+    op7_hash_tree_sharding, op8_max_scoring_html, op9_simhash_pivot_tables, op10_pivotal_mixing)
 }
 CHECKS: dict[str, str] = {}
