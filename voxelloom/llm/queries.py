@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm import cross_polytope, decontamination, html_text, language, mixing, near_dedup, quality, sharding, token_files
+from voxelloom.llm import cross_polytope, decontamination, html_text, language, mixing, near_dedup, quality, sharding, suffix_dedup, token_files
 from voxelloom.llm.shared import table
 
 
@@ -24,6 +24,11 @@ def op3_context_mixing_token_files(spark: SparkSession, sf_dir: str) -> DataFram
     return token_files.token_index(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return cross_polytope.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
@@ -51,7 +56,8 @@ def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_spaced_seed_decontamination, op2_unigram_language_id, op3_context_mixing_token_files, op5_cross_polytope_neighbours, op6_byte_cnn_quality,
+    f.__name__: f for f in (op1_spaced_seed_decontamination, op2_unigram_language_id, op3_context_mixing_token_files,
+    op4_suffix_array_dedup, op5_cross_polytope_neighbours, op6_byte_cnn_quality,
     op7_hash_tree_sharding, op8_max_scoring_html, op9_simhash_pivot_tables, op10_pivotal_mixing)
 }
 CHECKS: dict[str, str] = {}
