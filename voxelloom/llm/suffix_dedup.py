@@ -5,9 +5,10 @@ Three steps, each a Spark shuffle on its own key:
 1. Every 50-byte window names its smallest 24-byte hash. Windows next to each other mostly name the same one, so a
    document becomes runs of windows. Equal windows name equal hashes, therefore a window that occurs in two
    documents lies in runs with the same mark. Marks that only one document has are dropped.
-2. The strings of the remaining runs are gathered by mark. Their distinct strings are cut into shards; each shard
-   gets a suffix array and its common prefixes, which give the groups of equal windows and the smallest doc_id of
-   each. Shards are merged by binary search in each other's sorted windows.
+2. Of the strings of the remaining runs, one copy of each is gathered by mark, under its smallest doc_id; it stands for
+   the other copies, which go as a whole. The strings are cut into shards in the order of their marks; each
+   shard gets a suffix array and its common prefixes, which give the groups of equal windows and the smallest
+   doc_id of each. Shards that share a mark are merged by binary search in each other's sorted windows.
 3. Each run learns which of its windows occur under a smaller doc_id, and the documents are cut.
 """
 
@@ -26,8 +27,8 @@ from voxelloom.llm.shared import PIECE_BYTES, SpanHasher, mix64, pieces, texts_o
 WINDOW = 50
 GRAM = 24
 LONGEST_RUN = 64  # windows of a run, so that they fit the bits of a long
-BUCKET_BYTES = 32 << 20  # text bytes whose marks meet in one group
-SHARD_BYTES = 4 << 20  # bytes of one suffix array
+BUCKET_BYTES = 8 << 20  # text bytes whose marks meet in one group
+SHARD_BYTES = 2 << 20  # bytes of one suffix array
 
 
 # --- runs of windows ---------------------------------------------------------------------------------------------
@@ -48,8 +49,11 @@ def window_runs(data: np.ndarray, ends: np.ndarray, hasher: SpanHasher) -> tuple
     if len(data) < WINDOW:
         none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, np.uint64), sums
-    start = np.arange(len(data) - GRAM + 1)
-    least = sliding_min(hasher.spans(sums, start, start + GRAM), WINDOW - GRAM + 1)
+    grams = sums[GRAM:] - sums[:-GRAM]
+    grams *= hasher.inverse[: len(grams)]
+    grams ^= grams >> np.uint64(32)
+    grams *= np.uint64(0xD6E8FEB86659FD93)
+    least = sliding_min(grams, WINDOW - GRAM + 1)
     inside = np.ones(len(data), bool)
     size = np.diff(ends)
     tail = np.minimum(size, WINDOW - 1)
@@ -78,10 +82,6 @@ def by_key(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, head, np.append(head[1:], len(key)) if len(key) else head
 
 
-def lists(values: np.ndarray, head: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(head, len(values)), pa.int32()), pa.array(values, kind))
-
-
 # --- suffix arrays -----------------------------------------------------------------------------------------------
 
 
@@ -96,12 +96,11 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     left = np.repeat(ends[1:], np.diff(ends)) - np.arange(n)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = (key << np.uint64(8)) | np.where(left > i, padded[i : n + i], 0).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    key = np.ndarray(n, ">u8", padded, strides=(1,)).astype(np.uint64)
     # Bytes of value 0 and the end of a string are told apart by what is left.
     short = np.minimum(left, 8)
+    key &= np.uint64(2**64 - 1) << ((8 - short) * 8 % 64).astype(np.uint64)
+    order = np.argsort(key, kind="stable")
     new = np.append(True, np.diff(key[order]) != 0)
     group = np.cumsum(new) - 1
     order = order[np.argsort(group * 9 + short[order], kind="stable")]
@@ -184,13 +183,22 @@ def find_rows(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where((table[found] == wanted).all(axis=1), found, -1) if len(table) else np.full(len(wanted), -1)
 
 
-def smallest_owner(data: np.ndarray, ends: np.ndarray, owner: np.ndarray, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
-    """For every window start, the smallest owner of a string that has an equal window; other bytes get no meaning."""
+def smallest_owner(
+    data: np.ndarray, ends: np.ndarray, owner: np.ndarray, marks: np.ndarray, shard_bytes: int = SHARD_BYTES
+) -> np.ndarray:
+    """For every window start, the smallest owner of a string that has an equal window; other bytes get no meaning.
+
+    Strings come in the order of ``marks``; equal windows are in strings of equal marks. A shard ends between two
+    marks, unless one mark alone has more than ``shard_bytes``.
+    """
     out = np.full(len(data), np.iinfo(np.int64).max)
-    shards = []
+    shards: list[list] = []
     begin = 0
     while begin < len(owner):
         stop = max(begin + 1, int(np.searchsorted(ends, ends[begin] + shard_bytes, "right")) - 1)
+        if stop < len(owner) and marks[stop] == marks[stop - 1]:
+            cut = int(np.searchsorted(marks, marks[stop], "left"))
+            stop = cut if cut > begin else stop
         part, base = data[ends[begin] : ends[stop]], ends[begin]
         own_ends = ends[begin : stop + 1] - base
         order = suffix_array(part, own_ends)
@@ -203,29 +211,42 @@ def smallest_owner(data: np.ndarray, ends: np.ndarray, owner: np.ndarray, shard_
         if len(at):
             head = np.flatnonzero(np.append(True, np.diff(group) != 0))
             least = np.minimum.reduceat(owner[begin:stop][text[at]], head)
-            shards.append([at + base, np.repeat(np.arange(len(head)), np.diff(np.append(head, len(at)))), least, at[head] + base])
+            new = [at + base, np.repeat(np.arange(len(head)), np.diff(np.append(head, len(at)))), least, at[head] + base, marks[begin]]
+            if shards and shards[-1][4] != marks[begin]:
+                _merge(data, shards, out)
+                shards = []
+            shards.append(new)
+            if marks[stop - 1] != marks[begin]:
+                _merge(data, shards, out)
+                shards = []
         begin = stop
-    if len(shards) > 1:
-        sorted_windows = [window_words(data, shard[3]) for shard in shards]
-        # Shards before i agree already, so that after i is compared with each of them all agree.
-        for i, one in enumerate(shards):
-            for j in range(i):
-                found = find_rows(sorted_windows[j], sorted_windows[i])
-                rows = np.flatnonzero(found >= 0)
-                least = np.minimum(one[2][rows], shards[j][2][found[rows]])
-                one[2][rows] = least
-                shards[j][2][found[rows]] = least
-    for at, group, least, _ in shards:
-        out[at] = least[group]
+    _merge(data, shards, out)
     return out
 
 
+def _merge(data: np.ndarray, shards: list[list], out: np.ndarray) -> None:
+    """Shards of one mark learn the smallest owners of each other's windows; the result goes to ``out``."""
+    words = [window_words(data, shard[3]) for shard in shards] if len(shards) > 1 else []
+    # Shards before i agree already, so that after i is compared with each of them all agree.
+    for i, one in enumerate(shards):
+        for j in range(i):
+            found = find_rows(words[j], words[i])
+            rows = np.flatnonzero(found >= 0)
+            least = np.minimum(one[2][rows], shards[j][2][found[rows]])
+            one[2][rows] = least
+            shards[j][2][found[rows]] = least
+    for at, group, least, _, _ in shards:
+        out[at] = least[group]
+
+
 # --- the three steps ---------------------------------------------------------------------------------------------
 
 MARKED = "bucket int, doc_ids array<long>, counts array<int>, marks binary"
-FLAGGED = "doc_id long, ids array<long>"
-STRINGS = "bucket int, doc_ids array<long>, hashes array<long>, lengths array<int>, strings binary"
-MASKS = "doc_id long, hashes array<long>, masks array<long>"
+FLAGGED = "doc_id long, id long"
+ASKED = "bucket int, doc_ids array<long>, hashes array<long>"
+ANSWERED = "doc_id long, hash long, first boolean"
+STRINGS = "bucket int, doc_ids array<long>, hashes array<long>, marks array<long>, lengths array<int>, strings binary"
+MASKS = "doc_id long, hash long, mask long"
 
 
 def _mark_rows(buckets: int):
@@ -281,8 +302,7 @@ def _flag_rows(buckets: int):
             apart = np.minimum.reduceat(docs, head) < np.maximum.reduceat(docs, head)
             keep = np.repeat(apart, end - head)
             marks, docs = marks[keep] | (bucket << 32), docs[keep]
-        order, head, _ = by_key(docs)
-        return pa.table({"doc_id": pa.array(docs[order][head], pa.int64()), "ids": lists(marks[order], head, pa.int64())})
+        return pa.table({"doc_id": docs, "id": marks})
 
     return run
 
@@ -319,75 +339,104 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = stop
 
 
-def _string_rows(buckets: int):
+def _runs_of(batch: pa.RecordBatch, hasher: SpanHasher, buckets: int) -> tuple[np.ndarray, ...]:
+    """Bytes, and first byte, end, text number, bucket, mark and string hash of every run of packed texts."""
+    data, ends = _unpack(batch.column(1))
+    start, count, text, marks, sums = window_runs(data, ends, hasher)
+    stop = start + count + WINDOW - 1
+    bucket = bucket_of(marks, buckets)
+    return data, start, stop, text, bucket, (bucket << 32) | (marks & np.uint64(0xFFFFFFFF)).astype(np.int64), hasher.spans(sums, start, stop).astype(np.int64)
+
+
+def _ask_rows(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Distinct strings of flagged runs by bucket, under the smallest doc_id of the piece. A string that comes again
-        under a larger doc_id of the piece is known to go (rows of bucket numbers above)."""
+        """Hashes of the strings of flagged runs by bucket, under the smallest doc_id of the piece. A string that comes
+        again under a larger doc_id of the piece is known to go (rows of bucket numbers above)."""
         hasher = SpanHasher()
         for batch in _small(batches):
-            data, ends = _unpack(batch.column(1))
-            start, count, text, marks, sums = window_runs(data, ends, hasher)
-            bucket = bucket_of(marks, buckets)
-            ids = (bucket << 32) | (marks & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            batch = batch.filter(batch.column(3).is_valid())
+            _, _, _, text, bucket, ids, hashes = _runs_of(batch, hasher, buckets)
             keep = np.flatnonzero(_chosen(batch.column(3), text, ids) >= 0)
             if not len(keep):
                 continue
-            start, bucket = start[keep], bucket[keep]
-            stop = start + count[keep] + WINDOW - 1
-            docs = batch.column(0).to_numpy()[text[keep]]
-            hashes = hasher.spans(sums, start, stop).astype(np.int64)
+            docs, bucket, hashes = batch.column(0).to_numpy()[text[keep]], bucket[keep], hashes[keep]
             order = np.lexsort((docs, hashes))
-            lead = np.append(True, np.diff(hashes[order]) != 0)
-            smallest = docs[order][lead][np.cumsum(lead) - 1]
-            later = order[docs[order] > smallest]
-            first = order[lead]
-            first = first[np.argsort(bucket[first], kind="stable")]
-            heads = np.flatnonzero(np.append(True, np.diff(bucket[first]) != 0))
-            raw = data.tobytes()
-            rows = [
-                (int(bucket[first[a]]), docs[first[a:b]], hashes[first[a:b]], (stop - start)[first[a:b]].astype(np.int32),
-                 b"".join(raw[x:y] for x, y in zip(start[first[a:b]].tolist(), stop[first[a:b]].tolist())))
-                for a, b in zip(heads, [*heads[1:], len(first)])
-            ]
-            if len(later):
-                rows.append((buckets + int(np.uint64(hashes[0]) % np.uint64(buckets)), docs[later], hashes[later], np.zeros(0, np.int32), b""))
-            kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(map(list, zip(*rows)), kinds)], names=["bucket", "doc_ids", "hashes", "lengths", "strings"])
+            docs, bucket, hashes = docs[order], bucket[order], hashes[order]
+            lead = np.append(True, np.diff(hashes) != 0)
+            smallest = docs[lead][np.cumsum(lead) - 1]
+            key = np.where(lead, bucket, np.where(docs > smallest, buckets + hashes[0] % buckets, -1))
+            order, head, end = by_key(key)
+            for a, b in zip(head, end):
+                if key[order[a]] >= 0:
+                    some = order[a:b]
+                    yield pa.record_batch([
+                        pa.array([int(key[some[0]])], pa.int32()), pa.array([docs[some]], pa.list_(pa.int64())), pa.array([hashes[some]], pa.list_(pa.int64()))
+                    ], names=["bucket", "doc_ids", "hashes"])
 
     return run
 
 
-def _mask_rows(buckets: int, shard_bytes: int):
+def _answer_rows(buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        """Bits of the windows that occur under a smaller doc_id, for every string of one bucket."""
+        """For each document and string, whether no document has it before; otherwise it goes as a whole."""
         docs = np.concatenate([v.values.to_numpy() for v in table.column("doc_ids")])
         hashes = np.concatenate([v.values.to_numpy() for v in table.column("hashes")])
         if table.column("bucket")[0].as_py() >= buckets:
-            masks = np.full(len(docs), -1, np.int64)
+            first = np.zeros(len(docs), bool)
         else:
-            length = np.concatenate([v.values.to_numpy() for v in table.column("lengths")]).astype(np.int64)
-            data = np.frombuffer(b"".join(v.as_py() for v in table.column("strings")), np.uint8)
-            begin = np.cumsum(length) - length
             order = np.lexsort((docs, hashes))
-            lead = np.append(True, np.diff(hashes[order]) != 0)
-            which = np.empty(len(docs), np.int64)
-            which[order] = np.cumsum(lead) - 1
-            first = order[lead]
-            ends = np.concatenate([[0], np.cumsum(length[first])])
-            place = np.repeat(begin[first] - ends[:-1], length[first]) + np.arange(ends[-1])
-            least = smallest_owner(data[place], ends, docs[first], shard_bytes)
-            windows = length - WINDOW + 1
-            owner = np.repeat(np.arange(len(docs)), windows)
-            bit = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-            gone = least[ends[which[owner]] + bit] < docs[owner]
-            masks = np.zeros(len(docs), np.uint64)
-            np.bitwise_or.at(masks, owner[gone], np.uint64(1) << bit[gone].astype(np.uint64))
-            masks = masks.view(np.int64)
-            docs, hashes, masks = docs[masks != 0], hashes[masks != 0], masks[masks != 0]
-        order, head, _ = by_key(docs)
-        return pa.table({
-            "doc_id": pa.array(docs[order][head], pa.int64()), "hashes": lists(hashes[order], head, pa.int64()), "masks": lists(masks[order], head, pa.int64())
-        })
+            docs, hashes = docs[order], hashes[order]
+            lead = np.append(True, np.diff(hashes) != 0)
+            first = docs == docs[lead][np.cumsum(lead) - 1]
+        return pa.table({"doc_id": docs, "hash": hashes, "first": first})
+
+    return run
+
+
+def _string_rows(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The strings that documents have first, by bucket."""
+        hasher = SpanHasher()
+        for batch in _small(batches):
+            batch = batch.filter(batch.column(3).is_valid())
+            data, start, stop, text, bucket, ids, hashes = _runs_of(batch, hasher, buckets)
+            keep = np.flatnonzero(_chosen(batch.column(3), text, hashes) >= 0)
+            docs, raw = batch.column(0).to_numpy(), data.tobytes()
+            order, head, end = by_key(bucket[keep])
+            for a, b in zip(head, end):
+                some = keep[order[a:b]]
+                yield pa.record_batch([
+                    pa.array([int(bucket[some[0]])], pa.int32()), pa.array([docs[text[some]]], pa.list_(pa.int64())),
+                    pa.array([hashes[some]], pa.list_(pa.int64())), pa.array([ids[some]], pa.list_(pa.int64())),
+                    pa.array([(stop - start)[some].astype(np.int32)], pa.list_(pa.int32())),
+                    pa.array([b"".join(raw[x:y] for x, y in zip(start[some].tolist(), stop[some].tolist()))], pa.binary()),
+                ], names=["bucket", "doc_ids", "hashes", "marks", "lengths", "strings"])
+
+    return run
+
+
+def _mask_rows(shard_bytes: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Bits of the windows that occur under a smaller doc_id, for every string of one bucket."""
+        docs, hashes, marks, length = (
+            np.concatenate([v.values.to_numpy() for v in table.column(c)]) for c in ("doc_ids", "hashes", "marks", "lengths")
+        )
+        length = length.astype(np.int64)
+        data = np.frombuffer(b"".join(v.as_py() for v in table.column("strings")), np.uint8)
+        begin = np.cumsum(length) - length
+        order = np.lexsort((hashes, marks))
+        order = order[np.append(True, np.diff(hashes[order]) != 0)]  # rows of one doc_id may send a string twice
+        docs, hashes, marks, length, begin = docs[order], hashes[order], marks[order], length[order], begin[order]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        data = data[np.repeat(begin - ends[:-1], length) + np.arange(ends[-1])]
+        least = smallest_owner(data, ends, docs, marks, shard_bytes)
+        windows = length - WINDOW + 1
+        owner = np.repeat(np.arange(len(docs)), windows)
+        bit = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+        bits = np.where(least[ends[owner] + bit] < docs[owner], np.uint64(1) << bit.astype(np.uint64), np.uint64(0))
+        masks = np.bitwise_or.reduceat(bits, np.cumsum(windows) - windows).view(np.int64)
+        some = masks != 0
+        return pa.table({"doc_id": docs[some], "hash": hashes[some], "mask": masks[some]})
 
     return run
 
@@ -422,17 +471,25 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, blob binary, size long")
 
 
-def repeated_masks(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``doc_id, hashes, masks``: runs of windows, by the hash of their string, with bits of windows to remove."""
+def with_masks(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """``doc_id, blob, size, hashes, masks``: packed texts, and bits of windows to remove by the hash of their run's string."""
+    packed = _packed(docs)
     known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
-    marked = known.mapInArrow(_mark_rows(buckets), MARKED)
-    flagged = marked.groupBy("bucket").applyInArrow(_flag_rows(buckets), FLAGGED)
-    per_doc = flagged.groupBy("doc_id").agg(F.flatten(F.collect_list("ids")).alias("ids"))
-    strings = _packed(known).join(per_doc, "doc_id").select("doc_id", "blob", "size", "ids").mapInArrow(_string_rows(buckets), STRINGS)
-    masks = strings.groupBy("bucket").applyInArrow(_mask_rows(buckets, shard_bytes), MASKS)
-    return masks.groupBy("doc_id").agg(F.flatten(F.collect_list("hashes")).alias("hashes"), F.flatten(F.collect_list("masks")).alias("masks"))
+
+    def with_lists(rows: DataFrame, **columns: str) -> DataFrame:
+        """All packed texts with the lists of their doc_id. The same join each time, so that texts are dealt once."""
+        per_doc = rows.groupBy("doc_id").agg(*[F.collect_list(c).alias(name) for name, c in columns.items()])
+        return packed.join(per_doc, "doc_id", "left").select("doc_id", "blob", "size", *columns)
+
+    flagged = known.mapInArrow(_mark_rows(buckets), MARKED).groupBy("bucket").applyInArrow(_flag_rows(buckets), FLAGGED)
+    asked = with_lists(flagged, ids="id").mapInArrow(_ask_rows(buckets), ASKED)
+    answers = asked.groupBy("bucket").applyInArrow(_answer_rows(buckets), ANSWERED)
+    strings = with_lists(answers.where("first"), first="hash").mapInArrow(_string_rows(buckets), STRINGS)
+    masks = strings.groupBy("bucket").applyInArrow(_mask_rows(shard_bytes), MASKS)
+    gone = answers.where("not first").select("doc_id", "hash", F.lit(-1).cast("long").alias("mask"))
+    return with_lists(masks.unionByName(gone), hashes="hash", masks="mask")
 
 
 def dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -444,8 +501,6 @@ def dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int =
     each other. Extra columns are ignored, an empty table gives an empty table.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    masks = repeated_masks(rows, bucket_bytes, shard_bytes)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher()
         for batch in _small(batches):
@@ -462,5 +517,4 @@ def dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int =
                 batch.column(0), pa.array(kept, pa.binary()), pa.array(size), pa.array(np.diff(total[ends])), pa.array(np.diff(spans[ends]))
             ], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    joined = _packed(rows).join(masks, "doc_id", "left").select("doc_id", "blob", "size", "hashes", "masks")
-    return joined.mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return with_masks(rows, bucket_bytes, shard_bytes).mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
