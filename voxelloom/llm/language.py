@@ -150,6 +150,7 @@ def fit(docs: DataFrame, vocabulary: list[bytes], rows_per_language: int = FIT_R
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = F.broadcast(sizes) if sizes.count() <= 10_000 else sizes  # a code and a number per language
     share = known.join(sizes, "lang").where(
         F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(float(rows_per_language) * (1 << 30)) / F.col("n")
     )
