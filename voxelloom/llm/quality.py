@@ -130,7 +130,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = FIT_ROWS, chun
         return empty | {"offset": np.array([20.0 if prior > 0.5 else 0.0 if not sizes else -20.0], np.float32)}
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).cast("double") / float(1 << 30)
     share = F.when(F.col("quality") == 1, min(1.0, rows_per_class / sizes[1])).otherwise(min(1.0, rows_per_class / sizes[0]))
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marked.where(draw < share), "doc_id")
+    picked = marked.where(draw < share)
+    # Two numbers for each sampled label; the draw keeps about the documented number of them.
+    picked = F.broadcast(picked) if picked.count() <= 8 * rows_per_class else picked
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
