@@ -102,9 +102,9 @@ def _settle_heavy(heavy: DataFrame, seed: int) -> DataFrame:
     start = F.struct(F.col("p").alias("q"), F.expr("cast(array() as array<struct<size:bigint,tie:bigint,doc_id:bigint,p:double>>)").alias("done"))
 
     def merge(state: Column, new: Column) -> Column:
-        q, share = state["q"], new["size"] / rest
-        taken, left = q + (q - 1) * share, q + q * share
-        drawn = _uniform(seed, new["tie"], new["size"]) < q
+        q, share, p = state["q"], new["size"] / rest, new["p"]
+        taken, left = q + (p - 1) * share, q + p * share
+        drawn = _uniform(seed, new["tie"], new["size"]) < p
         # Only a choice that keeps q a fraction is possible; if none does, the nearer one is made.
         take = (
             F.when(rest == 0, drawn).when((taken >= 0) & (left > 1), True).when((taken < 0) & (left <= 1), False)
