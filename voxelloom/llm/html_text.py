@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 # HTML element names.
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "object", "canvas"}
 SIDE = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head", *RAW}
+BREAKS_NOTHING = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "object", "canvas", "button", "select", "input"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd",
@@ -91,7 +92,7 @@ def parse(page: str) -> list[tuple]:
                     pass
                 if name in CONTENT:  # the end of a content element lies outside it
                     content = stack[-1][2] if stack else False
-            tokens.append(("/" + name, "", side, content, name not in INLINE))
+            tokens.append(("/" + name, "", side, content, name not in INLINE | BREAKS_NOTHING))
             continue
         if name in CLOSES_P and any(entry[0] == "p" for entry in stack) and "p" in [e[0] for e in stack[-8:]]:
             # A new block ends an open paragraph and what is open in it.
@@ -101,7 +102,7 @@ def parse(page: str) -> list[tuple]:
                 _, side, content = stack[-1] if stack else ("", False, False)
         sign, marked = signature(name, attributes)
         marked |= name == "header" and not content
-        tokens.append((sign, "", side or marked, content, name not in INLINE))
+        tokens.append((sign, "", side or marked, content, name not in INLINE | BREAKS_NOTHING))
         if name in RAW:
             lower = page.lower() if lower is None else lower
             end = lower.find("</" + name, at)

@@ -18,7 +18,7 @@ WINDOWS = 128  # filter positions pooled in one chunk: 256 bytes, and 6 more tha
 CHUNK = STRIDE * (WINDOWS - 1) + WIDTH
 FIT_ROWS = 1500  # labelled documents of each class that the network is fitted on, about
 FIT_CHUNKS = 16  # chunks of each of them, spread over its whole text
-EPOCHS, BATCH, RATE = 12, 64, 0.004
+EPOCHS, LEAST_STEPS, BATCH, RATE = 12, 500, 64, 0.004
 KEEP = 0.7
 
 
@@ -74,8 +74,9 @@ def train(
     first, second = ({k: np.zeros_like(v) for k, v in net.items()} for _ in range(2))
     heads = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]])
     step = 0
-    for _ in range(EPOCHS):
-        for picked in np.array_split(rng.permutation(len(label)), max(1, len(label) // BATCH)):
+    batches = max(1, len(label) // BATCH)
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS // batches))):
+        for picked in np.array_split(rng.permutation(len(label)), batches):
             rows = np.concatenate([np.arange(heads[d], heads[d + 1]) for d in picked])
             size = heads[picked + 1] - heads[picked]
             owner = np.repeat(np.arange(len(picked)), size)
