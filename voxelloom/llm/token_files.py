@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelloom.llm import range_coder
-from voxelloom.llm.shared import SpanHasher, pieces, shared_folder, texts_of
+from voxelloom.llm.shared import SpanHasher, pieces, shared_folder, store, texts_of
 
 BLOCK_IDS = 1 << 21
 END_ID = 0
@@ -252,6 +252,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     decoded = blocks.select("file", "block", "doc_ids", "parts", "lasts", "lengths", "payload").mapInArrow(
         run, "file int, block int, place int, doc_id long, part int, last boolean, before long, n long, crc long"
     )
+    decoded = store(decoded, "token-index")  # some numbers a document; else both branches below decode the files
     # Ids before a block: those of earlier files, then those of earlier blocks of its file.
     sizes = blocks.select("file", "block", "n_ids")
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
