@@ -79,10 +79,14 @@ def text_list(text: str) -> Column:
 def training_summary(best: DataFrame, settings: DataFrame, score: str = "best_val_pixAcc") -> DataFrame:
     """Settings and best metrics per run, with the run's place among all runs.
 
+    A run that never saved an epoch stays, with a null epoch and the start scores.
+
     The place is one plus the number of runs with a strictly better score, from a bucketed rank. The
     joined table, one row per run, is stored because the rank reads it again.
     """
-    joined = cut_lineage(settings.join(best, "run"))
+    # The scores before the first epoch.
+    start_scores = {"best_val_pixAcc": 0.0, "best_val_IoU_pos": -1.0}
+    joined = cut_lineage(settings.join(best, "run", "left").fillna(start_scores))
     counted = joined.groupBy(score).agg(F.count(F.lit(1)).alias("_n"), (-F.max(score)).alias("_down"))
     places = rank_rows(counted, [], ["_down"], "_before", weight="_n")
     return joined.join(places.select(score, "_before"), score).withColumn("place", F.col("_before") + 1).drop("_before")
