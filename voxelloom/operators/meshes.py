@@ -203,6 +203,12 @@ def method_summary(records: DataFrame) -> DataFrame:
     )
 
 
+def method_errors(records: DataFrame) -> DataFrame:
+    """Every error text of a method's failed runs with its count; a failure without text has a null one."""
+    failed = records.where(~F.coalesce(F.col("success"), F.lit(False)))
+    return failed.groupBy("method", "error").agg(F.count(F.lit(1)).alias("n"))
+
+
 def method_vs_golden(estimates: DataFrame, methods: list[str]) -> DataFrame:
     """(id, method, estimate) against the golden porosity: error, absolute error and rank within the id.
 

@@ -17,7 +17,8 @@ def write_slices(slices: DataFrame, path: str, z_block: int = 64, mode: str = "o
     directory; volumes stay rows, because a folder per volume would mean one small file each.
     """
     blocked = slices.select(*SLICE_COLUMNS).withColumn("z_block", F.floor(F.col("z") / z_block).cast("int"))
-    blocked.write.mode(mode).partitionBy("z_block").parquet(path)
+    # Rebalanced by block: without it every task writes a small file into every folder; large blocks stay split.
+    blocked.hint("rebalance", "z_block").write.mode(mode).partitionBy("z_block").parquet(path)
 
 
 def read_slices(spark, path: str, first: int | None = None, last: int | None = None, z_block: int = 64) -> DataFrame:
