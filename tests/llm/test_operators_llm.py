@@ -222,6 +222,17 @@ def test_range_coder():
             with pytest.raises(ValueError):
                 range_coder.decode(block[:9] + bytes([block[9] ^ 1]) + block[10:])
     assert len(range_coder.encode(np.tile(np.arange(50, dtype=np.uint32), 2000))) < 20000
+    # Every rank must be found again from the first and last share of its interval, empty contexts and equal ids included.
+    for ids in (np.zeros(5000, np.uint32), rng.integers(0, 2**32, 20000, dtype=np.uint32), np.sort(rng.integers(0, 40, 30000, dtype=np.uint32))):
+        assert (range_coder.decode(range_coder.encode(ids)) == ids).all()
+    model = range_coder.Mixer(32, 60)
+    for _ in range(200):
+        ranks = np.minimum(rng.geometric(0.2, 32) - 1, 59)
+        model.predict(32)
+        begin, size = (x.astype(np.int64) for x in model.interval(ranks))
+        assert (size > 0).all() and (begin + size <= 1 << range_coder.TOTAL_BITS).all()
+        assert (model.rank_at(begin) == ranks).all() and (model.rank_at(begin + size - 1) == ranks).all()
+        model.update(ranks)
 
 
 def test_encoder_equals_tokenizer():

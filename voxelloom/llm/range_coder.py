@@ -1,11 +1,11 @@
-"""Range coder for token ids whose probabilities mix order-0, order-1 and order-2 predictions.
-
-A block names its 4095 most frequent ids; the others are escapes, coded after them. A frequent id is its rank, three
-digits of four bits, an escape is four digits. Every digit has counts under the digits before it (order 0), under those and
-the id before (order 1), and under those and the two ids before (order 2). The three estimates are mixed; the
-mixing weights follow how much each estimate contributed to the digits seen so far, by how often its context was
-met. A block starts with empty counts. Its ids are cut into lanes that are coded side by side with shared counts,
-each into a stream of its own, so one numpy step handles a digit of every lane.
+"""Range coder for token ids whose probabilities mix order-0, order-1 and order-2 predictions of the next id.
+
+A block lists its distinct ids; an id is coded as its rank among them. Order 0 counts every rank. Order 1 (the id
+before) and order 2 (the two ids before) keep, per context, how often it was met and the ranks that followed it
+most, with their counts; what these leave over goes to order 0, so every id of the block always has a share. The three
+predictions are mixed; the weights follow how much each one contributed to the ids seen so far, by how often its
+contexts were met. A block starts with empty counts. Its ids are cut into lanes that are coded side by side with shared
+counts, each into a stream of its own, so one numpy step codes an id of every lane.
 """
 
 from __future__ import annotations
@@ -17,88 +17,128 @@ import numpy as np
 
 LANES = 4096
 LEAST_PER_LANE = 128
-BASE = 16
-RANK_DIGITS, ID_DIGITS = 3, 4
-FIRST_ROW = (0, 1, 17, 273)  # rows of order 0: one per digit place and digits before it
-HASHED_BITS = (16, 17)  # rows of orders 1 and 2, as powers of two
-WITH_RANKS = 1 << 15  # blocks with fewer ids have no table of frequent ones
-PRIOR = (1.0, 0.4, 0.3)  # pseudo-count of a row, spread over the digits
-SCALE = 65000.0
-BUCKETS = 6
+SLOTS = (4, 2)  # following ranks kept per context of orders 1 and 2
+HASHED_BITS = 18  # contexts of order 2, as a power of two
+GAIN = 16  # what one occurrence adds to the order-0 count, which starts at 1
+TOTAL_BITS, BASE_BITS = 30, 24  # sum of all shares of a mix; sum of the order-0 shares
+LEAST_BASE = (1 << BASE_BITS) + (1 << 12)  # order 0 keeps this much of a mix: no id falls to share 0
+BUCKETS = 7
+LEARN_EVERY = 4  # steps between updates of the mixing weights; counts learn at every step
 MASK48, LOW_LIMIT = np.uint64((1 << 48) - 1), np.uint64(1 << 32)
-MAGIC = b"VXT1"
+MAGIC = b"VXT2"
+HEAD = struct.Struct("<IIIII")  # CRC-32 of the ids, number of ids, lanes, distinct ids, bytes of their list
+# Contexts met 0, 1, 2-3, 4-7, 8-15, 16-31 times or more often share mixing weights.
+_BUCKET_OF = np.minimum(np.ceil(np.log2(np.arange(33) + 1)).astype(np.int64), BUCKETS - 1)
 
 
 class Mixer:
-    """Counts, mixing weights and the ids before, of all lanes of one block."""
-
-    def __init__(self, lanes: int, digits: int) -> None:
-        rows = (FIRST_ROW[digits - 1] + BASE ** (digits - 1), *[1 << bits for bits in HASHED_BITS])
-        self.counts = [np.zeros((n, BASE), np.float32) for n in rows]
-        self.sums = [np.zeros(n, np.float32) for n in rows]
-        self.credit = [np.full(digits * BUCKETS * BUCKETS, start) for start in (1.0, 0.6, 0.4)]
-        self.number = np.arange(lanes)
-        self.space: dict[int, tuple] = {}
-        self.before = np.zeros((2, lanes), np.uint32)
-        self.bucket = np.concatenate([[0, 1, 2, 2], np.full(4, 3), np.full(24, 4), [5]]).astype(np.int64)
-
-    def start_id(self, n: int) -> None:
-        """Context hashes for the next id of the first ``n`` lanes."""
-        one, two = self.before[0, :n], self.before[1, :n]
-        self.h1 = one * np.uint32(0x9E3779B1) + np.uint32(0x7F4A7C15)
-        self.h2 = (self.h1 ^ (two * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35)
-        self.prefix = np.zeros(n, np.int64)
-        if n not in self.space:  # work arrays are kept: fresh ones of this size cost page faults at every step
-            self.space = {n: (
-                np.empty((n, BASE), np.float32), [np.empty((BASE, n), np.float32) for _ in range(3)],
-                np.empty((BASE, n), np.float32), np.empty((BASE, n), np.int32), np.empty((BASE, n), np.int32),
-            )}
-
-    def predict(self, place: int) -> tuple[np.ndarray, np.ndarray]:
-        """Integer frequencies of the 16 digits (rows) for every lane (columns), and their running sums."""
-        row0 = self.prefix + FIRST_ROW[place]
-        node = (row0 + 1).astype(np.uint32) * np.uint32(0x27D4EB2F)
-        row1 = (((self.h1 ^ node) * np.uint32(0x165667B1)) >> np.uint32(32 - HASHED_BITS[0])).astype(np.int64)
-        row2 = (((self.h2 ^ node) * np.uint32(0x2545F491)) >> np.uint32(32 - HASHED_BITS[1])).astype(np.int64)
-        self.rows = (row0, row1, row2)
-        s = [sums.take(rows) for sums, rows in zip(self.sums, self.rows)]
-        met = [self.bucket.take(np.minimum(x, np.float32(32)).astype(np.int64)) for x in s[1:]]
-        self.group = (met[0] + place * BUCKETS) * BUCKETS + met[1]
+    """Counts, mixing weights and the ranks before, of all lanes of one block."""
+
+    def __init__(self, lanes: int, alphabet: int) -> None:
+        self.alphabet = alphabet
+        self.count = np.ones(alphabet, np.int64)
+        # A context's record: times met, following ranks, their counts. Rank ``alphabet`` stands before a lane's first id.
+        rows = (alphabet + 1, 1 << HASHED_BITS)
+        self.table = [np.zeros((n, 1 + 2 * k), np.int32) for n, k in zip(rows, SLOTS)]
+        for table, k in zip(self.table, SLOTS):
+            table[:, 1 : 1 + k] = -1  # an empty slot is no rank
+        self.credit = [np.full(BUCKETS * BUCKETS, start) for start in (1.0, 0.6, 0.4)]
+        self.before = np.full((2, lanes), alphabet, np.int64)
+        self.steps = 0
+        self.refresh_every = max(1, alphabet // (2 * lanes))
+
+    def predict(self, m: int) -> None:
+        """Shares of order 0 and of the kept ranks for the next id of the first ``m`` lanes."""
+        if self.steps % self.refresh_every == 0:
+            running = np.concatenate([[0], np.cumsum(self.count)])
+            room = (1 << BASE_BITS) - self.alphabet
+            self.base = running * room // int(running[-1]) + np.arange(self.alphabet + 1)
+        self.steps += 1
+        one, two = self.before[0, :m], self.before[1, :m]
+        mixed = (one * 0x9E3779B1 + two * 0x85EBCA6B + 0x7F4A7C15).astype(np.uint32)
+        mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0xC2B2AE35)
+        self.rows = (one, (mixed >> np.uint32(32 - HASHED_BITS)).astype(np.int64))
+        records = [table.take(rows, axis=0).T.copy() for table, rows in zip(self.table, self.rows)]
+        met = self.met = [record[0] for record in records]
+        bucket = [_BUCKET_OF.take(np.minimum(n, 32)) for n in met]
+        self.group = bucket[0] * BUCKETS + bucket[1]
         weight = [credit.take(self.group) for credit in self.credit]
-        unit = SCALE / (weight[0] + weight[1] + weight[2])
-        gathered, parts, mixed, frequency, sums = self.space[len(row0)]
-        self.parts, base = [], np.float32(1)
-        for k in range(3):
-            each = (weight[k] * unit / (s[k] + np.float32(PRIOR[k]))).astype(np.float32)
-            self.counts[k].take(self.rows[k], axis=0, out=gathered, mode="clip")
-            parts[k][...] = gathered.T
-            parts[k] *= each
-            flat = each * np.float32(PRIOR[k] / BASE)
-            base = base + flat
-            self.parts.append((parts[k], flat))
-        np.add(parts[0], parts[1], out=mixed)
-        mixed += parts[2]
-        mixed += base
-        frequency[...] = mixed
-        sums[0] = frequency[0]
-        for i in range(1, BASE):
-            np.add(sums[i - 1], frequency[i], out=sums[i])
-        return frequency, sums
-
-    def update(self, digit: np.ndarray) -> None:
-        at = digit * len(digit) + self.number[: len(digit)]
-        shares = [part.take(at) + flat for part, flat in self.parts]
-        total = shares[0] + shares[1] + shares[2]
-        for k in range(3):
-            np.add.at(self.counts[k].reshape(-1), self.rows[k] * BASE + digit, np.float32(1))
-            np.add.at(self.sums[k], self.rows[k], np.float32(1))
-            self.credit[k] += np.bincount(self.group, shares[k] / total, len(self.credit[k]))
-        self.prefix = self.prefix * BASE + digit
-
-    def end_id(self, ids: np.ndarray) -> None:
-        n = len(ids)
-        self.before[1, :n] = self.before[0, :n]
-        self.before[0, :n] = ids
+        unit = 1.0 / (weight[0] + weight[1] + weight[2])
+        self.weight = [(w * unit).astype(np.float32) for w in weight]
+        self.per = [np.float32(1) / (n.astype(np.float32) + np.float32(0.4)) for n in met]
+        self.ranks = [record[1 : 1 + k] for record, k in zip(records, SLOTS)]
+        self.counts = [record[1 + k :] for record, k in zip(records, SLOTS)]
+        self.shares = []
+        taken = np.zeros(m, np.int32)
+        for counts, w, per in zip(self.counts, self.weight[1:], self.per):
+            shares = (counts * (w * per * np.float32((1 << TOTAL_BITS) - LEAST_BASE))).astype(np.int32)
+            taken += np.add.reduce(shares, axis=0, dtype=np.int32)
+            self.shares.append(shares)
+        self.base_share = ((1 << TOTAL_BITS) - taken).astype(np.int64)
+
+    def interval(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First share and number of shares of each lane's rank."""
+        narrow = rank.astype(np.int32)
+        begin = (self.base_share * self.base.take(rank)) >> BASE_BITS
+        self.base_size = ((self.base_share * self.base.take(rank + 1)) >> BASE_BITS) - begin
+        size = self.base_size.copy()
+        self.hits = []
+        for ranks, shares in zip(self.ranks, self.shares):
+            begin += np.add.reduce(shares * (ranks < narrow), axis=0, dtype=np.int32)
+            slot, lane = np.nonzero(ranks == narrow)
+            size[lane] += shares[slot, lane]
+            self.hits.append((slot, lane))
+        return begin.view(np.uint64), size.view(np.uint64)
+
+    def rank_at(self, value: np.ndarray) -> np.ndarray:
+        """The rank whose interval holds ``value``, the inverse of ``interval``.
+
+        Kept ranks whose interval begins at or before the value are taken out of it; what is left is a place in the
+        order-0 shares. It is at least the largest of those ranks, whose own shares may hold the value.
+        """
+        ranks, shares = np.concatenate(self.ranks), np.concatenate(self.shares)
+        begin = ((self.base_share * self.base.take(ranks)) >> BASE_BITS).astype(np.int32)
+        for rank, share in zip(ranks, shares):
+            begin += share * (rank < ranks)
+        passed = (begin <= value.astype(np.int32)) & (shares > 0)
+        rest = np.maximum(value - np.add.reduce(shares * passed, axis=0, dtype=np.int32), 0)
+        place = (((rest + 1) << BASE_BITS) - 1) // self.base_share
+        return np.maximum(np.searchsorted(self.base, place, "right") - 1, np.maximum.reduce(ranks * passed, axis=0))
+
+    def update(self, rank: np.ndarray) -> None:
+        """Learn the ranks of this step; lanes that meet in one record all count as met, the last one fills a slot."""
+        m = len(rank)
+        if self.steps % LEARN_EVERY == 0:
+            self._learn_weights()
+        for k, width in enumerate(SLOTS):
+            slot, lane = self.hits[k]
+            flat, first = self.table[k].reshape(-1), self.rows[k] * (1 + 2 * width)
+            np.add.at(flat, first, np.int32(1))
+            np.add.at(flat, first[lane] + (1 + width) + slot, np.int32(1))
+            missed = np.ones(m, bool)
+            missed[lane] = False
+            new = np.flatnonzero(missed)
+            # A rank without a slot wears down the slots in turn and takes one that is worn out.
+            at = first[new] + 1 + self.met[k][new] % width
+            smaller = flat.take(at + width) - 1
+            flat[at + width] = np.maximum(smaller, 1)
+            out = smaller <= 0
+            flat[at[out]] = rank[new[out]]
+        self.count += GAIN * np.bincount(rank, minlength=self.alphabet)
+        self.before[1, :m] = self.before[0, :m]
+        self.before[0, :m] = rank
+
+    def _learn_weights(self) -> None:
+        base = (self.base_size / self.base_share).astype(np.float32)
+        told = [base * self.weight[0]]
+        for k in range(2):
+            slot, lane = self.hits[k]
+            share = (1 - np.add.reduce(self.counts[k], axis=0, dtype=np.int32) * self.per[k]) * base
+            share[lane] += self.counts[k][slot, lane] * self.per[k][lane]
+            told.append(share * self.weight[k + 1])
+        total = 1 / (told[0] + told[1] + told[2])
+        for credit, share in zip(self.credit, told):
+            credit += np.bincount(self.group, share * total, len(credit))
 
 
 def _lanes(n: int, lanes: int) -> tuple[int, int, np.ndarray]:
@@ -110,131 +150,106 @@ def _lanes(n: int, lanes: int) -> tuple[int, int, np.ndarray]:
     return lanes, length, np.where(np.arange(length) < last, lanes, lanes - 1)
 
 
-def _encode_digits(values: np.ndarray, digits: int, lanes: int) -> bytes:
-    """Number of values and lanes, words of each lane's stream, and the streams."""
-    n = len(values)
-    lanes, length, active = _lanes(n, lanes)
-    grid = np.zeros(lanes * length, np.uint32)
-    grid[:n] = values
+def _encode_ranks(values: np.ndarray, alphabet: int, lanes: int, length: int, active: np.ndarray) -> bytes:
+    """Words of each lane's stream, and the streams."""
+    grid = np.zeros(lanes * length, np.int64)
+    grid[: len(values)] = values
     grid = grid.reshape(lanes, length).T.copy()
-    words = np.zeros((digits * length + 4, lanes), np.uint32)
+    words = np.zeros((2 * length + 4, lanes), np.uint32)
     flat, used = words.reshape(-1), np.zeros(lanes, np.int64)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
-    model = Mixer(lanes, digits)
-    number = np.arange(lanes)
+    model = Mixer(lanes, alphabet)
     for step in range(length):
         m = int(active[step])
         now = grid[step, :m]
-        model.start_id(m)
-        for place in range(digits):
-            digit = ((now >> np.uint32(4 * (digits - 1 - place))) & np.uint32(15)).astype(np.int64)
-            frequency, sums = model.predict(place)
-            at = digit * m + number[:m]
-            size = frequency.take(at).astype(np.uint64)
-            begin = sums.take(at).astype(np.uint64) - size
-            unit = span[:m] // sums[-1].astype(np.uint64)
-            low[:m] += unit * begin
-            span[:m] = unit * size
-            over = np.flatnonzero(low[:m] > MASK48)
-            if len(over):  # carry into the last word of the stream
-                flat[(used[over] - 1) * lanes + over] += np.uint32(1)
-                low[over] &= MASK48
-            short = np.flatnonzero(span[:m] < LOW_LIMIT)
+        model.predict(m)
+        begin, size = model.interval(now)
+        unit = span[:m] >> np.uint64(TOTAL_BITS)
+        low[:m] += unit * begin
+        span[:m] = unit * size
+        over = np.flatnonzero(low[:m] > MASK48)
+        if len(over):  # carry into the last word of the stream
+            flat[(used[over] - 1) * lanes + over] += np.uint32(1)
+            low[over] &= MASK48
+        short = np.flatnonzero(span[:m] < LOW_LIMIT)
+        while len(short):
             flat[used[short] * lanes + short] = (low[short] >> np.uint64(32)).astype(np.uint32)
             used[short] += 1
             low[short] = (low[short] << np.uint64(16)) & MASK48
             span[short] <<= np.uint64(16)
-            model.update(digit)
-        model.end_id(now)
+            short = short[span[short] < LOW_LIMIT]
+        model.update(now)
     for shift in (32, 16, 0):
-        flat[used * lanes + number] = ((low >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint32)
+        flat[used * lanes + np.arange(lanes)] = ((low >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint32)
         used += 1
     for row in range(len(words) - 1, 0, -1):
         words[row - 1] += words[row] >> np.uint32(16)
         words[row] &= np.uint32(0xFFFF)
     inside = np.arange(len(words))[:, None] < used
-    return struct.pack("<IH", n, lanes) + used.astype("<u4").tobytes() + words.T[inside.T].astype("<u2").tobytes()
+    return used.astype("<u4").tobytes() + words.T[inside.T].astype("<u2").tobytes()
 
 
-def _decode_digits(body: bytes, at: int, digits: int) -> tuple[np.ndarray, int]:
-    """The values that ``_encode_digits`` wrote at ``at``, and where its bytes end."""
-    n, lanes = struct.unpack_from("<IH", body, at)
-    same, length, active = _lanes(n, lanes)
-    if same != lanes:
-        raise ValueError("damaged token block")
-    used = np.frombuffer(body, "<u4", lanes, at + 6).astype(np.int64)
-    start = at + 6 + 4 * lanes
-    end = start + 2 * int(used.sum())
-    # Streams may be read past their end by one word at the last digits.
-    words = np.concatenate([np.frombuffer(body[start:end], "<u2"), np.zeros(4, "<u2")]).astype(np.uint64)
+def _decode_ranks(body: bytes, at: int, n: int, alphabet: int, lanes: int, length: int, active: np.ndarray) -> np.ndarray:
+    """The ranks that ``_encode_ranks`` wrote at ``at``."""
+    used = np.frombuffer(body, "<u4", lanes, at).astype(np.int64)
+    # Streams may be read past their end by a few words at the last ids.
+    words = np.concatenate([np.frombuffer(body, "<u2", int(used.sum()), at + 4 * lanes), np.zeros(4, "<u2")]).astype(np.uint64)
     place_in = np.cumsum(used) - used
     code = np.zeros(lanes, np.uint64)
     for _ in range(3):
         code = (code << np.uint64(16)) | words[place_in]
         place_in += 1
     span = np.full(lanes, 1 << 48, np.uint64)
-    grid = np.zeros((length, lanes), np.uint32)
-    model = Mixer(lanes, digits)
+    grid = np.zeros((length, lanes), np.int64)
+    model = Mixer(lanes, alphabet)
     for step in range(length):
         m = int(active[step])
-        model.start_id(m)
-        for place in range(digits):
-            frequency, sums = model.predict(place)
-            total = sums[-1]
-            unit = span[:m] // total.astype(np.uint64)
-            value = np.minimum(code[:m] // unit, (total - 1).astype(np.uint64)).astype(np.int32)
-            digit = np.add.reduce((sums <= value).view(np.int8), axis=0, dtype=np.int8).astype(np.int64)
-            here = digit * m + model.number[:m]
-            size = frequency.take(here).astype(np.uint64)
-            begin = sums.take(here).astype(np.uint64) - size
-            code[:m] -= unit * begin
-            span[:m] = unit * size
-            short = np.flatnonzero(span[:m] < LOW_LIMIT)
-            code[short] = (code[short] << np.uint64(16)) | words[place_in[short]]
+        model.predict(m)
+        unit = span[:m] >> np.uint64(TOTAL_BITS)
+        now = model.rank_at(np.minimum((code[:m] // unit).astype(np.int64), (1 << TOTAL_BITS) - 1))
+        begin, size = model.interval(now)
+        code[:m] -= unit * begin
+        span[:m] = unit * size
+        short = np.flatnonzero(span[:m] < LOW_LIMIT)
+        while len(short):
+            code[short] = (code[short] << np.uint64(16)) | words[np.minimum(place_in[short], len(words) - 1)]
             place_in[short] += 1
             span[short] <<= np.uint64(16)
-            model.update(digit)
-        now = model.prefix.astype(np.uint32)
+            short = short[span[short] < LOW_LIMIT]
         grid[step, :m] = now
-        model.end_id(now)
-    return (grid.T.reshape(-1)[:n].copy() if n else np.zeros(0, np.uint32)), end
+        model.update(now)
+    return grid.T.reshape(-1)[:n]
 
 
 def encode(ids: np.ndarray, lanes: int = LANES) -> bytes:
-    """A self-contained block: head, frequent ids, streams, and a checksum of all of it."""
+    """A self-contained block: head, distinct ids, streams, and a checksum of all of it. Ids are 32-bit."""
     ids = np.ascontiguousarray(ids, np.uint32)
-    if len(ids) and ids.max() >= BASE**ID_DIGITS:
-        raise ValueError("ids of 65536 and more do not fit this format")
-    frequent = np.zeros(0, np.int64)
-    if len(ids) >= WITH_RANKS:
-        count = np.bincount(ids, minlength=BASE**ID_DIGITS)
-        order = np.argsort(-count, kind="stable")[: BASE**RANK_DIGITS - 1]
-        frequent = order[count[order] > 0]
-    body = MAGIC + struct.pack("<IH", zlib.crc32(ids.astype("<u4").tobytes()), len(frequent)) + frequent.astype("<u2").tobytes()
-    if len(frequent):
-        rank = np.zeros(BASE**ID_DIGITS, np.uint32)
-        rank[frequent] = np.arange(1, len(frequent) + 1)
-        ranks = rank[ids]
-        body += _encode_digits(ranks, RANK_DIGITS, lanes) + _encode_digits(ids[ranks == 0], ID_DIGITS, lanes)
+    lanes, length, active = _lanes(len(ids), lanes)
+    if len(ids) and ids.max() < 1 << 20:  # ids of a vocabulary: counted, not sorted
+        present = np.bincount(ids) > 0
+        distinct, ranks = np.flatnonzero(present).astype(np.uint32), (np.cumsum(present) - 1)[ids]
     else:
-        body += _encode_digits(ids, ID_DIGITS, lanes)
+        distinct, ranks = np.unique(ids, return_inverse=True)
+    if len(distinct) > 1 << (BASE_BITS - 1):
+        raise ValueError("more distinct ids than a block can hold: use smaller blocks")
+    listed = zlib.compress(np.diff(distinct, prepend=np.uint32(0)).astype("<u4").tobytes())
+    body = MAGIC + HEAD.pack(zlib.crc32(ids.astype("<u4").tobytes()), len(ids), lanes, len(distinct), len(listed)) + listed
+    if len(ids):
+        body += _encode_ranks(ranks, len(distinct), lanes, length, active)
     return body + struct.pack("<I", zlib.crc32(body))
 
 
 def decode(block: bytes) -> np.ndarray:
     """The ids of a block as ``uint32``; a damaged block raises ``ValueError``."""
     body = block[:-4]
-    if len(block) < 20 or block[:4] != MAGIC or struct.unpack("<I", block[-4:])[0] != zlib.crc32(body):
+    if len(block) < 8 + HEAD.size or block[:4] != MAGIC or struct.unpack("<I", block[-4:])[0] != zlib.crc32(body):
         raise ValueError("damaged token block")
-    check, n = struct.unpack_from("<IH", body, 4)
-    at = 10 + 2 * n
+    check, n, lanes, alphabet, size = HEAD.unpack_from(body, 4)
+    at = 4 + HEAD.size + size
+    ids = np.zeros(0, np.uint32)
     if n:
-        value = np.concatenate([[0], np.frombuffer(body, "<u2", n, 10)]).astype(np.uint32)
-        ranks, at = _decode_digits(body, at, RANK_DIGITS)
-        ids = value[ranks]
-        ids[ranks == 0], _ = _decode_digits(body, at, ID_DIGITS)
-    else:
-        ids, _ = _decode_digits(body, at, ID_DIGITS)
+        distinct = np.cumsum(np.frombuffer(zlib.decompress(body[at - size : at]), "<u4"), dtype=np.uint32)
+        ids = distinct[_decode_ranks(body, at, n, alphabet, *_lanes(n, lanes))]
     if zlib.crc32(ids.astype("<u4").tobytes()) != check:
         raise ValueError("damaged token block")
     return ids
