@@ -24,13 +24,23 @@ def image_of(row) -> np.ndarray:
     return np.frombuffer(row.data, dtype=np.dtype(row.dtype)).reshape(row.h, row.w)
 
 
+def whole_pixels(row) -> np.ndarray:
+    """The 2D array of a ``slices`` row whose pixels are whole numbers of 32 bits at most; others raise."""
+    image = image_of(row)
+    if image.dtype.kind not in "bui":
+        raise ValueError(f"{row.volume_id}, z = {row.z}: {row.dtype} pixels are no whole numbers; bring them to bytes first")
+    if image.dtype.itemsize > 2 and image.size and (image.max() > 2**31 - 1 or image.min() < -(2**31)):
+        raise ValueError(f"{row.volume_id}, z = {row.z}: pixel values beyond 32 bits")
+    return image
+
+
 def slices_to_voxels(slices: DataFrame) -> DataFrame:
-    """Unpack 8-bit slices to one row per pixel. Narrow: no shuffle."""
+    """Unpack slices of whole numbers to one row per pixel. Narrow: no shuffle."""
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                pixels = np.frombuffer(row.data, dtype=np.uint8)
+                pixels = whole_pixels(row).ravel()
                 position = np.arange(pixels.size)
                 yield pd.DataFrame(
                     {
@@ -42,17 +52,23 @@ def slices_to_voxels(slices: DataFrame) -> DataFrame:
                     }
                 )
 
-    return slices.select("volume_id", "z", "w", "data").mapInPandas(unpack, VOXEL_SCHEMA)
+    return slices.select("volume_id", "z", "h", "w", "dtype", "data").mapInPandas(unpack, VOXEL_SCHEMA)
 
 
 def slices_to_hist(slices: DataFrame) -> DataFrame:
-    """Count pixel values per 8-bit slice inside the scan's own tasks.
+    """Count pixel values per slice inside the scan's own tasks.
 
-    One pass over the bytes and no shuffle: a slice is one row, so its counts are already complete.
+    One pass over the bytes and no shuffle: a slice is one row, so its counts are already complete. An 8-bit
+    slice gives at most 256 rows, a 16-bit one 65,536; fractional pixels raise.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            is_byte = batch["dtype"].isin(["uint8", "bool"])
+            for row in batch[~is_byte].itertuples(index=False):
+                values, counts = np.unique(whole_pixels(row), return_counts=True)
+                yield pd.DataFrame({"volume_id": row.volume_id, "z": np.int32(row.z), "v": values.astype(np.int32), "n": counts})
+            batch = batch[is_byte]
             if batch.empty:
                 continue
             pixels = np.frombuffer(b"".join(batch["data"]), dtype=np.uint8)
@@ -68,7 +84,7 @@ def slices_to_hist(slices: DataFrame) -> DataFrame:
                 }
             )
 
-    return slices.select("volume_id", "z", "data").mapInPandas(count, HIST_SCHEMA)
+    return slices.select("volume_id", "z", "h", "w", "dtype", "data").mapInPandas(count, HIST_SCHEMA)
 
 
 def voxels_to_hist(voxels: DataFrame, value: str = "v") -> DataFrame:
@@ -189,6 +205,17 @@ def manifest(slices: DataFrame) -> DataFrame:
     )
 
 
+def extent(slices: DataFrame) -> DataFrame:
+    """(volume_id, first_z, n_slices, h_max, w_max) of whole volumes; gaps, repeated z and mixed sizes raise."""
+    found = slices.groupBy("volume_id").agg(
+        F.min("z").alias("first_z"), (F.max("z") - F.min("z") + 1).cast("int").alias("n_slices"), F.count(F.lit(1)).alias("_rows"),
+        F.count_distinct("z").alias("_places"), F.min("h").alias("_h"), F.max("h").alias("h_max"), F.min("w").alias("_w"), F.max("w").alias("w_max"),
+    )
+    whole = (F.col("_rows") == F.col("n_slices")) & (F.col("_places") == F.col("n_slices")) & (F.col("_h") == F.col("h_max")) & (F.col("_w") == F.col("w_max"))
+    fault = F.raise_error(F.concat(F.lit("slices missing, repeated or of several sizes in volume "), "volume_id")).cast("int")
+    return found.select("volume_id", "first_z", F.when(whole, F.col("n_slices")).otherwise(fault).alias("n_slices"), "h_max", "w_max")
+
+
 def compare_manifests(left: DataFrame, right: DataFrame) -> DataFrame:
     """Do two stacks agree on slice count and on slice size? One row per volume of either side."""
     a, b = manifest(left).alias("a"), manifest(right).alias("b")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelloom.layouts import SLICE_COLUMNS, SLICE_SCHEMA
+from voxelloom.layouts import SLICE_COLUMNS, SLICE_SCHEMA, whole_pixels
 
 SLICE = ["volume_id", "z"]
 
@@ -47,10 +47,17 @@ def value_histogram(
 
 
 def edge_histogram(values: DataFrame, keys: list[str], v: str, edges: list[float]) -> DataFrame:
-    """Counts between explicit increasing edges; the last bin includes its right edge."""
+    """Counts between explicit increasing edges, empty bins included; the last bin includes its right edge.
+
+    Every key has all its bins, also one whose values are all outside or null.
+    """
     inside = F.col(v).between(edges[0], edges[-1])
     below = sum(((F.col(v) >= F.lit(e)).cast("int") for e in edges[1:-1]), F.lit(0))
-    return values.where(inside).groupBy(*keys, below.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counted = values.groupBy(*keys, F.when(inside, below).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    entry = F.when(F.col("bin").isNotNull(), F.struct("bin", "n"))  # collect_list leaves out nulls
+    packed = counted.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_counts"))
+    spread = packed.select(*keys, "_counts", F.explode(F.sequence(F.lit(0), F.lit(len(edges) - 2))).alias("bin"))
+    return spread.select(*keys, "bin", F.coalesce(F.element_at("_counts", F.col("bin")), F.lit(0)).alias("n"))
 
 
 def log_edges(low: float, high: float, n: int) -> list[float]:
@@ -127,9 +134,9 @@ def otsu_pores(slices: DataFrame, slice_hist: DataFrame) -> DataFrame:
         for batch in batches:
             packed = []
             for row in batch.itertuples(index=False):
-                unit = np.frombuffer(row.data, np.uint8) / max(row.top, 1)
+                unit = whole_pixels(row) / max(row.top, 1)
                 packed.append((unit < row.threshold).astype(np.uint8).tobytes())
-            yield batch[SLICE_COLUMNS].assign(data=packed)
+            yield batch[SLICE_COLUMNS].assign(dtype="uint8", data=packed)
 
     return slices.join(limits, SLICE).mapInPandas(mark, SLICE_SCHEMA)
 

@@ -165,18 +165,22 @@ def nearest_neighbour_distance(a: DataFrame, b: DataFrame, keys: list[str] = ["c
 
 
 def chamfer_hausdorff(a: DataFrame, b: DataFrame, keys: list[str] = ["cloud"]) -> DataFrame:
-    """Mean of the two directed mean nearest distances, and the larger of the two directed maxima."""
+    """Mean of the two directed mean nearest distances, and the larger of the two directed maxima.
+
+    One row per cloud of either side; ``status`` is ``one_sided``, without distances, where the other side has none.
+    """
 
     def directed(p: DataFrame, q: DataFrame, name: str) -> DataFrame:
         mean = F.sum(F.col("distance") * F.col("n")) / F.sum("n")
-        return nearest_neighbour_distance(p, q, keys).where("distance IS NOT NULL").groupBy(*keys).agg(
+        return nearest_neighbour_distance(p, q, keys).groupBy(*keys).agg(
             mean.alias(f"mean_{name}"), F.max("distance").alias(f"max_{name}")
         )
 
-    both = directed(a, b, "ab").join(directed(b, a, "ba"), keys)
+    both = directed(a, b, "ab").join(directed(b, a, "ba"), keys, "full")
     return both.select(
         *keys, ((F.col("mean_ab") + F.col("mean_ba")) / 2).alias("chamfer_distance"),
-        F.greatest("max_ab", "max_ba").alias("hausdorff_distance"),
+        F.when(F.col("max_ab").isNotNull(), F.greatest("max_ab", "max_ba")).alias("hausdorff_distance"),
+        F.when(F.col("max_ab").isNull() | F.col("max_ba").isNull(), "one_sided").otherwise("ok").alias("status"),
     )
 
 

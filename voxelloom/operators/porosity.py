@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelloom.layouts import whole_pixels
+
 VOLUME = ["volume_id"]
 SLICE = ["volume_id", "z"]
 
@@ -176,16 +178,17 @@ def joint_hist_of_slices(stack: DataFrame, mask: DataFrame, region_above: int =
         for batch in batches:
             for row in batch.itertuples(index=False):
                 h, w = min(row.h, row.mask_h), min(row.w, row.mask_w)
-                image = np.frombuffer(row.data, np.uint8).reshape(row.h, row.w)[:h, :w]
-                inside = np.frombuffer(row.mask, np.uint8).reshape(row.mask_h, row.mask_w)[:h, :w] > region_above
-                counts = np.bincount((image + 256 * inside.astype(np.int64)).ravel(), minlength=512)
-                cell = np.flatnonzero(counts)
+                image = whole_pixels(row)[:h, :w].astype(np.int64)
+                inside = np.frombuffer(row.mask, np.dtype(row.mask_dtype)).reshape(row.mask_h, row.mask_w)[:h, :w] > region_above
+                cell, counts = np.unique(2 * image + inside, return_counts=True)
                 yield pd.DataFrame(
-                    {"volume_id": row.volume_id, "z": np.int32(row.z), "v": cell % 256, "region": cell >= 256, "n": counts[cell]}
+                    {"volume_id": row.volume_id, "z": np.int32(row.z), "v": cell // 2, "region": cell % 2 == 1, "n": counts}
                 )
 
-    masks = mask.select("volume_id", "z", F.col("h").alias("mask_h"), F.col("w").alias("mask_w"), F.col("data").alias("mask"))
-    pairs = stack.select("volume_id", "z", "h", "w", "data").join(masks, ["volume_id", "z"])
+    masks = mask.select(
+        "volume_id", "z", F.col("h").alias("mask_h"), F.col("w").alias("mask_w"), F.col("dtype").alias("mask_dtype"), F.col("data").alias("mask")
+    )
+    pairs = stack.select("volume_id", "z", "h", "w", "dtype", "data").join(masks, ["volume_id", "z"])
     return pairs.mapInPandas(count, "volume_id string, z int, v int, region boolean, n bigint")
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.layouts import SLICE_COLUMNS, SLICE_SCHEMA, manifest
+from voxelloom.layouts import SLICE_COLUMNS, SLICE_SCHEMA, extent
 from voxelloom.session import broadcast_if_small
 
 PART_SCHEMA = "volume_id string, z int, strip int, part int, h int, w int, data binary"
@@ -49,7 +49,7 @@ def plane_samples(at_z: np.ndarray, at_x: np.ndarray, inside: np.ndarray, shape:
 
 
 def turned_depth(volumes: DataFrame, angle: float, swap_before: bool = False, swap_after: bool = False) -> DataFrame:
-    """(volume_id, n_slices, w_max) of the rotated stacks, from the manifest of the input alone."""
+    """(volume_id, n_slices, w_max) of the rotated stacks, from those of the input alone."""
     out = _out_sizes(F.col("n_slices"), F.col("w_max"), angle, swap_before)
     depth, width = (out[1], out[0]) if swap_after else out
     return volumes.select("volume_id", depth.alias("n_slices"), width.alias("w_max"))
@@ -68,12 +68,17 @@ def rotate_plane(
     """Rotate 8-bit stacks by ``angle`` degrees in (z, x), output grown to fit, outside 0.
 
     Bytes round to nearest; ``binary=True`` gives 1 above one half. ``swap_before`` / ``swap_after``
-    exchange the z and x axes on the way in or out. Slices must be dense in z and of one size.
-    ``volumes`` (volume_id, n_slices) saves the count of the slices when it is known.
+    exchange the z and x axes on the way in or out. A volume may start at any z, the result starts at 0.
+    Slices must be dense in z and of one size; others raise. ``volumes`` (volume_id, n_slices) saves that
+    check where the slices are known to be whole and to start at 0.
     """
     c, s = float(np.cos(np.deg2rad(angle))), float(np.sin(np.deg2rad(angle)))
-    depth = (manifest(slices) if volumes is None else volumes).select("volume_id", F.col("n_slices").cast("int").alias("n"))
-    sized = slices.select("volume_id", "z", "h", "w", "data").join(broadcast_if_small(depth, 500_000), "volume_id")
+    known = extent(slices) if volumes is None else volumes.withColumn("first_z", F.lit(0))
+    depth = known.select("volume_id", "first_z", F.col("n_slices").cast("int").alias("n"))
+    is_byte = F.col("dtype").isin("uint8", "bool")
+    data = F.when(is_byte, F.col("data")).otherwise(F.raise_error(F.lit("only 8-bit slices can be turned")).cast("binary")).alias("data")
+    sized = slices.select("volume_id", "z", "h", "w", data).join(broadcast_if_small(depth, 500_000), "volume_id")
+    sized = sized.withColumn("z", F.col("z") - F.col("first_z"))
 
     # The two ends of a turned line, in output pixels, give the tiles it may touch.
     out_z, out_x = _out_sizes(F.col("n"), F.col("w"), angle, swap_before)

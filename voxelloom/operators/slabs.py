@@ -27,8 +27,10 @@ def map_slabs(
     """Run ``kernel(volume[z, y, x]) -> same shape`` on every z-block and keep the block's own slices.
 
     The kernel gets ``halo`` more slices on each side. Past the ends of the volume they are zero
-    (``border='zero'``) or mirrored (``border='mirror'``). Slices of a volume must be dense in z and of
-    one size. Columns named in ``extra`` are handed to the kernel as a dict of the group's first row.
+    (``border='zero'``) or mirrored (``border='mirror'``). A volume may start at any z. Its slices must be
+    of one size and type and dense in z: a gap, a repeated z or a second size within a block's reach raises
+    (``layouts.extent`` checks whole volumes). Columns named in ``extra`` are handed to the kernel as a dict
+    of the group's first row.
     """
     extra = extra or []
 
@@ -38,21 +40,23 @@ def map_slabs(
         core = pdf["z"].between(first, first + block - 1)
         if not core.any():
             return pdf.loc[core, SLICE_COLUMNS]
+        if (pdf["z"].diff().iloc[1:] != 1).any():
+            raise ValueError(f"volume {key[0]}: slices are missing or repeated between z = {pdf['z'].min()} and {pdf['z'].max()}")
+        if (pdf[["h", "w", "dtype"]].nunique() > 1).any():
+            raise ValueError(f"volume {key[0]}: slices of several sizes or types")
         h, w = int(pdf["h"].iat[0]), int(pdf["w"].iat[0])
         volume = np.frombuffer(b"".join(pdf["data"]), np.dtype(pdf["dtype"].iat[0])).reshape(len(pdf), h, w)
-        lowest, highest = int(pdf["z"].iat[0]), int(pdf["z"].iat[-1])
-        own_last = int(pdf.loc[core, "z"].iat[-1])
-        missing = (max(0, halo - (first - lowest)), max(0, halo - (highest - own_last)))
+        own_z = pdf.loc[core, "z"]
+        lead, trail = int(own_z.iat[0] - pdf["z"].iat[0]), int(pdf["z"].iat[-1] - own_z.iat[-1])
         mode = {"zero": "constant", "mirror": "symmetric"}[border]
-        padded = np.pad(volume, (missing, (0, 0), (0, 0)), mode=mode)
-        at = first - lowest + missing[0]
+        padded = np.pad(volume, ((halo - lead, halo - trail), (0, 0), (0, 0)), mode=mode)
         args = [{name: pdf[name].iat[0] for name in extra}] if extra else []
-        result = np.asarray(kernel(padded, *args))[at : at + int(core.sum())]
+        result = np.asarray(kernel(padded, *args))[halo : halo + len(own_z)]
         own = pdf.loc[core, SLICE_COLUMNS]
         return own.assign(dtype=str(result.dtype), data=[np.ascontiguousarray(image).tobytes() for image in result])
 
     blocks = F.sequence(F.floor((F.col("z") - halo) / block), F.floor((F.col("z") + halo) / block))
-    copies = slices.select(*SLICE_COLUMNS, *extra, F.explode(blocks).alias("_block")).where("_block >= 0")
+    copies = slices.select(*SLICE_COLUMNS, *extra, F.explode(blocks).alias("_block"))
     return copies.groupBy("volume_id", "_block").applyInPandas(run, SLICE_SCHEMA)
 
 

@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.functions import pixels
-from voxelloom.layouts import manifest, map_slices, slices_to_hist
+from voxelloom.layouts import SLICE_COLUMNS, extent, map_slices, slices_to_hist
 from voxelloom.operators import histograms, images, porosity, psd, rotation, slabs
 from voxelloom.operators.training import ref_slice
-from voxelloom.session import cut_lineage
+from voxelloom.session import broadcast_if_small, cut_lineage
 
 
 def analyze_porosity(slices: DataFrame, encoding: str = "auto", percent: bool = True, **rule) -> DataFrame:
@@ -70,9 +70,11 @@ def segment_volume(
 
     Histogram matching to the middle slice, turn and reslice along the streaks, per-slice rule, opening
     and closing, smoothing, turn back, optional window of slices. ``compat`` keeps byte arithmetic in the
-    blur and lets the gradient wrap at 256.
+    blur and lets the gradient wrap at 256. A stack may start at any z; the result starts at 0.
     """
-    volumes = cut_lineage(manifest(slices).select("volume_id", "n_slices", "w_max"))
+    volumes = cut_lineage(extent(slices).select("volume_id", "first_z", "n_slices", "w_max"))
+    from_zero = slices.join(broadcast_if_small(volumes.select("volume_id", "first_z"), 500_000), "volume_id")
+    slices = from_zero.withColumn("z", F.col("z") - F.col("first_z")).select(*SLICE_COLUMNS)
     middle = ref_slice(volumes)
     table = histograms.match_histogram(cut_lineage(slices_to_hist(slices)), middle)
     matched = histograms.apply_lookup(slices, table)

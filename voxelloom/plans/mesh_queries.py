@@ -69,7 +69,7 @@ def nearest_neighbour_distance(spark, sf):
 
 
 @query(f"""WITH {POINTS}, {nearest_sql('ab', 'pa', 'pb')}, {nearest_sql('ba', 'pb', 'pa')}
-SELECT cloud, round((a + b) / 2, 6) AS chamfer_distance, round(greatest(c, d), 6) AS hausdorff_distance FROM
+SELECT cloud, round((a + b) / 2, 6) AS chamfer_distance, round(greatest(c, d), 6) AS hausdorff_distance, 'ok' AS status FROM
 (SELECT cloud, avg(d) AS a, max(d) AS c FROM ab GROUP BY 1) JOIN (SELECT cloud, avg(d) AS b, max(d) AS d FROM ba GROUP BY 1) USING (cloud)""")
 def chamfer_hausdorff(spark, sf):
     return plain(meshes.chamfer_hausdorff(testdata.points(spark, sf, 0), testdata.points(spark, sf, 3)))

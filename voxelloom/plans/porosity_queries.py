@@ -234,7 +234,8 @@ def value_histogram(spark, sf):
 
 @query("""WITH e AS (SELECT i, 0.05::DOUBLE * pow(100.0::DOUBLE, i / 11.0::DOUBLE) AS a, 0.05::DOUBLE * pow(100.0::DOUBLE, (i + 1) / 11.0::DOUBLE) AS b FROM range(11) r(i)),
 s AS (SELECT l_suppkey, l_extendedprice / 20000 AS v FROM lineitem)
-SELECT l_suppkey, i::BIGINT AS bin, count(*)::BIGINT AS n FROM s JOIN e ON v >= a AND v < b GROUP BY 1, 2""")
+SELECT k.l_suppkey, e.i::BIGINT AS bin, count(v)::BIGINT AS n FROM (SELECT DISTINCT l_suppkey FROM s) k CROSS JOIN e
+LEFT JOIN s ON s.l_suppkey = k.l_suppkey AND v >= a AND v < b GROUP BY 1, 2""")
 def edge_histogram(spark, sf):
     sizes = testdata.table(spark, sf, "lineitem").select("l_suppkey", (F.col("l_extendedprice") / 20000).alias("v"))
     return plain(histograms.edge_histogram(sizes, ["l_suppkey"], "v", histograms.log_edges(0.05, 5.0, 12)))

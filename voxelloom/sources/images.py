@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,8 @@ def read_images(
     Columns: ``path, name, status, h, w, channels, data``. Unreadable files are dropped, or kept with
     status ``corrupt`` when asked for.
     """
-    reader = spark.read.format("image")
+    wanted = ["".join(f"[{c}{c.upper()}]" for c in suffix.lower()) for suffix in suffixes or IMAGE_SUFFIXES]
+    reader = spark.read.format("image").option("pathGlobFilter", "*.{" + ",".join(wanted) + "}")  # others are not even decoded
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     images = reader.load(path)
@@ -83,6 +85,20 @@ def gray_slices(images: DataFrame, volume_id: Column, z: Column, gray: str = "lu
     return rows.mapInPandas(convert, SLICE_SCHEMA)
 
 
+def folders_told_apart(paths: str | list[str]) -> int:
+    """How many of its last folders name a volume, so that folders found by these paths or globs have different names.
+
+    Everything below the part that all paths share and that holds no pattern counts: ``data/*/stack`` gives
+    ``a/stack``, ``data/stacks/*`` gives ``a``, one plain folder its own name.
+    """
+    parts = [[p for p in path.split("/") if p] for path in ([paths] if isinstance(paths, str) else paths)]
+    parts = [p[:-1] if re.search(r"\.(\w+|\{.*\})$", p[-1]) and len(p) > 1 else p for p in parts]  # a pattern of file names
+    shared = 0
+    while all(shared < len(p) - 1 and p[shared] == parts[0][shared] and not set(p[shared]) & set("*?[{") for p in parts):
+        shared += 1
+    return max(len(p) for p in parts) - shared
+
+
 def folder_of(path: str | Column = "path") -> Column:
     """The name of the folder a file lies in, used as volume id."""
     return F.element_at(F.split(path, "/"), -2)
@@ -97,9 +113,11 @@ def slice_index(files: DataFrame, name: str = "name", keys: tuple[str, ...] = ("
 def read_slice_folder(spark: SparkSession, path: str | list[str], gray: str = "luma") -> DataFrame:
     """A folder (or glob of folders) of images as slices, z in file-name order. Empty input is an error.
 
-    The pictures are decoded once into a checkpoint; the ranking then reads only its names.
+    A volume is a folder, named by the folders that tell it apart (``folders_told_apart``). The pictures are decoded once into a checkpoint; the ranking then reads only its names.
     """
-    pictures = read_images(spark, path).withColumn("volume_id", folder_of())
+    depth = folders_told_apart(path)
+    folders = F.array_join(F.slice(F.split("path", "/"), -1 - depth, depth), "/")
+    pictures = read_images(spark, path).withColumn("volume_id", folders)
     decoded = cut_lineage(gray_slices(pictures, F.col("volume_id"), F.lit(0), gray))
     numbered = slice_index(decoded.select("volume_id", "name"))
     if not numbered.head(1):
@@ -108,12 +126,22 @@ def read_slice_folder(spark: SparkSession, path: str | list[str], gray: str = "l
 
 
 def read_slice_tree(spark: SparkSession, root: str, gray: str = "luma") -> DataFrame:
-    """All images under ``root``; the relative path is the slice name."""
+    """All images under ``root``; the relative path is the slice name.
+
+    A volume is a folder, named by its path below the root (the root's own name for files in it), z in file-name order.
+    """
     images = read_images(spark, root, recursive=True)
-    anchor = "/" + root.strip("/").split("/")[-1] + "/"
-    relative = F.substring_index("path", anchor, -1)
-    named = images.withColumn("name", relative).withColumn("volume_id", folder_of())
-    return gray_slices(named, F.col("volume_id"), F.lit(0), gray)
+    plain = re.sub(r"^\w+:/*", "", root).strip("/").removeprefix("./")
+    anchor = f"/{plain}/"
+    relative = F.expr(f"substring(path, locate({_quoted(anchor)}, path) + {len(anchor)})")
+    below = F.regexp_extract("name", "^(.*)/[^/]*$", 1)
+    named = images.withColumn("name", relative).withColumn("volume_id", F.when(below == "", plain.split("/")[-1]).otherwise(below))
+    decoded = cut_lineage(gray_slices(named, F.col("volume_id"), F.lit(0), gray))
+    return decoded.drop("z").join(slice_index(decoded.select("volume_id", "name")), ["volume_id", "name"]).select(*SLICE_COLUMNS)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def read_npy_volumes(spark: SparkSession, path: str | list[str]) -> DataFrame:

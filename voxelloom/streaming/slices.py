@@ -20,7 +20,12 @@ def read_arriving_slices(spark: SparkSession, path: str, files_per_trigger: int
 
 
 def write_slice_porosity(slices: DataFrame, path: str, checkpoint: str, encoding: str = "u8", **rule) -> StreamingQuery:
-    """Append the porosity of every new slice to Parquet; ends when the folder's present files are done."""
+    """Append the porosity of every new slice to Parquet; ends when the folder's present files are done.
+
+    The encoding must be named: ``auto`` judges a volume by its largest value, which would depend on how files arrive.
+    """
+    if encoding == "auto":
+        raise ValueError("name the encoding of arriving slices; auto needs whole volumes")
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         marked = porosity.pore_mask(slices_to_hist(batch), encoding=encoding, **rule)
