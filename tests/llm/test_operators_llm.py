@@ -349,6 +349,24 @@ def test_html_on_given_pages(spark, sf_dir):
         assert r.text == "\n".join(b for b in blocks if b)
 
 
+def test_html_scan_decides_without_content_elements(spark):
+    filler = [f"<body><nav><ul><li>a{i}</li></ul></nav><article><h1>head</h1><p>some more words here</p></article><footer>f</footer></body>" for i in range(5)]
+    main = "<div class='story'><p>the main text of this page has many words</p><p>and a second block of it</p></div>"
+    cases = {
+        "aside": f"<body>{main}<aside><article><p>teaser one</p></article></aside></body>",
+        "nav": f"<body><nav><article><a>teaser</a></article></nav>{main}</body>",
+        "comments": f"<body>{main}<article class='comment'><p>reader says this</p></article><article id='comment-7'><p>me too</p></article></body>",
+        "card": f"<body>{main}<nav><ul><li>x</li><li>y</li></ul></nav><article><p>short card</p></article></body>",
+        "outside": "<body><article><h1>head</h1><p>the main text has many words</p></article><p>and goes on after its element ends here</p></body>",
+    }
+    rows = [(i, page, page) for i, page in enumerate(filler)] + [(10, name, page) for name, page in cases.items()]
+    found = {r.url: r.text.split() for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = "the main text of this page has many words and a second block of it".split()
+    assert all(found[name] == whole for name in ("aside", "nav", "comments", "card"))
+    assert found["outside"] == "head the main text has many words and goes on after its element ends here".split()
+    assert html_text.signature("article", ' class="post category-social"') == ("article.category-social.post", False)
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     columns, held = docs.columns, docs.count()

@@ -57,7 +57,9 @@ def signature(name: str, attributes: str) -> tuple[str, bool]:
                 side |= value in SIDE_ROLES
             elif key == "hidden" or key == "aria-hidden" and value == "true":
                 side = True
-            elif key in ("class", "id") and name not in ("html", "body", *CONTENT):
+            elif key in ("class", "id") and name == "article":  # a comment or teaser; "category-social" is none
+                side |= any(re.split(r"[^a-z0-9]+", word)[0] in SIDE_WORDS for word in value.split())
+            elif key in ("class", "id") and name not in ("html", "body", "main"):
                 side |= not SIDE_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value))
     return (f"{name}.{classes}" if classes else name), side
 
@@ -65,8 +67,8 @@ def signature(name: str, attributes: str) -> tuple[str, bool]:
 def parse(page: str) -> list[tuple]:
     """The page as tokens ``(signature or None, text, in side element, in content element, block break)``.
 
-    Text under an element that is no main text is marked. Unclosed elements end with their parents; a page
-    header counts as main text only inside the content element.
+    Text under an element that is no main text is marked; a content element under one is none. Unclosed elements
+    end with their parents; a page header counts as main text only inside the content element.
     """
     tokens: list[tuple] = []
     stack: list[tuple[str, bool, bool]] = []  # name, side, content
@@ -109,7 +111,7 @@ def parse(page: str) -> list[tuple]:
             at = len(page) if end < 0 else end
             stack.append((name, True, content))
         elif name not in VOID and not attributes.endswith("/"):
-            stack.append((name, side or marked, content or name in CONTENT))
+            stack.append((name, side or marked, content or name in CONTENT and not (side or marked)))
     text(page[at:])
     return tokens
 
@@ -121,12 +123,13 @@ def words_in(piece: str) -> int:
 def count_labelled(tokens: list[tuple]) -> Counter:
     """How often each tag, and words, stand inside and outside the content element of a labelled page.
 
-    A page is labelled if it has an ``article`` or ``main`` element; others count nothing.
+    A page is labelled if it has an ``article`` or ``main`` element that is main text; others count nothing. Words
+    of side elements are outside wherever they stand, tags are where they stand.
     """
     out: Counter = Counter()
     if any(token[3] for token in tokens):
         for sign, piece, side, content, _ in tokens:
-            out[(sign or "#word", content and not side)] += 1 if sign else words_in(piece)
+            out[(sign or "#word", content and not (side and sign is None))] += 1 if sign else words_in(piece)
     return out
 
 
@@ -137,13 +140,15 @@ def weights_of(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     """
     inside = sum(n for (s, i), n in counts.items() if i and s != "#word")
     outside = sum(n for (s, i), n in counts.items() if not i and s != "#word")
+    signs = {s for s, _ in counts}
+    spread = 0.5 * len(signs - {"#word"})  # half a count for every tag on each side
     out = {"#tag": -1.0}
-    for sign in {s for s, _ in counts}:
+    for sign in signs:
         a, b = counts.get((sign, True), 0), counts.get((sign, False), 0)
         if sign == "#word":
             out[sign] = max(1.0, math.log((a + 1) / (b + 1)))
         else:
-            odds = math.log((b + 0.5) / (outside + 1)) - math.log((a + 0.5) / (inside + 1))
+            odds = math.log((b + 0.5) / (outside + spread)) - math.log((a + 0.5) / (inside + spread))
             out[sign] = -max(0.01, odds)
     out.setdefault("#word", 1.0)
     return out
@@ -152,16 +157,15 @@ def weights_of(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
 def best_region(tokens: list[tuple], weights: dict[str, float]) -> tuple[int, int]:
     """First and one past the last token of the region with the largest sum: a linear scan.
 
-    Words under elements that are no main text score nothing; the tags around them cost their weight. Where a
-    page has a content element, words outside of it score nothing either.
+    Words under elements that are no main text score nothing; tags there cost their learned weight, unseen ones
+    nothing.
     """
-    labelled = any(token[3] for token in tokens)
     best, best_from, best_to, total, start = 0.0, 0, 0, 0.0, 0
     word, other = weights["#word"], weights["#tag"]
-    for i, (sign, piece, side, content, _) in enumerate(tokens):
+    for i, (sign, piece, side, _, _) in enumerate(tokens):
         if sign:
-            total += weights.get(sign, other)
-        elif not side and (content or not labelled):
+            total += weights.get(sign, 0.0 if side else other)
+        elif not side:
             total += word * words_in(piece)
         if total <= 0:
             total, start = 0.0, i + 1
@@ -173,15 +177,8 @@ def best_region(tokens: list[tuple], weights: dict[str, float]) -> tuple[int, in
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     """Blocks of the best region, decoded, white space reduced, joined by new lines."""
     tokens = parse(page or "")
-    labelled = any(token[3] for token in tokens)
     blocks, open_ = [], []
     start, stop = best_region(tokens, weights)
-    if labelled and stop > start:
-        # The region is extended over the content elements that it touches, so that no short block is cut off.
-        while start > 0 and tokens[start][3] and tokens[start - 1][3]:
-            start -= 1
-        while stop < len(tokens) and tokens[stop - 1][3] and tokens[stop][3]:
-            stop += 1
 
     def close() -> None:
         block = SPACES.sub(" ", html.unescape("".join(open_))).strip()
@@ -189,9 +186,9 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
             blocks.append(block)
         open_.clear()
 
-    for sign, piece, side, content, breaks in tokens[start:stop]:
+    for sign, piece, side, _, breaks in tokens[start:stop]:
         if sign is None:
-            if not side and (content or not labelled):
+            if not side:
                 open_.append(piece)
         elif breaks:
             close()
@@ -229,8 +226,8 @@ def learn_weights(pages: DataFrame, rows: int = FIT_PAGES) -> dict[str, float]:
 def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row, from its whole html.
 
-    Null and empty pages, and pages without words, give an empty text. A page without a content element gets its
-    best region by the learned weights alone. Repeated rows stay, extra columns are ignored.
+    Null and empty pages, and pages without words, give an empty text. Content elements serve to learn the weights;
+    the best region is found by these alone. Repeated rows stay, extra columns are ignored.
     """
     shared = pages.sparkSession.sparkContext.broadcast(learn_weights(pages) if weights is None else weights)
 
