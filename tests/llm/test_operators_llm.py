@@ -150,6 +150,49 @@ def test_links_in_hot_blocks(spark):
     assert [root.get(f, f) for f in fps] == [fps[g] for g in label]
 
 
+def five_word_jaccard(x, y):
+    x, y = ({tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (x, y))
+    return len(x & y) / len(x | y)
+
+
+def test_stage_drops_near_copies(spark):
+    rng = random.Random(11)
+    new = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows, copies, apart = [], [], []
+    for i in range(150):
+        words = new(rng.randint(60, 600))
+        rows.append((i, " ".join(words)))
+        edited = list(words)
+        if i % 2:  # more words at the end: every kind of shingle changes alike
+            edited += new(round(len(words) * rng.uniform(0.05, 0.24)))
+        else:
+            for at in rng.sample(range(len(words)), max(1, len(words) * rng.randint(10, 24) // 1000)):
+                edited[at] = "changed"
+        alike = five_word_jaccard(" ".join(words), " ".join(edited))
+        rows.append((1000 + i, " ".join(edited)))
+        (copies if alike >= 0.8 else apart).append(1000 + i)
+        rows.append((2000 + i, " ".join(words[: len(words) * 7 // 10] + new(len(words) * 3 // 10))))  # Jaccard about 0.54
+    rows += [(5000, "one of a kind text here"), (5000, rows[0][1]), (5001, rows[3][1].upper()), (5002, None), (5003, " "), (None, rows[0][1])]
+    docs = make(spark, [(d, t, "a") for d, t in rows])
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()]
+    expected = set(range(150)) | set(range(2000, 2150)) | set(apart) | {5000, 5002, None}
+    assert len(copies) > 100 and {d for d, _ in kept} == expected and len(kept) == len(expected)
+    assert (5000, "one of a kind text here") in kept
+
+
+def test_stage_links_in_hot_groups(spark):
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base[:i], "x", *base[i + 1 :]]) for i in range(0, 200, 4)]
+    hasher = near_dedup.SpanHasher()
+    rows = []
+    for i, t in enumerate(texts):
+        wide, _ = near_dedup.wide_fingerprints(*near_dedup.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), hasher))
+        rows.append((i, *wide[0].view(np.int64).tolist(), 196, t, 0))
+    nodes = spark.createDataFrame(rows, "node long, low long, high long, n long, text string, root long")
+    for links in (near_dedup.candidate_links(nodes, group=8), near_dedup.verified_links(nodes, at_once=2000)):
+        assert {r.root for r in near_dedup.components(links).collect()} == {0} and near_dedup.components(links).count() == len(texts)
+
+
 def test_decontamination(spark, docs, nothing):
     words = [f"word{i}" for i in range(60)]
     tests = spark.createDataFrame(

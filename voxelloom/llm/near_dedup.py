@@ -9,8 +9,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from voxelloom.llm.shared import pieces, runs, store, texts_of
+from voxelloom.llm.shared import SpanHasher, mix64, pieces, runs, store, texts_of
 
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
@@ -21,10 +22,20 @@ BITS = 64
 MAX_DISTANCE = 3
 PIVOTS = 24  # reference fingerprints of the distance table
 GROUP = 4096  # fingerprints compared with each other in one array
+# Near copies of the pipeline's stage.
+SHINGLE = 5
+LEAST_JACCARD = 0.8
+WIDE_BLOCKS = 8  # 16-bit blocks of its 128-bit fingerprints
+WIDE_DISTANCE = 32  # Jaccard 0.8 differs in about 19 of 128 bits, standard deviation 4
+SETS_IN_GROUP = 512  # sets compared with each other in one array
+SETS_AT_ONCE = 1 << 20  # shingles of a group that one row holds, about
 
 
-def fingerprints_of(data: np.ndarray, ends: np.ndarray, shingle: int = 3, hashes_at_once: int = 1 << 16) -> np.ndarray:
-    """SimHash of each text as ``uint64``. Words are runs of non-blank bytes, A-Z in lower case."""
+def shingle_spans(data: np.ndarray, ends: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cleaned bytes, start and stop and text number of every shingle in them, and shingles of each text.
+
+    Words are runs of non-blank bytes, A-Z in lower case; a text of fewer words than a shingle has one shingle.
+    """
     words = ~BLANK[data]
     start, stop, doc = runs(words, ends)
     n_docs = len(ends) - 1
@@ -39,7 +50,6 @@ def fingerprints_of(data: np.ndarray, ends: np.ndarray, shingle: int = 3, hashes
     letters = np.ones(at[-1], bool)
     letters[at[1:] - 1] = False
     clean[letters] = LOWER[data[words]]
-    raw = clean.tobytes()
     count = np.bincount(doc, minlength=n_docs)
     grams = np.where(count == 0, 0, np.maximum(1, count - shingle + 1))
     first_word = np.concatenate([[0], np.cumsum(count)[:-1]])
@@ -47,7 +57,13 @@ def fingerprints_of(data: np.ndarray, ends: np.ndarray, shingle: int = 3, hashes
     gram_doc = np.repeat(np.arange(n_docs), grams)
     word = np.arange(len(gram_doc)) - (gram_end - grams)[gram_doc] + first_word[gram_doc]
     last = np.minimum(word + shingle, (first_word + count)[gram_doc])
-    a, b = at[word], at[last] - 1
+    return clean, at[word], at[last] - 1, gram_doc, grams
+
+
+def fingerprints_of(data: np.ndarray, ends: np.ndarray, shingle: int = 3, hashes_at_once: int = 1 << 16) -> np.ndarray:
+    """SimHash of each text as ``uint64``, from its shingles."""
+    clean, a, b, gram_doc, grams = shingle_spans(data, ends, shingle)
+    raw, n_docs = clean.tobytes(), len(grams)
     digest = xxhash.xxh64_intdigest
     ones = np.zeros((n_docs, BITS), np.int64)
     for lo in range(0, len(a), hashes_at_once):
@@ -243,3 +259,222 @@ def keep_representatives(docs: DataFrame, most: int = MAX_DISTANCE) -> DataFrame
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     known = docs.where(F.col("doc_id").isNotNull())
     return known.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def shingle_sets(data: np.ndarray, ends: np.ndarray, hasher: SpanHasher, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, one after the other, and their ``n + 1`` offsets."""
+    clean, a, b, doc, grams = shingle_spans(data, ends, shingle)
+    hashes = hasher.spans(hasher.sums(clean), a, b) if len(a) else np.zeros(0, np.uint64)
+    order = np.lexsort((hashes, doc))
+    hashes, doc = hashes[order], doc[order]
+    first = np.ones(len(hashes), bool)
+    first[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+    return hashes[first], np.concatenate([[0], np.cumsum(np.bincount(doc[first], minlength=len(grams)))])
+
+
+def wide_fingerprints(hashes: np.ndarray, offsets: np.ndarray, at_once: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit SimHash ``uint64[n, 2]`` of each set of hashes, and a 64-bit name of the set (0: empty)."""
+    sizes = np.diff(offsets)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    ones = np.zeros((len(sizes), 2 * BITS), np.int64)
+    for lo in range(0, len(hashes), at_once):
+        some = hashes[lo : lo + at_once]
+        both = np.stack([some, mix64(some * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019))], axis=1)
+        bits = np.unpackbits(both.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little")
+        docs, heads = np.unique(owner[lo : lo + at_once], return_index=True)
+        ones[docs] += np.add.reduceat(bits, heads, axis=0, dtype=np.int32)
+    wide = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64)
+    names = np.zeros(len(sizes), np.uint64)
+    full = sizes > 0
+    if full.any():
+        names[full] = np.add.reduceat(mix64(hashes ^ np.uint64(0xA0761D6478BD642F)), offsets[:-1][full])
+    return wide, names
+
+
+def shared_count(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted arrays without repeats share."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def wide_links(wide: np.ndarray, group: np.ndarray, side: np.ndarray | None, linked_too=None, most: int = WIDE_DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Links (positions) that connect each group as all true pairs would; a pair is true at ``most`` or fewer
+    differing bits and if ``linked_too`` says so of the arrays ``i, j``. Pairs that are connected already are skipped.
+
+    Rows are sorted by group and distance to a pivot, as in ``linked``.
+    """
+    pivot = np.random.default_rng(9).integers(0, 2**64, 2, dtype=np.uint64)
+    table = np.bitwise_count(wide ^ pivot).sum(axis=1, dtype=np.int64)
+    order = np.lexsort((table, group))
+    wide, group, table = wide[order], group[order], table[order]
+    side = None if side is None else side[order]
+    parent = np.arange(len(wide))
+    left = np.arange(len(wide) - 1)
+    lag = 1
+    while len(left):
+        left = left[(group[left] == group[left + lag]) & (table[left + lag] - table[left] <= most)]
+        a, b = left, left + lag
+        if side is not None:
+            across = side[a] != side[b]
+            a, b = a[across], b[across]
+        open_ = parent[a] != parent[b]
+        a, b = a[open_], b[open_]
+        near = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1) <= most
+        a, b = a[near], b[near]
+        if linked_too is None:
+            join_nodes(parent, a, b)
+        else:
+            for lo in range(0, len(a), 64):
+                i, j = a[lo : lo + 64], b[lo : lo + 64]
+                apart = roots_of(parent, i) != roots_of(parent, j)
+                i, j = i[apart], j[apart]
+                if len(i):
+                    alike = linked_too(order[i], order[j])
+                    join_nodes(parent, i[alike], j[alike])
+        if len(a):
+            parent = roots_of(parent, parent)
+        lag += 1
+        left = left[left + lag < len(wide)]
+    child = np.flatnonzero(parent != np.arange(len(wide)))
+    return order[child], order[parent[child]]
+
+
+def grouped_links(rows: DataFrame, keys: list[str], parts: DataFrame, item: list[str], find, name: str) -> DataFrame:
+    """``(a, b)``: links that ``find(columns, group, side)`` sees between rows of equal ``keys``.
+
+    ``parts`` has the keys and how many parts each is dealt over; parts are compared within themselves and
+    pairwise, so no task holds a whole hot key.
+    """
+    packed = store(
+        rows.join(parts, keys)
+        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        .groupBy(*keys, "part", "parts")
+        .agg(F.collect_list(F.struct(*item)).alias("rows"))
+        .select(*keys, "part", "parts", *[F.col(f"rows.{c}").alias(c) for c in item]),
+        name,
+    )
+    n = len(item)
+
+    def links(columns: list[pa.Array], sided: bool) -> pa.RecordBatch:
+        sizes = [np.diff(columns[c].offsets.to_numpy()) for c in range(0, len(columns), n)]
+        group = np.concatenate([np.repeat(np.arange(len(size)), size) for size in sizes])
+        side = np.repeat([0, 1], [int(size.sum()) for size in sizes]) if sided else None
+        flat = [pa.concat_arrays([columns[c].flatten() for c in range(i, len(columns), n)]) for i in range(n)]
+        a, b = find(flat, group, side)
+        nodes = flat[0].to_numpy()
+        return pa.record_batch([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"])
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield links(batch.columns, False)
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                columns = batch.slice(i, 1).columns
+                same = columns.pop()[0].as_py()
+                yield links(columns[:n] if same else columns, not same)
+
+    local = packed.where("parts = 1").select(*item).mapInArrow(inside, "a long, b long")
+    hot = packed.where("parts > 1")
+    pairs = hot.withColumn("other", F.explode(F.sequence(F.col("part"), F.col("parts").cast("int") - 1))).join(
+        hot.select(*keys, F.col("part").alias("other"), *[F.col(c).alias(f"{c}_2") for c in item]), [*keys, "other"]
+    )
+    across = pairs.repartition(F.xxhash64(*keys, "part", "other")).select(*item, *[f"{c}_2" for c in item], F.expr("part = other").alias("same")).mapInArrow(between, "a long, b long")
+    return local.unionByName(across).distinct()
+
+
+def candidate_links(nodes: DataFrame, most: int = WIDE_DISTANCE, group: int = GROUP) -> DataFrame:
+    """Links ``(a, b)`` that connect nodes as pairs would that differ in ``most`` bits and, in a block, in two or fewer.
+
+    A row goes to its value of each of the eight 16-bit blocks and to the 16 values one bit away, so rows meet
+    that are two bits apart there: all pairs with up to 23 differing bits, and of those at Jaccard 0.8 (0.55
+    for one block) 0.998.
+    """
+    flips = np.array([0, *(1 << i for i in range(16))], np.int64)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                wide = np.stack([part.column(c).to_numpy() for c in (1, 2)], axis=1)
+                blocks = wide.view("<u2").astype(np.int64)
+                keys = (np.arange(WIDE_BLOCKS) << 16)[None, :, None] + (blocks[:, :, None] ^ flips)
+                repeat = pa.array(np.repeat(np.arange(len(wide)), WIDE_BLOCKS * len(flips)))
+                yield pa.record_batch([pa.array(keys.reshape(-1).astype(np.int32)), *(part.column(c).take(repeat) for c in range(3))], names=["key", "node", "low", "high"])
+
+    keyed = nodes.select("node", "low", "high").mapInArrow(spread, "key int, node long, low long, high long")
+    parts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / group).alias("parts"))
+
+    def find(columns, of_group, side):
+        return wide_links(np.stack([c.to_numpy() for c in columns[1:3]], axis=1).view(np.uint64), of_group, side, most=most)
+
+    return grouped_links(keyed, ["key"], parts, ["node", "low", "high"], find, "near-blocks")
+
+
+def verified_links(candidates: DataFrame, least: float = LEAST_JACCARD, most: int = WIDE_DISTANCE, at_once: int = SETS_AT_ONCE) -> DataFrame:
+    """Links ``(a, b)`` that connect the rows ``root, node, low, high, n, text`` of each root as all pairs of Jaccard ``least`` would."""
+    parts = candidates.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / at_once, F.count(F.lit(1)) / SETS_IN_GROUP)).alias("parts"))
+
+    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = SpanHasher()
+        for batch in pieces(batches, "text"):
+            hashes, offsets = shingle_sets(*texts_of(batch.column(4)), hasher)
+            packed = [hashes[x:y].tobytes() for x, y in zip(offsets[:-1], offsets[1:])]
+            yield pa.record_batch([*(batch.column(c) for c in range(4)), pa.array(packed, pa.binary())], names=["root", "node", "low", "high", "hashes"])
+
+    rows = candidates.select("root", "node", "low", "high", "text").mapInArrow(with_sets, "root long, node long, low long, high long, hashes binary")
+
+    def find(columns, of_group, side):
+        sets = [np.frombuffer(v.as_py(), np.uint64) for v in columns[3]]
+        sizes = np.array([len(x) for x in sets])
+
+        def alike(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            both = sizes[i] + sizes[j]
+            out = np.minimum(sizes[i], sizes[j]) >= least * np.maximum(sizes[i], sizes[j])
+            for lo in np.flatnonzero(out):
+                common = shared_count(sets[i[lo]], sets[j[lo]])
+                out[lo] = common >= least * (both[lo] - common)
+            return out
+
+        return wide_links(np.stack([c.to_numpy() for c in columns[1:3]], axis=1).view(np.uint64), of_group, side, alike, most)
+
+    return grouped_links(rows, ["root"], parts, ["node", "low", "high", "hashes"], find, "near-sets")
+
+
+def drop_near_copies(docs: DataFrame, least: float = LEAST_JACCARD) -> DataFrame:
+    """One row of each group of near copies: the smallest ``(doc_id, name of its shingle set)``.
+
+    Documents link if their sets of five-word shingles have Jaccard ``least`` or more; candidates come from
+    128-bit SimHash fingerprints, and every link is verified. Texts of equal sets are one node, wordless texts
+    the same one. Rows without doc_id have no identity to be kept by: they stay and link nothing.
+    """
+    columns = docs.columns
+    known = docs.where(F.col("doc_id").isNotNull())
+    text = columns.index("text")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = SpanHasher()
+        for batch in pieces(batches, "text"):
+            hashes, offsets = shingle_sets(*texts_of(batch.column(text)), hasher)
+            wide, names = wide_fingerprints(hashes, offsets)
+            added = [names.view(np.int64), *(np.ascontiguousarray(wide[:, c]).view(np.int64) for c in (0, 1)), np.diff(offsets)]
+            yield pa.record_batch([*batch.columns, *map(pa.array, added)], names=[*columns, "_node", "_low", "_high", "_n"])
+
+    schema = StructType([*known.schema.fields, *(StructField(name, LongType()) for name in ("_node", "_low", "_high", "_n"))])
+    marked = store(known.mapInArrow(mark, schema), "near-marked")
+    nodes = store(
+        marked.groupBy(F.col("_node").alias("node")).agg(
+            F.min("doc_id").alias("smallest"), F.first("_low").alias("low"), F.first("_high").alias("high"), F.first("_n").alias("n")
+        ), "near-nodes",
+    )
+    coarse = components(candidate_links(nodes.where("n > 0")), "near-coarse")
+    chosen = coarse.join(nodes, "node")
+    texts = marked.select(F.col("_node").alias("node"), F.col("doc_id").alias("smallest"), "text")
+    candidates = store(chosen.join(texts, ["node", "smallest"]).dropDuplicates(["node"]).select("root", "node", "low", "high", "n", "text"), "near-candidates")
+    roots = components(verified_links(candidates, least), "near-links")
+    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = placed.groupBy("root").agg(F.min(F.struct("smallest", "node")).alias("k")).select(F.col("k.smallest").alias("doc_id"), F.col("k.node").alias("_node"))
+    rows = marked.join(kept, ["doc_id", "_node"], "left_semi").dropDuplicates(["doc_id", "_node"])
+    return rows.select(*columns).unionByName(docs.where(F.col("doc_id").isNull()))
