@@ -325,6 +325,31 @@ def test_neighbours(spark):
     assert cross_polytope.nearest(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def neighbours_recall(spark, x, step):
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in cross_polytope.nearest(vectors, vectors.where(f"vec_id % {step} = 0"), 20).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for q in range(0, len(x), step):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        best = set(np.argsort(-scores)[: min(20, len(x) - 1)].tolist())
+        assert len(found[q]) == len(best)
+        hits, total = hits + len(best & found[q]), total + len(best)
+    return hits / total
+
+
+def test_neighbours_of_skewed_norms_and_small_tables(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[77] *= 100
+    assert neighbours_recall(spark, x, 50) > 0.95
+    assert neighbours_recall(spark, rng.normal(size=(15, 64)), 1) == 1
+    assert neighbours_recall(spark, rng.normal(size=(30, 64)), 1) > 0.9
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 64))
     assert np.allclose(np.linalg.norm(cross_polytope.rotate(x, 3), axis=1), np.linalg.norm(x, axis=1))

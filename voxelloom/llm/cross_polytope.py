@@ -71,11 +71,11 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "vec_id long, vec binary, norm2 double")
 
 
-def _keyed(vectors: DataFrame, id_column: str, longest: float, tables: int, probes: int, is_query: bool) -> DataFrame:
+def _keyed(vectors: DataFrame, id_column: str, longest: dict[tuple[int, int], float], tables: int, probes: int, is_query: bool) -> DataFrame:
     """``key, ids, vecs``: the vectors of each bucket in blocks, one row per vector, table and probe before packing.
 
-    Vectors are lifted to a common length by one more component (0 for queries), which turns the largest inner
-    product into the smallest angle.
+    Vectors are lifted to the ``longest`` squared norm of their (bytes, band) by one more component (0 for queries),
+    which turns the largest inner product of a band into the smallest angle. Queries look into every band.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,12 +83,14 @@ def _keyed(vectors: DataFrame, id_column: str, longest: float, tables: int, prob
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
                 lengths = np.array([len(v.as_py()) for v in part.column(1)])
-                for length in np.unique(lengths):
-                    rows = np.flatnonzero(lengths == length)
-                    some = part.take(pa.array(rows))
+                of_band = np.zeros(len(lengths), np.int64) if is_query else part.column(2).to_numpy()
+                for length, own in sorted(set(zip(lengths.tolist(), of_band.tolist()))):
+                    some = part.take(pa.array(np.flatnonzero((lengths == length) & (of_band == own))))
                     x = _matrix(some.column(1))
-                    lift = np.sqrt(np.maximum(0.0, longest - (x * x).sum(axis=1)))
-                    lift[lift < 1e-4 * np.sqrt(longest)] = 0.0
+                    bands = [band for size, band in longest if size == length] if is_query else [own]
+                    most = 0.0 if is_query else longest[length, own]
+                    lift = np.sqrt(np.maximum(0.0, most - (x * x).sum(axis=1)))
+                    lift[lift < 1e-4 * np.sqrt(most)] = 0.0
                     if is_query:
                         x = x / np.linalg.norm(x, axis=1, keepdims=True)
                         lift = np.zeros(len(x))
@@ -98,11 +100,12 @@ def _keyed(vectors: DataFrame, id_column: str, longest: float, tables: int, prob
                     lifted[:, x.shape[1]] = lift
                     for number in range(tables):
                         found = axes(lifted, number, probes)
-                        keys = (int(length) * tables + number) * 4 * lifted.shape[1] + found
                         repeat = pa.array(np.repeat(np.arange(len(x)), found.shape[1]))
-                        yield pa.record_batch([pa.array(keys.reshape(-1).astype(np.int64)), some.column(0).take(repeat), some.column(1).take(repeat)], names=["key", "id", "vec"])
+                        for band in bands:
+                            keys = ((length * tables + number) * 4096 + band + 2048) * 4 * lifted.shape[1] + found
+                            yield pa.record_batch([pa.array(keys.reshape(-1).astype(np.int64)), some.column(0).take(repeat), some.column(1).take(repeat)], names=["key", "id", "vec"])
 
-    rows = vectors.select(F.col(id_column).alias("id"), "vec").mapInArrow(run, "key long, id long, vec binary")
+    rows = vectors.select(F.col(id_column).alias("id"), "vec", *([] if is_query else ["band"])).mapInArrow(run, "key long, id long, vec binary")
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("int")
     return rows.join(counts, "key").withColumn("part", part).groupBy("key", "part").agg(
@@ -119,11 +122,12 @@ def nearest(
     the vectors and files them under their nearest signed axis; a query looks under its ``probes`` nearest
     ones in every table. Bucket and query meet in an equi-join of blocks, so a hot bucket is many rows. Scores
     are the inner products of the original vectors in double precision; equal ones go to the smaller
-    vec_id. Equal vectors are hashed and compared once. A query with fewer than ``k`` candidates returns
-    all that it found. Vectors of different lengths never meet. Empty tables give an empty table.
+    vec_id. Equal vectors are hashed and compared once. Vectors are hashed in bands of norms (a factor of the square
+    root of two). A query whose buckets hold fewer than ``k`` vectors, while there are more, is compared with
+    all vectors in blocks. Vectors of different lengths never meet. Empty tables give an empty table.
     """
-    rows = store(usable(vectors), "ann-vectors")
-    same = rows.groupBy("vec").agg(F.min("vec_id").alias("lead"))
+    rows = store(usable(vectors).withColumn("band", F.floor(F.log2("norm2") + 0.5).cast("long")), "ann-vectors")
+    same = rows.groupBy("vec").agg(F.min("vec_id").alias("lead"), F.max("band").alias("band"))
     copies = rows.join(same, "vec").select("lead", "vec_id")
     # The k + 1 smallest ids of equal vectors; ranked by bucket first so that no task sorts all copies of one vector.
     salted = Window.partitionBy("lead", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
@@ -133,7 +137,8 @@ def nearest(
     asked = store(usable(queries), "ann-queries")
     asked_same = asked.groupBy("vec").agg(F.min("vec_id").alias("lead_query"))
     asked_copies = asked.join(asked_same, "vec").select("lead_query", F.col("vec_id").alias("query_id")).distinct()
-    longest = rows.agg(F.max("norm2")).first()[0] or 1.0
+    # Doubles have at most 2,100 bands of norms.
+    longest = {(r.size, r.band): r.longest for r in rows.groupBy(F.octet_length("vec").alias("size"), "band").agg(F.max("norm2").alias("longest")).collect()}
     index = store(_keyed(same, "lead", longest, tables, 1, False), "ann-index")
     probing = store(_keyed(asked_same, "lead_query", longest, tables, probes, True), "ann-probes")
     pairs = index.join(probing.select("key", F.col("ids").alias("query_ids"), F.col("vecs").alias("query_vecs")), "key")
@@ -156,14 +161,34 @@ def nearest(
                     pa.array(query_ids[at_query]), pa.array(ids[at_vector]), pa.array(scores[at_query, at_vector])
                 ], names=["lead_query", "lead", "score"])
 
-    scored = pairs.select("ids", "vecs", "query_ids", "query_vecs").mapInArrow(compare, "lead_query long, lead long, score double")
     best = Window.partitionBy("lead_query").orderBy(F.desc("score"), "lead")
-    distinct = scored.groupBy("lead_query", "lead").agg(F.max("score").alias("score"))
-    few = distinct.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
-    found = few.join(first_copies, "lead").select("lead_query", "vec_id", "score")
-    # Only the k + 1 nearest ids of a distinct query vector can be needed; its copies share them.
     by_lead = Window.partitionBy("lead_query").orderBy(F.desc("score"), "vec_id")
-    short = found.withColumn("r", F.row_number().over(by_lead)).where(F.col("r") <= k + 1).drop("r")
+
+    def nearest_leads(pairs: DataFrame) -> DataFrame:
+        scored = pairs.select("ids", "vecs", "query_ids", "query_vecs").mapInArrow(compare, "lead_query long, lead long, score double")
+        distinct = scored.groupBy("lead_query", "lead").agg(F.max("score").alias("score"))
+        few = distinct.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
+        found = few.join(first_copies, "lead").select("lead_query", "vec_id", "score")
+        # Only the k + 1 nearest ids of a distinct query vector can be needed; its copies share them.
+        return found.withColumn("r", F.row_number().over(by_lead)).where(F.col("r") <= k + 1).drop("r")
+
+    short = store(nearest_leads(pairs), "ann-found")
+    held = short.groupBy("lead_query").agg(F.count(F.lit(1)).alias("held"))
+    totals = rows.select(F.octet_length("vec").alias("size"), "vec_id").distinct().groupBy("size").agg(F.count(F.lit(1)).alias("total"))
+    lacking = asked_same.withColumn("size", F.octet_length("vec")).join(held, "lead_query", "left").join(totals, "size")
+    lacking = store(lacking.where(F.coalesce("held", F.lit(0)) < F.least("total", F.lit(k + 1))).select("lead_query", "vec", "size"), "ann-lacking")
+    if not lacking.isEmpty():
+        def blocks(table: DataFrame, column: str) -> DataFrame:
+            sizes = table.groupBy("size").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+            part = F.pmod(F.xxhash64(column), F.col("parts"))
+            return table.join(F.broadcast(sizes), "size").withColumn("part", part).groupBy("size", "part").agg(
+                F.collect_list(F.struct(F.col(column).alias("id"), "vec")).alias("rows")
+            )
+
+        every = store(blocks(same.withColumn("size", F.octet_length("vec")), "lead"), "ann-every").select("size", "part", F.col("rows.id").alias("ids"), F.col("rows.vec").alias("vecs"))
+        asking = blocks(lacking, "lead_query").select("size", F.col("part").alias("query_part"), F.col("rows.id").alias("query_ids"), F.col("rows.vec").alias("query_vecs"))
+        exact = nearest_leads(every.join(asking, "size").repartition("size", "part", "query_part"))
+        short = short.join(lacking.select("lead_query"), "lead_query", "left_anti").unionByName(exact)
     each = short.join(asked_copies, "lead_query").where("vec_id <> query_id")
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
