@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm import cross_polytope, decontamination, html_text, language, mixing, near_dedup, quality, sharding, suffix_dedup, token_files
+from voxelloom.llm import (
+    checks, conversation_repair, cross_polytope, decontamination, html_text, language, line_dedup, mixing, near_dedup, quality, sharding, spelling,
+    suffix_dedup, token_files,
+)
 from voxelloom.llm.shared import table
 
 
@@ -55,9 +58,24 @@ def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op11_range_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), 10, 1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op12_letter_count_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), typo_every=97)
+    return spelling.spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_block_table_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_conversations(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_spaced_seed_decontamination, op2_unigram_language_id, op3_context_mixing_token_files,
     op4_suffix_array_dedup, op5_cross_polytope_neighbours, op6_byte_cnn_quality,
-    op7_hash_tree_sharding, op8_max_scoring_html, op9_simhash_pivot_tables, op10_pivotal_mixing)
+    op7_hash_tree_sharding, op8_max_scoring_html, op9_simhash_pivot_tables, op10_pivotal_mixing,
+    op11_range_line_dedup, op12_letter_count_trie, op13_block_table_repair)
 }
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {"op11_range_line_dedup": checks.LINE_DEDUP, "op12_letter_count_trie": checks.SPELLING, "op13_block_table_repair": checks.REPAIR}
