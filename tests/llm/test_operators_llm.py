@@ -211,7 +211,10 @@ def test_decontamination(spark, docs, nothing):
     assert (found[1].n_same, found[1].n_words, found[1].first_word) == (20, 20, 1)
     assert found[2].n_same < found[2].n_words and found[4].item_id == 2 and found[10].n_same == 5
     clean = decontamination.clean_documents(make(spark, rows), tests)
-    assert sorted(r.doc_id for r in clean.collect()) == [3, 5, 6, 7, 8, 9] and clean.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in clean.collect()]
+    assert sorted(d for d, _ in kept) == [1, 3, 5, 6, 7, 8, 9] and clean.columns == docs.columns and (1, "clean text here") in kept
+    shared = [(None, "clean one", "a"), (None, " ".join(words[:20]), "a"), (7, "clean two", "a"), (7, " ".join(words[:20]), "a"), (8, " ".join(words[:20]), "a")]
+    assert sorted(r.text for r in decontamination.clean_documents(make(spark, shared), tests).collect()) == ["clean one", "clean two"]
     assert decontamination.contaminated(nothing, tests).count() == 0
     assert decontamination.contaminated(make(spark, rows), tests.limit(0)).count() == 0
 
@@ -403,7 +406,7 @@ def test_html(spark):
     rows = [(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "plain words only"), (5, "u", "<p>a<p>b"), (None, "u", "<<<"), (1, "u", page)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x"))
     found = [(r.page_id, r.text, r.n_chars) for r in html_text.extract(pages).collect()]
-    text = "Head & line\nFirst bold text <x> next\nSecond é end.\nOne\nTwo"
+    text = "Head & line\n\nFirst bold text <x> next\n\nSecond é end.\n\nOne\n\nTwo"
     assert found.count((1, text, len(text))) == 2 and (2, "", 0) in found and (3, "", 0) in found
     assert ("plain words only" in [t for _, t, _ in found]) and len(found) == len(rows)
     assert html_text.extract(pages.limit(0)).count() == 0
@@ -414,7 +417,7 @@ def test_html_on_given_pages(spark, sf_dir):
     for r in QUERIES["op8_max_scoring_html"](spark, sf_dir).collect():
         body = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)[1]
         blocks = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", " ", b))).strip() for b in re.split(r"</?(?:p|h1)>", body)]
-        assert r.text == "\n".join(b for b in blocks if b)
+        assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
 def test_html_scan_decides_without_content_elements(spark):
@@ -432,6 +435,14 @@ def test_html_scan_decides_without_content_elements(spark):
     whole = "the main text of this page has many words and a second block of it".split()
     assert all(found[name] == whole for name in ("aside", "nav", "comments", "card"))
     assert found["outside"] == "head the main text has many words and goes on after its element ends here".split()
+    # The linear scan against all regions.
+    rng = random.Random(1)
+    for _ in range(200):
+        weights = {"#word": 1.0, "#tag": -1.5, "p": -0.5, "div": -2.0}
+        tokens = [(rng.choice(["p", "div", "x", None]), "a b" * rng.randint(0, 2), rng.random() < 0.2, None, None) for _ in range(rng.randint(0, 15))]
+        score = [weights.get(t[0], 0.0 if t[2] else -1.5) if t[0] else 0.0 if t[2] else float(html_text.words_in(t[1])) for t in tokens]
+        start, stop = html_text.best_region(tokens, weights)
+        assert sum(score[start:stop]) == max([0.0] + [sum(score[i:j]) for i in range(len(score)) for j in range(i + 1, len(score) + 1)])
     assert html_text.signature("article", ' class="post category-social"') == ("article.category-social.post", False)
 
 

@@ -175,7 +175,7 @@ def best_region(tokens: list[tuple], weights: dict[str, float]) -> tuple[int, in
 
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
-    """Blocks of the best region, decoded, white space reduced, joined by new lines."""
+    """Blocks of the best region, decoded, white space reduced, joined by an empty line."""
     tokens = parse(page or "")
     blocks, open_ = [], []
     start, stop = best_region(tokens, weights)
@@ -195,7 +195,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         elif sign in ("br", "wbr"):
             open_.append(" " if sign == "br" else "")
     close()
-    return "\n".join(blocks)
+    return "\n\n".join(blocks)
 
 
 def learn_weights(pages: DataFrame, rows: int = FIT_PAGES) -> dict[str, float]:
