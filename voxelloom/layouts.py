@@ -55,19 +55,24 @@ def slices_to_voxels(slices: DataFrame) -> DataFrame:
     return slices.select("volume_id", "z", "h", "w", "dtype", "data").mapInPandas(unpack, VOXEL_SCHEMA)
 
 
-def slices_to_hist(slices: DataFrame) -> DataFrame:
+def slices_to_hist(slices: DataFrame, sizes: bool = False) -> DataFrame:
     """Count pixel values per slice inside the scan's own tasks.
 
     One pass over the bytes and no shuffle: a slice is one row, so its counts are already complete. An 8-bit
-    slice gives at most 256 rows, a 16-bit one 65,536; fractional pixels raise.
+    slice gives at most 256 rows, a 16-bit one 65,536; fractional pixels raise. ``sizes`` adds ``h`` and ``w`` of the slice,
+    so that ``extent_of_hist`` needs no second pass. Status rows (without data) count nothing.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            batch = batch[batch["data"].notna()]
             is_byte = batch["dtype"].isin(["uint8", "bool"])
             for row in batch[~is_byte].itertuples(index=False):
                 values, counts = np.unique(whole_pixels(row), return_counts=True)
-                yield pd.DataFrame({"volume_id": row.volume_id, "z": np.int32(row.z), "v": values.astype(np.int32), "n": counts})
+                yield pd.DataFrame(
+                    {"volume_id": row.volume_id, "z": np.int32(row.z), "v": values.astype(np.int32), "n": counts}
+                    | ({"h": row.h, "w": row.w} if sizes else {})
+                )
             batch = batch[is_byte]
             if batch.empty:
                 continue
@@ -82,9 +87,11 @@ def slices_to_hist(slices: DataFrame) -> DataFrame:
                     "v": (cell % 256).astype(np.int32),
                     "n": counts[cell],
                 }
+                | ({name: batch[name].to_numpy()[cell // 256] for name in ("h", "w")} if sizes else {})
             )
 
-    return slices.select("volume_id", "z", "h", "w", "dtype", "data").mapInPandas(count, HIST_SCHEMA)
+    schema = HIST_SCHEMA + (", h int, w int" if sizes else "")
+    return slices.select("volume_id", "z", "h", "w", "dtype", "data").mapInPandas(count, schema)
 
 
 def voxels_to_hist(voxels: DataFrame, value: str = "v") -> DataFrame:
@@ -205,6 +212,13 @@ def manifest(slices: DataFrame) -> DataFrame:
     )
 
 
+def extent_of_hist(hist: DataFrame) -> DataFrame:
+    """``extent`` from counts with sizes; a z that occurs twice counts more pixels than its slice has."""
+    per_slice = hist.groupBy("volume_id", "z", "h", "w").agg(F.sum("n").alias("_n"))
+    copies = F.ceil(F.col("_n") / F.greatest(F.lit(1), F.col("h") * F.col("w"))).cast("int")
+    return extent(per_slice.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), copies)))))
+
+
 def extent(slices: DataFrame) -> DataFrame:
     """(volume_id, first_z, n_slices, h_max, w_max) of whole volumes; gaps, repeated z and mixed sizes raise."""
     found = slices.groupBy("volume_id").agg(

@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.functions import pixels
-from voxelloom.layouts import SLICE_COLUMNS, extent, map_slices, slices_to_hist
+from voxelloom.layouts import extent_of_hist, map_slices, slices_to_hist
 from voxelloom.operators import histograms, images, porosity, psd, rotation, slabs
 from voxelloom.operators.training import ref_slice
 from voxelloom.session import broadcast_if_small, cut_lineage
 
 
+TILE = 512  # side of a stencil tile; slices up to its square travel whole
+
+
 def analyze_porosity(slices: DataFrame, encoding: str = "auto", percent: bool = True, **rule) -> DataFrame:
     """Porosity of every volume with the spread over its slices; the pixels are read once.
 
@@ -55,8 +58,9 @@ def segment_slice(image: np.ndarray, compat: bool) -> np.ndarray:
     smooth = image
     for axis in (0, 1):
         smooth = slabs.blur_axis(smooth, weights, axis, integer=compat)
+    smooth = np.round(smooth.astype(np.float64), 9)  # equal sums compare equal in any order
     slope = np.zeros(smooth.shape)
-    slope[:, 1:] = np.diff(smooth.astype(np.float64), axis=1)
+    slope[:, 1:] = np.round(np.diff(smooth, axis=1), 9)
     if compat:
         slope %= 256
     return np.where(smooth > 170, True, np.where(smooth < 40, False, slope > 15.0)).astype(np.uint8)
@@ -64,25 +68,31 @@ def segment_slice(image: np.ndarray, compat: bool) -> np.ndarray:
 
 def segment_volume(
     slices: DataFrame, angle: float = 52, radius: int = 1, first: int | None = None, count: int | None = None,
-    compat: bool = False, block: int = slabs.BLOCK,
+    compat: bool = False, block: int = slabs.BLOCK, tile: int | None = None,
 ) -> DataFrame:
     """Rule-based segmentation of 8-bit stacks to 0/1 stacks in the original orientation.
 
-    Histogram matching to the middle slice, turn and reslice along the streaks, per-slice rule, opening
-    and closing, smoothing, turn back, optional window of slices. ``compat`` keeps byte arithmetic in the
-    blur and lets the gradient wrap at 256. A stack may start at any z; the result starts at 0.
+    Histogram matching to the middle slice, turn and reslice along the streaks, per-slice rule, opening, closing and
+    smoothing in one exchange, turn back, optional window of slices. ``compat`` keeps byte arithmetic in the
+    blur and lets the gradient wrap at 256. A stack may start at any z; the result starts at 0. ``tile`` cuts the stencils'
+    blocks in y and x as well; by default they are cut where a turned slice is larger than ``TILE`` squared.
     """
-    volumes = cut_lineage(extent(slices).select("volume_id", "first_z", "n_slices", "w_max"))
-    from_zero = slices.join(broadcast_if_small(volumes.select("volume_id", "first_z"), 500_000), "volume_id")
-    slices = from_zero.withColumn("z", F.col("z") - F.col("first_z")).select(*SLICE_COLUMNS)
-    middle = ref_slice(volumes)
-    table = histograms.match_histogram(cut_lineage(slices_to_hist(slices)), middle)
-    matched = histograms.apply_lookup(slices, table)
+    hist = cut_lineage(slices_to_hist(slices, sizes=True))
+    volumes = cut_lineage(extent_of_hist(hist).select("volume_id", "first_z", "n_slices", "h_max", "w_max"))
+    starts = broadcast_if_small(volumes.select("volume_id", "first_z"), 500_000)
+
+    def from_zero(rows: DataFrame) -> DataFrame:
+        return rows.join(starts, "volume_id").withColumn("z", F.col("z") - F.col("first_z")).drop("first_z")
+
+    table = histograms.match_histogram(cut_lineage(from_zero(hist.drop("h", "w"))), ref_slice(volumes))
+    matched = histograms.apply_lookup(from_zero(slices), table)
     aligned = rotation.rotate_plane(matched, angle, swap_after=True, volumes=volumes)
     solid = map_slices(aligned, lambda image: segment_slice(image, compat))
-    cleaned = slabs.binary_close(slabs.binary_open(solid, radius, block), radius, block)
-    smooth = slabs.smooth_rethreshold(cleaned, block=block)
     turned = rotation.turned_depth(volumes, angle, swap_after=True)
+    if tile is None:
+        largest = turned.join(volumes.select("volume_id", "h_max"), "volume_id").agg(F.max(F.col("h_max").cast("long") * F.col("w_max"))).first()[0]
+        tile = TILE if largest and largest > TILE * TILE else None
+    smooth = slabs.clean_solid(solid, radius, block=block, tile=tile)
     restored = rotation.rotate_plane(smooth, -angle, binary=True, swap_before=True, volumes=turned)
     if first is None:
         return restored

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voxelloom import layouts
 from voxelloom.operators import images, psd, slabs, synthetic
 from voxelloom.plans import analyses
-from voxelloom.plans.porosity_queries import OTSU_SQL
+from voxelloom.plans.porosity_queries import MATCH_SQL, OTSU_SQL
 from voxelloom.plans.registry import DENSE, plain, query
 from voxelloom.sources import testdata
 
@@ -262,8 +262,48 @@ def boxplot_stats(spark, sf):
     return plain(psd.boxplot_stats(testdata.table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice"))
 
 
-@query()
+def turn_sql(name: str, source: str, sizes: str, angle: int, z: str = "z", x: str = "x") -> str:
+    """Bilinear turn in the plane of two axes; ``sizes`` has (volume_id, nz, nx). Result (volume_id, z, y, x, t)."""
+    corner = "LEFT JOIN {0} {1} ON {1}.volume_id = l.volume_id AND {1}.{2} = z0 + {4} AND {1}.y = l.y AND {1}.{3} = x0 + {5}"
+    joins = "\n ".join(corner.format(source, f"c{i}{j}", z, x, i, j) for i in (0, 1) for j in (0, 1))
+    total = " + ".join(f"coalesce(c{i}{j}.v, 0) * {'fz' if i else '(1 - fz)'} * {'fx' if j else '(1 - fx)'}" for i in (0, 1) for j in (0, 1))
+    return f"""{name}_big AS (SELECT *, trunc(abs(c) * nz + abs(s) * nx + 0.5)::INT AS oz, trunc(abs(s) * nz + abs(c) * nx + 0.5)::INT AS ox
+  FROM (SELECT *, cos(radians({angle})) AS c, sin(radians({angle})) AS s FROM {sizes})),
+{name}_at AS (SELECT b.*, zi AS z, xi AS x, c * (zi - (oz - 1) / 2.0::DOUBLE) + s * (xi - (ox - 1) / 2.0::DOUBLE) + (nz - 1) / 2.0::DOUBLE AS sz,
+  -s * (zi - (oz - 1) / 2.0::DOUBLE) + c * (xi - (ox - 1) / 2.0::DOUBLE) + (nx - 1) / 2.0::DOUBLE AS sx
+  FROM (SELECT *, unnest(range(oz)) AS zi FROM {name}_big) b, range((SELECT max(ox) FROM {name}_big)) r(xi) WHERE xi < ox),
+{name}_line AS (SELECT o.*, y, floor(sz)::INT AS z0, floor(sx)::INT AS x0, sz - floor(sz) AS fz, sx - floor(sx) AS fx,
+  sz >= 0 AND sz <= nz - 1 AND sx >= 0 AND sx <= nx - 1 AS inside FROM {name}_at o, range(16) r(y)),
+{name} AS (SELECT l.volume_id, l.z, l.y, l.x, CASE WHEN inside THEN {total} ELSE 0 END AS t FROM {name}_line l
+ {joins})"""
+
+
+def turned_blur(name: str, source: str, axis: str, size: str, taps: str) -> str:
+    """The same blur without a self-join: every line adds itself, weighted, to the lines it reaches."""
+    period = f"((i + d) % (2 * {size}) + 2 * {size}) % (2 * {size})"
+    place = {a: "i" if a == axis else a for a in "zyx"}
+    return f"""{name}_at AS (SELECT volume_id, i, k, CASE WHEN {period} >= {size} THEN 2 * {size} - 1 - {period} ELSE {period} END AS j
+  FROM (SELECT *, unnest(range({size})) AS i FROM turned_shape), {taps}),
+{name} AS (SELECT s.volume_id, {place['z']} AS z, {place['y']} AS y, {place['x']} AS x, sum(s.v * k) AS v
+  FROM {source} s JOIN {name}_at p ON p.volume_id = s.volume_id AND p.j = s.{axis} GROUP BY 1, 2, 3, 4)"""
+
+
+SEGMENT = f"""{DENSE}, {MATCH_SQL},
+matched AS (SELECT volume_id, z, y, x, matched AS v FROM dense JOIN lut USING (volume_id, z, v)),
+first_sizes AS (SELECT volume_id, n_slices AS nz, 64 AS nx FROM shape), {turn_sql('ahead', 'matched', 'first_sizes', 52)},
+aligned AS (SELECT volume_id, x AS z, y, z AS x, floor(t + 0.5) AS v FROM ahead),
+turned_shape AS (SELECT volume_id, ox AS n_slices, 16 AS h, oz AS w FROM ahead_big),
+{taps_sql(0.8)}, {turned_blur('flat_y', 'aligned', 'y', 'h', 'taps')}, {turned_blur('flat_x', 'flat_y', 'x', 'w', 'taps')},
+slope AS (SELECT volume_id, z, y, x, round(v, 9) AS v, coalesce(round(round(v, 9) - lag(round(v, 9)) OVER (PARTITION BY volume_id, z, y ORDER BY x), 9), 0) AS g FROM flat_x),
+ruled AS (SELECT volume_id, z, y, x, CASE WHEN v > 170 THEN 1 WHEN v < 40 THEN 0 WHEN g > 15 THEN 1 ELSE 0 END AS v FROM slope),
+{shrink_sql('o1', 'ruled')}, {spread_sql('opened', 'o1')}, {spread_sql('c1', 'opened')}, {shrink_sql('closed', 'c1')},
+{taps_sql(0.7, 'fine')}, {turned_blur('fine_z', 'closed', 'z', 'n_slices', 'fine')}, {turned_blur('fine_y', 'fine_z', 'y', 'h', 'fine')},
+{turned_blur('fine_x', 'fine_y', 'x', 'w', 'fine')},
+smooth AS (SELECT volume_id, z, y, x, CASE WHEN round(v, 9) > 0.5 THEN 1 ELSE 0 END AS v FROM fine_x),
+last_sizes AS (SELECT volume_id, w AS nz, n_slices AS nx FROM turned_shape), {turn_sql('back', 'smooth', 'last_sizes', -52, 'x', 'z')}""".replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
+
+
+@query(f"WITH {SEGMENT} SELECT volume_id, z::BIGINT AS z, (CASE WHEN t > 0.5 THEN 1 ELSE 0 END)::BIGINT AS v, count(*)::BIGINT AS n FROM back GROUP BY 1, 2, 3")
 def segment_volume(spark, sf):
-    """The whole rule-based segmentation; checked against brute force in the tests."""
     restored = analyses.segment_volume(testdata.slices(spark, sf), block=4)
     return plain(layouts.slices_to_hist(restored))
