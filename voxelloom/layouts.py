@@ -124,50 +124,94 @@ def voxels_to_slices(voxels: DataFrame, h: Column | int, w: Column | int) -> Dat
 SLICE_COLUMNS = [part.split()[0] for part in SLICE_SCHEMA.split(", ")]
 
 
-def map_slices(slices: DataFrame, fn: Callable[[np.ndarray], np.ndarray], dtype: str = "uint8") -> DataFrame:
+STATUS_SCHEMA = SLICE_SCHEMA + ", error string"
+
+
+def _kernel_rows(batch: pd.DataFrame, call: Callable, dtype: str, status: bool) -> pd.DataFrame:
+    """One result row per row of ``batch``. With ``status``, a row that fails, or came without data, has an error instead of data."""
+    shapes, packed, errors = [], [], []
+    for row in batch.itertuples(index=False):
+        known = getattr(row, "error", None)
+        try:
+            if status and (known is not None or row.data is None):
+                raise ValueError(known or "no data")
+            image = np.ascontiguousarray(call(row), dtype=dtype)
+        except Exception as problem:
+            if not status:
+                raise
+            shapes.append((row.h, row.w))
+            packed.append(None)
+            errors.append(str(problem) or type(problem).__name__)
+        else:
+            shapes.append(image.shape)
+            packed.append(image.tobytes())
+            errors.append(None)
+    out = batch[SLICE_COLUMNS].assign(h=[h for h, _ in shapes], w=[w for _, w in shapes], dtype=dtype, data=packed)
+    return out.assign(error=errors) if status else out
+
+
+def _with_error(slices: DataFrame) -> DataFrame:
+    return slices if "error" in slices.columns else slices.withColumn("error", F.lit(None).cast("string"))
+
+
+def map_slices(slices: DataFrame, fn: Callable[[np.ndarray], np.ndarray], dtype: str = "uint8", status: bool = False) -> DataFrame:
     """Apply a user function ``image -> image`` to every slice, inside the scan's tasks.
 
-    The result may have another size; ``h``, ``w`` and ``dtype`` follow it.
+    The result may have another size; ``h``, ``w`` and ``dtype`` follow it. A slice that fails ends the job; with ``status``
+    it comes back without data and with the problem in an extra column ``error``, and rows that already have
+    one pass through, so that kernels can follow each other (``failures`` counts such rows).
     """
-
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            images = [np.ascontiguousarray(fn(image_of(row)), dtype=dtype) for row in batch.itertuples(index=False)]
-            yield batch.assign(
-                h=[image.shape[0] for image in images],
-                w=[image.shape[1] for image in images],
-                dtype=dtype,
-                data=[image.tobytes() for image in images],
-            )
+            yield _kernel_rows(batch, lambda row: fn(image_of(row)), dtype, status)
 
+    if status:
+        return _with_error(slices).select(*SLICE_COLUMNS, "error").mapInPandas(apply, STATUS_SCHEMA)
     return slices.select(*SLICE_COLUMNS).mapInPandas(apply, SLICE_SCHEMA)
 
 
+def check_slices(slices: DataFrame) -> DataFrame:
+    """Add ``error`` to slices whose data is missing or does not fill h x w pixels of its type; their data goes. No Python."""
+    size = F.when(F.col("dtype").isin("uint8", "int8", "bool"), 1).when(F.col("dtype").isin("uint16", "int16"), 2)
+    size = size.when(F.col("dtype").isin("uint32", "int32", "float32"), 4).when(F.col("dtype").isin("uint64", "int64", "float64"), 8)
+    wanted = F.col("h").cast("long") * F.col("w") * size
+    problem = (
+        F.when(F.col("data").isNull(), "no data")
+        .when(size.isNull(), F.concat(F.lit("unknown pixel type "), F.coalesce("dtype", F.lit("null"))))
+        .when(F.coalesce(F.length("data") != wanted, F.lit(True)), "data does not fill the slice")
+    )
+    known = F.coalesce(F.col("error"), problem) if "error" in slices.columns else problem
+    return slices.withColumn("error", known).withColumn("data", F.when(F.col("error").isNull(), F.col("data")))
+
+
+def failures(rows: DataFrame) -> DataFrame:
+    """(volume_id, error, n, first_z) of the status rows of any slice kernel."""
+    return rows.where("error IS NOT NULL").groupBy("volume_id", "error").agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("first_z"))
+
+
 def zip_slices(
-    left: DataFrame, right: DataFrame, fn: Callable[[np.ndarray, np.ndarray], np.ndarray], dtype: str = "uint8"
+    left: DataFrame, right: DataFrame, fn: Callable[[np.ndarray, np.ndarray], np.ndarray], dtype: str = "uint8", status: bool = False
 ) -> DataFrame:
-    """Combine two stacks slice by slice; both images are cut to their common size first."""
+    """Combine two stacks slice by slice; both images are cut to their common size first. ``status`` as in ``map_slices``."""
+    def pair(row) -> np.ndarray:
+        a = np.frombuffer(row.data, np.dtype(row.dtype)).reshape(row.h, row.w)
+        b = np.frombuffer(row.data_b, np.dtype(row.dtype_b)).reshape(row.h_b, row.w_b)
+        h, w = min(row.h, row.h_b), min(row.w, row.w_b)
+        return fn(a[:h, :w], b[:h, :w])
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            images = []
-            for row in batch.itertuples(index=False):
-                a = np.frombuffer(row.data, np.dtype(row.dtype)).reshape(row.h, row.w)
-                b = np.frombuffer(row.data_b, np.dtype(row.dtype_b)).reshape(row.h_b, row.w_b)
-                h, w = min(row.h, row.h_b), min(row.w, row.w_b)
-                images.append(np.ascontiguousarray(fn(a[:h, :w], b[:h, :w]), dtype=dtype))
-            yield batch[SLICE_COLUMNS].assign(
-                h=[image.shape[0] for image in images],
-                w=[image.shape[1] for image in images],
-                dtype=dtype,
-                data=[image.tobytes() for image in images],
-            )
+            yield _kernel_rows(batch, pair, dtype, status)
 
     renamed = right.select(
         "volume_id", "z", F.col("h").alias("h_b"), F.col("w").alias("w_b"), F.col("dtype").alias("dtype_b"),
-        F.col("data").alias("data_b"),
+        F.col("data").alias("data_b"), *([_with_error(right)["error"].alias("error_b")] if status and "error" in right.columns else []),
     )
-    return left.select(*SLICE_COLUMNS).join(renamed, ["volume_id", "z"]).mapInPandas(apply, SLICE_SCHEMA)
+    columns = [*SLICE_COLUMNS, *(["error"] if status else [])]
+    joined = (_with_error(left) if status else left).select(*columns).join(renamed, ["volume_id", "z"])
+    if "error_b" in renamed.columns:
+        joined = joined.withColumn("error", F.coalesce("error", "error_b")).drop("error_b")
+    return joined.mapInPandas(apply, STATUS_SCHEMA if status else SLICE_SCHEMA)
 
 
 def copy_window(slices: DataFrame, src_y, src_x, dst_y, dst_x, n_y, n_x, out_h, out_w) -> DataFrame:

@@ -5,6 +5,7 @@ The small NumPy kernels work on one image; Spark decides where each image goes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -14,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.functions import pixels
-from voxelloom.layouts import SLICE_COLUMNS, SLICE_SCHEMA, copy_window, image_of, map_slices, zip_slices
+from voxelloom.layouts import SLICE_COLUMNS, SLICE_SCHEMA, STATUS_SCHEMA, copy_window, extent, image_of, map_slices, zip_slices
+from voxelloom.session import broadcast_if_small
 
 # Fixed value: fraction bits of the 8-bit resampling weights common image libraries use.
 WEIGHT_BITS = 22
@@ -211,11 +213,50 @@ def remove_small_holes(slices: DataFrame, area: int = 10) -> DataFrame:
     return map_slices(slices, lambda image: ~drop_small(image == 0, area))
 
 
+SHIFTS = 24  # distances up to which rows are compared shift by shift
+
+
+def lower_envelope(heights: np.ndarray) -> np.ndarray:
+    """``min over j of (i - j)**2 + heights[:, j]`` for every i: all rows at once, linear in their length.
+
+    One pass keeps, per row, the parabolas that are lowest somewhere and where each begins; a second pass back reads them.
+    """
+    rows, n = heights.shape
+    if not rows or not n:
+        return heights.copy()
+    each = np.arange(rows)
+    owner, begin = np.zeros((rows, n), np.int32), np.zeros((rows, n), np.int64)
+    top = np.zeros(rows, np.int64)
+    for q in range(1, n):
+        new = heights[:, q]
+        live = each
+        while len(live):  # drop parabolas that are above the new one where they begin
+            at, start = owner[live, top[live]], begin[live, top[live]]
+            worse = (start - at) ** 2 + heights[live, at] > (start - q) ** 2 + new[live]
+            live = live[worse]
+            top[live] -= 1
+            live = live[top[live] >= 0]
+        empty = top < 0
+        at = owner[each, np.maximum(top, 0)].astype(np.int64)
+        meet = (q * q - at * at + new - heights[each, at]) // (2 * (q - at)) + 1
+        fresh = empty | (meet < n)
+        top[fresh] += 1
+        who = each[fresh]
+        owner[who, top[who]] = q
+        begin[who, top[who]] = np.where(empty, 0, meet)[who]
+    out = np.empty_like(heights)
+    for q in range(n - 1, -1, -1):
+        at = owner[each, top]
+        out[:, q] = (q - at) ** 2 + heights[each, at]
+        top -= (begin[each, top] == q) & (top > 0)
+    return out
+
+
 def squared_distance(mask: np.ndarray) -> np.ndarray:
     """Exact squared distance of each True pixel to the nearest False one; very large when there is none.
 
-    Column distances first; then each row takes the best ``d*d + column**2`` over horizontal shifts d,
-    until d*d alone exceeds every value that is left.
+    Column distances first. Then each row takes the best ``d*d + column**2``: over horizontal shifts d while few are
+    needed, by a lower envelope in the rows that need more, so the time is linear in the pixels.
     """
     h, w = mask.shape
     far = h + w
@@ -224,56 +265,118 @@ def squared_distance(mask: np.ndarray) -> np.ndarray:
     below = np.minimum.accumulate(np.where(mask, h + far, steps)[::-1], axis=0)[::-1] - steps
     column = np.minimum(np.minimum(above, below), far).astype(np.int64) ** 2
     best = column.copy()
-    for d in range(1, w):
+    for d in range(1, min(w, SHIFTS + 1)):
         if d * d >= best.max():
-            break
+            return best
         best[:, d:] = np.minimum(best[:, d:], column[:, :-d] + d * d)
         best[:, :-d] = np.minimum(best[:, :-d], column[:, d:] + d * d)
+    open_ = best.max(axis=1, initial=0) > SHIFTS * SHIFTS
+    best[open_] = lower_envelope(column[open_])
     return best
 
 
+def _has_background(mask: np.ndarray) -> np.ndarray:
+    if mask.size and mask.all():
+        raise ValueError("no background pixel")
+    return mask
+
+
 def edt(slices: DataFrame) -> DataFrame:
-    """Euclidean distance of non-zero pixels to the nearest zero pixel, float64 slices."""
-    return map_slices(slices, lambda image: np.sqrt(squared_distance(image != 0)), "float64")
+    """Euclidean distance of non-zero pixels to the nearest zero pixel, float64 slices with ``error``.
+
+    A slice without a zero pixel has no distances: its data is null and its status says so.
+    """
+    return map_slices(slices, lambda image: np.sqrt(squared_distance(_has_background(image != 0))), "float64", status=True)
+
+
+UNREACHED = 1 << 40
+
+
+def edt_3d(slices: DataFrame, group_bytes: int = 16 << 20) -> DataFrame:
+    """Euclidean distance of non-zero voxels to the nearest zero voxel of the whole volume, float64 slices with ``error``.
+
+    Squared distances inside the slices first, in the scan's tasks. Then runs of neighbouring pixels of all slices meet in
+    one group, as many as ``group_bytes`` allow for the volume's depth, and take the lower envelope along z; the finished
+    runs go back to their slices. Slices must be dense in z and of one size. Volumes without a zero voxel get a status.
+    """
+    def flat(image: np.ndarray) -> np.ndarray:
+        mask = image != 0
+        return np.full(mask.shape, UNREACHED) if mask.size and mask.all() else squared_distance(mask)
+
+    squares = map_slices(slices, flat, "int64")
+    sizes = extent(slices).select("volume_id", "n_slices")
+    run = F.greatest(F.lit(1), F.floor(F.lit(group_bytes) / (F.col("n_slices") * 8))).cast("int")
+    count = F.ceil(F.col("h") * F.col("w") / F.col("_run")).cast("int")
+    piece = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("part"), F.col("data").substr(i * F.col("_run") * 8 + 1, F.col("_run") * 8).alias("piece")))
+    sized = squares.join(broadcast_if_small(sizes, 500_000), "volume_id").withColumn("_run", run)
+    pieces = sized.select(*SLICE_COLUMNS[:-1], F.explode(piece).alias("p")).select(*SLICE_COLUMNS[:-1], "p.part", "p.piece")
+
+    def along(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("z")
+        heights = np.frombuffer(b"".join(pdf["piece"]), np.int64).reshape(len(pdf), -1)
+        found = lower_envelope(np.ascontiguousarray(heights.T)).T
+        return pdf.assign(piece=[np.ascontiguousarray(line).tobytes() for line in found])
+
+    def paste(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            squared = [np.frombuffer(b"".join(p["piece"] for p in sorted(parts, key=lambda p: p["part"])), np.int64) for parts in batch["parts"]]
+            lost = [bool(len(s)) and s.max() >= UNREACHED for s in squared]
+            yield batch[SLICE_COLUMNS[:-1]].assign(
+                dtype="float64", data=[None if gone else np.sqrt(s).tobytes() for s, gone in zip(squared, lost)],
+                error=["no background voxel" if gone else None for gone in lost],
+            )
+
+    done = pieces.groupBy("volume_id", "part").applyInPandas(along, pieces.schema)
+    whole = done.groupBy(*SLICE_COLUMNS[:-1]).agg(F.collect_list(F.struct("part", "piece")).alias("parts"))
+    return whole.mapInPandas(paste, STATUS_SCHEMA)
 
 
 def thickness(mask: np.ndarray) -> np.ndarray:
     """Diameter of the largest inscribed circle that covers each True pixel.
 
     A centre's circle has its distance to the nearest False pixel as radius and covers what lies strictly
-    nearer. Centres whose circle lies inside a neighbour's are left out; the rest are painted from small
-    to large, so the largest one stays.
+    nearer. Centres whose circle lies inside a neighbour's are left out. The rest are taken radius by radius, from
+    small to large: all circles of one radius mark where their rows begin and end, and a running sum fills them.
     """
-    squared = np.where(mask, squared_distance(mask), 0)
+    squared = np.where(mask, squared_distance(_has_background(mask)), 0)
     radius = np.sqrt(squared)
-    if mask.all():
-        return 2 * radius
     padded = np.pad(radius, 1)
     h, w = mask.shape
     inner = np.zeros(mask.shape, bool)
     for dy, dx in ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)):
         neighbour = padded[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w]
         inner |= neighbour >= radius + np.hypot(dy, dx) - 1e-9
-    centres = np.argwhere(mask & ~inner)
-    sizes = squared[centres[:, 0], centres[:, 1]]
+    y, x = np.nonzero(mask & ~inner)
+    sizes = squared[y, x]
+    order = np.argsort(sizes, kind="stable")
+    y, x, sizes = y[order], x[order], sizes[order]
     result = np.zeros(mask.shape)
-    disc, last = None, -1
-    for i in np.argsort(sizes, kind="stable"):
-        (y, x), size = centres[i], sizes[i]
-        reach = int(np.sqrt(size - 1)) if size > 1 else 0
-        if size != last:
-            offsets = np.arange(-reach, reach + 1) ** 2
-            disc, last = offsets[:, None] + offsets < size, size
-        top, left = max(0, y - reach), max(0, x - reach)
-        window = result[top : y + reach + 1, left : x + reach + 1]
-        cut = disc[top - y + reach :, left - x + reach :][: window.shape[0], : window.shape[1]]
-        window[cut] = 2 * np.sqrt(size)
+    cuts = np.flatnonzero(np.append(True, sizes[1:] != sizes[:-1])) if len(sizes) else []
+    for first, stop in zip(cuts, [*cuts[1:], len(sizes)]):
+        size = int(sizes[first])
+        reach = math.isqrt(size - 1)
+        rise = np.arange(-reach, reach + 1)
+        half = np.array([math.isqrt(size - 1 - d * d) for d in rise.tolist()])
+        rows = y[first:stop, None] + rise
+        low, high = np.maximum(x[first:stop, None] - half, 0), np.minimum(x[first:stop, None] + half + 1, w)
+        top, bottom = max(0, int(rows.min())), min(h, int(rows.max()) + 1)
+        inside = (rows >= top) & (rows < bottom)
+        line = (rows[inside] - top) * (w + 1)
+        cells = (bottom - top) * (w + 1)
+        edges = np.bincount(line + low[inside], minlength=cells) - np.bincount(line + high[inside], minlength=cells)
+        covered = np.cumsum(edges.reshape(-1, w + 1), axis=1)[:, :w] > 0
+        result[top:bottom][covered] = 2 * np.sqrt(size)
     return result
 
 
 def local_thickness(slices: DataFrame) -> DataFrame:
-    """Pore diameter map of every 0/1 slice, float64 slices."""
-    return map_slices(slices, lambda image: thickness(image != 0), "float64")
+    """Pore diameter map of every 0/1 slice, float64 slices with ``error``: slices without background have no data."""
+    return map_slices(slices, lambda image: thickness(image != 0), "float64", status=True)
+
+
+def diameters(slices: DataFrame) -> DataFrame:
+    """Twice the distance map: the cheaper size map where no circles are wanted; same layout as ``local_thickness``."""
+    return map_slices(slices, lambda image: 2 * np.sqrt(squared_distance(_has_background(image != 0))), "float64", status=True)
 
 
 def float_slices_to_voxels(slices: DataFrame) -> DataFrame:
@@ -281,7 +384,7 @@ def float_slices_to_voxels(slices: DataFrame) -> DataFrame:
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
+            for row in batch[batch["data"].notna()].itertuples(index=False):
                 image = image_of(row)
                 y, x = np.indices(image.shape, dtype=np.int32)
                 yield pd.DataFrame(
@@ -296,7 +399,7 @@ def float_hist(slices: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
+            for row in batch[batch["data"].notna()].itertuples(index=False):
                 values, counts = np.unique(image_of(row), return_counts=True)
                 yield pd.DataFrame({"volume_id": row.volume_id, "z": np.int32(row.z), "v": values.astype(float), "n": counts})
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.functions import pixels
-from voxelloom.layouts import extent_of_hist, map_slices, slices_to_hist
+from voxelloom.layouts import check_slices, extent_of_hist, map_slices, slices_to_hist
 from voxelloom.operators import histograms, images, porosity, psd, rotation, slabs
 from voxelloom.operators.training import ref_slice
 from voxelloom.session import broadcast_if_small, cut_lineage
@@ -36,20 +36,32 @@ def analyze_region_porosity(slices: DataFrame, masks: DataFrame, pore_is_white:
     return porosity.region_porosity(porosity.region_pore_mask(joint, pore_is_white, factor))
 
 
-def preprocess_image(slices: DataFrame, min_size: int = 10, hole: int = 10) -> DataFrame:
-    """Pore masks: darker than each slice's Otsu threshold, small objects and holes removed."""
-    pores = histograms.otsu_pores(slices, cut_lineage(slices_to_hist(slices)))
+def preprocess_image(slices: DataFrame, min_size: int = 10, hole: int = 10, status: bool = False) -> DataFrame:
+    """Pore masks: darker than each slice's Otsu threshold, small objects and holes removed.
 
+    With ``status``, slices whose data does not fill them, or that a step fails on, come back without data and with
+    an ``error``; the others are not touched by them.
+    """
     def clean(image: np.ndarray) -> np.ndarray:
         kept = images.drop_small(image != 0, min_size)
         return ~images.drop_small(~kept, hole)
 
-    return map_slices(pores, clean)
+    if not status:
+        return map_slices(histograms.otsu_pores(slices, cut_lineage(slices_to_hist(slices))), clean)
+    checked = check_slices(slices)
+    good = checked.where("error IS NULL")
+    cleaned = map_slices(histograms.otsu_pores(good, cut_lineage(slices_to_hist(good))), clean, status=True)
+    lost = checked.where("error IS NOT NULL").select(*cleaned.columns)
+    return cleaned.unionByName(lost)
+
 
+def pore_sizes(masks: DataFrame, bins: int = 8, voxel_size: float = 10.0, method: str = "thickness") -> DataFrame:
+    """Pore-size distribution of every mask slice: by inscribed circles, or with ``method='distance'`` by twice the distances.
 
-def pore_sizes(masks: DataFrame, bins: int = 8, voxel_size: float = 10.0) -> DataFrame:
-    """Pore-size distribution of every mask slice."""
-    return psd.pore_size_distribution(images.local_thickness(masks), bins, voxel_size)
+    Slices that failed before, or have no background, give no rows; ``local_thickness`` and ``diameters`` tell why.
+    """
+    maps = {"thickness": images.local_thickness, "distance": images.diameters}[method](masks)
+    return psd.pore_size_distribution(maps, bins, voxel_size)
 
 
 def segment_slice(image: np.ndarray, compat: bool) -> np.ndarray:

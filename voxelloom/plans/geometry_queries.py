@@ -290,11 +290,34 @@ def pair_image_mask(spark, sf):
     return plain(training.pair_image_mask(stack, masks))
 
 
-@query("""SELECT CASE WHEN octet_length(encode(text)) % 7 = 0 THEN 'corrupt' ELSE 'ok' END AS status, count(*)::BIGINT AS n FROM documents GROUP BY 1""")
+@query("""SELECT doc_id::VARCHAR AS name, octet_length(encode(text))::BIGINT AS w FROM documents WHERE octet_length(encode(text)) % 7 <> 0""")
 def skip_corrupt(spark, sf):
-    """A reader's rows by status."""
-    status = F.when(F.octet_length("text") % 7 == 0, "corrupt").otherwise("ok")
-    return plain(image_sources.count_by_status(testdata.table(spark, sf, "documents").select(status.alias("status"))))
+    """Rows as the image reader gives them, the unreadable ones without pixels."""
+    size = F.octet_length("text")
+    status = F.when(size % 7 == 0, "corrupt").otherwise("ok")
+    rows = testdata.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("name"), status.alias("status"), size.alias("w"), F.when(status == "ok", F.encode("text", "UTF-8")).alias("data")
+    )
+    return plain(image_sources.skip_corrupt(rows).select("name", "w"))
+
+
+def broken_slices(spark, sf):
+    """The stacks with a cut slice, one without data and one of an unknown type in every three."""
+    data = F.when(F.col("z") % 3 == 1, F.col("data").substr(1, 1000)).when(F.col("z") % 4 == 2, F.lit(None)).otherwise(F.col("data"))
+    return testdata.slices(spark, sf).withColumn("data", data).withColumn("dtype", F.when(F.col("z") == 6, "gray").otherwise(F.col("dtype")))
+
+
+@query(f"""WITH {DENSE} SELECT volume_id, z, y, x, 255 - v AS v FROM dense WHERE z % 3 <> 1 AND z % 4 <> 2 AND z <> 6""")
+def drop_failed(spark, sf):
+    inverted = layouts.map_slices(broken_slices(spark, sf), lambda image: 255 - image, status=True)
+    return plain(layouts.slices_to_voxels(images.drop_failed(inverted)))
+
+
+@query(f"""WITH {DENSE}, s AS (SELECT DISTINCT volume_id, z FROM dense)
+SELECT volume_id, CASE WHEN z % 4 = 2 AND z % 3 <> 1 THEN 'no data' WHEN z = 6 THEN 'unknown pixel type gray' ELSE 'data does not fill the slice' END AS error,
+count(*)::BIGINT AS n, min(z)::BIGINT AS first_z FROM s WHERE z % 3 = 1 OR z % 4 = 2 OR z = 6 GROUP BY 1, 2""")
+def failures(spark, sf):
+    return plain(layouts.failures(layouts.check_slices(broken_slices(spark, sf))))
 
 
 # Resampling ---------------------------------------------------------------------------------------

@@ -179,6 +179,13 @@ def edt(spark, sf):
     return plain(images.float_slices_to_voxels(images.edt(solid(spark, sf))))
 
 
+@query(f"""WITH {SOLID}, holes AS (SELECT volume_id, z, y, x FROM solid WHERE v = 0)
+SELECT a.volume_id, a.z, a.y, a.x, CASE WHEN a.v = 0 THEN 0.0 ELSE round(sqrt((SELECT min((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))
+  FROM holes b WHERE b.volume_id = a.volume_id)), 6) END::DOUBLE AS v FROM solid a""")
+def edt_3d(spark, sf):
+    return plain(images.float_slices_to_voxels(images.edt_3d(solid(spark, sf), group_bytes=4096)))
+
+
 THICK = f"""{EDT}, thick AS (SELECT a.volume_id, a.z, a.y, a.x, 2 * max(coalesce(c.d, 0)) AS t FROM solid a LEFT JOIN edt c ON c.volume_id = a.volume_id AND c.z = a.z AND a.v = 1 AND c.d > 0
   AND (a.y - c.y) * (a.y - c.y) + (a.x - c.x) * (a.x - c.x) < round(c.d * c.d) GROUP BY 1, 2, 3, 4)"""
 
