@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.functions import pixels
 from voxelloom.layouts import SLICE_COLUMNS, SLICE_SCHEMA, STATUS_SCHEMA, copy_window, extent, image_of, map_slices, zip_slices
-from voxelloom.session import broadcast_if_small
+from voxelloom.session import broadcast_if_small, cut_lineage
 
 # Fixed value: fraction bits of the 8-bit resampling weights common image libraries use.
 WEIGHT_BITS = 22
@@ -38,13 +38,6 @@ def crop_around(slices: DataFrame, cy: float, cx: float, size: int) -> DataFrame
     return copy_window(slices, checked, x0, 0, 0, size, size, size, size)
 
 
-def crop_voxels(voxels: DataFrame, y0, y1, x0, x1) -> DataFrame:
-    """The same on a voxel table: a filter and two subtractions."""
-    y0, y1, x0, x1 = [pixels.col(c) for c in (y0, y1, x0, x1)]
-    inside = (F.col("y") >= y0) & (F.col("y") < y1) & (F.col("x") >= x0) & (F.col("x") < x1)
-    return voxels.where(inside).withColumn("y", F.col("y") - y0).withColumn("x", F.col("x") - x0)
-
-
 def pad_to_multiple(slices: DataFrame, multiple: int = 16) -> DataFrame:
     """Zero padding at the bottom and right up to a multiple of the model's stride."""
     return copy_window(
@@ -74,12 +67,16 @@ def _fit_axis(low: Column, high: Column, out: int, padded_branch: Column, compat
     )
 
 
-def fit_to_size(slices: DataFrame, boxes: DataFrame, out_h: int, out_w: int, compat: bool = False) -> DataFrame:
+def fit_to_size(
+    slices: DataFrame, boxes: DataFrame, out_h: int, out_w: int, compat: bool = False, mask: DataFrame | None = None
+) -> DataFrame:
     """Cut every slice to one size around its region's bounding box; slices without a region become 0.
 
     A region smaller than the target in either direction is centred on zeros, else the window is centred
-    on the region. ``compat=True`` gives one line less for odd padded targets.
+    on the region. ``compat=True`` gives one line less for odd padded targets. With a packed ``mask`` the pixels
+    outside of the region are cleared first; without it the whole box stays.
     """
+    slices = slices if mask is None else apply_mask(slices, mask)
     small = (F.col("max_row") - F.col("min_row") + 1 < out_h) | (F.col("max_col") - F.col("min_col") + 1 < out_w)
     small = F.coalesce(small, F.lit(True))
     sy, dy, ny, len_y = _fit_axis(F.col("min_row"), F.col("max_row"), out_h, small, compat)
@@ -97,6 +94,57 @@ def flip(slices: DataFrame, horizontal: bool = False, vertical: bool = False) ->
     return map_slices(slices, lambda image: image[:: -1 if vertical else 1, :: -1 if horizontal else 1])
 
 
+def flip_pair(images: DataFrame, masks: DataFrame, horizontal: float = 0.5, vertical: float = 0.0, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Mirror image and mask of a slice alike, each axis with its own chance; the coin is md5 of volume, z, axis and seed."""
+    def coin(axis: str, chance: float) -> Column:
+        digest = F.md5(F.concat_ws("|", "volume_id", F.col("z").cast("string"), F.lit(axis), F.lit(str(seed))))
+        return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(16**13) < F.lit(float(chance))
+
+    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            packed = [
+                np.ascontiguousarray(image_of(row)[:: -1 if row.flip_y else 1, :: -1 if row.flip_x else 1]).tobytes() for row in batch.itertuples(index=False)
+            ]
+            yield batch[SLICE_COLUMNS].assign(data=packed)
+
+    coins = (coin("x", horizontal).alias("flip_x"), coin("y", vertical).alias("flip_y"))
+    left, right = (side.select(*SLICE_COLUMNS, *coins).mapInPandas(turn, SLICE_SCHEMA) for side in (images, masks))
+    return left, right
+
+
+def normalize_slices(slices: DataFrame, scope: str = "slice") -> DataFrame:
+    """16-bit and fractional slices as bytes: stretched from smallest to largest pixel to 0..255, truncated.
+
+    ``scope`` takes the ends from each slice (no shuffle) or from the whole ``volume``. 8-bit slices stay as they are in the
+    first case. Constant ones become 0, and so do pixels that are no number; they count for neither end.
+    """
+    def ends(image: np.ndarray) -> tuple[float, float]:
+        known = image[np.isfinite(image)]
+        return (float(known.min()), float(known.max())) if known.size else (0.0, 0.0)
+
+    def stretch(image: np.ndarray, low: float, high: float) -> np.ndarray:
+        if not high > low:
+            return np.zeros(image.shape, np.uint8)
+        return np.nan_to_num((image.astype(np.float64) - low) / (high - low) * 255, nan=0, posinf=0, neginf=0).astype(np.uint8)
+
+    if scope == "slice":
+        return map_slices(slices, lambda image: image if image.dtype == np.uint8 else stretch(image, *ends(image)))
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [ends(image_of(row)) for row in batch.itertuples(index=False)]
+            yield pd.DataFrame({"volume_id": batch["volume_id"], "low": [a for a, _ in found], "high": [b for _, b in found]})
+
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            packed = [stretch(image_of(row), row.low, row.high).tobytes() for row in batch.itertuples(index=False)]
+            yield batch[SLICE_COLUMNS].assign(dtype="uint8", data=packed)
+
+    per_slice = slices.select(*SLICE_COLUMNS).mapInPandas(measure, "volume_id string, low double, high double")
+    span = per_slice.groupBy("volume_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return slices.select(*SLICE_COLUMNS).join(broadcast_if_small(cut_lineage(span), 500_000), "volume_id").mapInPandas(apply, SLICE_SCHEMA)
+
+
 def apply_mask(slices: DataFrame, mask: DataFrame, above: int = 0) -> DataFrame:
     """Clear the pixels where the mask is not above a value."""
     return zip_slices(slices, mask, lambda image, inside: image * (inside > above))

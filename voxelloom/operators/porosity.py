@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.layouts import whole_pixels
+from voxelloom.layouts import SLICE_COLUMNS, SLICE_SCHEMA, image_of, whole_pixels
+from voxelloom.session import broadcast_if_small, cut_lineage
 
 VOLUME = ["volume_id"]
 SLICE = ["volume_id", "z"]
@@ -158,20 +159,48 @@ def highlight_threshold(voxels: DataFrame, v: str = "v", threshold: float = 0) -
     return voxels.withColumn("region", F.col(v) > F.lit(threshold))
 
 
-def joint_hist(stack: DataFrame, mask: DataFrame) -> DataFrame:
-    """Counts per (volume, slice, value, in region) of two voxel tables on their common pixels.
+def volume_tops(slices: DataFrame) -> DataFrame:
+    """(volume_id, top): the largest pixel of every volume; each slice gives one number."""
+    def largest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            tops = [float(image_of(row).max(initial=0)) for row in batch.itertuples(index=False)]
+            yield pd.DataFrame({"volume_id": batch["volume_id"], "top": tops})
+
+    per_slice = slices.where("data IS NOT NULL").select("volume_id", "h", "w", "dtype", "data").mapInPandas(largest, "volume_id string, top double")
+    return per_slice.groupBy("volume_id").agg(F.max("top").alias("top"))
+
+
+def _inside(image: np.ndarray, top: float | None, above: float | None) -> np.ndarray:
+    """Region pixels: above a value; else non-zero ones of a boolean mask, the brightest ones of any other (none if all are 0)."""
+    if above is not None:
+        return image > above
+    return image if image.dtype == bool else (image == top) & (image > 0)
+
 
-    The equi-join on the coordinates is the cut to the common shape.
+def _with_tops(masks: DataFrame, above: float | None) -> DataFrame:
+    if above is not None:
+        return masks.withColumn("top", F.lit(None).cast("double"))
+    return masks.join(broadcast_if_small(cut_lineage(volume_tops(masks)), 500_000), "volume_id", "left")
+
+
+def region_slices(masks: DataFrame, above: float | None = None) -> DataFrame:
+    """Packed 0/1 regions of a mask stack: what is as bright as its volume's brightest pixel, or above a value.
+
+    The brightest value needs a pass of its own over the masks; one number a slice leaves the scan.
     """
-    region = mask.select("volume_id", "z", "y", "x", "region")
-    joined = stack.join(region, ["volume_id", "z", "y", "x"])
-    return joined.groupBy("volume_id", "z", "v", "region").agg(F.count(F.lit(1)).alias("n"))
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            packed = [_inside(image_of(row), row.top, above).astype(np.uint8).tobytes() for row in batch.itertuples(index=False)]
+            yield batch[SLICE_COLUMNS].assign(dtype="uint8", data=packed)
+
+    return _with_tops(masks.select(*SLICE_COLUMNS), above).mapInPandas(mark, SLICE_SCHEMA)
 
 
-def joint_hist_of_slices(stack: DataFrame, mask: DataFrame, region_above: int = 0) -> DataFrame:
-    """The same counts from packed slices: one row per slice crosses the shuffle instead of its pixels.
+def joint_hist_of_slices(stack: DataFrame, mask: DataFrame, region_above: float | None = 0) -> DataFrame:
+    """Counts per (volume, slice, value, in region): one row per slice crosses the shuffle instead of its pixels.
 
-    Mask values above ``region_above`` are inside. Both images are cut to their common size.
+    Mask values above ``region_above`` are inside; with None those as bright as the mask volume's brightest one (see
+    ``region_slices``). Both images are cut to their common size.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,14 +208,14 @@ def joint_hist_of_slices(stack: DataFrame, mask: DataFrame, region_above: int =
             for row in batch.itertuples(index=False):
                 h, w = min(row.h, row.mask_h), min(row.w, row.mask_w)
                 image = whole_pixels(row)[:h, :w].astype(np.int64)
-                inside = np.frombuffer(row.mask, np.dtype(row.mask_dtype)).reshape(row.mask_h, row.mask_w)[:h, :w] > region_above
-                cell, counts = np.unique(2 * image + inside, return_counts=True)
+                marks = np.frombuffer(row.mask, np.dtype(row.mask_dtype)).reshape(row.mask_h, row.mask_w)[:h, :w]
+                cell, counts = np.unique(2 * image + _inside(marks, row.top, region_above), return_counts=True)
                 yield pd.DataFrame(
                     {"volume_id": row.volume_id, "z": np.int32(row.z), "v": cell // 2, "region": cell % 2 == 1, "n": counts}
                 )
 
-    masks = mask.select(
-        "volume_id", "z", F.col("h").alias("mask_h"), F.col("w").alias("mask_w"), F.col("dtype").alias("mask_dtype"), F.col("data").alias("mask")
+    masks = _with_tops(mask.select(*SLICE_COLUMNS), region_above).select(
+        "volume_id", "z", F.col("h").alias("mask_h"), F.col("w").alias("mask_w"), F.col("dtype").alias("mask_dtype"), F.col("data").alias("mask"), "top"
     )
     pairs = stack.select("volume_id", "z", "h", "w", "dtype", "data").join(masks, ["volume_id", "z"])
     return pairs.mapInPandas(count, "volume_id string, z int, v int, region boolean, n bigint")

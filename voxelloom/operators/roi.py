@@ -160,13 +160,24 @@ def box_masks(slices: DataFrame, boxes: DataFrame) -> DataFrame:
     return placed.mapInPandas(draw, SLICE_SCHEMA)
 
 
-def bounding_box(region: DataFrame, volumes: DataFrame | None = None) -> DataFrame:
-    """Smallest box (inclusive ends) around the region pixels of each slice; ``empty`` marks slices without any."""
-    y, x = (F.when(F.col("region"), F.col(axis)) for axis in ("y", "x"))
-    return region.groupBy("volume_id", "z").agg(
-        F.min(y).alias("min_row"), F.max(y).alias("max_row"), F.min(x).alias("min_col"), F.max(x).alias("max_col"),
-        (~F.max("region")).alias("empty"),
-    )
+def bounding_box(masks: DataFrame, above: float = 0) -> DataFrame:
+    """Smallest box (inclusive ends) around the pixels above a value of each packed slice; ``empty`` marks slices without any.
+
+    Rows and columns are projected inside the scan's tasks: one row per slice leaves them, and nothing shuffles.
+    """
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for row in batch.itertuples(index=False):
+                inside = image_of(row) > above
+                rows, columns = np.flatnonzero(inside.any(axis=1)), np.flatnonzero(inside.any(axis=0))
+                ends = (rows[0], rows[-1], columns[0], columns[-1]) if len(rows) else (None,) * 4
+                found.append((row.volume_id, row.z, *ends, not len(rows)))
+            out = pd.DataFrame(found, columns=["volume_id", "z", "min_row", "max_row", "min_col", "max_col", "empty"])
+            yield out.astype({name: "Int32" for name in ("min_row", "max_row", "min_col", "max_col")})
+
+    schema = "volume_id string, z int, min_row int, max_row int, min_col int, max_col int, empty boolean"
+    return masks.select("volume_id", "z", "h", "w", "dtype", "data").mapInPandas(project, schema)
 
 
 def mask_boundary(mask: DataFrame) -> DataFrame:

@@ -27,12 +27,15 @@ def analyze_porosity(slices: DataFrame, encoding: str = "auto", percent: bool =
     return porosity.volume_stats(porosity.pore_mask(hist, encoding=encoding, **rule), percent)
 
 
-def analyze_region_porosity(slices: DataFrame, masks: DataFrame, pore_is_white: bool = True, factor: float = 0.8) -> DataFrame:
-    """Porosity inside a region mask (mask slices: non-zero is inside).
+def analyze_region_porosity(
+    slices: DataFrame, masks: DataFrame, pore_is_white: bool = True, factor: float = 0.8, region_above: float | None = None
+) -> DataFrame:
+    """Porosity inside a region of mask slices: what is as bright as the mask volume's brightest pixel (a boolean mask: what is
+    set), or above ``region_above``.
 
     The threshold needs the volume mean first; the joint counts are stored so that stack and mask meet once.
     """
-    joint = cut_lineage(porosity.joint_hist_of_slices(slices, masks, 0))
+    joint = cut_lineage(porosity.joint_hist_of_slices(slices, masks, region_above))
     return porosity.region_porosity(porosity.region_pore_mask(joint, pore_is_white, factor))
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voxelloom import layouts
 from voxelloom.functions import pixels
 from voxelloom.operators import images, renaming, roi, rotation, synthetic, training
-from voxelloom.operators.porosity import highlight_threshold
 from voxelloom.ordering import rank_rows
 from voxelloom.plans.registry import DENSE, VOX, plain, query
 from voxelloom.sources import images as image_sources
@@ -37,6 +37,26 @@ def normalize_max(spark, sf):
     return plain(voxels.select(*KEY, pixels.normalize_max("v", "hi").alias("share")))
 
 
+def wide_slices(spark, sf):
+    """The stacks as 16-bit pixels."""
+    return layouts.map_slices(testdata.slices(spark, sf), lambda image: image.astype(np.uint16) * 200 + 7, "uint16")
+
+
+WIDE = f"""{DENSE}, wide AS (SELECT volume_id, z, y, x, v * 200.0::DOUBLE + 7 AS v FROM dense),
+ends AS (SELECT *, min(v) OVER w AS lo, max(v) OVER w AS hi FROM wide WINDOW w AS (PARTITION BY {{keys}}))
+SELECT volume_id, z, y, x, CASE WHEN hi > lo THEN trunc((v - lo) / (hi - lo) * 255)::BIGINT ELSE 0 END AS v FROM ends"""
+
+
+@query("WITH " + WIDE.format(keys="volume_id, z"))
+def normalize_slices(spark, sf):
+    return plain(layouts.slices_to_voxels(images.normalize_slices(wide_slices(spark, sf))))
+
+
+@query("WITH " + WIDE.format(keys="volume_id"))
+def normalize_volumes(spark, sf):
+    return plain(layouts.slices_to_voxels(images.normalize_slices(wide_slices(spark, sf), "volume")))
+
+
 @query(f"WITH {VOX} SELECT volume_id, z, y, x, round(v / 255.0::DOUBLE, 6) AS unit FROM vox")
 def to_unit(spark, sf):
     return plain(testdata.voxels(spark, sf).select(*KEY, pixels.to_unit("v").alias("unit")))
@@ -362,14 +382,21 @@ fit AS (SELECT s.volume_id, s.z, s.oy AS y, s.ox AS x, coalesce(d.v, 0) AS v FRO
 @query(f"WITH {DENSE}, {FIT.format(thr=185, h=9, w=41)} SELECT volume_id, z, y, x, v FROM fit")
 def fit_to_size(spark, sf):
     stack = testdata.slices(spark, sf)
-    boxes = roi.bounding_box(highlight_threshold(layouts.slices_to_voxels(stack), threshold=185))
+    boxes = roi.bounding_box(stack, 185)
     return plain(layouts.slices_to_voxels(images.fit_to_size(stack, boxes, 9, 41)))
 
 
+@query(f"WITH {DENSE}, {FIT.format(thr=185, h=9, w=41)} SELECT volume_id, z, y, x, CASE WHEN v > 185 THEN v ELSE 0 END AS v FROM fit")
+def fit_masked_region(spark, sf):
+    stack = testdata.slices(spark, sf)
+    mask = layouts.map_slices(stack, lambda image: image > 185)
+    return plain(layouts.slices_to_voxels(images.fit_to_size(stack, roi.bounding_box(mask), 9, 41, mask=mask)))
+
+
 @query(f"WITH {DENSE}, {FIT.format(thr=205, h=13, w=75)} SELECT volume_id, z, y, x, v FROM fit")
 def fit_small_regions(spark, sf):
     stack = testdata.slices(spark, sf)
-    boxes = roi.bounding_box(highlight_threshold(layouts.slices_to_voxels(stack), threshold=205))
+    boxes = roi.bounding_box(stack, 205)
     return plain(layouts.slices_to_voxels(images.fit_to_size(stack, boxes, 13, 75)))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from voxelloom import layouts
@@ -21,13 +22,6 @@ def text_pores(spark, sf):
     return porosity.pore_mask(text_hist(spark, sf), encoding="u8", threshold=96)
 
 
-def vox_region(spark, sf):
-    """The voxel table with each volume's brightest-and-near pixels as region: a second stack on fewer pixels."""
-    voxels = testdata.voxels(spark, sf)
-    mask = voxels.where("z < 7").withColumn("region", F.col("x") + F.col("y") * 2 + F.col("z") < 60)
-    return voxels, mask
-
-
 @query(f"""WITH {TEXT_HIST}
 SELECT volume_id, z::BIGINT AS z, v::BIGINT AS v, n FROM thist""")
 def slice_histogram(spark, sf):
@@ -95,27 +89,40 @@ def slice_summary(spark, sf):
     return plain(porosity.slice_summary(layouts.slices_to_hist(testdata.slices(spark, sf))))
 
 
-REGION = "x + y * 2 + z < 60"
-REGION_SQL = f"""{VOX}, mask AS (SELECT volume_id, z, y, x, {REGION} AS region FROM vox WHERE z < 7),
-both_ AS (SELECT a.*, m.region FROM vox a JOIN mask m USING (volume_id, z, y, x)),
+# A gray mask on fewer slices, lines and columns, whose brightest value marks the region.
+REGION_SQL = f"""{DENSE}, gray AS (SELECT volume_id, z, y, x, CASE WHEN v > 100 THEN 9 ELSE v // 64 END AS m FROM dense WHERE z < 7),
+mask AS (SELECT volume_id, z, y, x, m = max(m) OVER (PARTITION BY volume_id) AND m > 0 AS region FROM gray WHERE y < 14 AND x < 60),
+both_ AS (SELECT a.*, m.region FROM dense a JOIN mask m USING (volume_id, z, y, x)),
 lim AS (SELECT volume_id, avg(v) * 0.8 AS l FROM both_ GROUP BY 1),
 marked AS (SELECT b.*, (v > l AND region) AS pore FROM both_ b JOIN lim USING (volume_id)),
 profile AS (SELECT volume_id, z, 100.0::DOUBLE * sum(CASE WHEN pore THEN 1 ELSE 0 END) / count(*) AS p,
                    sum(CASE WHEN pore THEN 1 ELSE 0 END) AS pores, count(*) AS total FROM marked WHERE region GROUP BY 1, 2)"""
 
 
+def gray_mask(spark, sf):
+    gray = layouts.map_slices(testdata.slices(spark, sf).where("z < 7"), lambda image: np.where(image > 100, 9, image // 64))
+    return images.crop(gray, 0, 14, 0, 60)
+
+
+def joint(spark, sf):
+    return porosity.joint_hist_of_slices(testdata.slices(spark, sf), gray_mask(spark, sf), None)
+
+
+@query(f"WITH {REGION_SQL} SELECT volume_id, z, y, x, region::BIGINT AS v FROM mask")
+def region_slices(spark, sf):
+    return plain(layouts.slices_to_voxels(porosity.region_slices(gray_mask(spark, sf))))
+
+
 @query(f"""WITH {REGION_SQL}
 SELECT volume_id, z, v, region, pore, count(*)::BIGINT AS n FROM marked GROUP BY ALL""")
 def region_pore_mask(spark, sf):
-    voxels, mask = vox_region(spark, sf)
-    return plain(porosity.region_pore_mask(porosity.joint_hist(voxels, mask)).select("volume_id", "z", "v", "region", "pore", "n"))
+    return plain(porosity.region_pore_mask(joint(spark, sf)).select("volume_id", "z", "v", "region", "pore", "n"))
 
 
 @query(f"""WITH {REGION_SQL}
 SELECT volume_id, z, round(p, 6) AS porosity, pores::BIGINT AS pore_voxels, total::BIGINT AS region_voxels FROM profile""")
 def porosity_profile(spark, sf):
-    voxels, mask = vox_region(spark, sf)
-    return plain(porosity.porosity_profile(porosity.region_pore_mask(porosity.joint_hist(voxels, mask))))
+    return plain(porosity.porosity_profile(porosity.region_pore_mask(joint(spark, sf))))
 
 
 @query(f"""WITH {REGION_SQL}
@@ -123,8 +130,7 @@ SELECT volume_id, round(100.0 * sum(pores) / sum(total), 6) AS porosity, round(m
        round(avg(p), 6) AS mean_porosity, round(stddev_pop(p), 6) AS std_porosity, sum(total)::BIGINT AS highlighted_voxels,
        sum(pores)::BIGINT AS pore_voxels FROM profile GROUP BY 1""")
 def region_porosity(spark, sf):
-    voxels, mask = vox_region(spark, sf)
-    return plain(porosity.region_porosity(porosity.region_pore_mask(porosity.joint_hist(voxels, mask))))
+    return plain(porosity.region_porosity(porosity.region_pore_mask(joint(spark, sf))))
 
 
 @query(f"""WITH {DENSE}, lim AS (SELECT volume_id, avg(v) * 0.8 AS l FROM dense GROUP BY 1),
@@ -157,8 +163,12 @@ def highlight_threshold(spark, sf):
     return plain(marked.select("volume_id", "z", "y", "x", "region"))
 
 
-@query(f"""WITH {VOX} SELECT a.volume_id, a.z, a.y, a.x, (a.v > 127 AND b.v > 100) AS both_set, (a.v > 127 AND NOT b.v > 100) AS only_first
-FROM vox a JOIN (SELECT volume_id, z, y, 63 - x AS x, v FROM vox WHERE z < 6 AND y < 12 AND x > 3) b USING (volume_id, z, y, x)""")
+@query("""WITH level AS (
+  SELECT vec_id, p, trunc(least(255, greatest(0, (CAST(embedding[p + 1] AS DOUBLE) + 0.6) / 1.2 * 255))) AS v,
+         trunc(least(255, greatest(0, (CAST(embedding[64 - p] AS DOUBLE) + 0.6) / 1.2 * 255))) AS mirrored
+  FROM embeddings, range(60) r(p) WHERE vec_id % 128 // 16 < 6 AND vec_id % 16 < 12)
+SELECT 'v' || (vec_id // 128) AS volume_id, vec_id % 128 // 16 AS z, vec_id % 16 AS y, p AS x, v > 127 AND mirrored > 100 AS both_set,
+       v > 127 AND NOT mirrored > 100 AS only_first FROM level""")
 def stack_mask_join(spark, sf):
     a = testdata.voxels(spark, sf)
     b = images.flip_voxels(a.where("z < 6 AND y < 12 AND x > 3"), "x", 64).select("volume_id", "z", "y", "x", F.col("v").alias("b"))
@@ -419,8 +429,7 @@ BBOX = """bb AS (SELECT volume_id, z, min(CASE WHEN v > 185 THEN y END) AS min_r
 
 @query(f"WITH {DENSE}, {BBOX} SELECT volume_id, z, min_row, max_row, min_col, max_col, empty FROM bb")
 def bounding_box(spark, sf):
-    voxels = layouts.slices_to_voxels(testdata.slices(spark, sf))
-    return plain(roi.bounding_box(porosity.highlight_threshold(voxels, threshold=185)))
+    return plain(roi.bounding_box(testdata.slices(spark, sf), 185))
 
 
 @query(f"""WITH {DENSE}, m AS (SELECT * FROM dense WHERE v > 110)
