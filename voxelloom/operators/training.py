@@ -67,7 +67,7 @@ def experiment_grid(studies: DataFrame) -> DataFrame:
         .select("study", "i", "j", "loss", "lr", "n_b", F.size("c").alias("n_c"), F.posexplode("c").alias("k", "seed"))
     )
     number = (F.col("i") * F.col("n_b") + F.col("j")) * F.col("n_c") + F.col("k") + 1
-    seed = F.col("seed").cast("int")
+    seed = F.col("seed").try_cast("int")
     return grid.select("study", number.alias("run_no"), "loss", "lr", seed.alias("seed"), experiment_name("loss", "lr", seed).alias("run"))
 
 

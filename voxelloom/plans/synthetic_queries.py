@@ -52,7 +52,17 @@ def spec_required(spark, sf):
 @query(f"""WITH {SPEC} SELECT spec, nx::BIGINT AS nx, coalesce(ny, 512)::BIGINT AS ny, nz::BIGINT AS nz, voxel AS voxel_size_nm, round(phi, 6) AS overall_porosity,
 'spheres' AS generator, 30::BIGINT AS max_iters, p_partkey AS seed, 'z' AS slice_axis, png = 'True' AS export_png, true AS sem_like FROM spec""")
 def spec_typed(spark, sf):
-    return plain(spec_source.typed_specs(parsed(spark, sf)))
+    return plain(spec_source.typed_specs(parsed(spark, sf)).drop("problems"))
+
+
+@query(f"""WITH {SPEC} SELECT spec, CASE WHEN p_partkey % 10 = 3 THEN NULL ELSE nx END::BIGINT AS nx, CASE WHEN p_partkey % 10 <> 3 THEN 30 END::BIGINT AS max_iters,
+CASE WHEN p_partkey % 10 = 3 THEN 'max_iters: many;nx: ten;psd_weights: 0.5, half' ELSE '' END AS problems FROM spec""")
+def spec_problems(spark, sf):
+    """Every tenth text ends in settings that are no numbers."""
+    texts = testdata.spec_texts(spark, sf)
+    odd = F.when(F.col("spec").endswith("3"), F.concat("text", F.lit("\nnx: ten\nmax_iters = many\npsd_weights: 0.5, half"))).otherwise(F.col("text"))
+    typed = spec_source.typed_specs(spec_source.parse_specs(texts.withColumn("text", odd)))
+    return plain(typed.select("spec", "nx", "max_iters", F.array_join("problems", ";").alias("problems")))
 
 
 BINS = f"""{SPEC}, bins AS (

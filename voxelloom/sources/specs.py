@@ -42,15 +42,12 @@ def parse_specs(texts: DataFrame) -> DataFrame:
 
     settings = F.filter(bodies, lambda body: F.contains(body, F.lit(":")) | F.contains(body, F.lit("=")))
     pairs = F.filter(F.transform(settings, pair), lambda p: p["key"] != "")
-    nothing = F.create_map().cast("map<string,string>")
-    latest = F.aggregate(
-        pairs,
-        nothing,
-        lambda known, p: F.map_concat(
-            F.map_filter(known, lambda key, _: key != p["key"]), F.create_map(p["key"], p["value"])
-        ),
-    )
-    return texts.select("spec", latest.alias("settings"))
+    # In order of key and line, an entry holds where the next one has another key: time grows with n log n.
+    placed = F.array_sort(F.transform(pairs, lambda p, line: F.struct(p["key"].alias("key"), line.alias("line"), p["value"].alias("value"))))
+    ordered = texts.select("spec", placed.alias("_p")).select("spec", "_p", F.slice("_p", 2, F.greatest(F.lit(1), F.size("_p"))).alias("_next"))
+    beside = F.zip_with("_p", "_next", lambda here, after: F.struct(here["key"].alias("key"), here["value"].alias("value"), after["key"].alias("next")))
+    last = F.filter(beside, lambda e: e["next"].isNull() | (e["next"] != e["key"]))
+    return ordered.select("spec", F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"]))).alias("settings"))
 
 
 def setting(key: str, settings: str | Column = "settings") -> Column:
@@ -58,9 +55,9 @@ def setting(key: str, settings: str | Column = "settings") -> Column:
 
 
 def float_list(text: Column) -> Column:
-    """Comma list to doubles; blank items dropped; a missing text gives an empty array."""
+    """Comma list to doubles; blank items dropped, items that are no number null; a missing text gives an empty array."""
     items = F.filter(F.transform(F.split(text, ","), strip), lambda item: item != "")
-    return F.coalesce(F.transform(items, lambda item: item.cast("double")), F.array().cast("array<double>"))
+    return F.coalesce(F.transform(items, lambda item: item.try_cast("double")), F.array().cast("array<double>"))
 
 
 def missing_keys(settings: str | Column = "settings") -> Column:
@@ -72,23 +69,36 @@ def true_text(text: Column, default: str = "true") -> Column:
     return F.lower(F.coalesce(text, F.lit(default))) == "true"
 
 
+NUMBERS = {"nx": "int", "ny": "int", "nz": "int", "voxel_size_nm": "double", "overall_porosity": "double", "max_iters": "int", "seed": "int", "random_seed": "int"}
+LISTS = ["psd_bins_nm", "psd_weights"]
+
+
+def problems(settings: str | Column = "settings") -> Column:
+    """``key: text`` of every numeric setting, and of every list with an item, that is no number; sorted by key."""
+    single = [F.when(setting(key, settings).isNotNull() & setting(key, settings).try_cast(kind).isNull(), key) for key, kind in NUMBERS.items()]
+    lists = [F.when(F.exists(float_list(setting(key, settings)), lambda item: item.isNull()), key) for key in LISTS]
+    found = F.array_sort(F.filter(F.array(*single, *lists), lambda key: key.isNotNull()))
+    return F.transform(found, lambda key: F.concat(key, F.lit(": "), F.element_at(settings, key)))
+
+
 def typed_specs(specs: DataFrame) -> DataFrame:
-    """The settings other steps use, with defaults; ``seed`` wins over the older ``random_seed``."""
+    """The settings other steps use, with defaults; ``seed`` wins over the older ``random_seed``.
+
+    A number that cannot be read is null, not its default, and its text stands in ``problems``; the other specs go on.
+    """
 
-    def number(key: str, kind: str) -> Column:
-        return F.coalesce(setting(key).cast(kind), F.lit(DEFAULT_SPEC[key])).alias(key)
+    def number(key: str, default: Column, *older: str) -> Column:
+        given = F.coalesce(*[setting(k) for k in (key, *older)])
+        return F.when(given.isNull(), default).otherwise(given.try_cast(NUMBERS[key])).alias(key)
 
     return specs.select(
         "spec",
-        number("nx", "int"),
-        number("ny", "int"),
-        number("nz", "int"),
-        number("voxel_size_nm", "double"),
-        number("overall_porosity", "double"),
+        *[number(key, F.lit(DEFAULT_SPEC[key])) for key in ("nx", "ny", "nz", "voxel_size_nm", "overall_porosity")],
         F.lower(F.coalesce(setting("generator"), F.lit("spheres"))).alias("generator"),
-        F.coalesce(setting("max_iters").cast("int"), F.lit(30)).alias("max_iters"),
-        F.coalesce(setting("seed"), setting("random_seed"), F.lit("-1")).cast("int").alias("seed"),
+        number("max_iters", F.lit(30)),
+        number("seed", F.lit(-1), "random_seed"),
         F.coalesce(setting("slice_axis"), F.lit("z")).alias("slice_axis"),
         true_text(setting("export_png")).alias("export_png"),
         true_text(setting("sem_like")).alias("sem_like"),
+        problems().alias("problems"),
     )
