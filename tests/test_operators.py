@@ -204,17 +204,35 @@ def test_ranks_of_a_hot_key_use_many_buckets(spark):
     names = [f"n{random.Random(i).random()}" for i in range(6000)]
     keys = ["hot" if i % 3 else f"k{i % 50}" for i in range(6000)]
     frame = spark.createDataFrame(list(zip(keys, names)), ["key", "name"])
-    points = ordering.split_points(frame, ["name"], 16)
-    assert 8 < len(points) < 16
-    spread = frame.where("key = 'hot'").groupBy(ordering.bucket_of(["name"], points)).count().agg(F.max("count")).first()[0]
-    assert spread < 1500
-    ranked = {r.name: r["rank"] for r in ordering.rank_rows(frame, ["key"], ["name"], "rank", buckets=16).collect()}
+    ranked = {r.name: r["rank"] for r in ordering.rank_rows(frame, ["key"], ["name"], "rank").collect()}
     expected = {}
     for key in set(keys):
         expected.update({n: i for i, n in enumerate(sorted(n for k, n in zip(keys, names) if k == key))})
     assert ranked == expected
 
 
+def test_ranges_stay_bounded(spark):
+    """One key, and one row, fill a third of the table; each range still holds its share only."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for partitions in (8, 24):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            frame = spark.range(24000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 7).alias("k"), F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("v"))
+            sizes = ordering.dealt_in_ranges(frame, ["k"], ["v"]).groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count"), F.count("*")).first()
+            assert sizes[1] == partitions and sizes[0] < 2.5 * 24000 / partitions
+            ranks = ordering.rank_rows(frame, ["k"], ["v"], "r", total="n").groupBy("k").agg(F.max("r") + 1, F.count_distinct("r"), F.max("n"), F.count("*")).collect()
+            assert all(len(set(row[1:])) == 1 for row in ranks) and len(ranks) == 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_boxplots_read_their_input_once(spark, tmp_path):
+    spark.range(1000).select((F.col("id") % 4).alias("k"), (F.col("id") % 100).cast("double").alias("v")).write.parquet(str(tmp_path / "t"))
+    plan = psd.boxplot_stats(spark.read.parquet(str(tmp_path / "t")), ["k"], "v")._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" not in plan.lower()  # all from the stored counts
+
+
 def test_percentiles_of_repeated_values(spark):
     data = [5.0] * 4000 + RNG.normal(size=2001).tolist()
     frame = spark.createDataFrame([(1, v) for v in data], "k int, v double")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.operators.histograms import value_histogram
 from voxelloom.operators.images import float_hist
-from voxelloom.ordering import exact_percentiles
+from voxelloom.ordering import percentiles_of, ranked_counts
 from voxelloom.session import cut_lineage
 
 IMAGE = ["volume_id", "z"]
@@ -111,13 +111,17 @@ def run_summary(stats: DataFrame, run: list[str], psd: DataFrame | None = None)
 
 
 def boxplot_stats(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Quartiles, whiskers (outermost values within 1.5 IQR of the box) and outlier count per key."""
-    quartiles = exact_percentiles(values, keys, value, [0.25, 0.5, 0.75])
+    """Quartiles, whiskers (outermost values within 1.5 IQR of the box) and outlier count per key.
+
+    All of them come from the stored counts of distinct values; the values themselves are read once.
+    """
+    ranked = ranked_counts(values, keys, value)
+    quartiles = percentiles_of(ranked, keys, value, [0.25, 0.5, 0.75])
     reach = (F.col("p2") - F.col("p0")) * 1.5
-    joined = values.where(F.col(value).isNotNull()).join(quartiles, keys)
+    joined = ranked.join(quartiles, keys) if keys else ranked.join(F.broadcast(quartiles))
     inside = F.col(value).between(F.col("p0") - reach, F.col("p2") + reach)
     return joined.groupBy(*keys).agg(
         F.max("p0").alias("q1"), F.max("p1").alias("median"), F.max("p2").alias("q3"),
         F.min(F.when(inside, F.col(value))).alias("whisker_low"), F.max(F.when(inside, F.col(value))).alias("whisker_high"),
-        F.count_if(~inside).alias("n_outliers"),
+        F.sum(F.when(inside, 0).otherwise(F.col("_n"))).alias("n_outliers"),
     )

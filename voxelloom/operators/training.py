@@ -88,8 +88,8 @@ def training_summary(best: DataFrame, settings: DataFrame, score: str = "best_va
     start_scores = {"best_val_pixAcc": 0.0, "best_val_IoU_pos": -1.0}
     joined = cut_lineage(settings.join(best, "run", "left").fillna(start_scores))
     counted = joined.groupBy(score).agg(F.count(F.lit(1)).alias("_n"), (-F.max(score)).alias("_down"))
-    places = rank_rows(counted, [], ["_down"], "_before", weight="_n")
-    return joined.join(places.select(score, "_before"), score).withColumn("place", F.col("_before") + 1).drop("_before")
+    places = rank_rows(counted, [], ["_down"], "_ahead", weight="_n")
+    return joined.join(places.select(score, "_ahead"), score).withColumn("place", F.col("_ahead") + 1).drop("_ahead")
 
 
 def train_val_split(files: DataFrame, name: str = "name", share: float = 0.1, seed: int = 2025) -> DataFrame:

@@ -6,8 +6,15 @@ cut the order into buckets first, number rows inside a bucket, and add the count
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from voxelloom.session import cut_lineage
 
 
 def rank_in_buckets(
@@ -46,59 +53,47 @@ def rank_in_buckets(
     )
 
 
-def split_points(df: DataFrame, order: list[str], buckets: int) -> list:
-    """At most ``buckets - 1`` increasing order values from an even sample of some thousand rows."""
-    picked = df.select(F.struct(*order).alias("_o"))
-    rows, wanted = picked.count(), buckets * 16
-    if rows <= buckets:
-        return []
-    if rows > 2 * wanted:
-        picked = picked.sample(wanted / rows, seed=17)
-    sample = sorted(row["_o"] for row in picked.limit(4 * wanted).collect())
-    step = max(1, len(sample) // buckets)
-    return sorted(set(sample[step::step]))[: buckets - 1]
-
-
-def bucket_of(order: list[str], points: list) -> Column:
-    """Number of split points at or below the row, as a balanced tree of comparisons."""
-    here = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+def _running(rows: DataFrame, weight: str) -> DataFrame:
+    """Add ``_before``: the sum of ``weight`` over the rows before, in the order of each partition."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = 0
+        for batch in batches:
+            amounts = batch.column(batch.schema.get_field_index(weight)).to_numpy(zero_copy_only=False)
+            sums = np.cumsum(amounts) + carried
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums - amounts)], names=[*batch.schema.names, "_before"])
+            carried = sums[-1] if len(sums) else carried
 
-    def literal(point) -> Column:
-        parts = [F.lit(value).alias(name) for name, value in zip(order, point)]
-        return parts[0] if len(order) == 1 else F.struct(*parts)
+    return rows.mapInArrow(add, StructType([*rows.schema.fields, StructField("_before", rows.schema[weight].dataType)]))
 
-    def choose(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(here < literal(points[middle]), choose(low, middle)).otherwise(choose(middle + 1, high))
 
-    return choose(0, len(points))
+def dealt_in_ranges(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Partitions that follow each other in the order of (keys, order), each sorted. Equal rows are dealt by their input position."""
+    placed = df.withColumn("_place", F.monotonically_increasing_id())
+    return placed.repartitionByRange(*keys, *order, "_place").sortWithinPartitions(*keys, *order).drop("_place")
 
 
-def rank_rows(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    alias: str,
-    weight: str | None = None,
-    total: str | None = None,
-    buckets: int = 64,
-    sample_of: DataFrame | None = None,
-) -> DataFrame:
-    """Zero-based rank of any sortable columns without nulls.
+def rank_rows(df: DataFrame, keys: list[str], order: list[str], alias: str, weight: str | None = None, total: str | None = None) -> DataFrame:
+    """Zero-based rank of any sortable columns without nulls; ``weight`` adds up a whole-number column instead of rows.
 
-    A sample of ``sample_of`` (``df`` itself by default) balances the buckets; it never changes a rank.
+    Rows are dealt by ranges of (keys, order, input position), sampled by Spark, so there are as many ranges as shuffle
+    partitions and a hot key, or a value that fills a third of the table, spans several. They are numbered along the sorted
+    ranges and stored; the rows before each range come from one row per range, the rows before each key from one row per key.
     """
-    points = split_points(df if sample_of is None else sample_of, order, buckets)
-    if points:
-        return rank_in_buckets(df, keys, order, bucket_of(order, points), alias, weight, total)
-    # No more rows than buckets: one window is enough.
+    ranges = dealt_in_ranges(df, keys, order)
+    if weight:
+        numbered = _running(ranges, weight).withColumn("_range", F.spark_partition_id())
+    else:
+        position = F.monotonically_increasing_id()  # the range's number above bit 33, the row's place below
+        numbered = ranges.withColumn("_id", position).withColumns({"_range": F.shiftright("_id", 33).cast("int"), "_before": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id")
+    stored = cut_lineage(numbered)
     amount = F.col(weight) if weight else F.lit(1)
-    whole = Window.partitionBy(*keys)
-    before = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = df.withColumn(alias, F.coalesce(F.sum(amount).over(before), F.lit(0)))
-    return ranked.withColumn(total, F.sum(amount).over(whole)) if total else ranked
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sizes = stored.groupBy("_range").agg(F.max(F.col("_before") + amount).alias("_n"))
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    along = stored.join(F.broadcast(offsets), "_range").withColumn("_before", F.col("_before") + F.col("_offset")).drop("_range", "_offset")
+    starts = along.groupBy(*keys).agg(F.min("_before").alias("_start"), F.sum(amount).alias(total or "_all"))
+    whole = along.join(starts, keys) if keys else along.join(F.broadcast(starts))  # without keys: one row
+    return whole.withColumn(alias, F.col("_before") - F.col("_start")).drop("_before", "_start", *([] if total else ["_all"]))
 
 
 def rank_by_hash(
@@ -137,15 +132,18 @@ def running_max_before(
     )
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
-    """Linear-interpolated percentiles per key, columns ``p0, p1, ...``.
+def ranked_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, _n, _first, _size): how often each value occurs, how many smaller ones its key has, and its key's rows.
 
-    Equal values are counted before the shuffle, so a value that fills a third of the table is one row.
+    Equal values are counted before the shuffle, so a value that fills a third of the table is one row. The input is read once;
+    the result is stored.
     """
-    known = df.where(F.col(value).isNotNull())
-    counted = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = rank_rows(counted, keys, [value], "_first", weight="_n", total="_size", sample_of=known)
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    return rank_rows(counted, keys, [value], "_first", weight="_n", total="_size")
 
+
+def percentiles_of(ranked: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """Linear-interpolated percentiles per key from ``ranked_counts``, columns ``p0, p1, ...``."""
     def at_rank(rank: Column) -> Column:
         return F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_first") + F.col("_n")), F.col(value)))
 
@@ -155,3 +153,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: list[f
         low, high = at_rank(F.floor(place)), at_rank(F.ceil(place))
         columns.append((low + (high - low) * F.max(place - F.floor(place))).alias(f"p{i}"))
     return ranked.groupBy(*keys).agg(*columns)
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """Linear-interpolated percentiles per key, columns ``p0, p1, ...``."""
+    return percentiles_of(ranked_counts(df, keys, value), keys, value, shares)

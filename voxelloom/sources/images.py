@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.layouts import SLICE_COLUMNS, SLICE_SCHEMA
 from voxelloom.ordering import rank_rows
-from voxelloom.session import cut_lineage
+from voxelloom.session import broadcast_if_small
 
 # The image suffixes the readers accept.
 IMAGE_SUFFIXES = ["png", "jpg", "jpeg", "tif", "tiff"]
@@ -113,16 +113,21 @@ def slice_index(files: DataFrame, name: str = "name", keys: tuple[str, ...] = ("
 def read_slice_folder(spark: SparkSession, path: str | list[str], gray: str = "luma") -> DataFrame:
     """A folder (or glob of folders) of images as slices, z in file-name order. Empty input is an error.
 
-    A volume is a folder, named by the folders that tell it apart (``folders_told_apart``). The pictures are decoded once into a checkpoint; the ranking then reads only its names.
+    A volume is a folder, named by the folders that tell it apart (``folders_told_apart``). Names are ranked first, of the
+    readable files only; pixels go straight from the files to whoever reads the result and are never stored here.
     """
     depth = folders_told_apart(path)
     folders = F.array_join(F.slice(F.split("path", "/"), -1 - depth, depth), "/")
     pictures = read_images(spark, path).withColumn("volume_id", folders)
-    decoded = cut_lineage(gray_slices(pictures, F.col("volume_id"), F.lit(0), gray))
-    numbered = slice_index(decoded.select("volume_id", "name"))
+    numbered = slice_index(pictures.select("volume_id", "name"))
     if not numbered.head(1):
         raise FileNotFoundError(f"no images under {path}")
-    return decoded.drop("z").join(numbered, ["volume_id", "name"]).select(*SLICE_COLUMNS)
+    return _numbered(gray_slices(pictures, F.col("volume_id"), F.lit(0), gray), numbered)
+
+
+def _numbered(decoded: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Give every slice its rank; up to 500,000 names are sent to the slices instead of the slices to the names."""
+    return decoded.drop("z").join(broadcast_if_small(numbered, 500_000), ["volume_id", "name"]).select(*SLICE_COLUMNS)
 
 
 def read_slice_tree(spark: SparkSession, root: str, gray: str = "luma") -> DataFrame:
@@ -136,8 +141,7 @@ def read_slice_tree(spark: SparkSession, root: str, gray: str = "luma") -> DataF
     relative = F.expr(f"substring(path, locate({_quoted(anchor)}, path) + {len(anchor)})")
     below = F.regexp_extract("name", "^(.*)/[^/]*$", 1)
     named = images.withColumn("name", relative).withColumn("volume_id", F.when(below == "", plain.split("/")[-1]).otherwise(below))
-    decoded = cut_lineage(gray_slices(named, F.col("volume_id"), F.lit(0), gray))
-    return decoded.drop("z").join(slice_index(decoded.select("volume_id", "name")), ["volume_id", "name"]).select(*SLICE_COLUMNS)
+    return _numbered(gray_slices(named, F.col("volume_id"), F.lit(0), gray), slice_index(named.select("volume_id", "name")))
 
 
 def _quoted(text: str) -> str:
