@@ -201,17 +201,21 @@ def resample_nearest(slices: DataFrame, out_h: int, out_w: int) -> DataFrame:
 
 
 def label_components(mask: np.ndarray) -> np.ndarray:
-    """Label the True pixels of a 2D mask by 4-connected component: 0 outside, else 1 + smallest flat index.
+    """Label the True cells of a 2D or 3D mask by body, joined through cell sides: 0 outside, else 1 + smallest flat index.
 
-    Horizontal runs are the nodes and touching runs of neighbouring rows the edges; every round hooks the
+    Runs along the last axis are the nodes and touching runs of neighbouring lines the edges; every round hooks the
     larger root of each edge under the smaller one and flattens the trees.
     """
     begins = mask.copy()
-    begins[:, 1:] &= ~mask[:, :-1]
+    begins[..., 1:] &= ~mask[..., :-1]
     run = np.cumsum(begins).reshape(mask.shape) - 1
     first = np.flatnonzero(begins) + 1
-    touching = mask[1:] & mask[:-1]
-    upper, lower = run[:-1][touching], run[1:][touching]
+    edges = []
+    for axis in range(mask.ndim - 1):
+        ahead, behind = np.swapaxes(mask, 0, axis)[1:], np.swapaxes(mask, 0, axis)[:-1]
+        touching = ahead & behind
+        edges.append((np.swapaxes(run, 0, axis)[:-1][touching], np.swapaxes(run, 0, axis)[1:][touching]))
+    upper, lower = (np.concatenate(side) for side in zip(*edges))
     fresh = np.ones(len(upper), bool)
     fresh[1:] = (upper[1:] != upper[:-1]) | (lower[1:] != lower[:-1])
     upper, lower = upper[fresh], lower[fresh]

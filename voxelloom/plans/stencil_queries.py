@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelloom import layouts
-from voxelloom.operators import images, psd, slabs, synthetic
+from voxelloom.operators import bodies, images, psd, slabs, synthetic
 from voxelloom.plans import analyses
 from voxelloom.plans.porosity_queries import MATCH_SQL, OTSU_SQL
 from voxelloom.plans.registry import DENSE, plain, query
@@ -146,6 +146,19 @@ def connected_components(spark, sf):
     return plain(images.component_sizes(solid(spark, sf, 130)))
 
 
+# The same for bodies of a whole volume, joined through voxel sides.
+BODIES = """bpx AS (SELECT volume_id, (z * 16 + y) * 64 + x + 1 AS id, z, y, x FROM dense WHERE v > 165),
+bnb AS (SELECT a.volume_id, a.id, b.id AS other FROM bpx a JOIN bpx b ON a.volume_id = b.volume_id
+  AND (b.id = a.id + 1 AND b.y = a.y AND b.z = a.z OR b.id = a.id + 64 AND b.z = a.z OR b.id = a.id + 1024)),
+both_ways AS (SELECT * FROM bnb UNION ALL SELECT volume_id, other, id FROM bnb),
+breach AS (SELECT volume_id, id AS root, id FROM bpx UNION SELECT r.volume_id, r.root, n.other FROM breach r JOIN both_ways n ON n.volume_id = r.volume_id AND n.id = r.id WHERE n.other > r.root)"""
+
+
+@query(f"WITH RECURSIVE {DENSE}, {BODIES} SELECT volume_id, label::BIGINT AS label, count(*)::BIGINT AS size FROM (SELECT volume_id, id, min(root) AS label FROM breach GROUP BY 1, 2) GROUP BY 1, 2")
+def connected_bodies(spark, sf):
+    return plain(bodies.body_sizes(bodies.label_volume(solid(spark, sf, 165), block=3)))
+
+
 @query(f"""WITH RECURSIVE {DENSE}, b AS (SELECT * FROM dense WHERE v > 130), {COMPONENTS.format(colour='1', source='b')}
 SELECT d.volume_id, d.z, d.y, d.x, (CASE WHEN size >= 10 THEN 1 ELSE 0 END)::BIGINT AS v FROM dense d LEFT JOIN comp c USING (volume_id, z, y, x)""")
 def remove_small_objects(spark, sf):
