@@ -193,6 +193,19 @@ def test_stage_links_in_hot_groups(spark):
         assert {r.root for r in near_dedup.components(links).collect()} == {0} and near_dedup.components(links).count() == len(texts)
 
 
+def test_candidate_links_stay_few_in_large_groups(spark):
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 2**63, 2, dtype=np.int64)
+    for n in (250, 1000):
+        bits = np.unpackbits(np.tile(base.view(np.uint8), (n, 1)), axis=1)
+        for row in bits:
+            row[rng.choice(128, 8, replace=False)] ^= 1
+        wide = np.packbits(bits, axis=1).view(np.int64)
+        rows = [(int(x), int(a), int(b)) for x, (a, b) in zip(rng.integers(-2**62, 2**62, n), wide)]
+        links = near_dedup.candidate_links(spark.createDataFrame(rows, "node long, low long, high long"))
+        assert links.count() < 8 * n and near_dedup.components(links).select("root").distinct().count() == 1
+
+
 def test_decontamination(spark, docs, nothing):
     words = [f"word{i}" for i in range(60)]
     tests = spark.createDataFrame(

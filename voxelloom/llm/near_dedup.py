@@ -171,6 +171,7 @@ def fingerprint_links(fps: DataFrame, most: int = MAX_DISTANCE, group: int = GRO
         keyed.join(counts, ["block", "value"])
         .withColumn("parts", parts)
         .withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+        .repartition("block", "value", "part", "parts")  # see grouped_links
         .groupBy("block", "value", "part", "parts")
         .agg(F.collect_list("fp").alias("fps"))
     )
@@ -298,9 +299,12 @@ def shared_count(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def wide_links(wide: np.ndarray, group: np.ndarray, side: np.ndarray | None, linked_too=None, most: int = WIDE_DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+def wide_links(
+    wide: np.ndarray, group: np.ndarray, side: np.ndarray | None, linked_too=None, most: int = WIDE_DISTANCE, known: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Links (positions) that connect each group as all true pairs would; a pair is true at ``most`` or fewer
-    differing bits and if ``linked_too`` says so of the arrays ``i, j``. Pairs that are connected already are skipped.
+    differing bits and if ``linked_too`` says so of the arrays ``i, j``. Pairs that are connected already are skipped, and
+    rows of a group with equal ``known`` count as connected from the start.
 
     Rows are sorted by group and distance to a pivot, as in ``linked``.
     """
@@ -310,6 +314,11 @@ def wide_links(wide: np.ndarray, group: np.ndarray, side: np.ndarray | None, lin
     wide, group, table = wide[order], group[order], table[order]
     side = None if side is None else side[order]
     parent = np.arange(len(wide))
+    if known is not None and len(wide):
+        known = known[order]
+        by_root = np.lexsort((parent, known, group))
+        new = np.append(True, (group[by_root][1:] != group[by_root][:-1]) | (known[by_root][1:] != known[by_root][:-1]))
+        parent[by_root] = by_root[np.flatnonzero(new)[np.cumsum(new) - 1]]
     left = np.arange(len(wide) - 1)
     lag = 1
     while len(left):
@@ -349,6 +358,7 @@ def grouped_links(rows: DataFrame, keys: list[str], parts: DataFrame, item: list
     packed = store(
         rows.join(parts, keys)
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        .repartition(*keys, "part", "parts")  # a shuffled join has dealt by the keys alone, which would keep the parts together
         .groupBy(*keys, "part", "parts")
         .agg(F.collect_list(F.struct(*item)).alias("rows"))
         .select(*keys, "part", "parts", *[F.col(f"rows.{c}").alias(c) for c in item]),
@@ -363,7 +373,14 @@ def grouped_links(rows: DataFrame, keys: list[str], parts: DataFrame, item: list
         flat = [pa.concat_arrays([columns[c].flatten() for c in range(i, len(columns), n)]) for i in range(n)]
         a, b = find(flat, group, side)
         nodes = flat[0].to_numpy()
-        return pa.record_batch([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"])
+        # Every member links to its cluster's smallest node, so that a node's links from many keys are mostly one and the same.
+        smallest = nodes.copy()
+        np.minimum.at(smallest, b, nodes[a])
+        roots = np.unique(b)
+        roots = roots[smallest[roots] != nodes[roots]]
+        from_, to = np.concatenate([nodes[a], nodes[roots]]), np.concatenate([smallest[b], smallest[roots]])
+        other = from_ != to
+        return pa.record_batch([pa.array(from_[other]), pa.array(to[other])], names=["a", "b"])
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -390,27 +407,34 @@ def candidate_links(nodes: DataFrame, most: int = WIDE_DISTANCE, group: int = GR
 
     A row goes to its value of each of the eight 16-bit blocks and to the 16 values one bit away, so rows meet
     that are two bits apart there: all pairs with up to 23 differing bits, and of those at Jaccard 0.8 (0.55
-    for one block) 0.998.
+    for one block) 0.998. Rows of equal blocks are linked first; the others then only link what is still apart, so
+    a large group of copies gives a few links a row and not one for each of its values.
     """
     flips = np.array([0, *(1 << i for i in range(16))], np.int64)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                wide = np.stack([part.column(c).to_numpy() for c in (1, 2)], axis=1)
-                blocks = wide.view("<u2").astype(np.int64)
-                keys = (np.arange(WIDE_BLOCKS) << 16)[None, :, None] + (blocks[:, :, None] ^ flips)
-                repeat = pa.array(np.repeat(np.arange(len(wide)), WIDE_BLOCKS * len(flips)))
-                yield pa.record_batch([pa.array(keys.reshape(-1).astype(np.int32)), *(part.column(c).take(repeat) for c in range(3))], names=["key", "node", "low", "high"])
-
-    keyed = nodes.select("node", "low", "high").mapInArrow(spread, "key int, node long, low long, high long")
-    parts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / group).alias("parts"))
-
-    def find(columns, of_group, side):
-        return wide_links(np.stack([c.to_numpy() for c in columns[1:3]], axis=1).view(np.uint64), of_group, side, most=most)
-
-    return grouped_links(keyed, ["key"], parts, ["node", "low", "high"], find, "near-blocks")
+    names = ["key", "root", "node", "low", "high"]
+
+    def links(rows: DataFrame, moves: np.ndarray, name: str) -> DataFrame:
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 1024):
+                    part = batch.slice(lo, 1024)
+                    wide = np.stack([part.column(c).to_numpy() for c in (2, 3)], axis=1)
+                    blocks = wide.view("<u2").astype(np.int64)
+                    keys = (np.arange(WIDE_BLOCKS) << 16)[None, :, None] + (blocks[:, :, None] ^ moves)
+                    repeat = pa.array(np.repeat(np.arange(len(wide)), WIDE_BLOCKS * len(moves)))
+                    yield pa.record_batch([pa.array(keys.reshape(-1).astype(np.int32)), *(part.column(c).take(repeat) for c in range(4))], names=names)
+
+        def find(columns, of_group, side):
+            wide = np.stack([c.to_numpy() for c in columns[1:3]], axis=1).view(np.uint64)
+            return wide_links(wide, of_group, side, most=most, known=columns[0].to_numpy())
+
+        keyed = rows.select(*names[1:]).mapInArrow(spread, "key int, root long, node long, low long, high long")
+        parts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / group).alias("parts"))
+        return grouped_links(keyed, ["key"], parts, ["root", "low", "high"], find, name)
+
+    equal = store(links(nodes.withColumn("root", F.col("node")), flips[:1], "near-equal-blocks"), "near-equal-links")
+    placed = nodes.select("node", "low", "high").join(components(equal, "near-equal-roots"), "node", "left")
+    return equal.unionByName(links(placed.withColumn("root", F.coalesce("root", "node")), flips, "near-blocks"))
 
 
 def verified_links(candidates: DataFrame, least: float = LEAST_JACCARD, most: int = WIDE_DISTANCE, at_once: int = SETS_AT_ONCE) -> DataFrame:
