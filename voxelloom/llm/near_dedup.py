@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from voxelloom.llm.shared import SpanHasher, mix64, pieces, runs, store, texts_of
+from voxelloom.session import broadcast_if_small
 
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
@@ -349,20 +350,18 @@ def wide_links(
     return order[child], order[parent[child]]
 
 
-def grouped_links(rows: DataFrame, keys: list[str], parts: DataFrame, item: list[str], find, name: str) -> DataFrame:
+def grouped_links(rows: DataFrame, keys: list[str], item: list[str], find) -> DataFrame:
     """``(a, b)``: links that ``find(columns, group, side)`` sees between rows of equal ``keys``.
 
-    ``parts`` has the keys and how many parts each is dealt over; parts are compared within themselves and
-    pairwise, so no task holds a whole hot key.
+    ``parts`` says over how many parts a row's key is dealt; parts are compared within themselves and pairwise, so no
+    task holds a whole hot key. Rows of whole and of dealt keys are two disjoint branches; nothing is stored between.
     """
-    packed = store(
-        rows.join(parts, keys)
-        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        .repartition(*keys, "part", "parts")  # a shuffled join has dealt by the keys alone, which would keep the parts together
+    packed = (
+        rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        .repartition(*keys, "part", "parts")
         .groupBy(*keys, "part", "parts")
         .agg(F.collect_list(F.struct(*item)).alias("rows"))
-        .select(*keys, "part", "parts", *[F.col(f"rows.{c}").alias(c) for c in item]),
-        name,
+        .select(*keys, "part", "parts", *[F.col(f"rows.{c}").alias(c) for c in item])
     )
     n = len(item)
 
@@ -413,7 +412,7 @@ def candidate_links(nodes: DataFrame, most: int = WIDE_DISTANCE, group: int = GR
     flips = np.array([0, *(1 << i for i in range(16))], np.int64)
     names = ["key", "root", "node", "low", "high"]
 
-    def links(rows: DataFrame, moves: np.ndarray, name: str) -> DataFrame:
+    def links(rows: DataFrame, moves: np.ndarray) -> DataFrame:
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo in range(0, batch.num_rows, 1024):
@@ -429,17 +428,19 @@ def candidate_links(nodes: DataFrame, most: int = WIDE_DISTANCE, group: int = GR
             return wide_links(wide, of_group, side, most=most, known=columns[0].to_numpy())
 
         keyed = rows.select(*names[1:]).mapInArrow(spread, "key int, root long, node long, low long, high long")
+        # Eight blocks of 16 bits: at most 524,288 keys of twelve bytes, whatever the table.
         parts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / group).alias("parts"))
-        return grouped_links(keyed, ["key"], parts, ["root", "low", "high"], find, name)
+        return grouped_links(keyed.join(F.broadcast(store(parts, "near-keys")), "key"), ["key"], ["root", "low", "high"], find)
 
-    equal = store(links(nodes.withColumn("root", F.col("node")), flips[:1], "near-equal-blocks"), "near-equal-links")
+    equal = store(links(nodes.withColumn("root", F.col("node")), flips[:1]), "near-equal-links")
     placed = nodes.select("node", "low", "high").join(components(equal, "near-equal-roots"), "node", "left")
-    return equal.unionByName(links(placed.withColumn("root", F.coalesce("root", "node")), flips, "near-blocks"))
+    return equal.unionByName(links(placed.withColumn("root", F.coalesce("root", "node")), flips))
 
 
 def verified_links(candidates: DataFrame, least: float = LEAST_JACCARD, most: int = WIDE_DISTANCE, at_once: int = SETS_AT_ONCE) -> DataFrame:
     """Links ``(a, b)`` that connect the rows ``root, node, low, high, n, text`` of each root as all pairs of Jaccard ``least`` would."""
     parts = candidates.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / at_once, F.count(F.lit(1)) / SETS_IN_GROUP)).alias("parts"))
+    hot = broadcast_if_small(store(parts.where("parts > 1"), "near-hot-groups"))
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher()
@@ -464,7 +465,8 @@ def verified_links(candidates: DataFrame, least: float = LEAST_JACCARD, most: in
 
         return wide_links(np.stack([c.to_numpy() for c in columns[1:3]], axis=1).view(np.uint64), of_group, side, alike, most)
 
-    return grouped_links(rows, ["root"], parts, ["node", "low", "high", "hashes"], find, "near-sets")
+    dealt = rows.join(hot, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return grouped_links(dealt, ["root"], ["node", "low", "high", "hashes"], find)
 
 
 def drop_near_copies(docs: DataFrame, least: float = LEAST_JACCARD) -> DataFrame:
