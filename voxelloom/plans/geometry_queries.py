@@ -137,7 +137,7 @@ def crop_around(spark, sf):
     return plain(layouts.slices_to_voxels(images.crop_around(testdata.slices(spark, sf), 30.0, 61.5, 12)))
 
 
-@query(f"""WITH {DENSE}, g AS (SELECT DISTINCT volume_id, z, a AS y, b AS x FROM dense, range(20) p(a), range(70) q(b))
+@query(f"""WITH {DENSE}, g AS (SELECT volume_id, z, a AS y, b AS x FROM (SELECT DISTINCT volume_id, z FROM dense), range(20) p(a), range(70) q(b))
 SELECT g.volume_id, g.z, g.y, g.x, coalesce(d.v, 0) AS v FROM g LEFT JOIN dense d ON d.volume_id = g.volume_id AND d.z = g.z AND d.y = g.y AND d.x = g.x""")
 def pad_to_multiple(spark, sf):
     return plain(layouts.slices_to_voxels(images.pad_to_multiple(testdata.slices(spark, sf), 10)))
@@ -177,8 +177,8 @@ def lognormal_params(spark, sf):
 @query("""WITH s AS (SELECT s_suppkey, sqrt(ln(1 + 55.8 * 55.8 / ((100.0 + s_suppkey % 50) * (100.0 + s_suppkey % 50)))) AS sigma, 100.0::DOUBLE + s_suppkey % 50 AS m FROM supplier),
 q AS (SELECT s_suppkey, i, 20 + i * 480.0::DOUBLE / 499 AS x, ln(m) - sigma * sigma / 2 AS mu, sigma FROM s, range(500) r(i)),
 d AS (SELECT s_suppkey, i, x, exp(-(ln(x) - mu) * (ln(x) - mu) / (2 * sigma * sigma)) / (x * sigma * sqrt(2 * pi())) AS pdf FROM q),
-a AS (SELECT s_suppkey, sum((pdf + before) / 2 * (x - xb)) AS area FROM (SELECT *, lag(pdf) OVER w AS before, lag(x) OVER w AS xb FROM d WINDOW w AS (PARTITION BY s_suppkey ORDER BY i)) GROUP BY 1)
-SELECT s_suppkey, i::BIGINT AS i, round(x, 6) AS x, round(pdf / area, 6) AS pdf FROM d JOIN a USING (s_suppkey)""")
+a AS (SELECT *, sum((pdf + before) / 2 * (x - xb)) OVER (PARTITION BY s_suppkey) AS area FROM (SELECT *, lag(pdf) OVER w AS before, lag(x) OVER w AS xb FROM d WINDOW w AS (PARTITION BY s_suppkey ORDER BY i)))
+SELECT s_suppkey, i::BIGINT AS i, round(x, 6) AS x, round(pdf / area, 6) AS pdf FROM a""")
 def lognormal_pdf_grid(spark, sf):
     supplier = testdata.table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 50 + 100.0).alias("mean"), F.lit(55.8).alias("std"))
     return plain(synthetic.lognormal_curve(supplier, ["s_suppkey"], "mean", "std"))

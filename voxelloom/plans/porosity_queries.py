@@ -177,8 +177,9 @@ def stack_mask_join(spark, sf):
     return plain(joined.select("volume_id", "z", "y", "x", (first & second).alias("both_set"), (first & ~second).alias("only_first")))
 
 
-@query(f"""WITH {DENSE} SELECT a.volume_id, a.z, a.y, a.x, (CASE WHEN a.v > 127 AND b.v > 100 THEN 1 ELSE 0 END)::BIGINT AS v FROM dense a
-JOIN (SELECT volume_id, z, y - 2 AS y, x - 4 AS x, v FROM dense WHERE z < 6 AND y >= 2 AND x >= 4) b USING (volume_id, z, y, x)""")
+@query(f"""WITH {DENSE}, along AS (SELECT *, lead(v, 4) OVER (PARTITION BY volume_id, z, y ORDER BY x) AS right_v FROM dense WHERE z < 6),
+other AS (SELECT *, lead(right_v, 2) OVER (PARTITION BY volume_id, z, x ORDER BY y) AS b FROM along)
+SELECT volume_id, z, y, x, (CASE WHEN v > 127 AND b > 100 THEN 1 ELSE 0 END)::BIGINT AS v FROM other WHERE b IS NOT NULL""")
 def combine_packed_stacks(spark, sf):
     stack = testdata.slices(spark, sf)
     smaller = images.crop(stack.where("z < 6"), 2, 16, 4, 64)
