@@ -271,7 +271,7 @@ def nearest(a, b):
 @pytest.mark.parametrize("case", ["spread", "hot cell", "far cluster", "single", "coarse grid"])
 def test_nearest_points_in_dense_and_sparse_clouds(spark, case, monkeypatch):
     if case == "coarse grid":
-        monkeypatch.setattr(meshes, "FINEST_LEVEL", 3)
+        monkeypatch.setattr(meshes, "CELL_POINTS", 100)  # every cell is crowded: pyramids inside cells
     a = RNG.normal(size=(150, 3)) * 10
     b = RNG.normal(size=(200, 3)) * 10
     if case == "hot cell":
@@ -285,7 +285,8 @@ def test_nearest_points_in_dense_and_sparse_clouds(spark, case, monkeypatch):
     def frame(points, cloud="c"):
         return spark.createDataFrame([(cloud, *map(float, p)) for p in points], "cloud string, x double, y double, z double")
 
-    result = meshes.nearest_neighbour_distance(frame(np.concatenate([a, a[:5]])).unionByName(frame(a[:2], "lonely")), frame(b))
+    leaf = 3 if case == "coarse grid" else meshes.LEAF
+    result = meshes.nearest_neighbour_distance(frame(np.concatenate([a, a[:5]])).unionByName(frame(a[:2], "lonely")), frame(b), leaf=leaf)
     rows = result.collect()
     found = {(r.x, r.y, r.z): (r.n, r.distance) for r in rows if r.cloud == "c"}
     expected = nearest(a, b)

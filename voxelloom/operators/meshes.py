@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelloom.session import cut_lineage
 
 CORNERS = ["a", "b", "c"]
 AXES = ["x", "y", "z"]
-FINEST_LEVEL = 60
+CELL_POINTS = 16  # points of an average cell, were they spread evenly
+LEAF = 256  # points of a cell that are compared one by one
 
 
 def _cross(u: list[Column], v: list[Column]) -> list[Column]:
@@ -103,65 +104,126 @@ def occupied_box_porosity(cells: DataFrame) -> DataFrame:
     return cells.groupBy("mesh_id").agg((1.0 - F.count(F.lit(1)) / box).alias("porosity"), F.count(F.lit(1)).alias("n_cells"))
 
 
-def nearest_neighbour_distance(a: DataFrame, b: DataFrame, keys: list[str] = ["cloud"], halvings: int = 2) -> DataFrame:
-    """Distance of every distinct point of ``a`` to its nearest point of ``b`` of the same key.
+def nearest_neighbour_distance(a: DataFrame, b: DataFrame, keys: list[str] = ["cloud"], leaf: int = LEAF) -> DataFrame:
+    """Distance of every distinct point of ``a`` to its nearest point of ``b`` of the same key; exact.
 
-    A search through ever smaller grid cells of ``b``. A point carries the cells that may still hold its
-    neighbour; each round splits those cells, measures the distance to the box around the points of each
-    part (a lower bound) and to one real point of it (an upper bound), and drops the parts that cannot
-    beat the best upper bound. So a cell that holds a third of all points is one row with a box, never a
-    list of pairs, and the result is exact. ``n`` counts the copies of a point of ``a``.
+    ``b`` becomes a pyramid of grid cells, built once: one row per non-empty cell and level with the box around its points
+    and one of them. A point of ``a`` takes a first bound from its own cells, looks at the level whose cells are as
+    wide as that bound (27 of them at most hold all that is nearer), and only cells that may hold a nearer point are
+    opened, level by level in one plan. Points are compared one by one only in cells of ``leaf`` points or fewer;
+    a denser one is searched by a pyramid of its own. ``n`` counts the copies of a point of ``a``. Null ``distance``: no
+    point of ``b`` has the key, or the point lacks a coordinate; points of ``b`` that lack one are left out.
     """
-    left = a.groupBy(*keys, *AXES).agg(F.count(F.lit(1)).alias("n"))
-    right = cut_lineage(b.select(*keys, *AXES).distinct())
-    frame = right.agg(*[F.min(d).alias(f"lo_{d}") for d in AXES], *[F.max(d).alias(f"hi_{d}") for d in AXES]).first()
-    if frame["lo_x"] is None:
-        return left.withColumn("distance", F.lit(None).cast("double"))
-    extent = max(frame[f"hi_{d}"] - frame[f"lo_{d}"] for d in AXES) or 1.0
     me = [*keys, *AXES]
-
-    def cell(level: int) -> list[Column]:
-        width = extent / 2**level
-        return [F.floor((F.col(d) - F.lit(frame[f"lo_{d}"])) / F.lit(width)).alias(f"{d}{level}") for d in AXES]
-
-    def parts(level: int, parent: int | None) -> DataFrame:
-        """One row per non-empty cell of ``b``: its parent cell, its box and one of its points.
-
-        Cell numbers fit into 64 bits up to level 60; past that every point is a part of its own.
-        """
-        up = cell(parent) if parent is not None else []
-        if level > FINEST_LEVEL:
-            alone = [F.col(d).alias(f"{end}_{d}") for end in ("lo", "hi") for d in AXES]
-            zero = [F.lit(0).alias(f"{d}{level}") for d in AXES]
-            return right.select(*keys, *up, *zero, *alone, F.struct(*AXES).alias("one"))
-        coords = right.select(*keys, *AXES, *up, *cell(level))
-        names = [f"{d}{i}" for i in ([parent] if parent is not None else []) + [level] for d in AXES]
-        return coords.groupBy(*keys, *names).agg(
-            *[F.min(d).alias(f"lo_{d}") for d in AXES], *[F.max(d).alias(f"hi_{d}") for d in AXES],
-            F.min(F.struct(*AXES)).alias("one"),
+    left = a.groupBy(*me).agg(F.count(F.lit(1)).alias("n"))
+    whole = " and ".join(f"{d} is not null" for d in AXES)
+    found = _search(left.where(whole).select(*me, F.lit(float("inf")).alias("best")), b.select(*me).where(whole).distinct(), keys, leaf)
+    same = F.lit(True)
+    for c in me:
+        same = same & F.col(f"p.{c}").eqNullSafe(F.col(f"f.{c}"))
+    joined = left.alias("p").join(found.alias("f"), same, "left")
+    return joined.select(*[F.col(f"p.{c}") for c in me], F.col("p.n"), F.sqrt(F.nullif(F.col("f.best"), F.lit(float("inf")))).alias("distance"))
+
+
+def _steps(x: Column, d: str) -> Column:
+    """Number of the finest cell along an axis. Halving it gives the coarser cells: a power of two scales exactly."""
+    last = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("depth")) - 1
+    at = F.floor((x - F.col(f"from_{d}")) / F.col("extent") * (last + 1).cast("double"))
+    return F.greatest(F.lit(0).cast("long"), F.least(last, at))
+
+
+def _cells(at: dict[str, Column], level: Column) -> list[Column]:
+    return [F.call_function("shiftright", at[d], F.col("depth") - level).alias(f"c_{d}") for d in AXES]
+
+
+def _pyramid(b: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Frame of every key (origin, extent, depth) and the cells of all levels as ``keys, level, c_x, c_y, c_z, node``."""
+    frame = b.groupBy(*keys).agg(
+        *[F.min(d).alias(f"from_{d}") for d in AXES], F.greatest(*[F.max(d) - F.min(d) for d in AXES]).alias("extent"),
+        # Two points or more are always parted, so a pyramid inside a cell comes to an end.
+        F.when(F.count(F.lit(1)) > 1, F.greatest(F.lit(1.0), F.ceil(F.log2(F.count(F.lit(1)) / CELL_POINTS) / 3))).otherwise(0).cast("int").alias("depth"),
+    ).withColumn("extent", F.when(F.col("extent") > 0, F.col("extent")).otherwise(1.0))
+    frame = cut_lineage(frame)
+    corner = [F.col(f"from_{d}") for d in AXES] + [F.col("extent")]
+    cell = [f"c_{d}" for d in AXES]
+
+    def boxes(rows: DataFrame, low: str, high: str, one: Column, n: Column, *by: str) -> DataFrame:
+        return rows.groupBy(*keys, *by, *cell).agg(
+            *[F.min(low.format(d)).alias(f"lo_{d}") for d in AXES], *[F.max(high.format(d)).alias(f"hi_{d}") for d in AXES],
+            F.min(one).alias("one"), n.alias("n"),
         )
 
-    def measure(joined: DataFrame, level: int) -> DataFrame:
-        gap = [F.greatest(F.lit(0.0), F.col(f"lo_{d}") - F.col(d), F.col(d) - F.col(f"hi_{d}")) for d in AXES]
-        lower = sum((g * g for g in gap), F.lit(0.0))
-        upper = sum(((F.col(d) - F.col(f"one.{d}")) * (F.col(d) - F.col(f"one.{d}")) for d in AXES), F.lit(0.0))
-        measured = joined.withColumn("lower", lower).withColumn("upper", upper).where("lower < best")
-        coords = [f"{d}{level}" for d in AXES]
-        return cut_lineage(measured.select(*me, "n", F.least("best", "upper").alias("best"), "lower", *coords))
-
-    level = 0
-    found = measure(left.withColumn("best", F.lit(float("inf"))).join(parts(0, None), keys), 0)
-    answers = left.withColumn("best", F.lit(None).cast("double"))
-    while True:
-        best = found.groupBy(*me).agg(F.max("n").alias("n"), F.min("best").alias("best"))
-        answers = answers.unionByName(best)
-        open_cells = found.drop("best", "n").join(best, me).where("lower < best").drop("lower")
-        if not open_cells.head(1):
-            break
-        parent, level = level, level + halvings
-        up = [f"{d}{parent}" for d in AXES]
-        found = measure(open_cells.join(parts(level, parent), [*keys, *up]).drop(*up), level)
-    return answers.groupBy(*me).agg(F.max("n").alias("n"), F.sqrt(F.min("best")).alias("distance"))
+    placed = b.join(frame, keys).select(*keys, "depth", *AXES, *[_steps(F.col(d), d).alias(f"c_{d}") for d in AXES])
+    finest = boxes(placed, "{}", "{}", F.struct(*AXES), F.count(F.lit(1)), "depth")
+    levels = finest.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("depth"))))
+    levels = levels.withColumns({c: F.call_function("shiftright", F.col(c), F.col("depth") - F.col("level")) for c in cell})
+    every = boxes(levels, "lo_{}", "hi_{}", F.col("one"), F.sum("n"), "level")
+    node = F.struct("level", *cell, *[f"{end}_{d}" for end in ("lo", "hi") for d in AXES], "one", "n")
+    return frame, cut_lineage(every.select(*keys, "level", *cell, node.alias("node")))
+
+
+def _lower(node: str = "node") -> Column:
+    gap = [F.greatest(F.lit(0.0), F.col(f"{node}.lo_{d}") - F.col(d), F.col(d) - F.col(f"{node}.hi_{d}")) for d in AXES]
+    return sum((g * g for g in gap), F.lit(0.0))
+
+
+def _upper(point: str = "node.one") -> Column:
+    return sum(((F.col(d) - F.col(f"{point}.{d}")) * (F.col(d) - F.col(f"{point}.{d}")) for d in AXES), F.lit(0.0))
+
+
+def _search(a: DataFrame, b: DataFrame, keys: list[str], leaf: int) -> DataFrame:
+    """``keys, x, y, z, best``: the smaller of ``a``'s ``best`` and the squared distance to the nearest point of ``b``."""
+    me, cell = [*keys, *AXES], [f"c_{d}" for d in AXES]
+    b = cut_lineage(b)
+    frame, pyramid = _pyramid(b, keys)
+    deepest = frame.agg(F.max("depth")).first()[0]
+    if deepest is None:
+        return a
+    placed = a.join(frame, keys)
+    own = placed.select(*me, "best", "depth", F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("level"), *[_steps(F.col(d), d).alias(f"s_{d}") for d in AXES])
+    own = own.select(*me, "best", "level", *_cells({d: F.col(f"s_{d}") for d in AXES}, F.col("level")))
+    # The cell of level 0 holds all points of the key, so every point finds a bound.
+    seeds = own.join(pyramid, [*keys, "level", *cell]).groupBy(*me).agg(F.least(F.min("best"), F.min(_upper())).alias("best"))
+    seeds = cut_lineage(seeds)
+
+    # A little more than the bound, so that rounding loses no cell.
+    reach = F.sqrt("best") * (1 + 1e-9)
+    level = F.when(reach > 0, F.floor(F.log2(F.col("extent") / reach))).otherwise(F.col("depth"))
+    around = seeds.join(frame, keys).withColumn("level", F.greatest(F.lit(0), F.least(F.col("depth").cast("long"), level)).cast("int"))
+    ends = [_cells({d: _steps(F.col(d) + side * reach, d) for d in AXES}, F.col("level")) for side in (-1, 1)]
+    around = around.select(*me, "best", "depth", "level", *[F.sequence(low, high).alias(c) for c, low, high in zip(cell, *ends)])
+    for c in cell:
+        around = around.withColumn(c, F.explode(c))
+    point = Window.partitionBy(*me)
+
+    def kept(rows: DataFrame) -> DataFrame:
+        """Cells that may hold a nearer point, and those whose point gives the bound."""
+        bound = rows.withColumn("best", F.least("best", F.min(_upper()).over(point)))
+        return bound.where((_lower() < F.col("best")) | (_upper() <= F.col("best")))
+
+    rows = kept(around.join(pyramid, [*keys, "level", *cell]).select(*me, "best", "depth", "node"))
+    for level in range(deepest):
+        parts = pyramid.where(F.col("level") == level + 1)
+        parts = parts.groupBy(*keys, *[F.call_function("shiftright", F.col(c), F.lit(1)).alias(c) for c in cell]).agg(F.collect_list("node").alias("parts"))
+        # Rows that stay as they are get a level that no part has: their cells still spread them over the tasks.
+        opens = (F.col("node.level") == level) & (F.col("depth") > level) & (_lower() < F.col("best"))
+        rows = rows.select("*", F.when(opens, level).otherwise(-1).alias("level"), *[F.col(f"node.{c}").alias(c) for c in cell])
+        rows = rows.join(parts.withColumn("level", F.lit(level)), [*keys, "level", *cell], "left")
+        rows = kept(rows.select(*me, "best", "depth", F.explode(F.coalesce("parts", F.array("node"))).alias("node")))
+    last = cut_lineage(rows.select(*me, "best", (_lower() < F.col("best")).alias("opens"), F.col("node.n").alias("n"), *[F.col(f"node.{c}").alias(c) for c in cell]))
+    answers = seeds.unionByName(last.select(*me, "best"))
+
+    in_cell = b.join(frame, keys).select(*keys, *[_steps(F.col(d), d).alias(f"c_{d}") for d in AXES], F.struct(*AXES).alias("other"))
+    few = last.where(F.col("opens") & F.col("n").between(2, leaf)).select(*me, "best", *cell)
+    answers = answers.unionByName(few.join(in_cell, [*keys, *cell]).groupBy(*me).agg(F.min(_upper("other")).alias("best")))
+    crowd = last.where(F.col("opens") & (F.col("n") > leaf)).select(*me, "best", *cell)
+    if not crowd.isEmpty():
+        # A crowded cell becomes a key of its own, with a frame as narrow as its points.
+        inner = [f"{c}_{len(keys)}" for c in cell]
+        crowd = crowd.withColumnsRenamed(dict(zip(cell, inner)))
+        dense = in_cell.withColumnsRenamed(dict(zip(cell, inner))).join(crowd.select(*keys, *inner).distinct(), [*keys, *inner], "left_semi")
+        answers = answers.unionByName(_search(crowd, dense.select(*keys, *inner, "other.*"), [*keys, *inner], leaf).select(*me, "best"))
+    return answers.groupBy(*me).agg(F.min("best").alias("best"))
 
 
 def chamfer_hausdorff(a: DataFrame, b: DataFrame, keys: list[str] = ["cloud"]) -> DataFrame:

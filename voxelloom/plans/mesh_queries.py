@@ -54,22 +54,31 @@ def occupied_box_porosity(spark, sf):
     return plain(meshes.occupied_box_porosity(cells))
 
 
-POINTS = """pa AS (SELECT 'c' || label AS cloud, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y, embedding[3]::DOUBLE * 100 AS z FROM embeddings),
-pb AS (SELECT 'c' || label AS cloud, embedding[4]::DOUBLE * 100 AS x, embedding[5]::DOUBLE * 100 AS y, embedding[6]::DOUBLE * 100 AS z FROM embeddings)"""
+def points_sql(name: str, first: int, place: str) -> str:
+    axes = ", ".join(f"{place.format(f'embedding[((k + {i}) % len(embedding) + 1)::INT]::DOUBLE')} AS {axis}" for i, axis in enumerate("xyz"))
+    return f"{name} AS (SELECT 'c' || label AS cloud, {axes} FROM embeddings, range({first}, 64, 6) r(k))"
+
+
+POINTS = points_sql("pa", 0, "floor({} * 20) * 5") + ", " + points_sql("pb", 3, "{} * 100")
 
 
 def nearest_sql(name: str, p: str, q: str) -> str:
-    return f"""{name} AS (SELECT a.cloud, a.x, a.y, a.z, count(DISTINCT a.x) AS n, sqrt(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))) AS d
-FROM {p} a JOIN {q} b USING (cloud) GROUP BY 1, 2, 3, 4)"""
+    distinct = f"(SELECT cloud, x, y, z, count(*) AS n FROM {p} GROUP BY ALL)"
+    return f"""{name} AS (SELECT a.cloud, a.x, a.y, a.z, any_value(a.n) AS n, sqrt(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))) AS d
+FROM {distinct} a JOIN {q} b USING (cloud) GROUP BY 1, 2, 3, 4)"""
+
+
+def clouds(spark, sf):
+    return testdata.points(spark, sf, 0, snap=True), testdata.points(spark, sf, 3)
 
 
 @query(f"WITH {POINTS}, {nearest_sql('ab', 'pa', 'pb')} SELECT cloud, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, n::BIGINT AS n, round(d, 6) AS distance FROM ab")
 def nearest_neighbour_distance(spark, sf):
-    return plain(meshes.nearest_neighbour_distance(testdata.points(spark, sf, 0), testdata.points(spark, sf, 3)))
+    return plain(meshes.nearest_neighbour_distance(*clouds(spark, sf)))
 
 
 @query(f"""WITH {POINTS}, {nearest_sql('ab', 'pa', 'pb')}, {nearest_sql('ba', 'pb', 'pa')}
 SELECT cloud, round((a + b) / 2, 6) AS chamfer_distance, round(greatest(c, d), 6) AS hausdorff_distance, 'ok' AS status FROM
-(SELECT cloud, avg(d) AS a, max(d) AS c FROM ab GROUP BY 1) JOIN (SELECT cloud, avg(d) AS b, max(d) AS d FROM ba GROUP BY 1) USING (cloud)""")
+(SELECT cloud, sum(d * n) / sum(n) AS a, max(d) AS c FROM ab GROUP BY 1) JOIN (SELECT cloud, sum(d * n) / sum(n) AS b, max(d) AS d FROM ba GROUP BY 1) USING (cloud)""")
 def chamfer_hausdorff(spark, sf):
-    return plain(meshes.chamfer_hausdorff(testdata.points(spark, sf, 0), testdata.points(spark, sf, 3)))
+    return plain(meshes.chamfer_hausdorff(*clouds(spark, sf)))

@@ -156,13 +156,20 @@ def box_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def points(spark: SparkSession, sf_dir: str, first: int) -> DataFrame:
-    """A 3D point per embedding from three neighbouring components; the label is the cloud it belongs to."""
-    e = F.col("embedding")
-    return table(spark, sf_dir, "embeddings").select(
-        F.concat(F.lit("c"), F.col("label").cast("string")).alias("cloud"),
-        *[(e[first + i].cast("double") * 100).alias(axis) for i, axis in enumerate("xyz")],
-    )
+def points(spark: SparkSession, sf_dir: str, first: int, snap: bool = False) -> DataFrame:
+    """3D points from the components of an embedding, every second triple from ``first`` on; beyond the last one it starts anew.
+
+    The cloud is the label. ``snap`` moves the points to a grid of 5, where many of them coincide.
+    """
+    size = F.size("embedding")
+    starts = F.sequence(F.lit(first), size - 1, F.lit(6))
+    triples = table(spark, sf_dir, "embeddings").where(size > first).select("label", "embedding", F.explode(starts).alias("at"))
+
+    def place(i: int) -> Column:
+        part = F.get("embedding", (F.col("at") + i) % size).cast("double")
+        return F.floor(part * 20).cast("double") * 5 if snap else part * 100
+
+    return triples.select(F.concat(F.lit("c"), F.col("label").cast("string")).alias("cloud"), *[place(i).alias(axis) for i, axis in enumerate("xyz")])
 
 
 def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
