@@ -253,8 +253,9 @@ def test_repeated_strings(docs, nothing, corpus):
                 gone[i : i + 50] = b"\1" * 50
         spans = sum(1 for i in range(len(raw)) if gone[i] and not (i and gone[i - 1]))
         expected.append((d, bytes(x for x, g in zip(raw, gone) if not g), len(raw), sum(gone), spans))
-    found = suffix_dedup.dedup(docs, bucket_bytes=2000, shard_bytes=300).collect()
-    assert sorted(((r[0], bytes(r[1]), *r[2:]) for r in found), key=str) == sorted(expected, key=str)
+    for crowded in (1, 3, suffix_dedup.CROWDED):
+        found = suffix_dedup.dedup(docs.repartition(7), bucket_bytes=2000, shard_bytes=300, crowded=crowded).collect()
+        assert sorted(((r[0], bytes(r[1]), *r[2:]) for r in found), key=str) == sorted(expected, key=str)
     assert suffix_dedup.dedup(nothing).count() == 0
 
 

@@ -9,6 +9,9 @@ Three steps, each a Spark shuffle on its own key:
    the other copies, which go as a whole. The strings are cut into shards in the order of their marks; each
    shard gets a suffix array and its common prefixes, which give the groups of equal windows and the smallest
    doc_id of each. Shards that share a mark are merged by binary search in each other's sorted windows.
+   A mark with many strings in one piece of the table (the edge of a passage that many documents share) is crowded:
+   its strings are dealt over all shards by their hash. What the shards of crowded marks cannot decide, their
+   windows without a smaller doc_id of their own, meets in one more shuffle, dealt by window.
 3. Each run learns which of its windows occur under a smaller doc_id, and the documents are cut.
 """
 
@@ -29,6 +32,7 @@ GRAM = 24
 LONGEST_RUN = 64  # windows of a run, so that they fit the bits of a long
 BUCKET_BYTES = 8 << 20  # text bytes whose marks meet in one group
 SHARD_BYTES = 2 << 20  # bytes of one suffix array
+CROWDED = 16  # strings of a mark in one piece, from which they are dealt over all shards
 
 
 # --- runs of windows ---------------------------------------------------------------------------------------------
@@ -100,34 +104,39 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     # Bytes of value 0 and the end of a string are told apart by what is left.
     short = np.minimum(left, 8)
     key &= np.uint64(2**64 - 1) << ((8 - short) * 8 % 64).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.append(True, np.diff(key[order]) != 0)
-    group = np.cumsum(new) - 1
-    order = order[np.argsort(group * 9 + short[order], kind="stable")]
-    new = np.append(True, (np.diff(key[order]) != 0) | (np.diff(short[order]) != 0))
+    number = np.flatnonzero(new)[np.cumsum(new) - 1] + 1
+    slots = _open_slots(new)
+    tied = order[slots][np.argsort(number[slots] * 9 + short[order[slots]])]
+    order[slots] = tied
+    new[slots] |= np.append(True, np.diff(short[tied]) != 0)[: len(tied)]
     rank = np.empty(n + 1, np.int64)
     rank[n] = 0
     number = np.flatnonzero(new)[np.cumsum(new) - 1] + 1
     rank[order] = number
     depth, longest = 8, int(np.diff(ends).max())
-    while depth < longest:
-        size = np.diff(np.append(np.flatnonzero(new), n))
-        open_ = np.repeat(size > 1, size)
-        slots = np.flatnonzero(open_)
-        if not len(slots):
-            break
+    while depth < longest and len(slots := _open_slots(new)):
         here = order[slots]
         follows = np.where(left[here] > depth, rank[np.minimum(here + depth, n)], 0)
-        again = np.argsort(number[slots] * (n + 2) + follows, kind="stable")
+        again = np.argsort(number[slots] * (n + 2) + follows)
         order[slots] = here[again]
         follows = follows[again]
         new[slots] |= np.append(True, (np.diff(number[slots]) != 0) | (np.diff(follows) != 0))
         number = np.flatnonzero(new)[np.cumsum(new) - 1] + 1
         rank[order] = number
         depth *= 2
+    slots = _open_slots(new)
+    order[slots] = order[slots][np.argsort(number[slots] * (n + 1) + order[slots])]
     return order
 
 
+def _open_slots(new: np.ndarray) -> np.ndarray:
+    """Slots of groups with more than one suffix; ``new`` is true where a group begins."""
+    size = np.diff(np.append(np.flatnonzero(new), len(new)))
+    return np.flatnonzero(np.repeat(size > 1, size))
+
+
 def common_prefixes(data: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Bytes that each suffix of ``order`` shares with the one before it.
 
@@ -245,7 +254,8 @@ MARKED = "bucket int, doc_ids array<long>, counts array<int>, marks binary"
 FLAGGED = "doc_id long, id long"
 ASKED = "bucket int, doc_ids array<long>, hashes array<long>"
 ANSWERED = "doc_id long, hash long, first boolean"
-STRINGS = "bucket int, doc_ids array<long>, hashes array<long>, marks array<long>, lengths array<int>, strings binary"
+STRINGS = "bucket int, doc_ids array<long>, hashes array<long>, marks array<long>, lengths array<int>, strings binary, crowded array<long>"
+PARTS = "bucket int, doc_ids array<long>, hashes array<long>, masks array<long>, marks array<long>, windows array<long>"
 MASKS = "doc_id long, hash long, mask long"
 
 
@@ -350,18 +360,19 @@ def _runs_of(batch: pa.RecordBatch, hasher: SpanHasher, buckets: int) -> tuple[n
 
 def _ask_rows(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Hashes of the strings of flagged runs by bucket, under the smallest doc_id of the piece. A string that comes
+        """Hashes of the strings of flagged runs, dealt by hash, under the smallest doc_id of the piece. A string that comes
         again under a larger doc_id of the piece is known to go (rows of bucket numbers above)."""
         hasher = SpanHasher()
         for batch in _small(batches):
             batch = batch.filter(batch.column(3).is_valid())
-            _, _, _, text, bucket, ids, hashes = _runs_of(batch, hasher, buckets)
+            _, _, _, text, _, ids, hashes = _runs_of(batch, hasher, buckets)
             keep = np.flatnonzero(_chosen(batch.column(3), text, ids) >= 0)
             if not len(keep):
                 continue
-            docs, bucket, hashes = batch.column(0).to_numpy()[text[keep]], bucket[keep], hashes[keep]
+            docs, hashes = batch.column(0).to_numpy()[text[keep]], hashes[keep]
             order = np.lexsort((docs, hashes))
-            docs, bucket, hashes = docs[order], bucket[order], hashes[order]
+            docs, hashes = docs[order], hashes[order]
+            bucket = bucket_of(hashes.view(np.uint64), buckets)
             lead = np.append(True, np.diff(hashes) != 0)
             smallest = docs[lead][np.cumsum(lead) - 1]
             key = np.where(lead, bucket, np.where(docs > smallest, buckets + hashes[0] % buckets, -1))
@@ -393,39 +404,58 @@ def _answer_rows(buckets: int):
     return run
 
 
-def _string_rows(buckets: int):
+def _string_rows(buckets: int, crowded: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The strings that documents have first, by bucket."""
+        """The strings that documents have first, by bucket. Those of marks that are crowded in this piece are dealt by
+        their hash (bucket numbers above), and the mark's own bucket, where other pieces may send strings, is told."""
         hasher = SpanHasher()
         for batch in _small(batches):
             batch = batch.filter(batch.column(3).is_valid())
             data, start, stop, text, bucket, ids, hashes = _runs_of(batch, hasher, buckets)
-            keep = np.flatnonzero(_chosen(batch.column(3), text, hashes) >= 0)
             docs, raw = batch.column(0).to_numpy(), data.tobytes()
-            order, head, end = by_key(bucket[keep])
+            keep = np.flatnonzero(_chosen(batch.column(3), text, hashes) >= 0)
+            keep = keep[np.unique(hashes[keep], return_index=True)[1]]  # a document may hold a string twice
+            _, of, count = np.unique(ids[keep], return_inverse=True, return_counts=True)
+            many = count[of] >= crowded
+            told = np.unique(ids[keep][many])
+            key = np.where(many, buckets + bucket_of(hashes[keep].view(np.uint64), buckets), bucket[keep])
+            key, keep = np.concatenate([key, told >> 32]), np.concatenate([keep, np.full(len(told), -1)])
+            told = np.concatenate([np.full(len(many), -1), told])
+            order, head, end = by_key(key)
             for a, b in zip(head, end):
                 some = keep[order[a:b]]
+                crowd = told[order[a:b]][some < 0]
+                some = some[some >= 0]
                 yield pa.record_batch([
-                    pa.array([int(bucket[some[0]])], pa.int32()), pa.array([docs[text[some]]], pa.list_(pa.int64())),
+                    pa.array([int(key[order[a]])], pa.int32()), pa.array([docs[text[some]]], pa.list_(pa.int64())),
                     pa.array([hashes[some]], pa.list_(pa.int64())), pa.array([ids[some]], pa.list_(pa.int64())),
                     pa.array([(stop - start)[some].astype(np.int32)], pa.list_(pa.int32())),
                     pa.array([b"".join(raw[x:y] for x, y in zip(start[some].tolist(), stop[some].tolist()))], pa.binary()),
-                ], names=["bucket", "doc_ids", "hashes", "marks", "lengths", "strings"])
+                    pa.array([crowd], pa.list_(pa.int64())),
+                ], names=["bucket", "doc_ids", "hashes", "marks", "lengths", "strings", "crowded"])
 
     return run
 
 
-def _mask_rows(shard_bytes: int):
+def _flat(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [np.concatenate([v.values.to_numpy() for v in table.column(c)]) for c in names]
+
+
+def _mask_rows(buckets: int, shard_bytes: int):
     def run(table: pa.Table) -> pa.Table:
-        """Bits of the windows that occur under a smaller doc_id, for every string of one bucket."""
-        docs, hashes, marks, length = (
-            np.concatenate([v.values.to_numpy() for v in table.column(c)]) for c in ("doc_ids", "hashes", "marks", "lengths")
-        )
+        """Bits of the windows that occur under a smaller doc_id, for every string of one bucket, and the other windows
+        of crowded marks: rows with a mark and the window's hash, by window, in the order of both."""
+        docs, hashes, marks, length, crowd = _flat(table, "doc_ids", "hashes", "marks", "lengths", "crowded")
         length = length.astype(np.int64)
         data = np.frombuffer(b"".join(v.as_py() for v in table.column("strings")), np.uint8)
         begin = np.cumsum(length) - length
         order = np.lexsort((hashes, marks))
-        order = order[np.append(True, np.diff(hashes[order]) != 0)]  # rows of one doc_id may send a string twice
+        order = order[np.append(True, np.diff(hashes[order]) != 0)[: len(order)]]  # rows of one doc_id may send a string twice
+        asks = np.ones(len(order), bool) if table.column("bucket")[0].as_py() >= buckets else np.isin(marks[order], crowd)
+        # The only string of its mark has no partner.
+        apart = np.append(True, np.diff(marks[order]) != 0)[: len(order)]
+        several = asks | ~(apart & np.append(apart[1:], True)[: len(order)])
+        order, asks = order[several], asks[several]
         docs, hashes, marks, length, begin = docs[order], hashes[order], marks[order], length[order], begin[order]
         ends = np.concatenate([[0], np.cumsum(length)])
         data = data[np.repeat(begin - ends[:-1], length) + np.arange(ends[-1])]
@@ -433,21 +463,78 @@ def _mask_rows(shard_bytes: int):
         windows = length - WINDOW + 1
         owner = np.repeat(np.arange(len(docs)), windows)
         bit = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-        bits = np.where(least[ends[owner] + bit] < docs[owner], np.uint64(1) << bit.astype(np.uint64), np.uint64(0))
-        masks = np.bitwise_or.reduceat(bits, np.cumsum(windows) - windows).view(np.int64)
-        some = masks != 0
-        return pa.table({"doc_id": docs[some], "hash": hashes[some], "mask": masks[some]})
+        at = ends[owner] + bit
+        gone = least[at] < docs[owner]
+        bits = np.uint64(1) << bit.astype(np.uint64)
+        masks = np.bitwise_or.reduceat(np.where(gone, bits, np.uint64(0)), np.cumsum(windows) - windows) if len(docs) else bits
+        some = np.flatnonzero(masks)
+        open_ = np.flatnonzero(asks[owner] & ~gone)
+        hasher = SpanHasher()
+        window = hasher.spans(hasher.sums(data), at[open_], at[open_] + WINDOW)
+        key = np.concatenate([bucket_of(hashes[some].view(np.uint64), buckets), bucket_of(window, buckets)])
+        nothing = np.zeros(len(some), np.int64)
+        columns = [
+            np.concatenate([docs[some], docs[owner[open_]]]), np.concatenate([hashes[some], hashes[owner[open_]]]),
+            np.concatenate([masks[some], bits[open_]]).view(np.int64), np.concatenate([nothing - 1, marks[owner[open_]]]),
+            np.concatenate([nothing, window.view(np.int64)]),
+        ]
+        order = np.lexsort((columns[4], columns[3], key))
+        key = key[order]
+        heads = np.flatnonzero(np.append(True, np.diff(key) != 0)[: len(key)])
+        cuts = np.append(heads, len(key)).astype(np.int32)
+        return pa.table(
+            [pa.array(key[heads], pa.int32())] + [pa.ListArray.from_arrays(pa.array(cuts), pa.array(c[order], pa.int64())) for c in columns],
+            names=["bucket", "doc_ids", "hashes", "masks", "marks", "windows"],
+        )
 
     return run
 
 
+def _merged_rows(table: pa.Table) -> pa.Table:
+    """Masks as they are, and the bits of windows that another shard has under a smaller doc_id. Each shard's sorted
+    windows are found by binary search in the sorted windows of all."""
+    sent = [[v.values.to_numpy() for v in table.column(c)] for c in ("doc_ids", "hashes", "masks", "marks", "windows")]
+    kind = np.dtype([("mark", "<i8"), ("window", "<i8")])
+    shards = []
+    for marks, windows in zip(sent[3], sent[4]):
+        keys = np.empty(len(marks), kind)
+        keys["mark"], keys["window"] = marks, windows
+        shards.append(keys)
+    known = np.concatenate(shards)
+    order = np.lexsort((known["window"], known["mark"]))
+    known = known[order]
+    head = np.flatnonzero(np.append(True, known[1:] != known[:-1])[: len(known)])
+    least = np.minimum.reduceat(np.concatenate(sent[0])[order], head) if len(head) else np.zeros(0, np.int64)
+    place = [find_rows(_columns(known[head]), _columns(keys)) for keys in shards]
+    docs, hashes, masks, marks = (np.concatenate(c) for c in sent[:4])
+    some = (marks < 0) | (least[np.concatenate(place)] < docs) if len(docs) else np.zeros(0, bool)
+    return pa.table({"doc_id": docs[some], "hash": hashes[some], "mask": masks[some]})
+
+
+def _columns(keys: np.ndarray) -> np.ndarray:
+    return np.stack([keys["mark"], keys["window"]], axis=1)
+
+
+def _all_bits(hashes: pa.Array, masks: pa.Array) -> np.ndarray:
+    """The flat masks, each with the bits of all masks that its row has for the same hash."""
+    rows = np.repeat(np.arange(len(hashes)), [len(v) if v.is_valid else 0 for v in hashes])
+    flat, bits = (np.concatenate([v.values.to_numpy() for v in c if v.is_valid and len(v)] or [np.zeros(0, np.int64)]) for c in (hashes, masks))
+    if not len(flat):
+        return bits.view(np.uint64)
+    order = np.lexsort((flat, rows))
+    new = np.append(True, (np.diff(flat[order]) != 0) | (np.diff(rows[order]) != 0))
+    out = np.empty(len(flat), np.uint64)
+    out[order] = np.bitwise_or.reduceat(bits.view(np.uint64)[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return out
+
+
 def removed_bytes(data: np.ndarray, ends: np.ndarray, hashes: pa.Array, masks: pa.Array, hasher: SpanHasher) -> np.ndarray:
     """True for every byte that a repeated window covers."""
     start, count, text, _, sums = window_runs(data, ends, hasher)
     own = hasher.spans(sums, start, start + count + WINDOW - 1).astype(np.int64)
     at = _chosen(hashes, text, own)
     hit = np.flatnonzero(at >= 0)
-    flat = np.concatenate([v.values.to_numpy() for v in masks if v.is_valid and len(v)] or [np.zeros(0, np.int64)]).view(np.uint64)
+    flat = _all_bits(hashes, masks)
     windows = count[hit]
     owner = np.repeat(np.arange(len(hit)), windows)
     bit = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -471,7 +558,9 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, blob binary, size long")
 
 
-def with_masks(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def with_masks(
+    docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES, crowded: int = CROWDED
+) -> DataFrame:
     """``doc_id, blob, size, hashes, masks``: packed texts, and bits of windows to remove by the hash of their run's string."""
     packed = _packed(docs)
     known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
@@ -486,13 +575,14 @@ def with_masks(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, shard_bytes: i
     flagged = known.mapInArrow(_mark_rows(buckets), MARKED).groupBy("bucket").applyInArrow(_flag_rows(buckets), FLAGGED)
     asked = with_lists(flagged, ids="id").mapInArrow(_ask_rows(buckets), ASKED)
     answers = asked.groupBy("bucket").applyInArrow(_answer_rows(buckets), ANSWERED)
-    strings = with_lists(answers.where("first"), first="hash").mapInArrow(_string_rows(buckets), STRINGS)
-    masks = strings.groupBy("bucket").applyInArrow(_mask_rows(shard_bytes), MASKS)
+    strings = with_lists(answers.where("first"), first="hash").mapInArrow(_string_rows(buckets, crowded), STRINGS)
+    parts = strings.groupBy("bucket").applyInArrow(_mask_rows(buckets, shard_bytes), PARTS)
+    masks = parts.groupBy("bucket").applyInArrow(_merged_rows, MASKS)
     gone = answers.where("not first").select("doc_id", "hash", F.lit(-1).cast("long").alias("mask"))
     return with_lists(masks.unionByName(gone), hashes="hash", masks="mask")
 
 
-def dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES, crowded: int = CROWDED) -> DataFrame:
     """``doc_id, kept, n_bytes, n_removed, n_spans`` of every row; ``kept`` are the remaining bytes.
 
     A byte goes if a 50-byte string that covers it also starts in a document with a smaller doc_id; strings are
@@ -517,4 +607,4 @@ def dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int =
                 batch.column(0), pa.array(kept, pa.binary()), pa.array(size), pa.array(np.diff(total[ends])), pa.array(np.diff(spans[ends]))
             ], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return with_masks(rows, bucket_bytes, shard_bytes).mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return with_masks(rows, bucket_bytes, shard_bytes, crowded).mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
