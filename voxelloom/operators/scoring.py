@@ -148,5 +148,9 @@ def class_weights(mask_hist: DataFrame) -> DataFrame:
 
 
 def first_slices(slices: DataFrame, n: int = 20) -> DataFrame:
-    """The first ``n`` slices by volume and name: the sample the class weights are estimated on by default."""
-    return slices.orderBy("volume_id", "name").limit(n)
+    """The first ``n`` slices by volume and name: the sample the class weights are estimated on by default.
+
+    The names are chosen without the pixels, so call it before a kernel, not after it.
+    """
+    chosen = slices.select("volume_id", "name", "z").orderBy("volume_id", "name", "z").limit(n)
+    return slices.join(F.broadcast(chosen), ["volume_id", "name", "z"], "left_semi")

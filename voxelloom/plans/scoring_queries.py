@@ -107,8 +107,8 @@ def class_weights(spark, sf):
 w AS (SELECT 1 / greatest(1e-6, 1 - f1) AS a, 1 / greatest(1e-6, f1) AS b FROM f) SELECT round(a / (a + b), 6) AS w0, round(b / (a + b), 6) AS w1 FROM w""")
 def class_weights_of_first_batches(spark, sf):
     """The default estimate looks at the first ten batches of two slices; the bound is the feature."""
-    mask = layouts.map_slices(testdata.slices(spark, sf), lambda image: image > 150)
-    return plain(scoring.class_weights(layouts.slices_to_hist(scoring.first_slices(mask, 20))))
+    mask = layouts.map_slices(scoring.first_slices(testdata.slices(spark, sf), 20), lambda image: image > 150)
+    return plain(scoring.class_weights(layouts.slices_to_hist(mask)))
 
 
 # Histories ----------------------------------------------------------------------------------------
