@@ -232,6 +232,49 @@ def test_decontamination(spark, docs, nothing):
     assert decontamination.contaminated(make(spark, rows), tests.limit(0)).count() == 0
 
 
+def test_decontamination_of_short_passages_and_unspaced_scripts(spark):
+    chinese = "今天天气很好我们去公园散步吧朋友"
+    tests = spark.createDataFrame(
+        [(1, "What is entropy?", 0), (2, "Yes", 0), (3, chinese, 0), (4, "Pi is 3.14", 0), (5, "你好吗", 0), (6, "l\u2019eau est \u00abtr\u00e8s\u00bb froide ce matin", 0)],
+        "item_id long, text string, doc_id int",
+    )
+    rows = [
+        (1, "A quiz. what is entropy?\nNext.", "a"), (2, "she knows what is entropy and more", "a"), (3, "yes!", "a"), (4, "Yes. We do.", "a"),
+        (5, "他说：" + chinese[:5] + "真" + chinese[6:] + "。再见", "a"), (6, "pi is 3.14", "a"), (7, "（你好吗？）好", "a"), (8, "他们问你好吗今天", "a"),
+        (9, "on dit: l'eau est tr\u00e8s froide ce matin", "a"), (10, "what is entropy", "a"), (11, chinese[:9], "a"),
+    ]
+    found = {(r.doc_id, r.item_id) for r in decontamination.overlaps(make(spark, rows), tests).collect()}
+    assert found == {(1, 1), (10, 1), (3, 2), (5, 3), (6, 4), (7, 5), (9, 6)}
+
+
+def test_decontamination_equals_all_diagonals(spark):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randint(0, 30)}"
+    passages = [(i, [word() for _ in range(rng.choice([5, 6, 8, 10, 12, 13, 14, 20, 40]))]) for i in range(40)]
+    documents = []
+    for d in range(120):
+        body = [word() for _ in range(rng.randint(0, 30))]
+        if d % 3:
+            part = list(rng.choice(passages)[1])
+            for _ in range(rng.randint(0, max(1, len(part) // 4))):
+                part[rng.randrange(len(part))] = word()
+            body[rng.randint(0, len(body)) : 0] = part
+        documents.append((d, body))
+    expected = set()
+    for d, body in documents:
+        for i, passage in passages:
+            width = min(13, len(passage))
+            for shift in range(-len(passage), len(body)):
+                same = [0 <= shift + k < len(body) and body[shift + k] == w for k, w in enumerate(passage)]
+                for at in range(len(passage) - width + 1):
+                    if 0 <= shift + at and shift + at + width <= len(body) and sum(same[at : at + width]) * 5 >= 4 * width:
+                        expected.add((d, i))
+    tests = spark.createDataFrame([(i, " ".join(p), 0) for i, p in passages], "item_id long, text string, doc_id int")
+    for block in (64, decontamination.BLOCK):
+        found = decontamination.overlaps(make(spark, [(d, ", ".join(b), "a") for d, b in documents]), tests, block)
+        assert {(r.doc_id, r.item_id) for r in found.collect()} == expected and expected
+
+
 def test_masks_meet_every_window_of_eleven_in_thirteen():
     for masks, width, wrong in ((decontamination.LONG_MASKS, 13, 2), (decontamination.SHORT_MASKS, 5, 1)):
         for bad in __import__("itertools").combinations(range(width), wrong):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ LONG_MASKS = ((0, 3, 5, 6, 7, 8), (0, 1, 2, 4, 5, 8))
 SHORT_MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4), (1, 2, 3, 4))
 WINDOW = 13  # words of an overlap that must agree to SIMILARITY; a shorter passage counts as a whole
 SIMILARITY = 0.8
-LEAST_WORDS = 5  # passages of fewer words are never reported
+LEAST_WORDS = 5  # passages of fewer words have no spaced seed: they are matched exactly, as sentences of their own
 PIECE = 4096  # words of a test passage that are handled together
 BLOCK = 1 << 20  # words of test passages in one broadcast block
 PRECHECK_BITS = 23
@@ -26,16 +28,74 @@ PRECHECK_BITS = 23
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[48:58] = WORD_BYTE[97:123] = WORD_BYTE[128:] = True
 
-
-def word_hashes(column: pa.Array, hasher: SpanHasher) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-case words (letters, digits and non-ASCII) of each text, and ``n + 1`` offsets."""
+# Scripts that put no spaces between words: each of their characters counts as a word.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F))
+SENTENCE_END = "\n.!?\u3002\uff01\uff1f"
+PART, BREAK, ALONE = 0, 1, 2
+
+
+def _kinds() -> np.ndarray:
+    """For characters up to U+FFFF: part of a word, punctuation or space, or a word of its own."""
+    kind = np.array([BREAK if unicodedata.category(chr(c))[0] in "PZ" else PART for c in range(1 << 16)], np.uint8)
+    for low, high in UNSPACED:
+        part = kind[low : high + 1]
+        part[part == PART] = ALONE
+    return kind
+
+
+KINDS = _kinds()
+
+
+def word_bounds(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, stop and text number of every word of lower-case UTF-8 texts, and whether a sentence begins with it."""
+    inside = WORD_BYTE[data]
+    stops = np.isin(data, np.frombuffer(b"\n.!?", np.uint8))
+    cut = None
+    if (data >= 0xC2).any():
+        cut = np.zeros(len(data) + 4, bool)
+        for low, high, length in ((0xC2, 0xDF, 2), (0xE0, 0xEF, 3), (0xF0, 0xF4, 4)):
+            at = np.flatnonzero((data >= low) & (data <= high))
+            code = data[at].astype(np.int64) & (0x7F >> length)
+            for k in range(1, length):
+                code = code << 6 | data[at + k] & 0x3F
+            # Beyond U+FFFF: the supplementary planes of ideographs are 2 and 3.
+            kind = KINDS[code] if length < 4 else np.where((code >> 16 == 2) | (code >> 16 == 3), ALONE, PART)
+            for k in range(length):
+                inside[at[kind == BREAK] + k] = False
+            alone = at[kind == ALONE]
+            cut[alone] = cut[alone + length] = True
+            stops[at[np.isin(code, [ord(c) for c in SENTENCE_END if ord(c) > 127])]] = True
+        cut = cut[: len(data)]
+    start, stop, doc = runs(inside, ends, cut)
+    total = np.concatenate([[0], np.cumsum(stops)])
+    begins = np.ones(len(start), bool)
+    begins[1:] = (total[start[1:]] > total[stop[:-1]]) | (doc[1:] != doc[:-1])
+    return start, stop, doc, begins
+
+
+def word_hashes(column: pa.Array, hasher: SpanHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the lower-case words (letters, digits and non-ASCII; single characters of unspaced scripts) of each
+    text, ``n + 1`` offsets, and whether a word begins a sentence."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     data, ends = texts_of(pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), "")))
-    start, stop, doc = runs(WORD_BYTE[data], ends)
+    start, stop, doc, begins = word_bounds(data, ends)
     offsets = np.zeros(len(ends), np.int64)
     np.cumsum(np.bincount(doc, minlength=len(ends) - 1), out=offsets[1:])
-    return hasher.spans(hasher.sums(data), start, stop), offsets
+    return hasher.spans(hasher.sums(data), start, stop), offsets, begins
+
+
+def whole_hashes(words: np.ndarray, offsets: np.ndarray, begins: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and hashes of the stretches of ``n`` words from a sentence's begin to a sentence's end; single words
+    only where they are the whole text."""
+    edge = np.append(begins, True)
+    at = np.flatnonzero(edge[: max(0, len(words) - n + 1)] & edge[n:])
+    text = np.searchsorted(offsets, at, "right") - 1
+    fits = at + n <= offsets[text + 1]
+    if n == 1:
+        fits &= offsets[text + 1] - offsets[text] == 1
+    at = at[fits]
+    return at, seeds(words, tuple(range(n)), 100 + n)[at]
 
 
 def seeds(words: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
@@ -48,17 +108,24 @@ def seeds(words: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
 
 
 class Block:
-    """Test passages, their seeds in sorted order and a bitmap of them."""
+    """Test passages, their seeds in sorted order and a bitmap of them; short passages by the hash of all their words."""
 
     def __init__(self, items: list[tuple[int, int, np.ndarray]]) -> None:
         """``items``: item_id, words of the whole passage, and the hashes of one piece of it."""
+        short = [(len(w), i, seeds(w, tuple(range(len(w))), 100 + len(w))[0]) for i, n, w in items if n < LEAST_WORDS]
+        self.short = {}
+        for n in {n for n, _, _ in short}:
+            hashes = np.array([h for m, _, h in short if m == n], np.uint64)
+            order = np.argsort(hashes, kind="stable")
+            self.short[n] = hashes[order], np.array([i for m, i, _ in short if m == n], np.int64)[order]
+        items = [item for item in items if item[1] >= LEAST_WORDS]
         self.item = np.array([i for i, _, _ in items], np.int64)
         lengths = np.array([len(w) for _, _, w in items], np.int64)
         self.window = np.minimum(WINDOW, np.array([n for _, n, _ in items], np.int64))
-        self.words = np.concatenate([w for _, _, w in items])
+        self.words = np.concatenate([np.zeros(0, np.uint64), *[w for _, _, w in items]])
         self.ends = np.concatenate([[0], np.cumsum(lengths)])
         owner = np.repeat(np.arange(len(items)), lengths)
-        found, places = [], []
+        found, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         self.masks = []
         for number, mask in enumerate(LONG_MASKS + SHORT_MASKS):
             wanted = (self.window >= WINDOW) == (number < len(LONG_MASKS))
@@ -79,13 +146,13 @@ class Block:
 
     def hits(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``words`` and in the block's words where a seed agrees, within one text and one passage."""
-        text, test = [], []
+        text, test = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for number, mask in self.masks:
             hashes = seeds(words, mask, number)
             bit = hashes >> np.uint64(64 - PRECHECK_BITS)
             at = np.flatnonzero(self.bitmap[bit >> np.uint64(3)] & (np.uint8(128) >> (bit & np.uint64(7)).astype(np.uint8)))
             place = np.searchsorted(self.hashes, hashes[at])
-            place[place == len(self.hashes)] = 0
+            place[place == len(self.hashes)] = 0  # the bitmap has the hash's bits, so there are hashes
             same = self.hashes[place] == hashes[at]
             at, place = at[same], place[same]
             inside = np.searchsorted(offsets, at, "right") == np.searchsorted(offsets, at + mask[-1], "right")
@@ -96,6 +163,18 @@ class Block:
             test.append(self.places[np.repeat(self.first[place], n) + step])
         return np.concatenate(text), np.concatenate(test)
 
+    def wholes(self, words: np.ndarray, offsets: np.ndarray, begins: np.ndarray) -> Iterator[np.ndarray]:
+        """Rows as ``overlaps`` gives them, for passages too short for seeds: exact, sentence by sentence."""
+        for n, (known, items) in self.short.items():
+            at, hashes = whole_hashes(words, offsets, begins, n)
+            low, high = np.searchsorted(known, hashes), np.searchsorted(known, hashes, "right")
+            count = high - low
+            item = items[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
+            at = np.repeat(at, count)
+            if len(at):
+                doc = np.searchsorted(offsets, at, "right") - 1
+                yield np.stack([doc, item, at - offsets[doc], np.full(len(at), n), np.full(len(at), n)])
+
     def overlaps(self, words: np.ndarray, offsets: np.ndarray, at_once: int = 1 << 21) -> Iterator[np.ndarray]:
         """Rows ``(text, item, first word, agreeing words, words)`` of verified overlaps.
 
@@ -152,11 +231,11 @@ def _test_pieces(benchmark: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher()
         for batch in pieces(batches, "text"):
-            words, offsets = word_hashes(batch.column(1), hasher)
+            words, offsets, _ = word_hashes(batch.column(1), hasher)
             rows = []
             for i, item in enumerate(batch.column(0).to_pylist()):
                 own = words[offsets[i] : offsets[i + 1]]
-                if len(own) >= LEAST_WORDS:
+                if len(own):
                     for at in range(0, max(1, len(own) - WINDOW), PIECE - WINDOW):
                         rows.append((item, len(own), own[at : at + PIECE].tobytes()))
             columns = zip(*rows) if rows else ([], [], [])
@@ -187,11 +266,12 @@ OVERLAP = "doc_id long, item_id long, first_word long, n_same long, n_words long
 def overlaps(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """Every document's best verified overlap with each passage: ``doc_id, item_id, first_word, n_same, n_words``.
 
-    Words are lower-case runs of letters and digits, so case, punctuation and white space do not matter. An
-    overlap has at least 13 words (a shorter passage: all its words) of which at least 0.8 agree position by
-    position. The passages are joined in blocks of bounded size, each one broadcast; documents are scanned
+    Words are lower-case runs of letters and digits, so case, punctuation and white space do not matter; in scripts
+    without spaces each character is a word. An overlap has at least 13 words (a shorter passage: all its words) of
+    which at least 0.8 agree position by position. A passage of two to four words must agree exactly and fill whole
+    sentences or lines, one of a single word the whole text: such words are too common to count anywhere. The passages are joined in blocks of bounded size, each one broadcast; documents are scanned
     where they lie, once per block, and only overlaps are returned. Null or empty texts, null ids of passages
-    and passages of fewer than five words give nothing; an empty benchmark gives an empty table. Rows
+    and passages without words give nothing; an empty benchmark gives an empty table. Rows
     with equal doc_ids give rows of their own. Extra columns are ignored.
     """
     spark = docs.sparkSession
@@ -202,8 +282,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataF
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hasher, tests = SpanHasher(), shared.value
             for batch in pieces(batches, "text"):
-                words, offsets = word_hashes(batch.column(1), hasher)
-                for part in tests.overlaps(words, offsets):
+                words, offsets, begins = word_hashes(batch.column(1), hasher)
+                for part in chain(tests.overlaps(words, offsets), tests.wholes(words, offsets, begins)):
                     # One row per text and passage: the overlap with most agreeing words, then the first one.
                     order = np.lexsort((part[2], -part[3], part[1], part[0]))
                     part = part[:, order]

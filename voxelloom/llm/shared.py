@@ -113,13 +113,16 @@ class SpanHasher:
         return mix64((sums[stop] - sums[start]) * self.inverse[start] + (stop - start).astype(np.uint64))
 
 
-def runs(inside: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, stop and text number of the maximal runs of true bytes; no run crosses a text's end."""
+def runs(inside: np.ndarray, ends: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, stop and text number of the maximal runs of true bytes; no run crosses a text's end, or goes on where
+    ``cut`` is true."""
     if not len(inside):
         none = np.zeros(0, np.int64)
         return none, none, none
     first = inside.copy()
     first[1:] &= ~inside[:-1]
+    if cut is not None:
+        first |= inside & cut
     heads = ends[:-1][(ends[:-1] < ends[1:])]
     first[heads] = inside[heads]
     last = inside.copy()
