@@ -20,9 +20,18 @@ VOLUME = ["volume_id"]
 SLICE = ["volume_id", "z"]
 
 
-def share(part: Column, whole: Column) -> Column:
-    """part / whole, null when the whole is empty."""
-    return part.cast("double") / F.nullif(whole, F.lit(0)).cast("double")
+def share(part: Column, whole: Column, scale: float = 1.0) -> Column:
+    """scale * part / whole, null when the whole is empty. Only the division rounds: a share that ends in few digits is exact."""
+    return part.cast("double") * F.lit(scale) / F.nullif(whole, F.lit(0)).cast("double")
+
+
+def _spread_of_counts(scale: float) -> list[Column]:
+    """min, max, mean and population deviation of the shares ``pores / total`` of a group's rows."""
+    p = share(F.col("pores"), F.col("total"), scale)
+    return [
+        F.min(p).alias("min_porosity"), F.max(p).alias("max_porosity"),
+        F.avg(p).alias("mean_porosity"), F.stddev_pop(p).alias("std_porosity"),
+    ]
 
 
 def solid_rule(v: str = "v", v_max: str = "v_max", encoding: str = "auto", threshold: float | None = None) -> Column:
@@ -66,14 +75,14 @@ def volume_porosity(marked: DataFrame, percent: bool = True) -> DataFrame:
     """Pore share of all pixels of a volume."""
     scale = 100.0 if percent else 1.0
     counts = pore_counts(marked, VOLUME)
-    return counts.select("volume_id", (share(F.col("pores"), F.col("total")) * scale).alias("porosity"))
+    return counts.select("volume_id", share(F.col("pores"), F.col("total"), scale).alias("porosity"))
 
 
 def slice_porosity(marked: DataFrame, axis: str = "z", percent: bool = True) -> DataFrame:
     """Pore share per slice along an axis (``x`` and ``y`` need a voxel table with ``n`` = 1)."""
     scale = 100.0 if percent else 1.0
     counts = pore_counts(marked, ["volume_id", axis])
-    return counts.select("volume_id", axis, (share(F.col("pores"), F.col("total")) * scale).alias("porosity"))
+    return counts.select("volume_id", axis, share(F.col("pores"), F.col("total"), scale).alias("porosity"))
 
 
 def spread(per_slice: DataFrame, value: str = "porosity") -> DataFrame:
@@ -89,17 +98,17 @@ def spread(per_slice: DataFrame, value: str = "porosity") -> DataFrame:
 
 def slice_porosity_stats(marked: DataFrame, axis: str = "z", percent: bool = True) -> DataFrame:
     """Spread of the slice porosity along an axis; the series itself is ``slice_porosity``."""
-    return spread(slice_porosity(marked, axis, percent))
+    counts = pore_counts(marked, ["volume_id", axis])
+    valid = F.count(F.nullif(F.col("total"), F.lit(0))).alias("n_slices")
+    return counts.groupBy("volume_id").agg(*_spread_of_counts(100.0 if percent else 1.0), valid)
 
 
 def volume_stats(marked: DataFrame, percent: bool = True) -> DataFrame:
     """Volume porosity and its spread over slices, from one aggregation of the input."""
     scale = 100.0 if percent else 1.0
-    p = share(F.col("pores"), F.col("total")) * scale
     return pore_counts(marked).groupBy("volume_id").agg(
-        (share(F.sum("pores"), F.sum("total")) * scale).alias("porosity"), F.min(p).alias("min_porosity"),
-        F.max(p).alias("max_porosity"), F.avg(p).alias("mean_porosity"), F.stddev_pop(p).alias("std_porosity"),
-        F.count(p).alias("n_slices"),
+        share(F.sum("pores"), F.sum("total"), scale).alias("porosity"), *_spread_of_counts(scale),
+        F.count(F.nullif(F.col("total"), F.lit(0))).alias("n_slices"),
     )
 
 
@@ -115,7 +124,7 @@ def volume_and_slice_report(marked: DataFrame) -> DataFrame:
         .where("level < 3")
         .select(
             "volume_id", "z", F.when(F.col("level") == 0, "slice").otherwise("volume").alias("level"), "pores", "total",
-            (share(F.col("pores"), F.col("total")) * 100).alias("porosity"),
+            share(F.col("pores"), F.col("total"), 100.0).alias("porosity"),
         )
     )
 
@@ -123,7 +132,7 @@ def volume_and_slice_report(marked: DataFrame) -> DataFrame:
 def sum_porosity(hist: DataFrame) -> DataFrame:
     """Sum of values over pixel count, in percent (only meaningful for 0/1 data)."""
     return hist.groupBy("volume_id").agg(
-        (share(F.sum(F.col("v") * F.col("n")), F.sum("n")) * 100).alias("porosity")
+        share(F.sum(F.col("v") * F.col("n")), F.sum("n"), 100.0).alias("porosity")
     )
 
 
@@ -233,7 +242,7 @@ def porosity_profile(region_marked: DataFrame) -> DataFrame:
     """Region porosity and region size of every slice that has region pixels."""
     counts = pore_counts(region_marked.where("region"))
     return counts.select(
-        "volume_id", "z", (share(F.col("pores"), F.col("total")) * 100).alias("porosity"),
+        "volume_id", "z", share(F.col("pores"), F.col("total"), 100.0).alias("porosity"),
         F.col("pores").alias("pore_voxels"), F.col("total").alias("region_voxels"),
     )
 
@@ -247,10 +256,8 @@ def region_porosity(region_marked: DataFrame) -> DataFrame:
     per_slice = region_marked.groupBy("volume_id", "z").agg(
         F.sum(F.when(F.col("pore"), inside).otherwise(0)).alias("pores"), F.sum(inside).alias("total")
     )
-    p = share(F.col("pores"), F.col("total")) * 100
     return per_slice.groupBy("volume_id").agg(
-        (share(F.sum("pores"), F.sum("total")) * 100).alias("porosity"), F.min(p).alias("min_porosity"),
-        F.max(p).alias("max_porosity"), F.avg(p).alias("mean_porosity"), F.stddev_pop(p).alias("std_porosity"),
+        share(F.sum("pores"), F.sum("total"), 100.0).alias("porosity"), *_spread_of_counts(100.0),
         F.sum("total").alias("highlighted_voxels"), F.sum("pores").alias("pore_voxels"),
     ).na.fill(0)
 
