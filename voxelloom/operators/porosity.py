@@ -25,12 +25,19 @@ def share(part: Column, whole: Column, scale: float = 1.0) -> Column:
     return part.cast("double") * F.lit(scale) / F.nullif(whole, F.lit(0)).cast("double")
 
 
+def mean_share(part: Column, whole: Column, scale: float = 1.0) -> Column:
+    """Mean of the shares of a group's rows, empty wholes left out. Added up with 18 decimals, so that neither the order of
+    the rows nor the rounding of each share moves a mean that lies on a rounding limit."""
+    scaled = (part.cast("long") * F.lit(int(scale))).cast("decimal(20,0)")
+    return F.avg(scaled / F.nullif(whole, F.lit(0)).cast("decimal(20,0)")).cast("double")
+
+
 def _spread_of_counts(scale: float) -> list[Column]:
     """min, max, mean and population deviation of the shares ``pores / total`` of a group's rows."""
     p = share(F.col("pores"), F.col("total"), scale)
     return [
         F.min(p).alias("min_porosity"), F.max(p).alias("max_porosity"),
-        F.avg(p).alias("mean_porosity"), F.stddev_pop(p).alias("std_porosity"),
+        mean_share(F.col("pores"), F.col("total"), scale).alias("mean_porosity"), F.stddev_pop(p).alias("std_porosity"),
     ]
 
 
