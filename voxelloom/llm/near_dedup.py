@@ -30,6 +30,8 @@ WIDE_BLOCKS = 8  # 16-bit blocks of its 128-bit fingerprints
 WIDE_DISTANCE = 32  # Jaccard 0.8 differs in about 19 of 128 bits, standard deviation 4
 SETS_IN_GROUP = 512  # sets compared with each other in one array
 SETS_AT_ONCE = 1 << 20  # shingles of a group that one row holds, about
+PREFIX_BYTES = 1 << 19  # text whose shingles are put in order at once
+ORDER_SAMPLE, ORDER_SHINGLES = 20_000, 1 << 18  # texts whose shingles are counted, and frequent shingles that are put last
 
 
 def shingle_spans(data: np.ndarray, ends: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -469,12 +471,106 @@ def verified_links(candidates: DataFrame, least: float = LEAST_JACCARD, most: in
     return grouped_links(dealt, ["root"], ["node", "low", "high", "hashes"], find)
 
 
+def prefixes(hashes: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of each set that meet those of any set of Jaccard ``least`` or more, their offsets, and the sets' parities.
+
+    All sets are in one order, frequent shingles last. Sets of this Jaccard share ``least`` of the larger one, so of
+    the first ``n - least * n + 1`` shingles of both at least one is the same, whatever the order. The 256 parities of a set (shingles by their
+    lowest byte) differ in no more places than the sets do.
+    """
+    sizes = np.diff(offsets)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    rank = np.zeros(len(hashes), np.int64)
+    if len(frequent) and len(hashes):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        known = frequent[at] == hashes
+        rank[known] = counts[at[known]]
+    order = np.lexsort((hashes, rank, owner))
+    length = np.where(sizes > 0, sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1, 0)
+    first = np.arange(len(hashes)) - np.repeat(offsets[:-1], sizes) < np.repeat(length, sizes)
+    odd = np.bincount(owner * 256 + (hashes & np.uint64(255)).astype(np.int64), minlength=256 * len(sizes)) & 1
+    parity = np.packbits(odd.astype(np.uint8).reshape(-1, 256), axis=1, bitorder="little").view(np.uint64)
+    return hashes[order][first], np.concatenate([[0], np.cumsum(length)]), parity
+
+
+def remaining_links(texts: DataFrame, roots: DataFrame, n_nodes: int, least: float = LEAST_JACCARD) -> DataFrame:
+    """All links ``(a, b)`` of Jaccard ``least`` or more between rows ``node, text`` whose ``roots`` (node, root) differ; exact.
+
+    Nodes meet on the shingles of their prefixes, only on those that nodes of two roots have. What is
+    left of the pairs by size and parities is verified on the whole sets. The order of the shingles, rare ones first, comes from
+    the counts in a bounded sample of texts; it decides how many pairs are tried, not which are found. Rows of equal node are one.
+    """
+    spark = texts.sparkSession
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        hasher = SpanHasher()
+        for batch in pieces(batches, "text", PREFIX_BYTES):
+            yield batch.column(0), *shingle_sets(*texts_of(batch.column(1)), hasher)
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, hashes, _ in sets(batches):
+            yield pa.record_batch([pa.array(hashes.view(np.int64))], names=["token"])
+
+    texts = texts.select("node", "text")
+    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(1e6 * min(1, ORDER_SAMPLE / max(1, n_nodes))))
+    known = sample.dropDuplicates(["node"]).mapInArrow(every, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    known = known.orderBy(F.col("n").desc(), "token").limit(ORDER_SHINGLES).toPandas()
+    tokens = known["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    ranks = spark.sparkContext.broadcast((tokens[order], known["n"].to_numpy(np.int64)[order]))
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, hashes, offsets in sets(batches):
+            found, ends, parity = prefixes(hashes, offsets, *ranks.value, least)
+            tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found.view(np.int64)))
+            bits = [pa.array(np.ascontiguousarray(parity[:, c]).view(np.int64)) for c in range(4)]
+            yield pa.record_batch([node, pa.array(np.diff(offsets)), tokens, *bits], names=["node", "n", "tokens", *parities])
+
+    parities = [f"p{c}" for c in range(4)]
+    schema = "node long, n long, tokens array<long>, " + ", ".join(f"{c} long" for c in parities)
+    # Sets of three shingles or fewer have Jaccard 0.75 at most with another one.
+    fewest = int(np.ceil(least / (1 - least) - 1e-9)) if least < 1 else 1
+    begun = texts.mapInArrow(begin, schema).where(F.col("n") >= fewest).dropDuplicates(["node"])
+    begun = store(begun.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-prefixes")
+    # One exchange of narrow rows, read twice; what is left of them gets sizes and parities.
+    placed = begun.select("node", "root", F.explode("tokens").alias("token")).repartition("token")
+    met = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high")
+    met = placed.select("token", "node").join(met.select("token", F.ceil(F.col("members") / GROUP).cast("int").alias("parts")), "token")
+    rows = store(met.join(begun.drop("tokens"), "node"), "near-tokens")
+    one = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts").alias("x")
+    other = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").alias("y")
+    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in parities), F.lit(0))
+    x, y = F.col("x.n"), F.col("y.n")
+    alike = (F.least(x, y) >= F.greatest(x, y) * least - 1e-9) & (apart <= (x + y) * ((1 - least) / (1 + least)) + 1e-9)
+    pairs = one.join(other, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & alike)
+    pairs = store(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "near-pairs")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, hashes, offsets in sets(batches):
+            yield pa.record_batch([node, pa.array([hashes[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:])], pa.binary())], names=["node", "hashes"])
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    packed = store(texts.join(broadcast_if_small(wanted, 500_000), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(pack, "node long, hashes binary"), "near-sets")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, j in zip(batch.column(2), batch.column(3)):
+                i, j = np.frombuffer(i.as_py(), np.uint64), np.frombuffer(j.as_py(), np.uint64)
+                common = shared_count(i, j)
+                keep.append(common >= least * (len(i) + len(j) - common))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(packed.select(F.col("node").alias("a"), F.col("hashes").alias("of_a")), "a").join(packed.select(F.col("node").alias("b"), F.col("hashes").alias("of_b")), "b")
+    return both.select("a", "b", "of_a", "of_b").mapInArrow(verify, "a long, b long")
+
+
 def drop_near_copies(docs: DataFrame, least: float = LEAST_JACCARD) -> DataFrame:
     """One row of each group of near copies: the smallest ``(doc_id, name of its shingle set)``.
 
-    Documents link if their sets of five-word shingles have Jaccard ``least`` or more; candidates come from
-    128-bit SimHash fingerprints, and every link is verified. Texts of equal sets are one node, wordless texts
-    the same one. Rows without doc_id have no identity to be kept by: they stay and link nothing.
+    Documents link if their sets of five-word shingles have Jaccard ``least`` or more. Candidates come from
+    128-bit SimHash fingerprints first, and every link is verified; pairs that these miss are searched exactly between
+    the groups found (``remaining_links``). Texts of equal sets are one node, wordless texts the same one. Rows without doc_id have no identity to be kept by: they stay and link nothing.
     """
     columns = docs.columns
     known = docs.where(F.col("doc_id").isNotNull())
@@ -499,7 +595,9 @@ def drop_near_copies(docs: DataFrame, least: float = LEAST_JACCARD) -> DataFrame
     chosen = coarse.join(nodes, "node")
     texts = marked.select(F.col("_node").alias("node"), F.col("doc_id").alias("smallest"), "text")
     candidates = store(chosen.join(texts, ["node", "smallest"]).dropDuplicates(["node"]).select("root", "node", "low", "high", "n", "text"), "near-candidates")
-    roots = components(verified_links(candidates, least), "near-links")
+    links = store(verified_links(candidates, least), "near-verified")
+    more = remaining_links(texts.where(F.col("node") != 0), components(links, "near-found"), nodes.count(), least)
+    roots = components(links.unionByName(more), "near-links")
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = placed.groupBy("root").agg(F.min(F.struct("smallest", "node")).alias("k")).select(F.col("k.smallest").alias("doc_id"), F.col("k.node").alias("_node"))
     rows = marked.join(kept, ["doc_id", "_node"], "left_semi").dropDuplicates(["doc_id", "_node"])
