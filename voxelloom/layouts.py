@@ -24,6 +24,34 @@ def image_of(row) -> np.ndarray:
     return np.frombuffer(row.data, dtype=np.dtype(row.dtype)).reshape(row.h, row.w)
 
 
+PART_BYTES = 1 << 19  # bytes of a batch that a kernel takes at once
+
+
+def small_batches(batches: Iterator[pd.DataFrame], limit: int = PART_BYTES) -> Iterator[pd.DataFrame]:
+    """The rows again, in batches of about ``limit`` bytes; a larger row is alone.
+
+    A batch comes with up to 10,000 rows, and a kernel may need eight or more bytes for each of its pixels: a task's memory
+    depends on ``limit`` and its largest slice, not on how many slices a batch has. Empty batches are left out.
+    """
+    def weight(value) -> int:
+        if isinstance(value, (bytes, bytearray)):
+            return len(value)
+        inner = value.values() if isinstance(value, dict) else value if isinstance(value, (list, np.ndarray)) else ()
+        return 64 + sum(map(weight, inner))
+
+    for batch in batches:
+        size = np.zeros(len(batch), np.int64)
+        for name in batch.columns:
+            if batch[name].dtype == object:
+                size += np.fromiter(map(weight, batch[name]), np.int64, len(batch))
+        ends = np.cumsum(size)
+        start = 0
+        while start < len(batch):
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] - size[start] + limit, "right")))
+            yield batch.iloc[start:stop].reset_index(drop=True)
+            start = stop
+
+
 def whole_pixels(row) -> np.ndarray:
     """The 2D array of a ``slices`` row whose pixels are whole numbers of 32 bits at most; others raise."""
     image = image_of(row)
@@ -38,7 +66,7 @@ def slices_to_voxels(slices: DataFrame) -> DataFrame:
     """Unpack slices of whole numbers to one row per pixel. Narrow: no shuffle."""
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in small_batches(batches):
             for row in batch.itertuples(index=False):
                 pixels = whole_pixels(row).ravel()
                 position = np.arange(pixels.size)
@@ -64,7 +92,7 @@ def slices_to_hist(slices: DataFrame, sizes: bool = False) -> DataFrame:
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in small_batches(batches):
             batch = batch[batch["data"].notna()]
             is_byte = batch["dtype"].isin(["uint8", "bool"])
             for row in batch[~is_byte].itertuples(index=False):
@@ -162,7 +190,7 @@ def map_slices(slices: DataFrame, fn: Callable[[np.ndarray], np.ndarray], dtype:
     one pass through, so that kernels can follow each other (``failures`` counts such rows).
     """
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in small_batches(batches):
             yield _kernel_rows(batch, lambda row: fn(image_of(row)), dtype, status)
 
     if status:
@@ -200,7 +228,7 @@ def zip_slices(
         return fn(a[:h, :w], b[:h, :w])
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in small_batches(batches):
             yield _kernel_rows(batch, pair, dtype, status)
 
     renamed = right.select(
@@ -226,7 +254,7 @@ def copy_window(slices: DataFrame, src_y, src_x, dst_y, dst_x, n_y, n_x, out_h,
     }
 
     def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in small_batches(batches):
             packed = []
             for row in batch.itertuples(index=False):
                 canvas = np.zeros((row.out_h, row.out_w), np.dtype(row.dtype))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelloom.layouts import SLICE_COLUMNS, SLICE_SCHEMA, whole_pixels
+from voxelloom.layouts import SLICE_COLUMNS, SLICE_SCHEMA, small_batches, whole_pixels
 
 SLICE = ["volume_id", "z"]
 
@@ -131,7 +131,7 @@ def otsu_pores(slices: DataFrame, slice_hist: DataFrame) -> DataFrame:
     )
 
     def mark(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             packed = []
             for row in batch.itertuples(index=False):
                 unit = whole_pixels(row) / max(row.top, 1)
@@ -197,7 +197,7 @@ def apply_lookup(slices: DataFrame, lookup: DataFrame, column: str = "matched")
     )
 
     def translate(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             data = [row.data.translate(row.lut) for row in batch[["data", "lut"]].itertuples(index=False)]
             yield batch[SLICE_COLUMNS].assign(data=data)
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.functions import pixels
-from voxelloom.layouts import SLICE_COLUMNS, SLICE_SCHEMA, STATUS_SCHEMA, copy_window, extent, image_of, map_slices, zip_slices
+from voxelloom.layouts import SLICE_COLUMNS, SLICE_SCHEMA, STATUS_SCHEMA, copy_window, extent, image_of, map_slices, small_batches, zip_slices
 from voxelloom.session import broadcast_if_small, cut_lineage
 
 # Fixed value: fraction bits of the 8-bit resampling weights common image libraries use.
@@ -101,7 +101,7 @@ def flip_pair(images: DataFrame, masks: DataFrame, horizontal: float = 0.5, vert
         return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(16**13) < F.lit(float(chance))
 
     def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in small_batches(batches):
             packed = [
                 np.ascontiguousarray(image_of(row)[:: -1 if row.flip_y else 1, :: -1 if row.flip_x else 1]).tobytes() for row in batch.itertuples(index=False)
             ]
@@ -131,12 +131,12 @@ def normalize_slices(slices: DataFrame, scope: str = "slice") -> DataFrame:
         return map_slices(slices, lambda image: image if image.dtype == np.uint8 else stretch(image, *ends(image)))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in small_batches(batches):
             found = [ends(image_of(row)) for row in batch.itertuples(index=False)]
             yield pd.DataFrame({"volume_id": batch["volume_id"], "low": [a for a, _ in found], "high": [b for _, b in found]})
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in small_batches(batches):
             packed = [stretch(image_of(row), row.low, row.high).tobytes() for row in batch.itertuples(index=False)]
             yield batch[SLICE_COLUMNS].assign(dtype="uint8", data=packed)
 
@@ -240,7 +240,7 @@ def component_sizes(slices: DataFrame) -> DataFrame:
     """(volume, z, label, size) of the non-zero 4-connected components of every slice."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in small_batches(batches):
             for row in batch.itertuples(index=False):
                 labels, sizes = np.unique(label_components(image_of(row) != 0), return_counts=True)
                 keep = labels > 0
@@ -370,7 +370,7 @@ def edt_3d(slices: DataFrame, group_bytes: int = 16 << 20) -> DataFrame:
         return pdf.assign(piece=[np.ascontiguousarray(line).tobytes() for line in found])
 
     def paste(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in small_batches(batches):
             squared = [np.frombuffer(b"".join(p["piece"] for p in sorted(parts, key=lambda p: p["part"])), np.int64) for parts in batch["parts"]]
             lost = [bool(len(s)) and s.max() >= UNREACHED for s in squared]
             yield batch[SLICE_COLUMNS[:-1]].assign(
@@ -435,7 +435,7 @@ def float_slices_to_voxels(slices: DataFrame) -> DataFrame:
     """Non-byte slices (distance maps, blurred images) to one row per pixel."""
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in small_batches(batches):
             for row in batch[batch["data"].notna()].itertuples(index=False):
                 image = image_of(row)
                 y, x = np.indices(image.shape, dtype=np.int32)
@@ -450,7 +450,7 @@ def float_hist(slices: DataFrame) -> DataFrame:
     """(volume, z, v, n) of non-byte slices: distinct values are counted inside the task."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in small_batches(batches):
             for row in batch[batch["data"].notna()].itertuples(index=False):
                 values, counts = np.unique(image_of(row), return_counts=True)
                 yield pd.DataFrame({"volume_id": row.volume_id, "z": np.int32(row.z), "v": values.astype(float), "n": counts})
@@ -472,7 +472,7 @@ def score_slices(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = load() if load else (lambda image: image)
-        for batch in batches:
+        for batch in small_batches(batches):
             packed, errors = [], []
             for row in batch.itertuples(index=False):
                 try:

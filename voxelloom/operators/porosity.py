@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.layouts import SLICE_COLUMNS, SLICE_SCHEMA, image_of, whole_pixels
+from voxelloom.layouts import SLICE_COLUMNS, SLICE_SCHEMA, image_of, small_batches, whole_pixels
 from voxelloom.session import broadcast_if_small, cut_lineage
 
 VOLUME = ["volume_id"]
@@ -178,7 +178,7 @@ def highlight_threshold(voxels: DataFrame, v: str = "v", threshold: float = 0) -
 def volume_tops(slices: DataFrame) -> DataFrame:
     """(volume_id, top): the largest pixel of every volume; each slice gives one number."""
     def largest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in small_batches(batches):
             tops = [float(image_of(row).max(initial=0)) for row in batch.itertuples(index=False)]
             yield pd.DataFrame({"volume_id": batch["volume_id"], "top": tops})
 
@@ -205,7 +205,7 @@ def region_slices(masks: DataFrame, above: float | None = None) -> DataFrame:
     The brightest value needs a pass of its own over the masks; one number a slice leaves the scan.
     """
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in small_batches(batches):
             packed = [_inside(image_of(row), row.top, above).astype(np.uint8).tobytes() for row in batch.itertuples(index=False)]
             yield batch[SLICE_COLUMNS].assign(dtype="uint8", data=packed)
 
@@ -220,7 +220,7 @@ def joint_hist_of_slices(stack: DataFrame, mask: DataFrame, region_above: float
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in small_batches(batches):
             for row in batch.itertuples(index=False):
                 h, w = min(row.h, row.mask_h), min(row.w, row.mask_w)
                 image = whole_pixels(row)[:h, :w].astype(np.int64)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelloom.layouts import SLICE_COLUMNS, SLICE_SCHEMA, image_of, map_slices
+from voxelloom.layouts import SLICE_COLUMNS, SLICE_SCHEMA, image_of, map_slices, small_batches
 
 BOX = ["x_min", "y_min", "x_max", "y_max"]
 
@@ -81,7 +81,7 @@ def content_lines(slices: DataFrame, factor: float = 0.8, share: float = 0.05) -
     """
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in small_batches(batches):
             for row in batch.itertuples(index=False):
                 image = image_of(row)
                 bright = image > image.mean() * factor
@@ -147,7 +147,7 @@ def box_masks(slices: DataFrame, boxes: DataFrame) -> DataFrame:
     """
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in small_batches(batches):
             packed = []
             for row in batch.itertuples(index=False):
                 mask = np.zeros((row.h, row.w), np.uint8)
@@ -166,7 +166,7 @@ def bounding_box(masks: DataFrame, above: float = 0) -> DataFrame:
     Rows and columns are projected inside the scan's tasks: one row per slice leaves them, and nothing shuffles.
     """
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in small_batches(batches):
             found = []
             for row in batch.itertuples(index=False):
                 inside = image_of(row) > above

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.layouts import SLICE_COLUMNS, SLICE_SCHEMA, extent
+from voxelloom.layouts import SLICE_COLUMNS, SLICE_SCHEMA, extent, small_batches
 from voxelloom.session import broadcast_if_small
 
 PART_SCHEMA = "volume_id string, z int, strip int, part int, h int, w int, data binary"
@@ -145,7 +145,7 @@ def rotate_plane(
         )
 
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in small_batches(batches):
             packed = []
             for h, w, parts in zip(batch["h"], batch["w"], batch["parts"]):
                 image = np.zeros((h, w), np.uint8)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.layouts import SLICE_COLUMNS, SLICE_SCHEMA, map_slices, slices_to_hist
+from voxelloom.layouts import SLICE_COLUMNS, SLICE_SCHEMA, map_slices, slices_to_hist, small_batches
 from voxelloom.session import broadcast_if_small, cut_lineage
 
 BLOCK = 16
@@ -32,7 +32,7 @@ def _spans(size: int, tile: int, halo: int) -> list[tuple[int, int, int]]:
 def cut_tiles(slices: DataFrame, tile: int, halo: int, extra: list[str]) -> DataFrame:
     """Every slice as overlapping pieces, inside the scan's tasks: one row per tile, with ``halo`` more lines on inner sides."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in small_batches(batches):
             for row in batch.itertuples(index=False):
                 image = np.frombuffer(row.data, np.dtype(row.dtype)).reshape(row.h, row.w)
                 places, packed = [], []
@@ -53,7 +53,7 @@ def cut_tiles(slices: DataFrame, tile: int, halo: int, extra: list[str]) -> Data
 def join_tiles(tiles: DataFrame) -> DataFrame:
     """Whole slices from the finished tiles: one group is one slice, each tile placed by its own offsets."""
     def paste(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in small_batches(batches):
             packed = []
             for h, w, dtype, parts in zip(batch["h"], batch["w"], batch["dtype"], batch["parts"]):
                 image = np.zeros((h, w), np.dtype(dtype))
@@ -318,7 +318,7 @@ def adjust_porosity(
 
     def with_counts(slices: DataFrame) -> DataFrame:
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
+            for batch in small_batches(batches):
                 yield batch.assign(_voids=[int(np.count_nonzero(np.frombuffer(d, np.dtype(t)))) for d, t in zip(batch["data"], batch["dtype"])])
 
         return slices.select(*SLICE_COLUMNS).mapInPandas(count, SLICE_SCHEMA + ", _voids bigint")
