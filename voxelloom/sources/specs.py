@@ -44,10 +44,15 @@ def parse_specs(texts: DataFrame) -> DataFrame:
     pairs = F.filter(F.transform(settings, pair), lambda p: p["key"] != "")
     # In order of key and line, an entry holds where the next one has another key: time grows with n log n.
     placed = F.array_sort(F.transform(pairs, lambda p, line: F.struct(p["key"].alias("key"), line.alias("line"), p["value"].alias("value"))))
-    ordered = texts.select("spec", placed.alias("_p")).select("spec", "_p", F.slice("_p", 2, F.greatest(F.lit(1), F.size("_p"))).alias("_next"))
-    beside = F.zip_with("_p", "_next", lambda here, after: F.struct(here["key"].alias("key"), here["value"].alias("value"), after["key"].alias("next")))
-    last = F.filter(beside, lambda e: e["next"].isNull() | (e["next"] != e["key"]))
-    return ordered.select("spec", F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"]))).alias("settings"))
+
+    def last_of_each(placed: Column) -> Column:
+        after = F.slice(placed, 2, F.greatest(F.lit(1), F.size(placed)))
+        beside = F.zip_with(placed, after, lambda here, then: F.struct(here["key"].alias("key"), here["value"].alias("value"), then["key"].alias("next")))
+        last = F.filter(beside, lambda e: e["next"].isNull() | (e["next"] != e["key"]))
+        return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
+
+    # Bound to a variable, the sorted lines are worked out once, however often they are named.
+    return texts.select("spec", F.transform(F.array(placed), last_of_each)[0].alias("settings"))
 
 
 def setting(key: str, settings: str | Column = "settings") -> Column:
