@@ -31,7 +31,7 @@ WIDE_DISTANCE = 32  # Jaccard 0.8 differs in about 19 of 128 bits, standard devi
 SETS_IN_GROUP = 512  # sets compared with each other in one array
 SETS_AT_ONCE = 1 << 20  # shingles of a group that one row holds, about
 PREFIX_BYTES = 1 << 19  # text whose shingles are put in order at once
-ORDER_SAMPLE, ORDER_SHINGLES = 20_000, 1 << 18  # texts whose shingles are counted, and frequent shingles that are put last
+ORDER_SAMPLE, ORDER_SHINGLES = 2_000, 1 << 18  # texts whose shingles are counted, and frequent shingles that are put last
 
 
 def shingle_spans(data: np.ndarray, ends: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -513,7 +513,7 @@ def remaining_links(texts: DataFrame, roots: DataFrame, n_nodes: int, least: flo
 
     texts = texts.select("node", "text")
     sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(1e6 * min(1, ORDER_SAMPLE / max(1, n_nodes))))
-    known = sample.dropDuplicates(["node"]).mapInArrow(every, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    known = sample.dropDuplicates(["node"]).mapInArrow(every, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     known = known.orderBy(F.col("n").desc(), "token").limit(ORDER_SHINGLES).toPandas()
     tokens = known["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
