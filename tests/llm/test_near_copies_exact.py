@@ -88,3 +88,35 @@ def test_remaining_links_are_those_between_groups(spark):
     found = near_dedup.remaining_links(texts, roots, 5)
     assert sorted(map(tuple, found.collect())) == [(0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
     assert near_dedup.remaining_links(texts.where(F.lit(False)), roots, 0).count() == 0
+
+
+def test_sketches_bound_the_difference_at_any_size():
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 2**64, n, dtype=np.uint64) for n in (0, 1, 31, 33, 900, 1024, 1025)]
+    sets += [np.concatenate([s[: len(s) // 2], rng.integers(0, 2**64, len(s) // 3 + 1, dtype=np.uint64)]) for s in sets]
+    sketched = near_dedup.sketches(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])).to_pylist()
+    for x, i in zip(sketched, sets):
+        assert near_dedup.sketched_apart(x, x) == 0
+        for y, j in zip(sketched, sets):
+            apart = len(set(i.tolist()) ^ set(j.tolist()))
+            assert near_dedup.sketched_apart(x, y) <= apart and near_dedup.sketched_apart(x, y) % 2 == apart % 2
+
+
+def test_whole_sets_are_kept_only_of_close_pairs(spark, monkeypatch):
+    """Long texts with Jaccard 0.75 are told apart by their sketches; 256 parities say nothing of them."""
+    rng = random.Random(8)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    most, close = new(2570), new(2400)
+    rows = [" ".join(most + new(430)) for _ in range(12)] + [" ".join(close + new(120)) for _ in range(2)]
+    stored = {}
+
+    def store(df, name, keep=near_dedup.store):
+        stored[name] = keep(df, name)
+        return stored[name]
+
+    monkeypatch.setattr(near_dedup, "store", store)
+    texts = spark.createDataFrame(list(enumerate(rows)), "node long, text string")
+    alone = spark.createDataFrame([], "node long, root long")
+    assert [tuple(r) for r in near_dedup.remaining_links(texts, alone, len(rows)).collect()] == [(12, 13)]
+    assert stored["near-pairs"].count() > 1
+    assert sorted(r.node for r in stored["near-sets"].collect()) == [12, 13]

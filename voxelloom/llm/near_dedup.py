@@ -493,11 +493,35 @@ def prefixes(hashes: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, coun
     return hashes[order][first], np.concatenate([[0], np.cumsum(length)]), parity
 
 
+def sketches(hashes: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Parities of each set in as many places as a power of two says that is twice its size or more, as bytes.
+
+    A place counts the shingles of equal lowest bits, so sketches of two lengths compare once the longer one is folded.
+    """
+    sizes = np.diff(offsets)
+    places = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
+    ends = np.concatenate([[0], np.cumsum(places)])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = ends[:-1][owner] + (hashes & (places[owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(at, minlength=ends[-1]) & 1
+    packed = np.packbits(odd.astype(np.uint8), bitorder="little")
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends // 8), pa.py_buffer(packed)]).cast(pa.binary())
+
+
+def sketched_apart(x: bytes, y: bytes) -> int:
+    """In how many places two sketches differ: no more than their sets do."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def remaining_links(texts: DataFrame, roots: DataFrame, n_nodes: int, least: float = LEAST_JACCARD) -> DataFrame:
     """All links ``(a, b)`` of Jaccard ``least`` or more between rows ``node, text`` whose ``roots`` (node, root) differ; exact.
 
     Nodes meet on the shingles of their prefixes, only on those that nodes of two roots have. What is
-    left of the pairs by size and parities is verified on the whole sets. The order of the shingles, rare ones first, comes from
+    left of the pairs by size and parities is sifted by sketches, a 32nd of the sets' size, and verified on the whole sets. The order of the shingles, rare ones first, comes from
     the counts in a bounded sample of texts; it decides how many pairs are tried, not which are found. Rows of equal node are one.
     """
     spark = texts.sparkSession
@@ -524,10 +548,10 @@ def remaining_links(texts: DataFrame, roots: DataFrame, n_nodes: int, least: flo
             found, ends, parity = prefixes(hashes, offsets, *ranks.value, least)
             tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found.view(np.int64)))
             bits = [pa.array(np.ascontiguousarray(parity[:, c]).view(np.int64)) for c in range(4)]
-            yield pa.record_batch([node, pa.array(np.diff(offsets)), tokens, *bits], names=["node", "n", "tokens", *parities])
+            yield pa.record_batch([node, pa.array(np.diff(offsets)), tokens, sketches(hashes, offsets), *bits], names=["node", "n", "tokens", "sketch", *parities])
 
     parities = [f"p{c}" for c in range(4)]
-    schema = "node long, n long, tokens array<long>, " + ", ".join(f"{c} long" for c in parities)
+    schema = "node long, n long, tokens array<long>, sketch binary, " + ", ".join(f"{c} long" for c in parities)
     # Sets of three shingles or fewer have Jaccard 0.75 at most with another one.
     fewest = int(np.ceil(least / (1 - least) - 1e-9)) if least < 1 else 1
     begun = texts.mapInArrow(begin, schema).where(F.col("n") >= fewest).dropDuplicates(["node"])
@@ -536,7 +560,7 @@ def remaining_links(texts: DataFrame, roots: DataFrame, n_nodes: int, least: flo
     placed = begun.select("node", "root", F.explode("tokens").alias("token")).repartition("token")
     met = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high")
     met = placed.select("token", "node").join(met.select("token", F.ceil(F.col("members") / GROUP).cast("int").alias("parts")), "token")
-    rows = store(met.join(begun.drop("tokens"), "node"), "near-tokens")
+    rows = store(met.join(begun.drop("tokens", "sketch"), "node"), "near-tokens")
     one = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts").alias("x")
     other = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").alias("y")
     apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in parities), F.lit(0))
@@ -545,6 +569,16 @@ def remaining_links(texts: DataFrame, roots: DataFrame, n_nodes: int, least: flo
     pairs = one.join(other, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & alike)
     pairs = store(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "near-pairs")
 
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = batch.column(2).to_numpy() * ((1 - least) / (1 + least)) + 1e-9
+            close = [sketched_apart(i.as_py(), j.as_py()) <= m for i, j, m in zip(batch.column(3), batch.column(4), most)]
+            yield batch.select([0, 1]).filter(pa.array(close, pa.bool_()))
+
+    sketch = {c: begun.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"of_{c}")) for c in "ab"}
+    compared = pairs.join(sketch["a"], "a").join(sketch["b"], "b").select("a", "b", F.col("n_a") + F.col("n_b"), "of_a", "of_b")
+    pairs = store(compared.mapInArrow(sift, "a long, b long"), "near-close-pairs")
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, hashes, offsets in sets(batches):
             yield pa.record_batch([node, pa.array([hashes[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:])], pa.binary())], names=["node", "hashes"])
@@ -594,7 +628,9 @@ def drop_near_copies(docs: DataFrame, least: float = LEAST_JACCARD) -> DataFrame
     coarse = components(candidate_links(nodes.where("n > 0")), "near-coarse")
     chosen = coarse.join(nodes, "node")
     texts = marked.select(F.col("_node").alias("node"), F.col("doc_id").alias("smallest"), "text")
-    candidates = store(chosen.join(texts, ["node", "smallest"]).dropDuplicates(["node"]).select("root", "node", "low", "high", "n", "text"), "near-candidates")
+    # The texts of nodes that have a candidate, before any text is shuffled.
+    paired = texts.join(broadcast_if_small(chosen.select("node", "smallest"), 500_000), ["node", "smallest"], "left_semi")
+    candidates = store(chosen.join(paired, ["node", "smallest"]).dropDuplicates(["node"]).select("root", "node", "low", "high", "n", "text"), "near-candidates")
     links = store(verified_links(candidates, least), "near-verified")
     more = remaining_links(texts.where(F.col("node") != 0), components(links, "near-found"), nodes.count(), least)
     roots = components(links.unionByName(more), "near-links")
