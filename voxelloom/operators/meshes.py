@@ -52,49 +52,90 @@ def mesh_bbox_porosity(measures: DataFrame, box_volume: str | Column) -> DataFra
     )
 
 
+def _section_pieces(triangles: DataFrame, axis: str, u: str, v: str) -> DataFrame:
+    """``mesh_id, from, to, c0, c1, c2``: the cross product of a section's ends, as a polynomial, for the triangles of equal heights.
+
+    Between its lowest and middle and between its middle and highest corner both ends of a triangle's section are linear
+    in the height, so their cross product is a square one. It is taken over the share ``t`` of the way from ``from`` to ``to``, which
+    keeps its coefficients as small as the corners' own products, and those of equal heights add up before any shuffle.
+    """
+    heights = [F.col(f"{p}{axis}") for p in CORNERS]
+    lowest = F.when((heights[0] <= heights[1]) & (heights[0] <= heights[2]), 0).when(heights[1] <= heights[2], 1).otherwise(2)
+
+    def corner(turn: int, name: str) -> Column:
+        """A coordinate of the corner ``turn`` places after the lowest one; turning a triangle keeps its orientation."""
+        at = [F.col(f"{CORNERS[(k + turn) % 3]}{name}") for k in range(3)]
+        return F.when(F.col("_lowest") == 0, at[0]).when(F.col("_lowest") == 1, at[1]).otherwise(at[2])
+
+    # A triangle that lacks a height has no share of any area, but it still meets planes between those it has.
+    whole = F.lit(True)
+    for h in heights:
+        whole = whole & h.isNotNull()
+    rows = triangles.where(F.least(*heights) < F.greatest(*heights)).withColumn("_lowest", lowest).select(
+        "mesh_id", F.least(*heights).alias("_least"), F.greatest(*heights).alias("_greatest"), whole.alias("_whole"),
+        *[corner(turn, name).alias(f"_{turn}{d}") for turn in range(3) for d, name in (("h", axis), ("u", u), ("v", v))],
+    ).withColumn("_even", F.col("_1h") <= F.col("_2h"))
+    rows = rows.select(
+        "mesh_id", "_least", "_greatest", "_whole", "_even", *[F.col(f"_0{d}").alias(f"_l{d}") for d in "huv"],
+        *[F.when(F.col("_even"), F.col(f"_{p}{d}")).otherwise(F.col(f"_{q}{d}")).alias(f"_{n}{d}") for n, p, q in (("m", 1, 2), ("t", 2, 1)) for d in "huv"],
+    )
+    share = (F.col("_mh") - F.col("_lh")) / F.nullif(F.col("_th") - F.col("_lh"), F.lit(0.0))
+    # The point of the edge from the lowest to the highest corner at the height of the middle one.
+    rows = rows.withColumns({f"_g{d}": F.col(f"_l{d}") + (F.col(f"_t{d}") - F.col(f"_l{d}")) * share for d in "uv"})
+    point = {n: (F.col(f"_{n}u"), F.col(f"_{n}v")) for n in "lmgt"}
+
+    def less(p: tuple, q: tuple) -> tuple:
+        return p[0] - q[0], p[1] - q[1]
+
+    def cross(p: tuple, q: tuple) -> Column:
+        return p[0] * q[1] - p[1] * q[0]
+
+    low, middle, long_end, high = point["l"], point["m"], point["g"], point["t"]
+    below = [F.lit(0.0), cross(low, less(middle, long_end)), cross(less(long_end, low), less(middle, low))]
+    above = [
+        cross(long_end, middle), cross(long_end, less(high, middle)) + cross(less(high, long_end), middle),
+        cross(less(high, long_end), less(high, middle)),
+    ]
+    half = F.when(F.col("_whole"), F.when(F.col("_even"), 0.5).otherwise(-0.5))
+    whole = F.col("_whole")
+    pieces = [
+        (F.when(whole, F.col("_lh")).otherwise(F.col("_least")), F.when(whole, F.col("_mh")).otherwise(F.col("_greatest")), below),
+        (F.when(whole, F.col("_mh")), F.col("_th"), above),
+    ]
+    pieces = F.array(*[F.struct(x.alias("from"), y.alias("to"), *[(half * c).alias(f"c{k}") for k, c in enumerate(of)]) for x, y, of in pieces])
+    rows = rows.select("mesh_id", F.explode(pieces).alias("p")).select("mesh_id", "p.*").where(F.col("from") < F.col("to"))
+    return rows.groupBy("mesh_id", "from", "to").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(3)])
+
+
 def mesh_section_area(triangles: DataFrame, n: int = 30, axis: str = "z", margin: float = 1e-6) -> DataFrame:
     """Cross-section area at ``n`` evenly spaced planes per mesh.
 
-    Each triangle computes the numbers of the planes between its lowest and highest corner, so there is
-    no range join: a triangle yields only the planes it meets. The piece of a plane inside a triangle is
-    a directed segment; half the sum of their cross products is the enclosed area. The bounds, one row a mesh, are
-    stored and counted: up to 100,000 meshes the triangles stay where they are, beyond they are dealt by mesh.
+    The piece of a plane inside a triangle is a directed segment; half the sum of their cross products is the enclosed
+    area. Triangles of equal heights are added up first, as polynomials of the plane's place between those heights;
+    each sum computes the numbers of the planes it meets, so there is no range join. The bounds, one row a mesh, are
+    stored and counted: up to 100,000 meshes the sums stay where they are, beyond they are dealt by mesh.
     """
     u, v = [d for d in AXES if d != axis] if axis != "y" else ["z", "x"]
     bounds = mesh_bounds(triangles).select(
         "mesh_id", (F.col(f"{axis}_min") + margin).alias("_lo"), (F.col(f"{axis}_max") - margin).alias("_hi")
     )
-    heights = [F.col(f"{p}{axis}") for p in CORNERS]
-    low, high = F.least(*heights), F.greatest(*heights)
+    low, high = F.col("from"), F.col("to")
     step = (F.col("_hi") - F.col("_lo")) / max(1, n - 1)
     first = F.greatest(F.lit(0), F.floor((low - F.col("_lo")) / step) - 1).cast("int")
     last = F.least(F.lit(n - 1), F.ceil((high - F.col("_lo")) / step) + 1).cast("int")
     position = F.when(F.col("plane") == n - 1, F.col("_hi")).otherwise(F.col("_lo") + F.col("plane") * step)
     met = (
-        triangles.join(broadcast_if_small(cut_lineage(bounds)), "mesh_id")
-        .where((low < high) & (last >= first) & (F.col("_hi") > F.col("_lo")))
+        _section_pieces(triangles, axis, u, v).join(broadcast_if_small(cut_lineage(bounds)), "mesh_id")
+        .where((last >= first) & (F.col("_hi") > F.col("_lo")))
         .withColumn("plane", F.explode(F.sequence(first, last)))
         .withColumn("pos", position)
         .where((low < F.col("pos")) & (high >= F.col("pos")))
+        .withColumn("t", (F.col("pos") - low) / (high - low))
     )
-
-    def end(rising: bool, name: str) -> Column:
-        """Coordinate where the triangle's rising (or falling) edge meets the plane; corners count half-open."""
-        choice = F.lit(None).cast("double")
-        for p, q in (("a", "b"), ("b", "c"), ("c", "a")):
-            hp, hq = F.col(f"{p}{axis}"), F.col(f"{q}{axis}")
-            low_end, high_end = (hp, hq) if rising else (hq, hp)
-            share = (F.col("pos") - hp) / F.nullif(hq - hp, F.lit(0.0))
-            point = F.col(f"{p}{name}") + (F.col(f"{q}{name}") - F.col(f"{p}{name}")) * share
-            choice = F.when((low_end < F.col("pos")) & (high_end >= F.col("pos")), point).otherwise(choice)
-        return choice
-
-    # Exactly one edge rises through the plane and one falls: the segment runs between the two.
-    part = (end(False, u) * end(True, v) - end(False, v) * end(True, u)) / 2
-    area = met.select("mesh_id", "plane", "pos", part.alias("part")).groupBy("mesh_id", "plane").agg(
+    part = F.col("c0") + F.col("t") * (F.col("c1") + F.col("t") * F.col("c2"))
+    return met.select("mesh_id", "plane", "pos", part.alias("part")).groupBy("mesh_id", "plane").agg(
         F.max("pos").alias("position"), F.sum("part").alias("area")
     )
-    return area
 
 
 def occupied_box_porosity(cells: DataFrame) -> DataFrame:

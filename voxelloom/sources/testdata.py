@@ -150,10 +150,9 @@ def box_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
         (low[d] + F.when(F.col(f"t.{p}").bitwiseAND(bit[d]) > 0, size[d]).otherwise(0.0)).alias(f"{p}{d}")
         for p in "abc" for d in "xyz"
     ]
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
-    return lines.select("*", F.explode(faces).alias("t")).select(
-        F.concat(F.lit("m"), F.col("l_orderkey").cast("string")).alias("mesh_id"), *flat
-    )
+    mesh_id = F.concat(F.lit("m"), F.col("l_orderkey").cast("string")).alias("mesh_id")  # once a line, not for each triangle
+    lines = table(spark, sf_dir, "lineitem").select(mesh_id, "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    return lines.select("*", F.explode(faces).alias("t")).select("mesh_id", *flat)
 
 
 def points(spark: SparkSession, sf_dir: str, first: int, snap: bool = False) -> DataFrame:
