@@ -13,6 +13,7 @@ CORNERS = ["a", "b", "c"]
 AXES = ["x", "y", "z"]
 CELL_POINTS = 16  # points of an average cell, were they spread evenly
 LEAF = 256  # points of a cell that are compared one by one
+TASK_POINTS = 12_000  # points whose cells, about 14 a point at first, one task sorts
 
 
 def _cross(u: list[Column], v: list[Column]) -> list[Column]:
@@ -226,24 +227,28 @@ def _search(a: DataFrame, b: DataFrame, keys: list[str], leaf: int) -> DataFrame
     own = own.select(*me, "best", "level", *_cells({d: F.col(f"s_{d}") for d in AXES}, F.col("level")))
     # The cell of level 0 holds all points of the key, so every point finds a bound.
     seeds = own.join(pyramid, [*keys, "level", *cell]).groupBy(*me).agg(F.least(F.min("best"), F.min(_upper())).alias("best"))
-    seeds = cut_lineage(seeds)
+    seeds = cut_lineage(seeds.withColumn("number", F.monotonically_increasing_id()))
+    # Tasks grow in number with the points, not in size. A point's number deals its rows: a window normalises doubles, so that
+    # rows dealt by the coordinates would be dealt once more.
+    tasks = max(a.sparkSession.sparkContext.defaultParallelism, -(-seeds.count() // TASK_POINTS))
+    mine = [*me, "number"]
 
     # A little more than the bound, so that rounding loses no cell.
     reach = F.sqrt("best") * (1 + 1e-9)
     level = F.when(reach > 0, F.floor(F.log2(F.col("extent") / reach))).otherwise(F.col("depth"))
     around = seeds.join(frame, keys).withColumn("level", F.greatest(F.lit(0), F.least(F.col("depth").cast("long"), level)).cast("int"))
     ends = [_cells({d: _steps(F.col(d) + side * reach, d) for d in AXES}, F.col("level")) for side in (-1, 1)]
-    around = around.select(*me, "best", "depth", "level", *[F.sequence(low, high).alias(c) for c, low, high in zip(cell, *ends)])
+    around = around.select(*mine, "best", "depth", "level", *[F.sequence(low, high).alias(c) for c, low, high in zip(cell, *ends)])
     for c in cell:
         around = around.withColumn(c, F.explode(c))
-    point = Window.partitionBy(*me)
+    point = Window.partitionBy("number")
 
     def kept(rows: DataFrame) -> DataFrame:
         """Cells that may hold a nearer point, and those whose point gives the bound."""
-        bound = rows.withColumn("best", F.least("best", F.min(_upper()).over(point)))
+        bound = rows.repartition(tasks, "number").withColumn("best", F.least("best", F.min(_upper()).over(point)))
         return bound.where((_lower() < F.col("best")) | (_upper() <= F.col("best")))
 
-    rows = kept(around.join(pyramid, [*keys, "level", *cell]).select(*me, "best", "depth", "node"))
+    rows = kept(around.join(pyramid, [*keys, "level", *cell]).select(*mine, "best", "depth", "node"))
     for level in range(deepest):
         parts = pyramid.where(F.col("level") == level + 1)
         parts = parts.groupBy(*keys, *[F.call_function("shiftright", F.col(c), F.lit(1)).alias(c) for c in cell]).agg(F.collect_list("node").alias("parts"))
@@ -251,9 +256,9 @@ def _search(a: DataFrame, b: DataFrame, keys: list[str], leaf: int) -> DataFrame
         opens = (F.col("node.level") == level) & (F.col("depth") > level) & (_lower() < F.col("best"))
         rows = rows.select("*", F.when(opens, level).otherwise(-1).alias("level"), *[F.col(f"node.{c}").alias(c) for c in cell])
         rows = rows.join(parts.withColumn("level", F.lit(level)), [*keys, "level", *cell], "left")
-        rows = kept(rows.select(*me, "best", "depth", F.explode(F.coalesce("parts", F.array("node"))).alias("node")))
+        rows = kept(rows.select(*mine, "best", "depth", F.explode(F.coalesce("parts", F.array("node"))).alias("node")))
     last = cut_lineage(rows.select(*me, "best", (_lower() < F.col("best")).alias("opens"), F.col("node.n").alias("n"), *[F.col(f"node.{c}").alias(c) for c in cell]))
-    answers = seeds.unionByName(last.select(*me, "best"))
+    answers = seeds.drop("number").unionByName(last.select(*me, "best"))
 
     in_cell = b.join(frame, keys).select(*keys, *[_steps(F.col(d), d).alias(f"c_{d}") for d in AXES], F.struct(*AXES).alias("other"))
     few = last.where(F.col("opens") & F.col("n").between(2, leaf)).select(*me, "best", *cell)
