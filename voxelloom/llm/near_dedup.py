@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -31,7 +32,9 @@ WIDE_DISTANCE = 32  # Jaccard 0.8 differs in about 19 of 128 bits, standard devi
 SETS_IN_GROUP = 512  # sets compared with each other in one array
 SETS_AT_ONCE = 1 << 20  # shingles of a group that one row holds, about
 PREFIX_BYTES = 1 << 19  # text whose shingles are put in order at once
-ORDER_SAMPLE, ORDER_SHINGLES = 2_000, 1 << 18  # texts whose shingles are counted, and frequent shingles that are put last
+ORDER_SAMPLE, ORDER_SHINGLES = 2_000, 1 << 18  # texts whose shingles are counted, at least, and frequent shingles that are put last
+ORDER_SHARE = 0.04  # of the texts: a shingle that grows frequent with the table is seen at any size
+COARSE_SET = 512  # shingles of a set beyond which 256 parities say nothing
 
 
 def shingle_spans(data: np.ndarray, ends: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -493,13 +496,13 @@ def prefixes(hashes: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, coun
     return hashes[order][first], np.concatenate([[0], np.cumsum(length)]), parity
 
 
-def sketches(hashes: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """Parities of each set in as many places as a power of two says that is twice its size or more, as bytes.
+def sketches(hashes: np.ndarray, offsets: np.ndarray, per_shingle: float = 2) -> pa.Array:
+    """Parities of each set in as many places as a power of two says that is twice its size (``per_shingle``) or more, as bytes.
 
     A place counts the shingles of equal lowest bits, so sketches of two lengths compare once the longer one is folded.
     """
     sizes = np.diff(offsets)
-    places = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
+    places = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(per_shingle * sizes, 1))).astype(np.int64))
     ends = np.concatenate([[0], np.cumsum(places)])
     owner = np.repeat(np.arange(len(sizes)), sizes)
     at = ends[:-1][owner] + (hashes & (places[owner] - 1).astype(np.uint64)).astype(np.int64)
@@ -517,12 +520,35 @@ def sketched_apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def coarse_bits(hashes: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Sketches of a place for two shingles or more as lists of longs, for sets of more than ``COARSE_SET``; an empty list for others."""
+    sizes = np.diff(offsets)
+    large = sizes > COARSE_SET
+    of = np.repeat(large, sizes)
+    packed = sketches(hashes[of], np.concatenate([[0], np.cumsum(sizes[large])]), 0.5)
+    lengths = np.zeros(len(sizes), np.int64)
+    lengths[large] = pc.binary_length(packed).to_numpy() // 8
+    data, _ = texts_of(packed)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(data.view("<i8")))
+
+
+def coarsely_apart(x: Column, y: Column) -> Column:
+    """In how many places two ``coarse_bits`` differ, no more than their sets do; 0 if one is empty. One is twice as long as the other at most."""
+    def folded(b: Column, other: Column) -> Column:
+        half = F.floor(F.size(b) / 2).cast("int")
+        return F.when(F.size(b) > F.size(other), F.zip_with(F.slice(b, F.lit(1), half), F.slice(b, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(b)
+
+    places = F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.aggregate(places, F.lit(0), lambda total, n: total + n)).otherwise(0)
+
+
 def remaining_links(texts: DataFrame, roots: DataFrame, n_nodes: int, least: float = LEAST_JACCARD) -> DataFrame:
     """All links ``(a, b)`` of Jaccard ``least`` or more between rows ``node, text`` whose ``roots`` (node, root) differ; exact.
 
-    Nodes meet on the shingles of their prefixes, only on those that nodes of two roots have. What is
-    left of the pairs by size and parities is sifted by sketches, a 32nd of the sets' size, and verified on the whole sets. The order of the shingles, rare ones first, comes from
-    the counts in a bounded sample of texts; it decides how many pairs are tried, not which are found. Rows of equal node are one.
+    Nodes meet on the shingles of their prefixes, only on those that nodes of two roots have, and on one of those that the very same nodes
+    have. What is left of the pairs by size and parities (256, and a place for two shingles or more of a large set) is sifted by sketches, a 32nd of
+    the sets' size, and verified on the whole sets. The order of the shingles, rare ones first, comes from
+    the counts in a sample of texts; it decides how many pairs are tried, not which are found. Rows of equal node are one.
     """
     spark = texts.sparkSession
 
@@ -536,7 +562,7 @@ def remaining_links(texts: DataFrame, roots: DataFrame, n_nodes: int, least: flo
             yield pa.record_batch([pa.array(hashes.view(np.int64))], names=["token"])
 
     texts = texts.select("node", "text")
-    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(1e6 * min(1, ORDER_SAMPLE / max(1, n_nodes))))
+    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(1e6 * min(1, max(ORDER_SHARE, ORDER_SAMPLE / max(1, n_nodes)))))
     known = sample.dropDuplicates(["node"]).mapInArrow(every, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     known = known.orderBy(F.col("n").desc(), "token").limit(ORDER_SHINGLES).toPandas()
     tokens = known["token"].to_numpy(np.int64).view(np.uint64)
@@ -548,17 +574,20 @@ def remaining_links(texts: DataFrame, roots: DataFrame, n_nodes: int, least: flo
             found, ends, parity = prefixes(hashes, offsets, *ranks.value, least)
             tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found.view(np.int64)))
             bits = [pa.array(np.ascontiguousarray(parity[:, c]).view(np.int64)) for c in range(4)]
-            yield pa.record_batch([node, pa.array(np.diff(offsets)), tokens, sketches(hashes, offsets), *bits], names=["node", "n", "tokens", "sketch", *parities])
+            yield pa.record_batch([node, pa.array(np.diff(offsets)), tokens, sketches(hashes, offsets), coarse_bits(hashes, offsets), *bits], names=["node", "n", "tokens", "sketch", "coarse", *parities])
 
     parities = [f"p{c}" for c in range(4)]
-    schema = "node long, n long, tokens array<long>, sketch binary, " + ", ".join(f"{c} long" for c in parities)
+    schema = "node long, n long, tokens array<long>, sketch binary, coarse array<long>, " + ", ".join(f"{c} long" for c in parities)
     # Sets of three shingles or fewer have Jaccard 0.75 at most with another one.
     fewest = int(np.ceil(least / (1 - least) - 1e-9)) if least < 1 else 1
     begun = texts.mapInArrow(begin, schema).where(F.col("n") >= fewest).dropDuplicates(["node"])
     begun = store(begun.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-prefixes")
     # One exchange of narrow rows, read twice; what is left of them gets sizes and parities.
     placed = begun.select("node", "root", F.explode("tokens").alias("token")).repartition("token")
-    met = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high")
+    # Tokens of the same nodes would make the same pairs: one of them is enough.
+    same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"same_{k}") for k in range(2)]
+    met = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"), *same).where("low < high")
+    met = met.groupBy("members", "same_0", "same_1").agg(F.min("token").alias("token"))
     met = placed.select("token", "node").join(met.select("token", F.ceil(F.col("members") / GROUP).cast("int").alias("parts")), "token")
     rows = store(met.join(begun.drop("tokens", "sketch"), "node"), "near-tokens")
     one = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts").alias("x")
@@ -566,6 +595,7 @@ def remaining_links(texts: DataFrame, roots: DataFrame, n_nodes: int, least: flo
     apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in parities), F.lit(0))
     x, y = F.col("x.n"), F.col("y.n")
     alike = (F.least(x, y) >= F.greatest(x, y) * least - 1e-9) & (apart <= (x + y) * ((1 - least) / (1 + least)) + 1e-9)
+    alike = alike & (coarsely_apart(F.col("x.coarse"), F.col("y.coarse")) <= (x + y) * ((1 - least) / (1 + least)) + 1e-9)
     pairs = one.join(other, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & alike)
     pairs = store(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "near-pairs")
 
