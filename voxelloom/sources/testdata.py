@@ -9,8 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelloom.session import broadcast_if_small, cut_lineage
+
 Z, H, W = 8, 16, 64  # slices per volume, lines per slice, pixels per line of the embedding stacks
 TEXT_H, TEXT_W = 32, 64  # text rasters: one document is a stack of 32 x 64 byte images
+MESH_LINES = 10_000  # order lines of a mesh that lies in one task
+TASK_LINES = 100_000  # order lines, of whole meshes, that one task takes, about
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -140,8 +144,34 @@ BOX_FACES = [
 ]
 
 
+def box_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order lines that ``boxes_of`` makes meshes of."""
+    mesh_id = F.concat(F.lit("m"), F.col("l_orderkey").cast("string")).alias("mesh_id")  # once a line, not for each triangle
+    return table(spark, sf_dir, "lineitem").select(mesh_id, "l_linenumber", "l_quantity", "l_discount", "l_tax")
+
+
+def dealt_box_lines(spark: SparkSession, sf_dir: str, most: int = MESH_LINES, at_once: int = TASK_LINES) -> tuple[DataFrame, DataFrame]:
+    """The lines of meshes of at most ``most`` lines, a mesh in one task and about ``at_once`` lines in each, and the lines of larger meshes where they are.
+
+    Lines are counted first; of large meshes there are at most as many as lines, divided by ``most``.
+    """
+    lines = box_lines(spark, sf_dir)
+    large = cut_lineage(lines.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("mesh_id"))
+    large = broadcast_if_small(large)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-lines.count() // at_once))
+    # A null mesh, of lines without an order, equals no other and stays where it is.
+    null = F.col("mesh_id").isNull()
+    whole = lines.where(~null).join(large, "mesh_id", "left_anti").repartition(tasks, "mesh_id")
+    return whole, lines.join(large, "mesh_id", "left_semi").unionByName(lines.where(null))
+
+
 def box_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed meshes: every order is a mesh, every order line one axis-parallel box of 12 triangles."""
+    return boxes_of(box_lines(spark, sf_dir))
+
+
+def boxes_of(lines: DataFrame) -> DataFrame:
+    """Twelve triangles of each line; how the lines are dealt by mesh is kept."""
     faces = F.array(*[F.struct(*[F.lit(corner).alias(p) for p, corner in zip("abc", face)]) for face in BOX_FACES])
     low = {"x": F.col("l_linenumber") * 100.0, "y": F.lit(0.0), "z": F.lit(0.0)}
     size = {"x": F.col("l_quantity"), "y": F.col("l_discount") * 100 + 1, "z": F.col("l_tax") * 100 + 1}
@@ -150,8 +180,6 @@ def box_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
         (low[d] + F.when(F.col(f"t.{p}").bitwiseAND(bit[d]) > 0, size[d]).otherwise(0.0)).alias(f"{p}{d}")
         for p in "abc" for d in "xyz"
     ]
-    mesh_id = F.concat(F.lit("m"), F.col("l_orderkey").cast("string")).alias("mesh_id")  # once a line, not for each triangle
-    lines = table(spark, sf_dir, "lineitem").select(mesh_id, "l_linenumber", "l_quantity", "l_discount", "l_tax")
     return lines.select("*", F.explode(faces).alias("t")).select("mesh_id", *flat)
 
 
