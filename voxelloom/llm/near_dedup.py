@@ -31,7 +31,7 @@ WIDE_BLOCKS = 8  # 16-bit blocks of its 128-bit fingerprints
 WIDE_DISTANCE = 32  # Jaccard 0.8 differs in about 19 of 128 bits, standard deviation 4
 SETS_IN_GROUP = 512  # sets compared with each other in one array
 SETS_AT_ONCE = 1 << 20  # shingles of a group that one row holds, about
-PREFIX_BYTES = 1 << 19  # text whose shingles are put in order at once
+PREFIX_BYTES = 1 << 19  # text whose shingles the pipeline's stage takes at once
 ORDER_SAMPLE, ORDER_SHINGLES = 2_000, 1 << 18  # texts whose shingles are counted, at least, and frequent shingles that are put last
 ORDER_SHARE = 0.04  # of the texts: a shingle that grows frequent with the table is seen at any size
 COARSE_SET = 512  # shingles of a set beyond which 256 parities say nothing
@@ -449,7 +449,7 @@ def verified_links(candidates: DataFrame, least: float = LEAST_JACCARD, most: in
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher()
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PREFIX_BYTES):
             hashes, offsets = shingle_sets(*texts_of(batch.column(4)), hasher)
             packed = [hashes[x:y].tobytes() for x, y in zip(offsets[:-1], offsets[1:])]
             yield pa.record_batch([*(batch.column(c) for c in range(4)), pa.array(packed, pa.binary())], names=["root", "node", "low", "high", "hashes"])
@@ -642,7 +642,7 @@ def drop_near_copies(docs: DataFrame, least: float = LEAST_JACCARD) -> DataFrame
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher()
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PREFIX_BYTES):
             hashes, offsets = shingle_sets(*texts_of(batch.column(text)), hasher)
             wide, names = wide_fingerprints(hashes, offsets)
             added = [names.view(np.int64), *(np.ascontiguousarray(wide[:, c]).view(np.int64) for c in (0, 1)), np.diff(offsets)]
