@@ -19,8 +19,9 @@ from voxelloom.llm.shared import SpanHasher, pieces, shared_folder, store, texts
 
 BLOCK_IDS = 1 << 21
 END_ID = 0
-CACHE_SEGMENTS = 600_000
-JOINED_BYTES = 1 << 15  # segments that are joined to one text for the tokenizer
+CACHE_SEGMENTS = 3 << 18  # segments kept; when there are more, those that came only once are forgotten
+PIECE_BYTES = 1 << 19  # text that one numpy step takes at once
+JOINED_BYTES = 1 << 12  # segments that are joined to one text for the tokenizer
 
 _PRINTABLE = np.zeros(256, bool)
 _PRINTABLE[0x21:0x7F] = True
@@ -29,12 +30,33 @@ _PLAIN_LEAD = _PRINTABLE.copy()
 _PLAIN_LEAD[[*range(0xC3, 0xE0), *range(0xE4, 0xF5)]] = True
 
 
+def _pairs() -> np.ndarray:
+    """For two neighbouring bytes (the first one times 256 plus the second): a cut between them is 0 not known, 1 sure,
+    2 sure if the byte before both of them allows it."""
+    kind = np.zeros(256, np.uint8)  # 1 letters, 2 digits, 3 other marks, 4 white space
+    kind[_PRINTABLE] = 3
+    kind[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+    kind[0x30:0x3A] = 2
+    kind[[0x20, 0x0A]] = 4
+    before, after = kind[:, None], kind[None, :]
+    sure = (before > 0) & (before < 4) & (after > 0) & (before != after)
+    sure[0x27, kind < 4] = False  # an apostrophe may begin a contraction
+    out = sure.astype(np.uint8)
+    out[0x80:0xC0, kind == 4] = 2
+    out[0x0A, _PLAIN_LEAD] = 2
+    return out.reshape(-1)
+
+
+_PAIRS = _pairs()
+
+
 class Encoder:
     """Encodes whole texts with a byte-level BPE tokenizer; equal segments are encoded once.
 
-    The tokenizer's own split never joins a word to what follows when a single space stands between two
-    characters that are no white space: its rules take that space as the first character of the next word.
-    Cutting there and encoding the parts one by one gives the ids of the whole text.
+    The tokenizer's own split takes runs of letters, of digits and of other marks, each with one space before it, and
+    contractions as words. So a word always ends where a letter, digit or mark (but no apostrophe) is followed by
+    another of these kinds or by white space, and a line end alone is a word of its own. Cutting there and encoding the
+    parts one by one gives the ids of the whole text.
     """
 
     def __init__(self, path: str | None = None, data: str | None = None) -> None:
@@ -48,26 +70,67 @@ class Encoder:
         for token, number in vocabulary.items():
             self.length[number] = len(token)
         self.hasher = SpanHasher()
-        self._forget()
-
-    def _forget(self) -> None:
-        self.hashes, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool: list[np.ndarray] = []
-        self.pooled = 0
+        self.pool, self.pooled = np.zeros(1 << 16, np.uint32), 0  # ids of the segments one after another
+        self._resize(1 << 16)
+
+    def _resize(self, slots: int) -> None:
+        """An empty table of the segments' hashes (0: a free slot) and of the place and number of their ids."""
+        self.keys, self.first, self.count = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        self.again = np.zeros(slots, bool)  # the segment came in a later piece too
+        self.shift, self.used = np.uint64(65 - slots.bit_length()), 0
+
+    def _insert(self, hashes: np.ndarray, first: np.ndarray, count: np.ndarray) -> None:
+        """Enter distinct segments that are not in the table; a quarter of it stays free."""
+        if 4 * (self.used + len(hashes)) > 3 * len(self.keys):
+            kept = np.flatnonzero(self.keys)
+            old = (self.keys[kept], self.first[kept], self.count[kept], self.again[kept])
+            self._resize(1 << ((len(kept) + len(hashes)) * 4 // 3).bit_length())
+            self._insert(*old[:3])
+            self.again[self._find(old[0])] = old[3]
+        left = np.arange(len(hashes))
+        while len(left):  # of those that meet in a free slot, one takes it
+            slot = self._find(hashes[left])
+            self.keys[slot], self.first[slot], self.count[slot], self.again[slot] = hashes[left], first[left], count[left], False
+            left = left[self.keys[slot] != hashes[left]]
+        self.used += len(hashes)
+
+    def _forget(self, room: int) -> None:
+        """Forget the segments that came in one piece only; all of them if the others leave no room for so many."""
+        kept = np.flatnonzero(self.again & (self.keys != 0))
+        if len(kept) + room > CACHE_SEGMENTS * 3 // 4:
+            kept = kept[:0]
+        hashes, count = self.keys[kept], self.count[kept]
+        first = np.cumsum(count, dtype=np.int64) - count
+        self.pooled = int(count.sum())
+        self.pool = self.pool.take(np.repeat(self.first[kept] - first, count) + np.arange(self.pooled))
+        self._resize(1 << 16)
+        self._insert(hashes, first, count)
 
     def _cuts(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Positions of the spaces that start a segment."""
-        if len(data) < 3:
-            return np.zeros(0, np.int64)
-        at = np.flatnonzero(data[1:-1] == 0x20) + 1
-        before = _PRINTABLE[data[at - 1]] | ((data[at - 1] & 0xC0) == 0x80) & (at > 1) & (data[np.maximum(at - 2, 0)] >= 0xC3) & (data[np.maximum(at - 2, 0)] < 0xE0)
-        at = at[before & _PLAIN_LEAD[data[at + 1]]]
-        # The space and both neighbours belong to one text, and the first two bytes of a text are not its middle.
-        text = np.searchsorted(ends, at, "right")
-        return at[(np.searchsorted(ends, at - 1, "right") == text) & (np.searchsorted(ends, at + 1, "right") == text) & (at - 2 >= ends[text - 1] - (_PRINTABLE[data[at - 1]]))]
+        """Where segments begin: the texts, and the positions inside them at which a word surely ends."""
+        begins = np.zeros(len(data) + 1, bool)
+        kinds = _PAIRS.take((data[:-1].astype(np.uint16) << np.uint16(8)) | data[1:])
+        begins[1:-1] = kinds == 1
+        at = np.flatnonzero(kinds == 2) + 1
+        near, far = data[at - 1], data[np.maximum(at - 2, 0)]
+        # A single line end after a mark, or the second byte of a character that is no white space.
+        begins[at] = np.where(near == 0x0A, _PRINTABLE[far], (far >= 0xC3) & (far < 0xE0))
+        begins[ends] = True
+        return np.flatnonzero(begins[:-1])
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slots of these segments, a free slot for one that is not known."""
+        slot = (hashes >> self.shift).astype(np.int64)
+        held = self.keys.take(slot)
+        left = np.flatnonzero((held != hashes) & (held != 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+            held = self.keys.take(slot[left])
+            left = left[(held != hashes[left]) & (held != 0)]
+        return slot
 
     def _encode_joined(self, raw: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of segments that begin at a cut and end in no white space: many of them make one text."""
+        """Ids of segments that begin with a space before a word and end in no white space: many of them make one text."""
         ids, counts = [], []
         sizes = np.cumsum(stop - start)
         group = (sizes - (stop - start)) // JOINED_BYTES
@@ -81,25 +144,28 @@ class Encoder:
             counts.append(np.diff(last, prepend=0))
         return np.concatenate(ids), np.concatenate(counts)
 
-    def _learn(self, data: np.ndarray, hashes: np.ndarray, start: np.ndarray, stop: np.ndarray, joinable: np.ndarray) -> None:
+    def _learn(self, data: np.ndarray, hashes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
+        """Encode distinct segments that are not known yet."""
         raw = data.tobytes()
-        for which in (joinable, ~joinable):
-            if which.any():
-                if which is joinable:
-                    ids, count = self._encode_joined(raw, start[which], stop[which])
-                else:
-                    texts = [raw[a:b].decode() for a, b in zip(start[which].tolist(), stop[which].tolist())]
-                    encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-                    count = np.array([len(e) for e in encoded], np.int64)
-                    ids = np.array([i for e in encoded for i in e], np.uint32)
-                self.hashes = np.concatenate([self.hashes, hashes[which]])
-                self.first = np.concatenate([self.first, self.pooled + np.cumsum(count) - count])
-                self.count = np.concatenate([self.count, count])
-                self.pool.append(ids)
-                self.pooled += len(ids)
-        order = np.argsort(self.hashes)
-        self.hashes, self.first, self.count = self.hashes[order], self.first[order], self.count[order]
-        self.pool = [np.concatenate(self.pool)]
+        final = data[stop - 1]
+        joinable = (stop - start > 1) & (data[start] == 0x20) & _PLAIN_LEAD[data[np.minimum(start + 1, len(data) - 1)]]
+        joinable &= _PRINTABLE[final] | ((final & 0xC0) == 0x80) & (data[stop - 2] >= 0xC3) & (data[stop - 2] < 0xE0)
+        for together in (True, False):
+            which = joinable == together
+            if not which.any():
+                continue
+            if together:
+                ids, count = self._encode_joined(raw, start[which], stop[which])
+            else:
+                texts = [raw[a:b].decode() for a, b in zip(start[which].tolist(), stop[which].tolist())]
+                encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                count = np.array([len(e) for e in encoded], np.int64)
+                ids = np.array([i for e in encoded for i in e], np.uint32)
+            self._insert(hashes[which], self.pooled + np.cumsum(count) - count, count)
+            if self.pooled + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool[: self.pooled], np.zeros(max(self.pooled, len(ids)), np.uint32)])
+            self.pool[self.pooled : self.pooled + len(ids)] = ids
+            self.pooled += len(ids)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of an Arrow column one after another, and the number of ids of each; null is empty."""
@@ -108,28 +174,27 @@ class Encoder:
         n = len(ends) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
-        cuts = self._cuts(data, ends)
-        heads = ends[:-1][ends[1:] > ends[:-1]]
-        start = np.sort(np.concatenate([cuts, heads]), kind="stable")
+        start = self._cuts(data, ends)
         stop = np.append(start[1:], len(data))
-        text = np.searchsorted(ends, start, "right") - 1
-        is_cut = np.zeros(len(data) + 1, bool)
-        is_cut[cuts] = True
-        # The hash tells a segment that starts at a cut from one that starts a text.
-        hashes = self.hasher.spans(self.hasher.sums(data), start, stop) ^ is_cut[start].astype(np.uint64)
-        joinable = is_cut[start] & (is_cut[stop] | _PRINTABLE[data[stop - 1]])
-        hashes ^= joinable.astype(np.uint64) << np.uint64(1)
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hashes) + len(distinct) > CACHE_SEGMENTS:
-            self._forget()
-        new = first if not len(self.hashes) else first[self.hashes[np.minimum(np.searchsorted(self.hashes, distinct), len(self.hashes) - 1)] != distinct]
-        if len(new):
-            self._learn(data, hashes[new], start[new], stop[new], joinable[new])
-        place = np.searchsorted(self.hashes, distinct)[which]
-        count = self.count[place]
-        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        ids = self.pool[0][np.repeat(self.first[place], count) + step]
-        return ids, np.bincount(text, count, n).astype(np.int64)
+        hashes = np.maximum(self.hasher.spans(self.hasher.sums(data), start, stop), np.uint64(1))
+        slot = self._find(hashes)
+        self.again[slot] = True
+        table = self.keys
+        missing = np.flatnonzero(table.take(slot) == 0)
+        if len(missing):
+            new = missing[np.unique(hashes[missing], return_index=True)[1]]
+            if self.used + len(new) > CACHE_SEGMENTS:
+                self._forget(len(new))
+                new = np.unique(hashes, return_index=True)[1]
+                new = new[self.keys[self._find(hashes[new])] == 0]
+            self._learn(data, hashes[new], start[new], stop[new])
+            if self.keys is not table:  # it grew, or was emptied
+                missing = np.arange(len(hashes))
+            slot[missing] = self._find(hashes[missing])
+        count = self.count.take(slot)
+        reached = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+        ids = self.pool.take(np.repeat(self.first.take(slot) - reached[:-1], count) + np.arange(reached[-1]))
+        return ids, np.diff(reached[np.searchsorted(start, ends)])
 
 
 _encoders: dict[int, Encoder] = {}
@@ -177,7 +242,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, block_ids
             names = ["file", "block", "n_ids", "n_docs", "doc_ids", "parts", "lasts", "lengths", "payload"]
             return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE_BYTES):
             found, counts = encoder.encode(batch.column(1))
             stops = np.cumsum(counts)
             # The ids of all texts with the end id after each.
